@@ -27,17 +27,13 @@ def running_totals(
     """Replace each column by its running total along ``order`` per key."""
     keys = list(keys)
     b = df.withColumn("_blk", _block(order, block, span))
-    totals = b.groupBy(*keys, "_blk").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
-    before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(
-        *keys, "_blk", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in cols]
-    )
-    inside = W.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    joined = b.join(base, [*keys, "_blk"])
+    key = ", ".join(keys)
+    totals = b.groupBy(*keys, "_blk").agg(*[F.expr(f"sum({c}) as _s_{c}") for c in cols])
+    before = f"over (partition by {key} order by _blk rows between unbounded preceding and 1 preceding)"
+    base = totals.selectExpr(*keys, "_blk", *[f"coalesce(sum(_s_{c}) {before}, 0) as _b_{c}" for c in cols])
+    inside = f"over (partition by {key}, _blk order by {order} rows between unbounded preceding and current row)"
     rest = [c for c in df.columns if c not in cols]
-    return joined.select(
-        *rest, *[(F.sum(c).over(inside) + F.col(f"_b_{c}")).cast("bigint").alias(c) for c in cols]
-    )
+    return b.join(base, [*keys, "_blk"]).selectExpr(*rest, *[f"cast(sum({c}) {inside} + _b_{c} as bigint) as {c}" for c in cols])
 
 
 def previous_row(

@@ -75,3 +75,26 @@ def compact(items: Sequence[Column]) -> Column:
 
 def sql_quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
+
+
+# ---- the same helpers as SQL text, for wide select lists ---------------------------------------------------
+
+def ratio_sql(num: str, den: str) -> str:
+    return f"coalesce(try_divide(cast({num} as double), cast({den} as double)), 0.0D)"
+
+
+def rate_sql(change: str, seconds: str) -> str:
+    return f"(case when {seconds} > 0 then cast({change} as double) / {seconds} else 0.0D end)"
+
+
+def label_sql(v: str, steps: Sequence[tuple[float, str]]) -> str:
+    body = " ".join(f"when {v} < {b} then '{n}'" for b, n in steps if b != float("inf"))
+    return f"(case {body} else '{steps[-1][1]}' end)"
+
+
+def window_end_sql(width: int, t: str = "t") -> str:
+    return f"cast((floor({t} / cast({width} as double)) + 1) * {width} as bigint)"
+
+
+def in_list(names: Sequence[str]) -> str:
+    return ", ".join(sql_quote(n) for n in names)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
-from fleetscope.functions.scalars import compact, level, rate, ratio, threshold_label
+from fleetscope.functions.scalars import label_sql, rate_sql, ratio_sql
 from fleetscope.operators.telemetry import (
     INSTANCE, WINDOW, series_summary, statistic_1s, statistic_5s, window_statistic,
 )
 
 
-def _trend(r: Column, up: float, down: float) -> Column:
-    return F.when(r > up, "increasing").when(r < down, "decreasing").otherwise("stable")
+def _trend(r: str, up: float, down: float) -> str:
+    return f"case when {r} > {up} then 'increasing' when {r} < {down} then 'decreasing' else 'stable' end"
+
+
+def _add(df: DataFrame, **cols: str) -> DataFrame:
+    """Add or replace columns given as SQL text, in one projection."""
+    keep = [c for c in df.columns if c not in cols]
+    return df.selectExpr(*keep, *[f"{x} as {n}" for n, x in cols.items()])
 
 
 def traffic_features(stats: DataFrame) -> DataFrame:
@@ -23,24 +29,26 @@ def traffic_features(stats: DataFrame) -> DataFrame:
     ``stats`` is ``window_statistic`` left-joined with ``series_summary``. The 5 s rate is the good-packet delta
     over the 5 s window; with almost no traffic all trends are called stable.
     """
-    rx = F.col("rx_pps")
-    five = F.when(F.col("rx_good") > 0, rate("rx_good", "window_seconds_5s")).otherwise(F.lit(0.0))
-    quiet = (F.col("traffic_level") == "low") & (F.coalesce("peak", F.lit(0.0)) < fixed.LOW_TRAFFIC_PPS)
-    df = stats.withColumns({"traffic_level": level(rx, 1e3, 1e6), "rx_pps_5s": five})
-    df = df.withColumns({
-        "rx_jitter": F.when(quiet, F.lit(0.0)).otherwise(F.coalesce("jitter", F.lit(0.0))),
-        "short_trend": F.when(quiet, "stable").otherwise(F.coalesce("short_trend", F.lit("unknown"))),
-        "points": F.coalesce("points", F.lit(0)),
-    })
-    long_ratio = ratio(rx + 1e-6, F.col("rx_pps_5s") + 1e-6)
-    return df.withColumns({
-        "stability": F.when(F.col("traffic_level") == "low", "stable").when(F.col("rx_jitter") > 0.5, "unstable")
-        .when(F.col("rx_jitter") > 0.2, "slightly_unstable").otherwise("stable"),
-        "trend": F.when(rx < fixed.LOW_TRAFFIC_PPS, "stable")
-        .when(F.col("rx_pps_5s") > 0, _trend(long_ratio, 1.2, 0.8)).otherwise("unknown"),
-        "packet_type": F.when(F.col("rx_avg_size") < 128, "small").when(F.col("rx_avg_size") > 1000, "large")
-        .otherwise("normal"),
-    })
+    low = fixed.LOW_TRAFFIC_PPS
+    df = _add(
+        stats,
+        traffic_level="case when rx_pps < 1e3 then 'low' when rx_pps < 1e6 then 'medium' else 'high' end",
+        rx_pps_5s=f"case when rx_good > 0 then {rate_sql('rx_good', 'window_seconds_5s')} else 0.0D end",
+        _quiet=f"rx_pps < 1e3 and coalesce(peak, 0.0D) < {low}", points="coalesce(points, 0)",
+    )
+    df = _add(
+        df, rx_jitter="case when _quiet then 0.0D else coalesce(jitter, 0.0D) end",
+        short_trend="case when _quiet then 'stable' else coalesce(short_trend, 'unknown') end",
+        _long=ratio_sql("(rx_pps + 1e-6)", "(rx_pps_5s + 1e-6)"),
+    )
+    df = _add(
+        df,
+        stability="""case when traffic_level = 'low' then 'stable' when rx_jitter > 0.5 then 'unstable'
+            when rx_jitter > 0.2 then 'slightly_unstable' else 'stable' end""",
+        trend=f"case when rx_pps < {low} then 'stable' when rx_pps_5s > 0 then {_trend('_long', 1.2, 0.8)} else 'unknown' end",
+        packet_type="case when rx_avg_size < 128 then 'small' when rx_avg_size > 1000 then 'large' else 'normal' end",
+    )
+    return df.drop("_quiet", "_long")
 
 
 def resource_status(df: DataFrame) -> DataFrame:
@@ -49,78 +57,66 @@ def resource_status(df: DataFrame) -> DataFrame:
     The slow cadence carries no mempool, so the free-share trend compares with the baseline where one is joined
     (column ``ref_mempool_free``) and with itself otherwise. The fast cadence carries no lcores: its trend is stable.
     """
-    free = F.coalesce(F.col("mempool_free"), F.lit(1.0))
-    against = F.coalesce(F.col("ref_mempool_free"), free) if "ref_mempool_free" in df.columns else free
-    df = df.withColumns({
-        "mempool_free": free, "mem_ratio": ratio(free, against),
-        "heap_free": F.coalesce("heap_free_ratio", F.lit(1.0)), "heap_frag": F.coalesce("heap_frag", F.lit(0.0)),
-        "cpu_avg": F.coalesce("avg_usage", F.lit(0.0)), "cpu_max": F.coalesce("max_usage", F.lit(0.0)),
-        "hot_lcore": F.col("hottest_lcore"),
-    }).drop("heap_free_ratio", "avg_usage", "max_usage", "hottest_lcore")
-    return df.withColumns({
-        "queue_status": threshold_label("imbalance_ratio", fixed.QUEUE_STEPS),
-        "mem_status": threshold_label("mempool_free", fixed.MEMPOOL_STEPS),
-        "mem_trend": F.when(F.col("mem_ratio") != 0, _trend(F.col("mem_ratio"), 1.3, 0.7)).otherwise("unknown"),
-        "heap_status": threshold_label("heap_free", fixed.HEAP_STEPS),
-        "cpu_status": threshold_label("cpu_avg", fixed.CPU_STEPS),
-        "cpu_trend": F.lit("stable"),
-    })
+    against = "coalesce(ref_mempool_free, mempool_free, 1.0D)" if "ref_mempool_free" in df.columns else "coalesce(mempool_free, 1.0D)"
+    df = _add(
+        df, mempool_free="coalesce(mempool_free, 1.0D)", _mem=ratio_sql("coalesce(mempool_free, 1.0D)", against),
+        heap_free="coalesce(heap_free_ratio, 1.0D)", heap_frag="coalesce(heap_frag, 0.0D)",
+        cpu_avg="coalesce(avg_usage, 0.0D)", cpu_max="coalesce(max_usage, 0.0D)", hot_lcore="hottest_lcore",
+    )
+    return _add(
+        df,
+        queue_status=label_sql("imbalance_ratio", fixed.QUEUE_STEPS), mem_status=label_sql("mempool_free", fixed.MEMPOOL_STEPS),
+        mem_trend=f"case when _mem <> 0 then {_trend('_mem', 1.3, 0.7)} else 'unknown' end",
+        heap_status=label_sql("heap_free", fixed.HEAP_STEPS), cpu_status=label_sql("cpu_avg", fixed.CPU_STEPS),
+        cpu_trend="'stable'",
+    ).drop("_mem", "heap_free_ratio", "avg_usage", "max_usage", "hottest_lcore")
 
 
 def error_severity(df: DataFrame) -> DataFrame:
-    """Weighted error count and its label. Missed packets come from the fast cadence when it has them, else the slow."""
-    missed = F.coalesce(F.col("rx_missed"), F.lit(0))
-    score = F.col("rx_errors") + F.col("tx_errors") + F.col("rx_nombuf") * 10 + missed * 5
-    df = df.withColumns({"nombuf": F.col("rx_nombuf"), "missed": missed, "error_score": score})
-    return df.withColumn("error_severity", threshold_label("error_score", fixed.ERROR_STEPS))
+    """Weighted error count and its label. Missed packets come from the slow cadence, the only one that has them."""
+    df = _add(df, nombuf="rx_nombuf", missed="coalesce(rx_missed, 0)",
+              error_score="rx_errors + tx_errors + rx_nombuf * 10 + coalesce(rx_missed, 0) * 5")
+    return _add(df, error_severity=label_sql("error_score", fixed.ERROR_STEPS))
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """Ordered texts of everything that stands out; one normal text when nothing does."""
+    """Ordered texts of everything that stands out; one normal text when nothing does.
+
+    An instability that is hidden because of low traffic still counts as found: no normal text is added then.
+    """
     t = fixed.INSIGHT
-    c = F.col
-    calm = (c("error_severity") == "none") & (c("queue_status") == "balanced")
-    safe = calm & (c("mem_status") == "healthy")
-    hidden = (c("traffic_level") == "low") & calm
-    say = lambda test, key: F.when(test, F.lit(t[key]))
-    shaky = (c("stability") == "unstable") & ~safe
-    found = [
-        say(c("mem_status") == "critical", "mem"), say(c("queue_status") != "balanced", "queue"),
-        say(c("cpu_status") == "high", "cpu"), say(c("error_severity").isin("medium", "high"), "errors"),
-        say(c("trend") == "increasing", "traffic_up"), say(c("mem_trend") == "decreasing", "mem_down"),
-        say(c("cpu_trend") == "increasing", "cpu_up"), say(c("short_trend") == "increasing_fast", "burst_up"),
-        say((c("short_trend") == "decreasing_fast") & (c("points") / 10 > 0.6), "burst_down"),
-        say(shaky & ~hidden, "unstable"),
-        say(c("heap_status") == "critical", "heap_out"), say(c("heap_status") == "warning", "heap_low"),
-        say(c("heap_frag") > 0.5, "heap_frag"),
-    ]
-    # a suppressed instability text still counts as found, so the normal text is not added then
-    anything = compact([*found, say(shaky, "unstable")])
-    return df.withColumn("insight", F.when(F.size(anything) == 0, F.array(F.lit(t["normal"]))).otherwise(compact(found)))
+    tests = {
+        "mem": "mem_status = 'critical'", "queue": "queue_status <> 'balanced'", "cpu": "cpu_status = 'high'",
+        "errors": "error_severity in ('medium', 'high')", "traffic_up": "trend = 'increasing'",
+        "mem_down": "mem_trend = 'decreasing'", "cpu_up": "cpu_trend = 'increasing'",
+        "burst_up": "short_trend = 'increasing_fast'",
+        "burst_down": "short_trend = 'decreasing_fast' and points / 10 > 0.6",
+        "unstable": "_shaky and not (traffic_level = 'low' and _calm)", "heap_out": "heap_status = 'critical'",
+        "heap_low": "heap_status = 'warning'", "heap_frag": "heap_frag > 0.5",
+    }
+    df = _add(df, _calm="error_severity = 'none' and queue_status = 'balanced'",
+              _shaky="""stability = 'unstable' and not (error_severity = 'none' and queue_status = 'balanced'
+                  and mem_status = 'healthy')""")
+    said = ", ".join(f"case when {x} then '{t[k]}' end" for k, x in tests.items())
+    df = _add(df, _said=f"array_compact(array({said}))")
+    return _add(df, insight=f"case when size(_said) = 0 and not _shaky then array('{t['normal']}') else _said end").drop(
+        "_calm", "_shaky", "_said")
 
 
 def risk_score(df: DataFrame) -> DataFrame:
     """Partial scores per resource, their capped sum and the level."""
-    c = F.col
-
-    def pts(column: str, table: dict[str, int]) -> Column:
-        out = F.lit(0)
-        for value, p in table.items():
-            out = out + F.when(c(column) == value, p).otherwise(0)
-        return out
-
-    df = df.withColumns({
-        "risk_mempool": pts("mem_status", {"critical": 50, "warning": 20}) + pts("mem_trend", {"decreasing": 30})
-        + F.least(c("nombuf") * 10, F.lit(100)),
-        "risk_cpu": pts("cpu_status", {"high": 30}) + pts("cpu_trend", {"increasing": 20}),
-        "risk_queue": pts("queue_status", {"severe_skew": 20, "slight_skew": 10}),
-        "risk_traffic": pts("trend", {"increasing": 10}) + pts("traffic_level", {"high": 10}),
-        "risk_heap": pts("heap_status", {"critical": 40, "warning": 15}) + F.when(c("heap_frag") > 0.5, 10).otherwise(0),
-        "risk_errors": F.least(c("error_score"), F.lit(100)),
-    })
-    total = sum((c(f"risk_{p}") for p in ("cpu", "queue", "traffic", "heap", "errors")), c("risk_mempool"))
-    df = df.withColumn("risk_score", F.least(total, F.lit(100)).cast("bigint"))
-    return df.withColumn("risk_level", threshold_label("risk_score", fixed.RISK_STEPS))
+    df = _add(
+        df,
+        risk_mempool="""case mem_status when 'critical' then 50 when 'warning' then 20 else 0 end
+            + case mem_trend when 'decreasing' then 30 else 0 end + least(nombuf * 10, 100)""",
+        risk_cpu="case cpu_status when 'high' then 30 else 0 end + case cpu_trend when 'increasing' then 20 else 0 end",
+        risk_queue="case queue_status when 'severe_skew' then 20 when 'slight_skew' then 10 else 0 end",
+        risk_traffic="case trend when 'increasing' then 10 else 0 end + case traffic_level when 'high' then 10 else 0 end",
+        risk_heap="case heap_status when 'critical' then 40 when 'warning' then 15 else 0 end + case when heap_frag > 0.5 then 10 else 0 end",
+        risk_errors="least(error_score, 100)",
+    )
+    df = _add(df, risk_score="cast(least(" + " + ".join(f"risk_{p}" for p in RISK_PARTS) + ", 100) as bigint)")
+    return _add(df, risk_level=label_sql("risk_score", fixed.RISK_STEPS))
 
 
 RISK_PARTS = ("mempool", "cpu", "queue", "traffic", "heap", "errors")
@@ -128,19 +124,17 @@ RISK_PARTS = ("mempool", "cpu", "queue", "traffic", "heap", "errors")
 
 def risk_tags(df: DataFrame) -> DataFrame:
     """Named risks in fixed order and the nonzero parts of the score."""
-    c, t = F.col, fixed.RISK_TAGS
-    down, up = c("mem_trend") == "decreasing", c("trend") == "increasing"
-    tags = [
-        F.when((c("mem_status") == "critical") & down, t["mem_imminent"]),
-        F.when((c("mem_status") == "warning") & down, t["mem_risk"]),
-        F.when((c("cpu_status") == "high") & (c("cpu_trend") == "increasing"), t["cpu"]),
-        F.when((c("queue_status") == "severe_skew") & up, t["queue"]),
-        F.when((c("nombuf") > 0) & (c("mem_status") != "healthy"), t["mbuf"]),
-        F.when((c("traffic_level") == "high") & up, t["surge"]),
-        F.when(c("heap_status").isin("critical", "warning"), t["heap"]),
-    ]
-    parts = F.create_map(*[x for p in RISK_PARTS for x in (F.lit(p), c(f"risk_{p}").cast("double"))])
-    return df.withColumns({"risk": compact(tags), "risk_breakdown": F.map_filter(parts, lambda _, v: v != 0)})
+    tests = {
+        "mem_imminent": "mem_status = 'critical' and mem_trend = 'decreasing'",
+        "mem_risk": "mem_status = 'warning' and mem_trend = 'decreasing'",
+        "cpu": "cpu_status = 'high' and cpu_trend = 'increasing'",
+        "queue": "queue_status = 'severe_skew' and trend = 'increasing'",
+        "mbuf": "nombuf > 0 and mem_status <> 'healthy'", "surge": "traffic_level = 'high' and trend = 'increasing'",
+        "heap": "heap_status in ('critical', 'warning')",
+    }
+    tags = ", ".join(f"case when {x} then '{fixed.RISK_TAGS[k]}' end" for k, x in tests.items())
+    parts = ", ".join(f"'{p}', cast(risk_{p} as double)" for p in RISK_PARTS)
+    return _add(df, risk=f"array_compact(array({tags}))", risk_breakdown=f"map_filter(map({parts}), (k, v) -> v <> 0)")
 
 
 def label_windows(stats: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions.blocked import last_n_per_key, previous_row
-from fleetscope.functions.scalars import rate, ratio, tumbling_end
+from fleetscope.functions.scalars import rate_sql, ratio, ratio_sql, tumbling_end, window_end_sql
 
 INSTANCE = ["client_id", "pid"]
 WINDOW = [*INSTANCE, "win"]
@@ -58,44 +58,39 @@ def heap_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def lcore_entries(usage: Column) -> Column:
-    """Parallel arrays of all groups to one entry per lcore: the one with the most total cycles wins."""
-    zipped = F.flatten(F.transform(F.map_values(usage), lambda g: F.arrays_zip(
-        g["lcore_ids"], g["total_cycles"], g["busy_cycles"], g["usage_ratio"])))
-    rows = F.transform(zipped, lambda e, i: F.struct(
-        F.coalesce(e["total_cycles"], F.lit(0)).cast("bigint").alias("total_cycles"), (-i).alias("order"),
-        e["lcore_ids"].cast("int").alias("lcore_id"), F.coalesce(e["busy_cycles"], F.lit(0)).cast("bigint").alias("busy_cycles"),
-        F.round(F.coalesce(F.regexp_replace(e["usage_ratio"].cast("string"), "^%+|%+$", "").try_cast("double") / 100,
-                           F.lit(0.0)), 6).alias("usage_ratio")))
-    busy = F.filter(rows, lambda e: e["lcore_id"].isNotNull() & ((e["total_cycles"] != 0) | (e["busy_cycles"] != 0)))
-    ids = F.array_distinct(F.transform(busy, lambda e: e["lcore_id"]))
-    return F.transform(ids, lambda i: F.array_max(F.filter(busy, lambda e: e["lcore_id"] == i)))
+def with_lcore_entries(records: DataFrame) -> DataFrame:
+    """Add ``_lcores``: the parallel arrays of all groups as one entry per lcore, the one with most total cycles."""
+    zipped = records.selectExpr("*", """flatten(transform(map_values(lcore_usage),
+        g -> arrays_zip(g.lcore_ids, g.total_cycles, g.busy_cycles, g.usage_ratio))) as _z""")
+    rows = zipped.selectExpr("*", """filter(transform(_z, (e, i) -> named_struct(
+        'total_cycles', cast(coalesce(e.total_cycles, 0) as bigint), 'rank', -i, 'lcore_id', cast(e.lcore_ids as int),
+        'busy_cycles', cast(coalesce(e.busy_cycles, 0) as bigint),
+        'usage_ratio', round(coalesce(try_cast(trim(both '%' from e.usage_ratio) as double) / 100, 0.0D), 6))),
+        e -> e.lcore_id is not null and (e.total_cycles <> 0 or e.busy_cycles <> 0)) as _l""").drop("_z")
+    return rows.selectExpr("*", """transform(array_distinct(_l.lcore_id),
+        id -> array_max(filter(_l, e -> e.lcore_id = id))) as _lcores""").drop("_l")
 
 
 def lcore_stats(records: DataFrame) -> DataFrame:
     """One row per snapshot and lcore that ran at all."""
-    e = records.select(*INSTANCE, "t", F.explode(lcore_entries(F.col("lcore_usage"))).alias("l"))
-    return e.select(*INSTANCE, "t", "l.lcore_id", "l.usage_ratio",
-                    F.round(ratio("l.busy_cycles", "l.total_cycles"), 6).alias("cycles_ratio"),
-                    "l.busy_cycles", "l.total_cycles")
+    e = with_lcore_entries(records).select(*INSTANCE, "t", F.explode("_lcores").alias("l"))
+    return e.selectExpr(*INSTANCE, "t", "l.lcore_id", "l.usage_ratio",
+                        f"round({ratio_sql('l.busy_cycles', 'l.total_cycles')}, 6) as cycles_ratio",
+                        "l.busy_cycles", "l.total_cycles")
 
 
-def lcore_summary_columns(usage: Column) -> dict[str, Column]:
+def with_lcore_summary(records: DataFrame) -> DataFrame:
     """Active lcores, mean and largest usage, the id of the busiest (NULL when none ran)."""
-    e = lcore_entries(usage)
-    n = F.size(e)
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x["usage_ratio"])
-    top = F.array_max(F.transform(e, lambda x, i: F.struct(x["usage_ratio"].alias("u"), (-i).alias("o"), x["lcore_id"].alias("id"))))
-    return {
-        "active_lcores": F.greatest(n, F.lit(0)).cast("bigint"),
-        "avg_usage": F.round(ratio(total, n), 6),
-        "max_usage": F.coalesce(F.round(top["u"], 6), F.lit(0.0)),
-        "hottest_lcore": top["id"],
-    }
+    x = with_lcore_entries(records).selectExpr("*", """aggregate(_lcores, 0.0D, (a, e) -> a + e.usage_ratio) as _u""", """array_max(
+        transform(_lcores, (e, i) -> named_struct('u', e.usage_ratio, 'o', -i, 'id', e.lcore_id))) as _top""")
+    return x.selectExpr(
+        *records.columns, "cast(greatest(size(_lcores), 0) as bigint) as active_lcores",
+        f"round({ratio_sql('_u', 'size(_lcores)')}, 6) as avg_usage", "coalesce(round(_top.u, 6), 0.0D) as max_usage",
+        "_top.id as hottest_lcore")
 
 
 def lcore_summary(records: DataFrame) -> DataFrame:
-    return records.select(*INSTANCE, "t", *[c.alias(n) for n, c in lcore_summary_columns(F.col("lcore_usage")).items()])
+    return with_lcore_summary(records).select(*INSTANCE, "t", "active_lcores", "avg_usage", "max_usage", "hottest_lcore")
 
 
 # ---- first / last of a window -----------------------------------------------------------------------------
@@ -103,15 +98,11 @@ def lcore_summary(records: DataFrame) -> DataFrame:
 def _first_last(rows: DataFrame, group: list[str], counters: list[str], lasts: list[str]) -> DataFrame:
     """Per (window, port): first and last value of each counter, last value of the other columns.
 
-    All aggregated columns are plain scalars, which keeps this a hash aggregate with map-side combine.
+    All aggregated columns are plain scalars, so rows are combined before the shuffle.
     """
-    return rows.groupBy(*group).agg(
-        F.min("t").alias("t0"), F.max("t").alias("t1"),
-        F.sum(F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1).otherwise(0)).alias("n"),
-        *[F.min_by(c, "t").alias(f"first_{c}") for c in counters],
-        *[F.max_by(c, "t").alias(f"last_{c}") for c in counters],
-        *[F.max_by(c, "t").alias(c) for c in lasts],
-    )
+    exprs = ["min(t) as t0", "max(t) as t1", "sum(case when coalesce(pos, 0) = 0 then 1 else 0 end) as n"]
+    exprs += [f"min_by({c}, t) as first_{c}" for c in counters] + [f"max_by({c}, t) as last_{c}" for c in counters]
+    return rows.groupBy(*group).agg(*[F.expr(e) for e in exprs + [f"max_by({c}, t) as {c}" for c in lasts]])
 
 
 def _windowed_deltas(agg: DataFrame, counters: list[str]) -> DataFrame:
@@ -119,18 +110,12 @@ def _windowed_deltas(agg: DataFrame, counters: list[str]) -> DataFrame:
 
     A port that is missing from the first snapshot of the window counts with its absolute values.
     """
-    w = W.partitionBy(*WINDOW)
-    x = agg.withColumns({
-        "t_start": F.min("t0").over(w), "t_end": F.max("t1").over(w), "samples": F.sum("n").over(w),
-    })
-    x = x.withColumn("window_seconds", (F.col("t_end") - F.col("t_start")).cast("double"))
-    since = F.col("t0") == F.col("t_start")
-    deltas = {f"d_{c}": F.col(f"last_{c}") - F.when(since, F.col(f"first_{c}")).otherwise(F.lit(0)) for c in counters}
-    return (
-        x.withColumns(deltas)
-        .where(F.col("port").isNotNull() & (F.col("t1") == F.col("t_end")))
-        .drop("t0", "t1", "n", *[f"first_{c}" for c in counters], *[f"last_{c}" for c in counters])
-    )
+    over = "over (partition by " + ", ".join(WINDOW) + ")"
+    x = agg.selectExpr("*", f"min(t0) {over} as t_start", f"max(t1) {over} as t_end", f"sum(n) {over} as samples")
+    keep = [c for c in agg.columns if c not in ("t0", "t1", "n") and not c.startswith(("first_", "last_"))]
+    return x.where("port is not null and t1 = t_end").selectExpr(
+        *keep, "t_start", "t_end", "samples", "cast(t_end - t_start as double) as window_seconds",
+        *[f"last_{c} - case when t0 = t_start then first_{c} else 0 end as d_{c}" for c in counters])
 
 
 _PORT_LAST = ["pos", "link_status", "link_speed", "link_duplex", "active_queues", "total_packets",
@@ -139,21 +124,22 @@ _PORT_LAST = ["pos", "link_status", "link_speed", "link_duplex", "active_queues"
 
 def _port_rows(records: DataFrame, width: int) -> DataFrame:
     """One row per snapshot and port, reduced to scalars; a snapshot without ports keeps one row."""
-    pool = F.map_values("mempool_stats")
-    base = records.select(
-        *INSTANCE, "t", tumbling_end("t", width).alias("win"), "is_alive",
-        F.try_element_at(pool, F.lit(1))["size"].alias("pool_size"),
-        F.try_element_at(pool, F.lit(1))["common_pool_count"].alias("pool_free"),
-        F.coalesce(F.size("mempool_stats"), F.lit(0)).alias("pools"), "ethdev_link",
-        F.posexplode_outer("ethdev_stats").alias("pos", "port", "s"),
+    base = records.selectExpr(
+        *INSTANCE, "t", f"{window_end_sql(width)} as win", "is_alive",
+        "try_element_at(map_values(mempool_stats), 1).size as pool_size",
+        "try_element_at(map_values(mempool_stats), 1).common_pool_count as pool_free",
+        "coalesce(size(mempool_stats), 0) as pools", "ethdev_link",
+        "posexplode_outer(ethdev_stats) as (pos, port, s)",
     )
-    link = F.try_element_at("ethdev_link", F.col("port"))
-    return base.select(
+    flat = base.selectExpr(
         *WINDOW, "t", "port", "pos", "is_alive", "pool_size", "pool_free", "pools",
-        link["status"].alias("link_status"), link["speed"].alias("link_speed"), link["duplex"].alias("link_duplex"),
-        *[F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in fixed.PORT_COUNTERS],
-        *[c.alias(n) for n, c in queue_balance(F.col("s.q_ipackets")).items()],
-    )
+        *[f"try_element_at(ethdev_link, port).{c} as link_{c}" for c in ("status", "speed", "duplex")],
+        *[f"coalesce(s.{c}, 0) as {c}" for c in fixed.PORT_COUNTERS],
+        "cast(greatest(size(filter(s.q_ipackets, x -> x > 0)), 0) as bigint) as active_queues",
+        "coalesce(aggregate(s.q_ipackets, 0L, (a, x) -> a + x), 0L) as total_packets",
+        "coalesce(array_max(s.q_ipackets), 0L) as max_queue_packets")
+    return flat.selectExpr("*", f"""case when active_queues > 1 and total_packets >= 100
+        then {ratio_sql('max_queue_packets', 'total_packets')} else 0.0D end as imbalance_ratio""")
 
 
 def port_windows(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
@@ -164,16 +150,16 @@ def port_windows(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataF
 
 def port_stats(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
     """First against last snapshot of each window, per port: deltas, rates, sizes, link, queue balance."""
-    x, dt = port_windows(records, width), F.col("window_seconds")
-    return x.select(
+    def side(name: str, packets: str, octets: str) -> list[str]:
+        return [f"d_{packets} as {name}_packets", f"d_{octets} as {name}_bytes",
+                f"{rate_sql('d_' + packets, 'window_seconds')} as {name}_pps",
+                f"{rate_sql('(d_' + octets + ' * 8)', 'window_seconds')} as {name}_bps",
+                f"{ratio_sql('d_' + octets, 'd_' + packets)} as {name}_avg_size"]
+
+    return port_windows(records, width).selectExpr(
         *WINDOW, "port", "window_seconds", "link_status", "link_speed", "link_duplex",
-        F.col("d_ipackets").alias("rx_packets"), F.col("d_ibytes").alias("rx_bytes"),
-        rate("d_ipackets", dt).alias("rx_pps"), rate(F.col("d_ibytes") * 8, dt).alias("rx_bps"),
-        ratio("d_ibytes", "d_ipackets").alias("rx_avg_size"), F.col("d_ierrors").alias("rx_errors"),
-        F.col("d_rx_nombuf").alias("rx_nombuf"),
-        F.col("d_opackets").alias("tx_packets"), F.col("d_obytes").alias("tx_bytes"),
-        rate("d_opackets", dt).alias("tx_pps"), rate(F.col("d_obytes") * 8, dt).alias("tx_bps"),
-        ratio("d_obytes", "d_opackets").alias("tx_avg_size"), F.col("d_oerrors").alias("tx_errors"),
+        *side("rx", "ipackets", "ibytes"), "d_ierrors as rx_errors", "d_rx_nombuf as rx_nombuf",
+        *side("tx", "opackets", "obytes"), "d_oerrors as tx_errors",
         "active_queues", "total_packets", "max_queue_packets", "imbalance_ratio", "pos", "samples", "t_start",
         "t_end", "is_alive", "pool_size", "pool_free", "pools",
     )
@@ -184,17 +170,16 @@ _X_LAST = ["pos", "is_alive", "heap_total", "heap_free", "heap_greatest", "heaps
 
 
 def _xstat_rows(records: DataFrame, width: int) -> DataFrame:
-    heap = F.try_element_at(F.map_values("heap_stats"), F.lit(1))
-    base = records.select(
-        *INSTANCE, "t", tumbling_end("t", width).alias("win"), "is_alive",
-        heap["Heap_size"].alias("heap_total"), heap["Free_size"].alias("heap_free"),
-        heap["Greatest_free_size"].alias("heap_greatest"), F.coalesce(F.size("heap_stats"), F.lit(0)).alias("heaps"),
-        *[c.alias(n) for n, c in lcore_summary_columns(F.col("lcore_usage")).items()],
-        F.posexplode_outer("ethdev_xstats").alias("pos", "port", "x"),
+    base = with_lcore_summary(records).selectExpr(
+        *INSTANCE, "t", f"{window_end_sql(width)} as win", "is_alive", "active_lcores", "avg_usage", "max_usage", "hottest_lcore",
+        "try_element_at(map_values(heap_stats), 1).Heap_size as heap_total",
+        "try_element_at(map_values(heap_stats), 1).Free_size as heap_free",
+        "try_element_at(map_values(heap_stats), 1).Greatest_free_size as heap_greatest",
+        "coalesce(size(heap_stats), 0) as heaps", "posexplode_outer(ethdev_xstats) as (pos, port, x)",
     )
-    names = fixed.XSTAT_NAMES
-    return base.select("*", *[F.coalesce(F.try_element_at("x", F.lit(full)), F.lit(0)).alias(short)
-                              for short, full in names.items()]).drop("x")
+    rest = [c for c in base.columns if c != "x"]
+    return base.selectExpr(*rest, *[f"coalesce(try_element_at(x, '{full}'), 0) as {short}"
+                                    for short, full in fixed.XSTAT_NAMES.items()])
 
 
 def xstat_windows(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
@@ -204,10 +189,9 @@ def xstat_windows(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> Data
 
 def traffic_pattern(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
     """Extended counters of each window and the share of special packets among the good ones."""
-    x = xstat_windows(records, width)
-    return x.select(
-        *WINDOW, "port", "window_seconds", *[F.col(f"d_{c}").alias(c) for c in fixed.XSTAT_NAMES],
-        *[ratio(f"d_{c}", "d_rx_good").alias(f"{c}_ratio") for c in ("multicast", "broadcast", "undersize")],
+    return xstat_windows(records, width).selectExpr(
+        *WINDOW, "port", "window_seconds", *[f"d_{c} as {c}" for c in fixed.XSTAT_NAMES],
+        *[f"{ratio_sql('d_' + c, 'd_rx_good')} as {c}_ratio" for c in ("multicast", "broadcast", "undersize")],
         "pos", "samples", "t_start", "t_end", "is_alive", "heap_total", "heap_free", "heap_greatest", "heaps",
         "active_lcores", "avg_usage", "max_usage", "hottest_lcore",
     )
@@ -215,32 +199,32 @@ def traffic_pattern(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> Da
 
 def _first_port(stats: DataFrame) -> DataFrame:
     """The port that comes first in the last snapshot stands for the instance."""
-    w = W.partitionBy(*WINDOW).orderBy("pos")
-    return stats.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "pos")
+    first = "row_number() over (partition by " + ", ".join(WINDOW) + " order by pos) as _r"
+    return stats.selectExpr("*", first).where("_r = 1").drop("_r", "pos")
 
 
 def statistic_1s(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
     s = _first_port(port_stats(records, width))
-    free = F.when(F.col("pools") > 0, ratio("pool_free", "pool_size"))
-    return s.withColumn("mempool_free", free)
+    return s.selectExpr("*", f"case when pools > 0 then {ratio_sql('pool_free', 'pool_size')} end as mempool_free")
 
 
 def statistic_5s(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
     s = _first_port(traffic_pattern(records, width))
-    return s.withColumns({
-        "heap_free_ratio": F.when(F.col("heaps") > 0, ratio("heap_free", "heap_total")),
-        "heap_frag": F.when(F.col("heaps") > 0, _fragmentation(F.col("heap_greatest"), F.col("heap_free"))),
-    })
+    return s.selectExpr(
+        "*", f"case when heaps > 0 then {ratio_sql('heap_free', 'heap_total')} end as heap_free_ratio",
+        f"""case when heaps > 0 then case when heap_free <> 0 then 1.0D - {ratio_sql('heap_greatest', 'heap_free')}
+            else 0.0D end end as heap_frag""")
+
+
+# columns both cadences have; those of the slow one get a suffix
+_BOTH = ("port", "window_seconds", "samples", "t_start", "t_end", "rx_errors", "tx_errors")
 
 
 def window_statistic(rec_1s: DataFrame, rec_5s: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
     """Statistics of both cadences for every window that has both."""
-    a = statistic_1s(rec_1s, width)
     b = statistic_5s(rec_5s, width).drop("is_alive")
-    keep = {c: f"{c}_5s" for c in b.columns if c in a.columns and c not in WINDOW}
-    for old, new in keep.items():
-        b = b.withColumnRenamed(old, new)
-    return a.join(b, WINDOW)
+    b = b.selectExpr(*[f"{c} as {c}_5s" if c in _BOTH else c for c in b.columns])
+    return statistic_1s(rec_1s, width).join(b, WINDOW)
 
 
 # ---- rate series ----------------------------------------------------------------------------------------

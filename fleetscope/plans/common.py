@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        n = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            n = f"round({n}, {digits}) as {n}"
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            c = F.array_join(c, "|")
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            n = f"array_join({n}, '|') as {n}"
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)):
+            n = f"cast({n} as bigint) as {n}"
+        out.append(n)
+    return df.selectExpr(*out)
 
 
 def r6(*names: str) -> str:

@@ -101,14 +101,13 @@ def flat_1s(spark: SparkSession, sf: str) -> DataFrame:
     """
     sums = _port_sums()
     cells = events(spark, sf).groupBy("client_id", "pid", "t").agg(
-        *[F.sum(F.expr(x)).alias(c) for c, x in sums.items()],
-        F.max("event_id").alias("seq"), F.max_by("v", "event_id").alias("_v"), F.max_by("k", "event_id").alias("_k"),
+        *[F.expr(f"sum({x}) as {c}") for c, x in sums.items()],
+        F.expr("max(event_id) as seq"), F.expr("max_by(v, event_id) as _v"), F.expr("max_by(k, event_id) as _k"),
     )
     run = running_totals(cells, ["client_id", "pid"], "t", list(sums), span=720)
-    return run.select(
-        "client_id", "pid", "t", "seq", *sums,
-        F.lit(8192).cast("bigint").alias("mp_size"),
-        (F.lit(8192) - (F.col("_v") * 3) % 8192).cast("bigint").alias("mp_common"), F.col("_k").alias("mp_cache"),
+    return run.selectExpr(
+        "client_id", "pid", "t", "seq", *sums, "8192L as mp_size",
+        "cast(8192 - (_v * 3) % 8192 as bigint) as mp_common", "_k as mp_cache",
     )
 
 
@@ -128,26 +127,18 @@ def records_1s(spark: SparkSession, sf: str) -> DataFrame:
     """The nested record: client_id, pid, t, type, is_alive, ethdev_stats, ethdev_link, mempool_stats."""
     f = flat_1s(spark, sf)
 
-    def port(p: int):
-        c = lambda n: F.col(f"p{p}_{n}")
-        return F.struct(
-            c("ip").alias("ipackets"), c("op").alias("opackets"), c("ib").alias("ibytes"), c("ob").alias("obytes"),
-            c("ie").alias("ierrors"), c("oe").alias("oerrors"), c("nb").alias("rx_nombuf"),
-            F.array(*[c(f"q{i}") for i in range(4)]).alias("q_ipackets"),
-        )
-
-    link = F.struct(F.lit("up").alias("status"), F.lit(10000).cast("bigint").alias("speed"),
-                    F.lit("full-duplex").alias("duplex"))
-    pool = F.struct(
-        F.lit("mbuf_pool").alias("name"), F.col("mp_size").alias("size"), F.col("mp_size").alias("populated_size"),
-        F.lit(256).cast("bigint").alias("cache_size"), F.lit(2176).cast("bigint").alias("elt_size"),
-        F.col("mp_common").alias("common_pool_count"), F.col("mp_cache").alias("total_cache_count"),
-    )
-    return f.select(
-        "client_id", "pid", "t", "seq", F.lit("1s").alias("type"), F.lit(True).alias("is_alive"),
-        F.create_map(F.lit("0"), port(0), F.lit("1"), port(1)).alias("ethdev_stats"),
-        F.create_map(F.lit("0"), link, F.lit("1"), link).alias("ethdev_link"),
-        F.create_map(F.lit("mbuf_pool"), pool).alias("mempool_stats"),
+    names = {"ipackets": "ip", "opackets": "op", "ibytes": "ib", "obytes": "ob", "ierrors": "ie", "oerrors": "oe", "rx_nombuf": "nb"}
+
+    def port(p: int) -> str:
+        cols = ", ".join(f"'{n}', p{p}_{c}" for n, c in names.items())
+        return f"'{p}', named_struct({cols}, 'q_ipackets', array({', '.join(f'p{p}_q{i}' for i in range(4))}))"
+
+    link = "named_struct('status', 'up', 'speed', 10000L, 'duplex', 'full-duplex')"
+    return f.selectExpr(
+        "client_id", "pid", "t", "seq", "'1s' as type", "true as is_alive",
+        f"map({port(0)}, {port(1)}) as ethdev_stats", f"map('0', {link}, '1', {link}) as ethdev_link",
+        """map('mbuf_pool', named_struct('name', 'mbuf_pool', 'size', mp_size, 'populated_size', mp_size, 'cache_size', 256L,
+            'elt_size', 2176L, 'common_pool_count', mp_common, 'total_cache_count', mp_cache)) as mempool_stats""",
     )
 
 
@@ -165,8 +156,8 @@ def flat_5s(spark: SparkSession, sf: str) -> DataFrame:
     """The slower cadence: the last report of every 5-second slot, over the same events."""
     e = events(spark, sf).withColumn("t5", F.expr("CAST(floor(t / 5.0) * 5 AS BIGINT)"))
     cells = e.groupBy("client_id", "pid", F.col("t5").alias("t")).agg(
-        *[F.sum(F.expr(x)).alias(c) for c, x in X_COUNTERS.items()],
-        F.max("event_id").alias("seq"), F.max_by("v", "event_id").alias("v"), F.max_by("k", "event_id").alias("k"),
+        *[F.expr(f"sum({x}) as {c}") for c, x in X_COUNTERS.items()],
+        F.expr("max(event_id) as seq"), F.expr("max_by(v, event_id) as v"), F.expr("max_by(k, event_id) as k"),
     )
     run = running_totals(cells, ["client_id", "pid"], "t", list(X_COUNTERS), span=3600)
     return run.selectExpr("client_id", "pid", "t", "seq", *X_COUNTERS, *_exprs(_5S_EXTRA.replace("{STR}", "STRING")))
@@ -183,27 +174,16 @@ cte("fx_5s", "SELECT client_id, pid, t5 AS t, event_id AS seq, " + ", ".join(X_C
 def records_5s(spark: SparkSession, sf: str) -> DataFrame:
     """The nested record: ethdev_xstats, lcore_usage (parallel arrays), heap_stats."""
     f = flat_5s(spark, sf)
-    xs = F.create_map(
-        F.lit("rx_good_packets"), F.col("x_good"), F.lit("rx_missed_errors"), F.col("x_missed"),
-        F.lit("rx_errors"), F.col("x_rxerr"), F.lit("tx_errors"), F.col("x_txerr"),
-        F.lit("rx_mbuf_allocation_errors"), F.col("x_mbuf"), F.lit("rx_q0_multicast_packets"), F.col("x_multi"),
-        F.lit("rx_q0_broadcast_packets"), F.col("x_bcast"), F.lit("rx_q0_undersize_packets"), F.col("x_under"),
-    )
-    lcores = F.struct(
-        F.array(F.lit(1), F.lit(2), F.lit(3)).alias("lcore_ids"),
-        F.array("total0", "total1", "total2").alias("total_cycles"),
-        F.array("busy0", "busy1", "busy2").alias("busy_cycles"), F.array("lc0", "lc1", "lc2").alias("usage_ratio"),
-    )
-    heap = F.struct(
-        F.lit("socket_0").alias("Name"), F.col("heap_size").alias("Heap_size"), F.col("heap_free").alias("Free_size"),
-        (F.col("heap_size") - F.col("heap_free")).alias("Alloc_size"),
-        F.col("heap_greatest").alias("Greatest_free_size"), F.lit(10).cast("bigint").alias("Alloc_count"),
-        F.lit(4).cast("bigint").alias("Free_count"),
-    )
-    return f.select(
-        "client_id", "pid", "t", "seq", F.lit("5s").alias("type"), F.lit(True).alias("is_alive"),
-        F.create_map(F.lit("0"), xs).alias("ethdev_xstats"), F.create_map(F.lit("0"), lcores).alias("lcore_usage"),
-        F.create_map(F.lit("0"), heap).alias("heap_stats"),
+    xs = {"rx_good_packets": "x_good", "rx_missed_errors": "x_missed", "rx_errors": "x_rxerr", "tx_errors": "x_txerr",
+          "rx_mbuf_allocation_errors": "x_mbuf", "rx_q0_multicast_packets": "x_multi",
+          "rx_q0_broadcast_packets": "x_bcast", "rx_q0_undersize_packets": "x_under"}
+    return f.selectExpr(
+        "client_id", "pid", "t", "seq", "'5s' as type", "true as is_alive",
+        "map('0', map(" + ", ".join(f"'{n}', {c}" for n, c in xs.items()) + ")) as ethdev_xstats",
+        """map('0', named_struct('lcore_ids', array(1, 2, 3), 'total_cycles', array(total0, total1, total2),
+            'busy_cycles', array(busy0, busy1, busy2), 'usage_ratio', array(lc0, lc1, lc2))) as lcore_usage""",
+        """map('0', named_struct('Name', 'socket_0', 'Heap_size', heap_size, 'Free_size', heap_free, 'Alloc_size', heap_size - heap_free,
+            'Greatest_free_size', heap_greatest, 'Alloc_count', 10L, 'Free_count', 4L)) as heap_stats""",
     )
 
 
