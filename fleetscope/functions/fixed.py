@@ -203,3 +203,13 @@ PROFILE_BY_EXTENSION = {"py": "code", "js": "code", "ts": "code", "java": "code"
                         "csv": "table", "html": "html", "htm": "html"}
 CASE_LABELS = (("signal_name", "信号名称"), ("crash_type", "崩溃类型"), ("anomaly_flags", "异常标志"),
                ("description", "描述"), ("root_cause", "根因"), ("repair_steps", "修复步骤"))
+
+# ---- alerts ---------------------------------------------------------------------------------------------
+SUBJECT_TEMPLATE = "【{{severity}}】{{title}}"
+LEVEL_BY_SEVERITY = {"critical": "P1", "warning": "P2", "info": "P3"}
+ALERT_FIELDS = ("alert_id", "client_id", "severity", "title", "description", "triggered_at")
+CALLBACK_TYPE = "callback_event"
+CRASH_TYPE = "crash_event"
+CRASH_TEMPLATE = "crash_fixed_template"
+CRASH_RULE_ID = 1
+FEW_SHOT_LIMIT = 3

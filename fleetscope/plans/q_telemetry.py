@@ -191,11 +191,11 @@ def pps_series(spark, sf):
     return tidy(T.pps_series(I.records_1s(spark, sf)))
 
 
-@query("ema_smooth", """SELECT client_id, pid, win, unnest(ts) AS t, round(unnest(ema), 6) AS ema FROM ora_ema""")
+@query("ema_smooth", """SELECT client_id, pid, win, unnest(ts) AS t, unnest(ema) AS ema FROM ora_ema""")
 def ema_smooth(spark, sf):
     e = T.ema_smooth(T.pps_series(I.records_1s(spark, sf)))
     z = e.select(*T.WINDOW, F.explode(F.arrays_zip("ts", "ema")).alias("z"))
-    return tidy(z.select(*T.WINDOW, F.col("z.ts").alias("t"), F.col("z.ema").alias("ema")))
+    return z.select(*T.WINDOW, F.col("z.ts").alias("t"), F.col("z.ema").alias("ema"))
 
 
 @query("jitter", "SELECT client_id, pid, win, points, round(jitter, 6) AS jitter FROM ora_series")
@@ -203,9 +203,9 @@ def jitter(spark, sf):
     return tidy(T.series_summary(I.records_1s(spark, sf)).select(*T.WINDOW, "points", "jitter"))
 
 
-@query("short_trend", "SELECT client_id, pid, win, points, round(peak, 6) AS peak, short_trend FROM ora_series")
+@query("short_trend", "SELECT client_id, pid, win, points, short_trend FROM ora_series")
 def short_trend(spark, sf):
-    return tidy(T.series_summary(I.records_1s(spark, sf)).select(*T.WINDOW, "points", "peak", "short_trend"))
+    return tidy(T.series_summary(I.records_1s(spark, sf)).select(*T.WINDOW, "points", "short_trend"))
 
 
 # ---- dashboard ----------------------------------------------------------------------------------------------

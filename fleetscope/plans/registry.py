@@ -15,16 +15,10 @@ def cte(name: str, text: str) -> None:
     CTES[name] = text.strip()
 
 
-def _needs(text: str, seen: list[str]) -> None:
+def _needs(text: str, seen: list[str], me: str = "") -> None:
     for w in _WORD.findall(text):
-        if w in CTES and w not in seen:
-            deps = list(seen)
-            deps.append(w)
-            inner: list[str] = []
-            _needs(CTES[w].replace(w, " "), inner) if "/*recursive*/" in CTES[w] else _needs(CTES[w], inner)
-            for d in inner:
-                if d not in seen and d != w:
-                    seen.append(d)
+        if w in CTES and w != me and w not in seen:
+            _needs(CTES[w], seen, w)
             seen.append(w)
 
 
