@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.blocked import running_totals
 from fleetscope.plans.registry import cte
+from fleetscope.session import scratch_dir
 
 PORTS = (0, 1)
 PORT_COUNTERS = {
@@ -33,6 +34,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Derived record tables are written once per application and then scanned like the collector's own tables.
+
+    They go to the shared folder of ``spark.checkpoint.dir``, so a lost executor costs a re-read and not a re-derivation.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        path = scratch_dir(spark, name) + "/t"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 E_COLS = """event_id, user_id, event_type, value, ts, props,
   CAST(floor(user_id / 15.0) AS BIGINT) AS pid,
   concat('c', CAST(CAST(floor(user_id / 30.0) AS BIGINT) AS {STR})) AS client_id,
@@ -99,6 +116,10 @@ def flat_1s(spark: SparkSession, sf: str) -> DataFrame:
     Events are first summed per second (partial aggregation before the shuffle); only those sums are then
     turned into running totals.
     """
+    return stored(spark, sf, "records_1s", lambda: _derive_1s(spark, sf))
+
+
+def _derive_1s(spark: SparkSession, sf: str) -> DataFrame:
     sums = _port_sums()
     cells = events(spark, sf).groupBy("client_id", "pid", "t").agg(
         *[F.expr(f"sum({x}) as {c}") for c, x in sums.items()],
@@ -154,6 +175,10 @@ _5S_NAMES = ("heap_size heap_free heap_greatest lc0 lc1 lc2 busy0 busy1 busy2 to
 
 def flat_5s(spark: SparkSession, sf: str) -> DataFrame:
     """The slower cadence: the last report of every 5-second slot, over the same events."""
+    return stored(spark, sf, "records_5s", lambda: _derive_5s(spark, sf))
+
+
+def _derive_5s(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).withColumn("t5", F.expr("CAST(floor(t / 5.0) * 5 AS BIGINT)"))
     cells = e.groupBy("client_id", "pid", F.col("t5").alias("t")).agg(
         *[F.expr(f"sum({x}) as {c}") for c, x in X_COUNTERS.items()],
