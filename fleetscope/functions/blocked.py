@@ -71,3 +71,19 @@ def last_n_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int, tie:
     return (
         b.join(base, [*keys, "_blk"]).where(F.col("_rn") + F.col("_newer") <= n).drop("_rn", "_newer", "_blk")
     )
+
+
+def rank_and_previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], span: int = 4096) -> DataFrame:
+    """Add ``rank`` (0-based position along ``order``) and ``prev`` (struct of ``cols`` of the row before) per key."""
+    keys = list(keys)
+    key = ", ".join(keys)
+    pack = f"struct({', '.join(cols)})"
+    b = df.selectExpr("*", f"cast(floor({order} / cast({span} as double)) as bigint) as _blk")
+    tails = b.groupBy(*keys, "_blk").agg(F.expr(f"max_by({pack}, {order}) as _tail"), F.expr("count(1) as _n"))
+    along = f"over (partition by {key} order by _blk"
+    carried = tails.selectExpr(
+        *keys, "_blk", f"lag(_tail) {along}) as _carry",
+        f"coalesce(sum(_n) {along} rows between unbounded preceding and 1 preceding), 0) as _before")
+    inside = f"over (partition by {key}, _blk order by {order})"
+    x = b.selectExpr("*", f"lag({pack}) {inside} as _in", f"row_number() {inside} as _rn").join(carried, [*keys, "_blk"])
+    return x.selectExpr(*df.columns, "cast(_rn - 1 + _before as bigint) as rank", "coalesce(_in, _carry) as prev")

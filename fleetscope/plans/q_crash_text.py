@@ -232,8 +232,8 @@ def stack_tool_frames(spark, sf):
 
 _NOTES = """event_id AS dump_id, CAST(CASE k % 4 WHEN 0 THEN 11 WHEN 1 THEN 6 WHEN 2 THEN 31 END AS {INT}) AS signal, concat('0x', {HEX(v)HEX}) AS rip, CASE WHEN k % 2 = 0 THEN '0x0' ELSE '0x9' END AS rdi,
   CASE WHEN k % 5 = 0 THEN NULL ELSE concat('0x', {HEX(k * 100)HEX}) END AS fault_addr"""
-cte("ora_notes", "SELECT " + _NOTES.replace("{INT}", "INTEGER").replace("{HEX(", "lower(to_hex(").replace(")HEX}", "))") + " FROM fx_e WHERE event_type IN ('error', 'signup') AND k < 80")
-cte("ora_cfs", f"SELECT event_id AS dump_id, {sig('split_part(filename, ' + chr(39) + '.' + chr(39) + ', 5)')} AS f_signal FROM fx_core_files WHERE user_id % 3 <> 0")
+cte("ora_notes", "SELECT " + _NOTES.replace("{INT}", "INTEGER").replace("{HEX(", "lower(to_hex(").replace(")HEX}", "))") + " FROM fx_e WHERE event_type IN ('error', 'signup') AND value > 10")
+cte("ora_cfs", f"SELECT event_id AS dump_id, {sig('split_part(filename, ' + chr(39) + '.' + chr(39) + ', 5)')} AS f_signal FROM fx_core_files WHERE process_time < 100")
 cte("ora_merge", f"""SELECT coalesce(d.dump_id, n.dump_id, f.dump_id) AS dump_id, coalesce(f_signal, CASE n.signal WHEN 11 THEN 'SIGSEGV' WHEN 6 THEN 'SIGABRT' WHEN 31 THEN 'SIG_31' END, d.signal_name) AS signal_name,
   coalesce(n.rip, d.rip) AS m_rip, coalesce(n.rdi, d.rdi) AS m_rdi, coalesce(n.fault_addr, d.fault_addr) AS m_fault, n.dump_id IS NOT NULL AS has_notes, n.rip AS rip, n.rdi AS rdi, n.fault_addr AS fault_addr, d.ct
   FROM (SELECT *, {CRASH_TYPE_SQL} AS ct FROM ora_reg) d FULL JOIN ora_notes n ON d.dump_id = n.dump_id FULL JOIN ora_cfs f ON coalesce(d.dump_id, n.dump_id) = f.dump_id""")
@@ -242,8 +242,8 @@ cte("ora_merge", f"""SELECT coalesce(d.dump_id, n.dump_id, f.dump_id) AS dump_id
 @query("merge_crash_sources", f"""SELECT dump_id, signal_name, m_rip AS rip, m_rdi AS rdi, m_fault AS fault_addr, CASE WHEN has_notes THEN {CRASH_TYPE_SQL} ELSE coalesce(ct, 'unknown') END AS crash_type FROM ora_merge""")
 def merge_crash_sources(spark, sf):
     text = _NOTES.replace("{INT}", "INT").replace("{HEX(", "lower(hex(").replace(")HEX}", "))")
-    notes = I.events(spark, sf).where("event_type in ('error', 'signup') and k < 80").selectExpr(*I._exprs(text))
-    files = C.core_filename(I.view(spark, sf, "fx_core_files").where("user_id % 3 <> 0")).withColumnRenamed("event_id", "dump_id")
+    notes = I.events(spark, sf).where("event_type in ('error', 'signup') and value > 10").selectExpr(*I._exprs(text))
+    files = C.core_filename(I.view(spark, sf, "fx_core_files").where("process_time < 100")).withColumnRenamed("event_id", "dump_id")
     return C.merge_crash_sources(C.parsed(gdb(spark, sf)), notes, files)
 
 
