@@ -136,9 +136,9 @@ def build_postings(spark, sf):
     return tidy(postings(spark, sf))
 
 
-@query("keyword_topk", "SELECT query_id, id, round(score, 4) AS score, rank FROM ora_k10 WHERE rank <= 5")
+@query("keyword_topk", "SELECT query_id, id, score, rank FROM ora_k10 WHERE rank <= 5")
 def keyword_topk(spark, sf):
-    return tidy(keyword(spark, sf, 5), 4)
+    return tidy(keyword(spark, sf, 5))
 
 
 _TR = "'éèêëàâáäãåçùûúüôóòöõîíìïñßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ$%&'"
