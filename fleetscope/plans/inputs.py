@@ -146,8 +146,10 @@ cte("fx_ports", " UNION ALL ".join(
 
 def records_1s(spark: SparkSession, sf: str) -> DataFrame:
     """The nested record: client_id, pid, t, type, is_alive, ethdev_stats, ethdev_link, mempool_stats."""
-    f = flat_1s(spark, sf)
+    return nest_1s(flat_1s(spark, sf))
 
+
+def nest_1s(f: DataFrame) -> DataFrame:
     names = {"ipackets": "ip", "opackets": "op", "ibytes": "ib", "obytes": "ob", "ierrors": "ie", "oerrors": "oe", "rx_nombuf": "nb"}
 
     def port(p: int) -> str:
