@@ -73,6 +73,18 @@ def last_n_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int, tie:
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, col: str, out: str, span: int = 4096) -> DataFrame:
+    """Add ``out`` = largest ``col`` seen so far along ``order`` per key (NULLs are passed over)."""
+    keys = list(keys)
+    key = ", ".join(keys)
+    b = df.selectExpr("*", f"cast(floor({order} / cast({span} as double)) as bigint) as _blk")
+    tops = b.groupBy(*keys, "_blk").agg(F.expr(f"max({col}) as _top"))
+    carried = tops.selectExpr(*keys, "_blk", f"max(_top) over (partition by {key} order by _blk rows between unbounded preceding and 1 preceding) as _before")
+    inside = f"over (partition by {key}, _blk order by {order} rows between unbounded preceding and current row)"
+    x = b.selectExpr("*", f"max({col}) {inside} as _in").join(carried, [*keys, "_blk"])
+    return x.selectExpr(*df.columns, f"greatest(_in, _before) as {out}")
+
+
 def rank_and_previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], span: int = 4096) -> DataFrame:
     """Add ``rank`` (0-based position along ``order``) and ``prev`` (struct of ``cols`` of the row before) per key."""
     keys = list(keys)

@@ -105,14 +105,10 @@ def route_alerts(alerts: DataFrame, rules: DataFrame, recipients: DataFrame, tem
     )
     per = r.groupBy("sev").agg(F.sum("mails").alias("mails"), F.sum(F.expr("case when mails = 0 then 1 else 0 end")).alias("dead"),
                                F.count(F.lit(1)).alias("rules"))
-    total = per.agg(
-        F.coalesce(F.sum("rules"), F.lit(0)).alias("all_rules"),
-        F.coalesce(F.sum(F.expr("case when sev = '' then mails end")), F.lit(0)).alias("any_mails"),
-        F.coalesce(F.sum(F.expr("case when sev = '' then dead end")), F.lit(0)).alias("any_dead"),
-        F.coalesce(F.sum(F.expr("case when sev = '' then rules end")), F.lit(0)).alias("any_rules"))
+    total = per.agg(F.expr("""struct(coalesce(sum(rules), 0) as all_rules, coalesce(sum(case when sev = '' then mails end), 0) as any_mails,
+        coalesce(sum(case when sev = '' then dead end), 0) as any_dead, coalesce(sum(case when sev = '' then rules end), 0) as any_rules) as t"""))
     named = per.where("sev <> ''").withColumnRenamed("sev", "_sev")
-    # total is exactly one row, so this join adds no rows
-    j = alerts.join(named, F.lower("severity") == F.col("_sev"), "left").join(total)
+    j = alerts.join(named, F.lower("severity") == F.col("_sev"), "left").withColumn("_t", total.scalar()).select("*", "_t.*")
     return j.selectExpr(
         *alerts.columns, "coalesce(mails, 0) + any_mails as sent_count",
         "coalesce(dead, 0) + any_dead + all_rules - coalesce(rules, 0) - any_rules as skipped_count",
@@ -121,12 +117,10 @@ def route_alerts(alerts: DataFrame, rules: DataFrame, recipients: DataFrame, tem
 
 def crash_notice_targets(crashes: DataFrame, rules: DataFrame, recipients: DataFrame, rule_id: int = fixed.CRASH_RULE_ID) -> DataFrame:
     """Crash → number of recipients of the built-in rule, or the reason why nobody is told."""
-    rule = rules.where(F.col("id") == rule_id).where("not deleted").agg(
-        F.count(F.lit(1)).alias("n_rule"), F.bool_or("enabled").alias("on"))
-    mails = recipients.where((F.col("rule_id") == rule_id) & F.expr("coalesce(email, '') <> ''")).agg(
-        F.count(F.lit(1)).alias("n_mail"))
-    # two one-row tables: no rows are added
-    return crashes.join(rule).join(mails).selectExpr(
+    rule = rules.where(F.col("id") == rule_id).where("not deleted").agg(F.struct(F.count(F.lit(1)).alias("n_rule"), F.bool_or("enabled").alias("on")))
+    mails = recipients.where((F.col("rule_id") == rule_id) & F.expr("coalesce(email, '') <> ''")).agg(F.count(F.lit(1)))
+    x = crashes.withColumns({"_r": rule.scalar(), "n_mail": mails.scalar()}).select(*crashes.columns, "n_mail", "_r.*")
+    return x.selectExpr(
         *crashes.columns, "n_rule > 0 and not (coalesce(on, false) and n_mail = 0) as ok",
         """case when n_rule = 0 then 'alert rule not found' when not on then 'alert rule disabled'
             when n_mail = 0 then 'no recipients configured' else 'crash notification sent' end as message""",

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
-from fleetscope.functions.blocked import rank_and_previous
+from fleetscope.functions.blocked import rank_and_previous, running_max
 from fleetscope.functions.scalars import col, hex_to_number
 
 CHAIN = ["dump_id", "tid"]
@@ -143,8 +143,7 @@ def layered_path(canonical: DataFrame) -> DataFrame:
     """
     x = canonical.drop("caller").withColumn("layer", frame_layer("func")).where("layer <> 'noise'")
     x = rank_and_previous(x, CHAIN, "exec_depth", ["layer"]).withColumn("start", F.expr("case when prev is null or prev.layer <> layer then rank end"))
-    run = x.withColumn("run", F.last("start", ignorenulls=True).over(
-        W.partitionBy(*CHAIN).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    run = running_max(x, CHAIN, "rank", "start", "run")
     size = run.groupBy(*CHAIN, "run", "layer").agg(F.count(F.lit(1)).alias("n"), F.max_by("func", "rank").alias("last"))
     head = run.where("rank - run < 3").groupBy(*CHAIN, "run").agg(F.array_sort(F.collect_list(F.struct("rank", "func"))).alias("h"))
     names = F.transform("h", lambda s: s["func"])

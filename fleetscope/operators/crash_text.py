@@ -98,7 +98,7 @@ _FRAME_LINE = r"^\s*#(\d+)\s+(.*)$"
 def frames_of(section, limit: int | None = None) -> Column:
     """Frame lines of a text, first per frame number, as array<struct<no, text>>."""
     rows = F.transform(F.filter(_lines(section), lambda x: x.rlike(_FRAME_LINE)), lambda x: F.struct(
-        F.regexp_extract(x, _FRAME_LINE, 1).cast("bigint").alias("no"), F.trim(F.regexp_extract(x, _FRAME_LINE, 2)).alias("text")))
+        F.regexp_extract(x, _FRAME_LINE, 1).try_cast("bigint").alias("no"), F.trim(F.regexp_extract(x, _FRAME_LINE, 2)).alias("text")))
     # first per number: keep a row when no earlier row has its number
     kept = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda q: q["no"] == r["no"]))
     return F.slice(kept, 1, limit) if limit else kept
@@ -344,7 +344,7 @@ def stack_tool_frames(df: DataFrame, text: str = "stack_text", keep=("dump_id",)
         module = F.when(rest.startswith("- "), F.trim(F.substr(rest, F.lit(3)))).otherwise(F.trim(F.regexp_extract(rest, r" - ([^\n]*?)$", 1)))
         src = r"(?m)^[ \t]{4,}(\S+):(\d+)(?::\d+)?"
         source = F.when(F.regexp_extract(c, src, 1) != "", F.concat(F.regexp_extract(c, src, 1), F.lit(":"), F.regexp_extract(c, src, 2)))
-        return F.struct(F.regexp_extract(c, _TOOL_FRAME, 1).cast("bigint").alias("no"), F.regexp_extract(c, _TOOL_FRAME, 2).alias("address"),
+        return F.struct(F.regexp_extract(c, _TOOL_FRAME, 1).try_cast("bigint").alias("no"), F.regexp_extract(c, _TOOL_FRAME, 2).alias("address"),
                         func.alias("func"), module.alias("module"), source.alias("source"))
 
     x = x.select(*keep, "tid", F.transform("c", one).alias("f"))

@@ -55,10 +55,11 @@ def client_list(clients: DataFrame, instances: DataFrame, alive: DataFrame) -> D
 
 
 def fleet_counts(instances: DataFrame, crashes: DataFrame, cases: DataFrame) -> DataFrame:
-    """Clients, running processes, crashes and cases in one row (three one-row aggregates side by side)."""
+    """Clients, running processes, crashes and cases in one row."""
     i = instances.agg(F.countDistinct("client_id").alias("clients"),
                       F.count(F.when(F.col("status") == "running", 1)).alias("running"))
-    return i.join(crashes.agg(F.count(F.lit(1)).alias("crashes"))).join(cases.agg(F.count(F.lit(1)).alias("cases")))
+    n = F.count(F.lit(1)).alias("n")
+    return i.withColumns({"crashes": crashes.agg(n).scalar(), "cases": cases.agg(n).scalar()})
 
 
 def format_time(c) -> Column:

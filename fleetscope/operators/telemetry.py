@@ -242,7 +242,7 @@ def pps_series(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFra
     x = slim.select("*", F.lag("t").over(w).alias("pt"), F.lag("by_port").over(w).alias("pm"))
     before = F.try_element_at("pm", F.col("port"))
     dt = (F.col("t") - F.col("pt")).cast("double")
-    x = x.withColumns({"dt": dt, "pps": F.greatest(F.col("ip") - before, F.lit(0)).cast("double") / dt})
+    x = x.withColumns({"dt": dt, "pps": F.try_divide(F.greatest(F.col("ip") - before, F.lit(0)).cast("double"), dt)})
     return x.where(
         before.isNotNull() & (F.col("dt") > fixed.MIN_PAIR_GAP) & (F.col("dt") <= fixed.MAX_PAIR_GAP)
         & F.col("pps").between(0, fixed.MAX_PPS)
@@ -348,7 +348,7 @@ def dash_lcore_series(rec_5s: DataFrame) -> DataFrame:
     return e.where(F.col("l.lcore_ids").isNotNull() & F.col("l.usage_ratio").isNotNull()).select(
         *INSTANCE, "t", F.lit("lcore_usage").alias("category"),
         F.concat(F.lit("lcore_"), F.col("l.lcore_ids").cast("string")).alias("name"),
-        F.regexp_replace("l.usage_ratio", "%+$", "").cast("double").alias("value"))
+        F.regexp_replace("l.usage_ratio", "%+$", "").try_cast("double").alias("value"))
 
 
 def ring_buffer_last_n(series: DataFrame, n: int = fixed.RING_1S) -> DataFrame:

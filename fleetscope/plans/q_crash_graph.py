@@ -10,7 +10,7 @@ from fleetscope.operators import crash_graph as G
 from fleetscope.operators import crash_text as C
 from fleetscope.plans import inputs as I
 from fleetscope.plans.common import tidy
-from fleetscope.plans.q_crash_text import gdb, gdb_frames, idle
+from fleetscope.plans.q_crash_text import CRASH_TYPE_SQL, gdb, gdb_frames, idle
 from fleetscope.plans.registry import cte, query
 
 _ok = f"func NOT IN ({in_list(fixed.INVALID_FUNCS)})"
@@ -213,20 +213,28 @@ def diagnosis_mode(spark, sf):
     return G.diagnosis_mode(canon(spark, sf), raw).select("dump_id", "raw_frames", "kept", "mode")
 
 
-@query("crash_snapshot")
+@query("crash_snapshot", f"""SELECT r.dump_id, r.signal_name AS signal, t.func AS crash_point, {layer('t.func')} AS layer, t.address, regexp_extract(t.source, ':(\\d+)$', 1) AS line, r.rip, r.rdi,
+  coalesce(CAST(fault_addr AS BIGINT) < 4096, FALSE) AS near_null, CASE WHEN region_name = '' THEN 'anonymous' ELSE region_name END AS region, {CRASH_TYPE_SQL} AS crash_type, t.mem AS mempool_path, h.total, h.abnormal, t.n AS frame_count
+  FROM ora_region r JOIN (SELECT dump_id, arg_min(func, idx) AS func, arg_min(address, idx) AS address, arg_min(source, idx) AS source, COUNT(*) AS n, bool_or(func IN ({in_list(fixed.MEMPOOL_FUNCS)})) AS mem FROM ora_fp WHERE {_ok} GROUP BY dump_id) t ON r.dump_id = t.dump_id
+  JOIN (SELECT dump_id, COUNT(*) AS total, CAST(SUM(CASE WHEN NOT crashed AND NOT is_idle THEN 1 ELSE 0 END) AS BIGINT) AS abnormal FROM ora_role GROUP BY dump_id) h ON r.dump_id = h.dump_id""")
 def crash_snapshot(spark, sf):
     frames = C.frame_parse(gdb_frames(spark, sf)).select("dump_id", "idx", "func", "address", "source")
     s = G.crash_snapshot(C.parsed(gdb(spark, sf)), frames)
-    return s.select("dump_id", *[F.to_json(c).alias(c) for c in ("signal", "crash_point", "registers", "fault", "analysis", "thread_context")], "frame_count")
+    return s.selectExpr(
+        "dump_id", "signal.name as signal", "crash_point.function as crash_point", "crash_point.layer", "crash_point.address", "crash_point.line",
+        "registers.rip", "registers.rdi", "fault.near_null", "fault.region", "analysis.crash_type", "analysis.mempool_path",
+        "cast(thread_context.total as bigint) as total", "cast(size(thread_context.abnormal) as bigint) as abnormal", "frame_count")
 
 
-@query("report_view")
+@query("report_view", f"""SELECT p.dump_id, p.n AS frames, p.fs[p.n] AS crash_function, m.signal_name, n.nodes, e.edges, t.events FROM ora_mseq p JOIN ora_meta m ON p.dump_id = m.dump_id
+  LEFT JOIN (SELECT dump_id, COUNT(*) AS nodes FROM (SELECT DISTINCT dump_id, tid, func FROM ora_canon WHERE NOT {_noise}) x GROUP BY dump_id) n ON n.dump_id = p.dump_id
+  LEFT JOIN (SELECT dump_id, COUNT(*) AS edges FROM ora_edges WHERE NOT {starts('caller', fixed.GRAPH_NOISE_PREFIXES)} AND NOT {starts('callee', fixed.GRAPH_NOISE_PREFIXES)} GROUP BY dump_id) e ON e.dump_id = p.dump_id
+  LEFT JOIN (SELECT dump_id, COUNT(*) AS events FROM ora_canon WHERE NOT {_noise} GROUP BY dump_id) t ON t.dump_id = p.dump_id""")
 def report_view(spark, sf):
-    """One row per crash: record, graph and timeline sizes, path."""
+    """One row per crash: record, path length, graph and timeline sizes."""
     c = canon(spark, sf)
-    n = G.graph_nodes(c).groupBy("dump_id").agg(F.count(F.lit(1)).alias("nodes"))
-    e = G.graph_edges_alive(c).groupBy("dump_id").agg(F.count(F.lit(1)).alias("edges"))
-    t = G.crash_timeline(c).groupBy("dump_id").agg(F.count(F.lit(1)).alias("events"))
+    count = lambda df, n: df.groupBy("dump_id").agg(F.count(F.lit(1)).alias(n))
     p = G.crash_pattern(c, dump_meta(spark, sf)).join(G.path_summary(c), "dump_id")
-    return p.join(n, "dump_id", "left").join(e, "dump_id", "left").join(t, "dump_id", "left").select(
-        "dump_id", "crash_function", "crash_layer", "signal_name", "pattern", "path", "nodes", "edges", "events")
+    for df, n in ((G.graph_nodes(c), "nodes"), (G.graph_edges_alive(c), "edges"), (G.crash_timeline(c), "events")):
+        p = p.join(count(df, n), "dump_id", "left")
+    return p.select("dump_id", F.col("n").alias("frames"), "crash_function", "signal_name", "nodes", "edges", "events")

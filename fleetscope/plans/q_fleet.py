@@ -120,7 +120,7 @@ def ingest_new_only(spark, sf):
     return S.ingest_new_only(d.select("doc_id", "etag"), d.where("lang = 'en'"))
 
 
-@query("load_documents")
+@query("load_documents", """SELECT 'txt' AS filetype, CAST(SUM(length(text) + 1) AS BIGINT) AS chars, NULL AS error FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'orc', NULL, 'no parser for .orc'""")
 def load_documents(spark, sf):
     """Documents written as files of two types, one of which has no parser, and read back."""
     path = scratch_dir(spark, "docs")
@@ -128,7 +128,7 @@ def load_documents(spark, sf):
     d.where("lang <> 'fr'").select("text").write.option("maxRecordsPerFile", 50).text(path + "/txt")
     d.where("lang = 'fr'").select("doc_id").write.orc(path + "/orc")
     out = DOC.load_documents(spark, path, "part-*")
-    return out.select("filetype", F.length("text").cast("bigint").alias("chars"), "error")
+    return out.groupBy("filetype", "error").agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("html_to_text", """SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '[\\r\\n]+'), lambda s: regexp_replace(s, '^[\\s ]+|[\\s ]+$', '', 'g')), lambda s: s <> ''), concat(chr(10), chr(10))) AS text FROM (
@@ -138,7 +138,7 @@ def html_to_text(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", DOC.html_to_text("html").alias("text"))
 
 
-@query("load_cases")
+@query("load_cases", """SELECT CAST(CASE WHEN signal_name = 'es' THEN 36 ELSE length(CAST(case_id AS VARCHAR)) END AS BIGINT) AS id_len, signal_name, crash_function FROM fx_cases""")
 def load_cases(spark, sf):
     path = scratch_dir(spark, "cases") + "/json"
     c = I.view(spark, sf, "fx_cases").withColumn("case_id", F.expr("case when signal_name <> 'es' then cast(case_id as string) end"))

@@ -461,7 +461,10 @@ def baseline_asof(spark, sf):
     return tidy(features_with_baseline(spark, sf).select(*T.WINDOW, "ref_win", *[f"ref_{c}" for c in _REF_D + _REF_I]))
 
 
-@query("log_summary_tool")
+@query("log_summary_tool", """SELECT a.client_id, a.pid, a.seconds, f.win, f.risk_score, f.risk_level, f.insight, CASE WHEN f.win IS NULL THEN 'unknown client or process' END AS message
+  FROM (SELECT client_id, pid, pid % 250 AS seconds FROM fx_instances WHERE pid % 250 BETWEEN 1 AND 200) a LEFT JOIN (SELECT *, MAX(win) OVER (PARTITION BY client_id, pid) AS newest FROM ora_feat) f
+  ON f.client_id = a.client_id AND f.pid = a.pid AND f.win > f.newest - a.seconds
+  UNION ALL SELECT client_id, pid, pid % 250, NULL, NULL, NULL, NULL, 'seconds must be within 1..200' FROM fx_instances WHERE pid % 250 NOT BETWEEN 1 AND 200""")
 def log_summary_tool(spark, sf):
     """Requests: every instance with a span taken from its number; some are out of range, some unknown."""
     inst = I.view(spark, sf, "fx_instances")

@@ -69,10 +69,9 @@ def table_filter(table: DataFrame, **equal) -> DataFrame:
 
 def page_with_total(table: DataFrame, order: Sequence[str | Column], page: int = 1, page_size: int = 10) -> DataFrame:
     """One page in the given order, with page number, size and the total row count on every row."""
-    total = table.agg(F.count(F.lit(1)).alias("total"))
+    total = table.agg(F.count(F.lit(1)).alias("total")).scalar()
     rows = table.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    # total is one row: the join adds none
-    return rows.join(total).withColumns({"page": F.lit(page), "page_size": F.lit(page_size)})
+    return rows.withColumns({"total": total, "page": F.lit(page), "page_size": F.lit(page_size)})
 
 
 def upsert_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
