@@ -95,18 +95,21 @@ def crash_frame(df: DataFrame, section: str = "s_bt_full") -> DataFrame:
 _FRAME_LINE = r"^\s*#(\d+)\s+(.*)$"
 
 
-def frames_of(section, limit: int | None = None) -> Column:
-    """Frame lines of a text, first per frame number, as array<struct<no, text>>."""
+def with_frames(df: DataFrame, section, out: str = "frames", limit: int | None = None) -> DataFrame:
+    """Add the frame lines of a text, first per frame number, as array<struct<no, text>>.
+
+    Lines are parsed into a column of their own first, so that looking for earlier numbers does not parse again.
+    """
     rows = F.transform(F.filter(_lines(section), lambda x: x.rlike(_FRAME_LINE)), lambda x: F.struct(
         F.regexp_extract(x, _FRAME_LINE, 1).try_cast("bigint").alias("no"), F.trim(F.regexp_extract(x, _FRAME_LINE, 2)).alias("text")))
-    # first per number: keep a row when no earlier row has its number
-    kept = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, F.lit(1), i), lambda q: q["no"] == r["no"]))
-    return F.slice(kept, 1, limit) if limit else kept
+    x = df.withColumn("_rows", rows).withColumn("_nos", F.col("_rows.no"))
+    kept = F.filter("_rows", lambda r, i: F.array_position("_nos", r["no"]) == i + 1)
+    return x.withColumn(out, F.slice(kept, 1, limit) if limit else kept).drop("_rows", "_nos")
 
 
 def backtrace_frames(df: DataFrame, section: str = "s_bt_full", limit: int = 10, keep=("dump_id",)) -> DataFrame:
     """One row per frame line of the crashed thread, at most ``limit`` per dump as the debugger reader does."""
-    x = df.select(*keep, frames_of(section, limit).alias("f"))
+    x = with_frames(df.select(*keep, section), section, "f", limit)
     return x.select(*keep, F.posexplode("f").alias("pos", "x")).select(*keep, "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
 
 
@@ -169,7 +172,7 @@ def thread_backtraces(df: DataFrame, section: str = "s_thread_bt", keep=("dump_i
     head = r"(?m)^\s*Thread\s+(\d+)\s+\(Thread\s+0x[0-9a-f]+\s+\(LWP\s+(\d+)\)\):?\s*$"
     blocks = F.split(section, r"(?m)^(?=\s*Thread\s+\d+\s+\(Thread\s+0x)")
     x = df.select(*keep, F.explode(blocks).alias("b"))
-    x = x.select(*keep, F.regexp_extract("b", head, 1).alias("tid"), frames_of("b").alias("f")).where("tid <> '' and size(f) > 0")
+    x = with_frames(x.select(*keep, F.regexp_extract("b", head, 1).alias("tid"), "b"), "b", "f").where("tid <> '' and size(f) > 0")
     x = x.where(~F.exists("f", lambda r: is_idle(r["text"])))
     return x.select(*keep, "tid", F.posexplode("f").alias("pos", "x")).select(
         *keep, "tid", "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
@@ -289,9 +292,8 @@ def parsed(df: DataFrame) -> DataFrame:
 
 def parse_warnings(df: DataFrame) -> DataFrame:
     """Data-quality texts of a parsed dump, plus the flag of a truncated backtrace without source."""
-    n = F.size(frames_of("s_bt_full", 10))
     regs = F.coalesce(*[F.col(r) for r in fixed.KEY_REGISTERS])
-    x = df.withColumn("_n", n)
+    x = with_frames(df, "s_bt_full", "_f", 10).withColumn("_n", F.size("_f")).drop("_f")
     texts = [
         F.when(F.col("signal_name").isNull(), "signal section missing or unparseable"),
         F.when(regs.isNull(), "registers section missing"), F.when(F.col("_n") == 0, "backtrace is empty"),
@@ -421,41 +423,38 @@ def log_tail_fatal(df: DataFrame, text: str = "app_log", tail: int = fixed.APP_L
 _NIC = r"^([0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{2}\.[0-9a-f])\s+'([^']+)'(.*)$"
 
 
-def nic_entries(text) -> Column:
-    """Device lines with the section they stand under, as array<struct>."""
-    lines = F.transform(_lines(text), lambda x: F.trim(x))
-    low = F.transform(lines, lambda x: F.lower(x))
-
+def with_nics(df: DataFrame, text: str = "nic_text", out: str = "nics") -> DataFrame:
+    """Add the device lines with the section they stand under, as array<struct>."""
     def section(x: Column) -> Column:
-        out = None
         for part, name in fixed.NIC_SECTIONS:
-            out = F.when(x.contains(part), name) if out is None else out.when(x.contains(part), name)
+            out = F.when(x.contains(part), name) if part == fixed.NIC_SECTIONS[0][0] else out.when(x.contains(part), name)
         return out
 
-    heads = F.transform(low, section)
+    x = df.withColumn("_lines", F.transform(_lines(text), lambda s: F.trim(s)))
+    x = x.withColumn("_heads", F.transform("_lines", lambda s: section(F.lower(s))))
     kv = lambda r, k: F.regexp_extract(r, rf"{k}=(\S+)", 1)
 
-    def one(x: Column, i: Column) -> Column:
-        current = F.try_element_at(F.filter(F.slice(heads, F.lit(1), i + 1), lambda h: h.isNotNull()), F.lit(-1))
-        rest = F.regexp_extract(x, _NIC, 3)
-        device = F.get(heads, i).isNull() & current.isNotNull() & x.rlike(_NIC)
+    def one(s: Column, i: Column) -> Column:
+        current = F.try_element_at(F.filter(F.slice("_heads", F.lit(1), i + 1), lambda h: h.isNotNull()), F.lit(-1))
+        rest = F.regexp_extract(s, _NIC, 3)
+        device = F.get("_heads", i).isNull() & current.isNotNull() & s.rlike(_NIC)
         return F.when(device, F.struct(
-            current.alias("section"), F.regexp_extract(x, _NIC, 1).alias("pci"), F.regexp_extract(x, _NIC, 2).alias("desc"),
+            current.alias("section"), F.regexp_extract(s, _NIC, 1).alias("pci"), F.regexp_extract(s, _NIC, 2).alias("desc"),
             kv(rest, "if").alias("iface"), kv(rest, "drv").alias("drv"), kv(rest, "unused").alias("unused"),
             rest.contains("*Active*").alias("active")))
 
-    return F.array_compact(F.transform(lines, one))
+    return x.withColumn(out, F.array_compact(F.transform("_lines", one))).drop("_lines", "_heads")
 
 
 def nic_table(df: DataFrame, text: str = "nic_text", keep=("log_id",)) -> DataFrame:
-    x = df.select(*keep, F.explode(nic_entries(text)).alias("n"))
+    x = with_nics(df.select(*keep, text), text, "_n").select(*keep, F.explode("_n").alias("n"))
     return x.select(*keep, "n.section", "n.pci", "n.desc", "n.iface", "n.drv", "n.unused", "n.active")
 
 
 def device_issues(df: DataFrame, keep=("log_id",)) -> DataFrame:
     """Probed network devices that sit on a kernel driver."""
-    x = df.select(*keep, nic_entries("nic_text").alias("n"), "probe_devices")
-    bad = F.filter("n", lambda d: (d["section"] == "network") & (d["drv"] != "") & ~d["drv"].isin(*fixed.USERSPACE_DRIVERS)
+    x = with_nics(df.select(*keep, "nic_text", "probe_devices"), "nic_text", "_n")
+    bad = F.filter("_n", lambda d: (d["section"] == "network") & (d["drv"] != "") & ~d["drv"].isin(*fixed.USERSPACE_DRIVERS)
                    & F.array_contains(F.col("probe_devices"), d["pci"]))
     return x.select(*keep, F.explode(bad).alias("d")).select(*keep, F.col("d.pci").alias("slot"), F.col("d.drv").alias("driver"))
 

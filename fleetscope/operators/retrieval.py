@@ -252,7 +252,7 @@ def posting_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: dict[str, float] = fixed.FIELD_BOOSTS,
-                 k1: float = 1.2, b: float = 0.75, cell_docs: int = 5_000, block_rows: int = 256) -> DataFrame:
+                 k1: float = 1.2, b: float = 0.75, cell_docs: int = 1_000, block_rows: int = 256) -> DataFrame:
     """Any-word search over several fields: BM25 per field times its boost, the best field counts. queries: query_id, text.
 
     Only postings of words that occur in a query are kept. They meet the queries cell by cell; a frequent word is then a
@@ -313,8 +313,10 @@ def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     q = q.selectExpr("*", "cast(floor(vlen * p / (d + 1)) as int) as a", "cast(floor(vlen * (p + 1) / (d + 1)) as int) as b")
     q = q.selectExpr("*", "explode(sequence(greatest(a - d, 0), a + d)) as s").where("s + b - a <= len")
     q = q.selectExpr("term", "len", "d", "vlen", "p", "substring(term, s + 1, b - a) as piece").distinct()
-    pair = q.join(v, ["d", "vlen", "p", "piece"]).select("term", "match", "len", "d").distinct()
-    near = pair.withColumn("edits", F.expr("levenshtein(term, match)")).where("edits <= d")
+    # measured before repeats are removed: few candidates survive, so little is shuffled
+    pair = q.join(v, ["d", "vlen", "p", "piece"]).selectExpr(
+        "term", "match", "len", "case d when 0 then 0 when 1 then levenshtein(term, match, 1) else levenshtein(term, match, 2) end as edits")
+    near = pair.where("edits >= 0").distinct()
     return near.selectExpr("term", "match", "edits", "1.0D - cast(edits as double) / len as weight")
 
 

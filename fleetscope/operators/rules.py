@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
+from fleetscope.functions.groups import map_sorted_groups
 from fleetscope.operators.telemetry import WINDOW
 
 RULE_SCHEMA = ("rule_id string, name string, severity string, metric string, condition string, threshold double, "
@@ -118,37 +119,41 @@ def cooldown(hits: DataFrame, keys: Sequence[str], t: str = "t", cool: str = "co
     types = {f.name: f.dataType.simpleString() for f in cand.schema.fields}
     kcols = ", ".join(f"{k} {types[k]}" for k in keys)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, c = np.sort(pdf[t].to_numpy()), int(pdf["_c"].iloc[0])
-        width = max(span, c)
-        start = int(pdf["_blk"].iloc[0]) * width
-        n = min(len(ts), int(np.searchsorted(ts, start + c, side="left")) + 1)
-        head = pdf[[*keys, "_blk", "_c"]].iloc[:1].copy()
-        head["starts"], head["exits"] = [ts[:n].tolist()], [_block_exits(ts, c)[:n].tolist()]
-        return head
-
-    solved = cand.groupBy(*keys, "_blk").applyInPandas(
-        solve, f"{kcols}, _blk bigint, _c bigint, starts array<bigint>, exits array<bigint>")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        c, free, out = int(pdf["_c"].iloc[0]), -(2**62), []
-        for starts, exits in zip(pdf["starts"], pdf["exits"]):
+    def solve(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        head = rows.iloc[starts][[*keys, "_blk", "_c"]].reset_index(drop=True)
+        ts, first, ends = rows[t].to_numpy(), [], []
+        for a, b, blk_no, c in zip(starts, [*starts[1:], len(rows)], head["_blk"], head["_c"]):
+            part = ts[a:b]
+            n = min(b - a, int(np.searchsorted(part, blk_no * max(span, c) + c, side="left")) + 1)
+            first.append(part[:n].tolist())
+            ends.append(_block_exits(part, c)[:n].tolist())
+        return head.assign(starts=first, exits=ends)
+
+    solved = map_sorted_groups(cand, [*keys, "_blk"], [t], solve,
+                               f"{kcols}, _blk bigint, _c bigint, starts array<bigint>, exits array<bigint>")
+
+    def chain(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        new_key = np.zeros(len(rows), dtype=bool)
+        new_key[starts] = True
+        free, out = 0, []
+        for new, first, ends, c in zip(new_key, rows["starts"], rows["exits"], rows["_c"]):
+            if new:
+                free = -(2**62)
             out.append(free)
-            i = int(np.searchsorted(np.asarray(starts), free, side="left"))
-            if i < len(starts):
-                free = int(exits[i]) + c
-        return pdf[[*keys, "_blk"]].assign(free_at=out)
+            i = int(np.searchsorted(first, free, side="left"))
+            if i < len(first):
+                free = int(ends[i]) + c
+        return rows[[*keys, "_blk"]].assign(free_at=out)
 
-    entry = solved.groupBy(*keys).applyInPandas(chain, f"{kcols}, _blk bigint, free_at bigint")
+    entry = map_sorted_groups(solved, keys, ["_blk"], chain, f"{kcols}, _blk bigint, free_at bigint")
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        keep = _block_fires(pdf[t].to_numpy(), int(pdf["_c"].iloc[0]), int(pdf["free_at"].iloc[0]))
-        return pdf.loc[keep, [*keys, t, order]]
+    def mark(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ts, cs, free = rows[t].to_numpy(), rows["_c"].to_numpy(), rows["free_at"].to_numpy()
+        keep = [_block_fires(ts[a:b], cs[a], free[a]) for a, b in zip(starts, [*starts[1:], len(rows)])]
+        return rows.loc[np.concatenate(keep), [*keys, t, order]]
 
-    return cand.join(entry, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(
-        mark, f"{kcols}, {t} bigint, {order} {types[order]}")
+    return map_sorted_groups(cand.join(entry, [*keys, "_blk"]), [*keys, "_blk"], [t], mark,
+                             f"{kcols}, {t} bigint, {order} {types[order]}")
 
 
 def rule_cooldown(hits: DataFrame, keys: Sequence[str] = ("client_id", "rule_id"), **kw) -> DataFrame:

@@ -127,8 +127,13 @@ def postings(spark, sf):
     return K.build_postings(I.view(spark, sf, "fx_cases"), FIELDS, "case_id")
 
 
+def index(spark, sf):
+    """The postings as a stored index table, built once per application."""
+    return I.stored(spark, sf, "postings", lambda: postings(spark, sf))
+
+
 def keyword(spark, sf, k=10):
-    return K.keyword_topk(query_texts(spark, sf), postings(spark, sf), k)
+    return K.keyword_topk(query_texts(spark, sf), index(spark, sf), k)
 
 
 @query("build_postings", "SELECT doc_id, field, term, tf, field_len FROM ora_post")
@@ -152,7 +157,7 @@ cte("ora_fv", f"SELECT DISTINCT term, length(term) AS len, translate(term, {_TR}
   SELECT q.term, q.len, q.d, v.term AS match, levenshtein(q.a, v.a) AS edits FROM ora_fq q JOIN ora_fv v ON v.len BETWEEN q.len - q.d AND q.len + q.d) x WHERE edits <= d""")
 def keyword_fuzzy(spark, sf):
     q = query_texts(spark, sf).select(F.explode(K.tokens("text")).alias("term"))
-    return tidy(K.fuzzy_terms(q, postings(spark, sf)))
+    return tidy(K.fuzzy_terms(q, index(spark, sf)))
 
 
 cte("ora_knorm", "SELECT query_id, id, score / MAX(score) OVER (PARTITION BY query_id) AS score, rank FROM ora_k10")
@@ -249,7 +254,7 @@ def case_admission(spark, sf):
   UNION ALL SELECT 'vectors', COUNT(*) FROM ora_vec WHERE id NOT IN (SELECT case_id FROM fx_cases WHERE signal_name = 'fr')""")
 def case_clear_sync(spark, sf):
     c = I.view(spark, sf, "fx_cases")
-    stores = {"cases": c, "postings": postings(spark, sf).withColumnRenamed("doc_id", "case_id"), "vectors": vectors(spark, sf, "case_id")}
+    stores = {"cases": c, "postings": index(spark, sf).withColumnRenamed("doc_id", "case_id"), "vectors": vectors(spark, sf, "case_id")}
     left = K.delete_everywhere(stores, c.where("signal_name = 'fr'"))
     out = None
     for n, df in left.items():

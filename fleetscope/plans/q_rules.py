@@ -76,7 +76,7 @@ _cooldown_ctes("ora_sfires", "fx_hits", "client_id, severity", "60")
 
 @query("rule_cooldown", "SELECT client_id, rule_id, t, event_id FROM ora_fires")
 def rule_cooldown(spark, sf):
-    return R.rule_cooldown(I.view(spark, sf, "fx_hits"), span=168)
+    return R.rule_cooldown(I.view(spark, sf, "fx_hits"), span=360)
 
 
 @query("severity_cooldown", "SELECT client_id, severity, t, event_id FROM ora_sfires")
