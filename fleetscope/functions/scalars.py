@@ -73,6 +73,16 @@ def compact(items: Sequence[Column]) -> Column:
     return F.array_compact(F.array(*items))
 
 
+def rows_of(df, keep: Sequence[str], items, name: str = "x", pos: str | None = None):
+    """One row per array element, rows with an empty array dropped.
+
+    The outer form keeps the optimizer from adding a size filter, which would copy the array expression (and all text
+    parsing in it) below the projection and evaluate it several times.
+    """
+    gen = F.posexplode_outer(items).alias(pos, name) if pos else F.explode_outer(items).alias(name)
+    return df.select(*keep, gen).where(F.col(name).isNotNull())
+
+
 def sql_quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions.blocked import rank_and_previous, running_max
-from fleetscope.functions.scalars import col, hex_to_number
+from fleetscope.functions.scalars import col, hex_to_number, rows_of
 
 CHAIN = ["dump_id", "tid"]
 ARROW = " → "
@@ -235,7 +235,7 @@ def stack_annotate(words: DataFrame, frames: DataFrame, keep=("dump_id", "base")
 
     words: keep…, words array. frames: dump_id, address, func, depth; the outermost frame of an address names it.
     """
-    w = words.select(*keep, F.posexplode("words").alias("i", "value"))
+    w = rows_of(words, keep, "words", "value", "i")
     f = frames.where("address is not null").groupBy("dump_id", "address").agg(F.min_by("func", "depth").alias("_f"))
     j = w.join(f, (w.dump_id == f.dump_id) & (w.value == f.address), "left").drop(f.dump_id)
     off = F.concat(F.lit("+0x"), F.lpad(F.lower(F.hex(F.col("i") * 8)), 4, "0"))

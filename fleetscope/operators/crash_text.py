@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
-from fleetscope.functions.scalars import col, hex_to_number, regex_or_null
+from fleetscope.functions.scalars import col, hex_to_number, regex_or_null, rows_of
 
 
 
@@ -110,7 +110,7 @@ def with_frames(df: DataFrame, section, out: str = "frames", limit: int | None =
 def backtrace_frames(df: DataFrame, section: str = "s_bt_full", limit: int = 10, keep=("dump_id",)) -> DataFrame:
     """One row per frame line of the crashed thread, at most ``limit`` per dump as the debugger reader does."""
     x = with_frames(df.select(*keep, section), section, "f", limit)
-    return x.select(*keep, F.posexplode("f").alias("pos", "x")).select(*keep, "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
+    return rows_of(x, keep, "f", pos="pos").select(*keep, "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
 
 
 def norm_text(c) -> Column:
@@ -145,7 +145,7 @@ def with_threads(df: DataFrame, section: str = "s_info_threads") -> DataFrame:
 
 
 def thread_table(df: DataFrame, keep=("dump_id",)) -> DataFrame:
-    return df.select(*keep, F.explode("threads").alias("t")).select(*keep, "t.crashed", "t.id", "t.lwp", "t.bt_top", "t.role")
+    return rows_of(df, keep, "threads", "t").select(*keep, "t.crashed", "t.id", "t.lwp", "t.bt_top", "t.role")
 
 
 def abnormal_threads(threads: Column) -> Column:
@@ -164,17 +164,17 @@ def external_abnormal_threads(df: DataFrame, keep=("dump_id",)) -> DataFrame:
     """Threads that are neither crashed nor idle and whose top frame is not internal to the packet library."""
     inner = "|".join(fixed.INTERNAL_THREAD_FUNCS)
     a = F.filter(abnormal_threads(F.col("threads")), lambda t: ~t["bt_top"].rlike(inner))
-    return df.select(*keep, F.explode(a).alias("t")).select(*keep, "t.id", "t.lwp", "t.bt_top", "t.role")
+    return rows_of(df, keep, a, "t").select(*keep, "t.id", "t.lwp", "t.bt_top", "t.role")
 
 
 def thread_backtraces(df: DataFrame, section: str = "s_thread_bt", keep=("dump_id",)) -> DataFrame:
     """Frames per thread block; threads in a waiting call are left out."""
     head = r"(?m)^\s*Thread\s+(\d+)\s+\(Thread\s+0x[0-9a-f]+\s+\(LWP\s+(\d+)\)\):?\s*$"
     blocks = F.split(section, r"(?m)^(?=\s*Thread\s+\d+\s+\(Thread\s+0x)")
-    x = df.select(*keep, F.explode(blocks).alias("b"))
-    x = with_frames(x.select(*keep, F.regexp_extract("b", head, 1).alias("tid"), "b"), "b", "f").where("tid <> '' and size(f) > 0")
-    x = x.where(~F.exists("f", lambda r: is_idle(r["text"])))
-    return x.select(*keep, "tid", F.posexplode("f").alias("pos", "x")).select(
+    x = rows_of(df, keep, blocks, "b")
+    x = with_frames(x.select(*keep, F.regexp_extract("b", head, 1).alias("tid"), "b").where("tid <> ''"), "b", "f")
+    awake = F.when(~F.exists("f", lambda r: is_idle(r["text"])), F.col("f"))
+    return rows_of(x, [*keep, "tid"], awake, pos="pos").select(
         *keep, "tid", "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
 
 
@@ -199,7 +199,7 @@ def fault_address(df: DataFrame, section: str = "s_siginfo") -> DataFrame:
 def locals_table(df: DataFrame, section: str = "s_locals", keep=("dump_id",), limit: int = fixed.LOCAL_VALUE_LIMIT) -> DataFrame:
     """name = value rows of the crash frame without headers; long values are shortened for display, ``leak`` is dropped."""
     pat = r"^(\w+)\s*=\s*(.+)$"
-    x = df.select(*keep, F.posexplode(F.filter(_lines(section), lambda x: x.rlike(pat))).alias("pos", "l"))
+    x = rows_of(df, keep, F.filter(_lines(section), lambda x: x.rlike(pat)), "l", "pos")
     x = x.select(*keep, "pos", F.regexp_extract("l", pat, 1).alias("name"), F.trim(F.regexp_extract("l", pat, 2)).alias("v"))
     x = x.where(~F.col("name").isin(*fixed.LOCAL_SKIP, "leak"))
     short = F.when(F.length("v") <= limit, F.col("v")).otherwise(F.concat(F.substring("v", 1, limit), F.lit("…")))
@@ -335,7 +335,7 @@ def stack_tool_frames(df: DataFrame, text: str = "stack_text", keep=("dump_id",)
     Frames of one thread that repeat an address are inlined copies and only the first stays.
     """
     blocks = F.filter(F.split(text, r"(?m)^(?=TID\s+\d+:)"), lambda b: b.rlike(r"^TID\s+\d+:"))
-    x = df.select(*keep, F.explode(blocks).alias("b")).select(
+    x = rows_of(df, keep, blocks, "b").select(
         *keep, F.regexp_extract("b", r"^TID\s+(\d+):", 1).alias("tid"),
         F.filter(F.split("b", r"(?m)^(?=#\d+\s)"), lambda c: c.rlike(_TOOL_FRAME)).alias("c"))
 
@@ -351,7 +351,7 @@ def stack_tool_frames(df: DataFrame, text: str = "stack_text", keep=("dump_id",)
 
     x = x.select(*keep, "tid", F.transform("c", one).alias("f"))
     first = F.filter("f", lambda r, i: ~F.exists(F.slice(F.col("f"), F.lit(1), i), lambda q: q["address"] == r["address"]))
-    x = x.select(*keep, "tid", F.posexplode(first).alias("pos", "r"))
+    x = rows_of(x, [*keep, "tid"], first, "r", "pos")
     return x.select(*keep, "tid", "pos", F.col("r.no").alias("frame_no"), "r.address", "r.func", F.nullif("r.module", F.lit("")).alias("module"), "r.source")
 
 
@@ -447,7 +447,7 @@ def with_nics(df: DataFrame, text: str = "nic_text", out: str = "nics") -> DataF
 
 
 def nic_table(df: DataFrame, text: str = "nic_text", keep=("log_id",)) -> DataFrame:
-    x = with_nics(df.select(*keep, text), text, "_n").select(*keep, F.explode("_n").alias("n"))
+    x = rows_of(with_nics(df.select(*keep, text), text, "_n"), keep, "_n", "n")
     return x.select(*keep, "n.section", "n.pci", "n.desc", "n.iface", "n.drv", "n.unused", "n.active")
 
 
@@ -456,7 +456,7 @@ def device_issues(df: DataFrame, keep=("log_id",)) -> DataFrame:
     x = with_nics(df.select(*keep, "nic_text", "probe_devices"), "nic_text", "_n")
     bad = F.filter("_n", lambda d: (d["section"] == "network") & (d["drv"] != "") & ~d["drv"].isin(*fixed.USERSPACE_DRIVERS)
                    & F.array_contains(F.col("probe_devices"), d["pci"]))
-    return x.select(*keep, F.explode(bad).alias("d")).select(*keep, F.col("d.pci").alias("slot"), F.col("d.drv").alias("driver"))
+    return rows_of(x, keep, bad, "d").select(*keep, F.col("d.pci").alias("slot"), F.col("d.drv").alias("driver"))
 
 
 def device_binding(devices: DataFrame, classes: DataFrame, userspace=fixed.USERSPACE_DRIVERS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
-from fleetscope.functions.scalars import col, nonblank
+from fleetscope.functions.scalars import col, nonblank, rows_of
 
 # ---- chunking --------------------------------------------------------------------------------------------
 
@@ -105,7 +105,7 @@ def chunk_documents(docs: DataFrame, key: str = "source_key", text: str = "text"
 def embedding_inputs(docs: DataFrame, key: str, chunks: str, batch: int = fixed.EMBED_BATCH) -> DataFrame:
     """Non-blank chunks of each document with their original index and the batch they are sent in."""
     kept = F.filter(F.transform(chunks, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda s: F.trim(s["t"]) != "")
-    x = docs.select(key, F.posexplode(kept).alias("pos", "s"))
+    x = rows_of(docs, [key], kept, "s", "pos")
     return x.select(key, F.col("s.i").alias("chunk_index"), F.col("s.t").alias("text"),
                     F.floor(F.col("pos") / batch).cast("bigint").alias("batch_no"), (F.col("pos") % batch).alias("slot"))
 
@@ -213,7 +213,7 @@ def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarr
     sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cells", F.ceil(F.col("_n") / cell_rows).cast("int"))
     i = assigned.join(sizes, "list_id").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
     i = i.select(F.col("id").cast("bigint"), "vec", "list_id", "_c")
-    q = queries.select(F.col("query_id").cast("bigint"), "vec", F.explode(nearest("vec")).alias("list_id"))
+    q = rows_of(queries, [F.col("query_id").cast("bigint"), "vec"], nearest("vec"), "list_id")
     q = q.join(sizes, "list_id").select("query_id", "vec", "list_id", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_c"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +240,7 @@ def build_postings(docs: DataFrame, fields: Sequence[str], doc_id: str = "doc_id
     """(doc_id, field, term, tf, field_len) of all fields. Words of a document are counted before the shuffle."""
     items = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields])
     x = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.inline(items))
-    x = x.select("doc_id", "field", F.size("t").alias("field_len"), F.explode("t").alias("term"))
+    x = rows_of(x.withColumn("field_len", F.size("t")), ["doc_id", "field", "field_len"], "t", "term")
     return x.groupBy("doc_id", "field", "field_len", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "field", "term", "tf", "field_len")
 
 
@@ -258,7 +258,7 @@ def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: di
     Only postings of words that occur in a query are kept. They meet the queries cell by cell; a frequent word is then a
     column operation inside a cell and never a list of pairs in a shuffle.
     """
-    qt = queries.select(F.col("query_id").cast("bigint"), F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(
+    qt = rows_of(queries, [F.col("query_id").cast("bigint")], tokens("text"), "term").groupBy("query_id", "term").agg(
         F.count(F.lit(1)).cast("double").alias("qtf"))
     df, avg = posting_stats(postings)
     boost = F.create_map(*[x for f, v in boosts.items() for x in (F.lit(f), F.lit(float(v)))])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions.blocked import last_n_per_key, previous_row
-from fleetscope.functions.scalars import rate_sql, ratio, ratio_sql, tumbling_end, window_end_sql
+from fleetscope.functions.scalars import rate_sql, ratio, ratio_sql, rows_of, tumbling_end, window_end_sql
 
 INSTANCE = ["client_id", "pid"]
 WINDOW = [*INSTANCE, "win"]
@@ -73,7 +73,7 @@ def with_lcore_entries(records: DataFrame) -> DataFrame:
 
 def lcore_stats(records: DataFrame) -> DataFrame:
     """One row per snapshot and lcore that ran at all."""
-    e = with_lcore_entries(records).select(*INSTANCE, "t", F.explode("_lcores").alias("l"))
+    e = rows_of(with_lcore_entries(records), [*INSTANCE, "t"], "_lcores", "l")
     return e.selectExpr(*INSTANCE, "t", "l.lcore_id", "l.usage_ratio",
                         f"round({ratio_sql('l.busy_cycles', 'l.total_cycles')}, 6) as cycles_ratio",
                         "l.busy_cycles", "l.total_cycles")
@@ -344,7 +344,7 @@ def dash_queue_deltas(rec_1s: DataFrame, port: str = "0") -> DataFrame:
 def dash_lcore_series(rec_5s: DataFrame) -> DataFrame:
     """Usage text of every lcore as a number."""
     zipped = F.flatten(F.transform(F.map_values("lcore_usage"), lambda g: F.arrays_zip(g["lcore_ids"], g["usage_ratio"])))
-    e = rec_5s.select(*INSTANCE, "t", F.explode(zipped).alias("l"))
+    e = rows_of(rec_5s, [*INSTANCE, "t"], zipped, "l")
     return e.where(F.col("l.lcore_ids").isNotNull() & F.col("l.usage_ratio").isNotNull()).select(
         *INSTANCE, "t", F.lit("lcore_usage").alias("category"),
         F.concat(F.lit("lcore_"), F.col("l.lcore_ids").cast("string")).alias("name"),

@@ -22,7 +22,8 @@ cte("ora_cf", "SELECT dump_id, arg_max(func, exec_depth) AS crash_function FROM
 
 
 def canon(spark, sf):
-    return G.exec_order(I.frames(spark, sf).drop("k"))
+    """The ordered stacks as a stored table: every graph operator reads it instead of ordering the frames again."""
+    return I.stored(spark, sf, "stacks", lambda: G.exec_order(I.frames(spark, sf).drop("k")))
 
 
 @query("idle_filter", f"""SELECT dump_id, tid, gdb_idx, func, address FROM fx_frames f WHERE NOT EXISTS (SELECT 1 FROM fx_frames g WHERE g.dump_id = f.dump_id AND g.tid = f.tid AND {idle('g.func')})""")
@@ -38,7 +39,7 @@ def subsystems(spark, sf):
 
 @query("exec_order", "SELECT dump_id, tid, gdb_idx, func, address, exec_depth, caller FROM ora_canon")
 def exec_order(spark, sf):
-    return canon(spark, sf)
+    return G.exec_order(I.frames(spark, sf).drop("k"))
 
 
 @query("call_edges", "SELECT * FROM ora_edges")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
+from fleetscope.functions.scalars import rows_of
 
 
 def scan_window(records: DataFrame, kind: str, as_of: int, seconds: int = 900, client_id: str | None = None,
@@ -99,7 +100,7 @@ STORAGE_SCHEMA = ("EventName string, Records array<struct<s3:struct<bucket:struc
 def explode_storage_events(events: DataFrame, body: str = "body") -> DataFrame:
     """Upload notices of an object store to one row per uploaded file."""
     e = events.select("*", F.from_json(body, STORAGE_SCHEMA).alias("e")).where("e.EventName = 's3:ObjectCreated:Put'")
-    r = e.select(*[c for c in events.columns if c != body], F.explode("e.Records").alias("r"))
+    r = rows_of(e, [c for c in events.columns if c != body], "e.Records", "r")
     x = r.withColumn("key", F.url_decode("r.s3.object.key"))
     base = F.regexp_extract("key", r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
