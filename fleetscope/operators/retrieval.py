@@ -26,6 +26,8 @@ Span = tuple[int, int]
 
 def _pieces(text: str, a: int, b: int, sep: str) -> list[Span]:
     """Cut [a, b) before every occurrence of the separator; it stays with the piece that follows."""
+    if a == b:
+        return []
     if sep == "":
         return [(i, i + 1) for i in range(a, b)]
     cuts, i = [a], text.find(sep, a, b)
@@ -168,14 +170,14 @@ def _top_rows(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) ->
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
     """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec)."""
-    q = queries.select(F.col("query_id").cast("bigint"), "vec")
+    q = queries.select(F.col("query_id").cast("bigint"), F.col("vec").alias("qvec"))
     i = items.select(F.col("id").cast("bigint"), "vec")
     gq, gi = _cell_cogroup(q, i, "id", block_rows, cell_rows, q.count(), i.count())
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        s = np.round(_unit(left["vec"]) @ _unit(right["vec"]).T, 9)
+        s = np.round(_unit(left["qvec"]) @ _unit(right["vec"]).T, 9)
         return _top_rows(s, left["query_id"].to_numpy(), right["id"].to_numpy(), k)
 
     return _best_per_query(gq.cogroup(gi).applyInPandas(score, "query_id bigint, id bigint, score double"), k)
@@ -213,8 +215,8 @@ def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarr
     sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cells", F.ceil(F.col("_n") / cell_rows).cast("int"))
     i = assigned.join(sizes, "list_id").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
     i = i.select(F.col("id").cast("bigint"), "vec", "list_id", "_c")
-    q = rows_of(queries, [F.col("query_id").cast("bigint"), "vec"], nearest("vec"), "list_id")
-    q = q.join(sizes, "list_id").select("query_id", "vec", "list_id", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_c"))
+    q = rows_of(queries, [F.col("query_id").cast("bigint"), F.col("vec").alias("qvec")], nearest("vec"), "list_id")
+    q = q.join(sizes, "list_id").select("query_id", "qvec", "list_id", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_c"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -222,7 +224,7 @@ def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarr
         parts, m, ids = [], _unit(right["vec"]), right["id"].to_numpy()
         for lo in range(0, len(left), 512):
             part = left.iloc[lo:lo + 512]
-            parts.append(_top_rows(np.round(_unit(part["vec"]) @ m.T, 9), part["query_id"].to_numpy(), ids, k))
+            parts.append(_top_rows(np.round(_unit(part["qvec"]) @ m.T, 9), part["query_id"].to_numpy(), ids, k))
         return pd.concat(parts)
 
     got = q.groupBy("list_id", "_c").cogroup(i.groupBy("list_id", "_c")).applyInPandas(score, "query_id bigint, id bigint, score double")
