@@ -213,3 +213,19 @@ CRASH_TYPE = "crash_event"
 CRASH_TEMPLATE = "crash_fixed_template"
 CRASH_RULE_ID = 1
 FEW_SHOT_LIMIT = 3
+
+# ---- texts of alerts and reports ----------------------------------------------------------------------------
+FALLBACK_TITLE = "DPDK 异常"
+FALLBACK_LINES = {
+    "rules": "触发规则: ", "rx": "流量: RX ", "tx": " pps / TX ", "pps": " pps", "rx_errors": "错误: RX错误=", "nombuf": " MBUF不足=",
+    "missed": " 丢包=", "mempool": "内存池空闲: ", "heap": " | 堆内存空闲: ", "cpu": "CPU均值: ",
+}
+REPORT_TITLE = "# DPDK 故障分析报告"
+REPORT_SUMMARY = "## 摘要\n\n| 字段 | 值 |\n|------|----|"
+REPORT_FIELDS = {"client_id": "客户端", "confidence": "诊断置信度", "crash_time": "崩溃时间"}
+REPORT_CAUSE = "## 根因"
+REPORT_SIGNS = "## 指标特征"
+UNKNOWN = "未知"
+NONE = "无"
+HUGEPAGE_NOTES = {"low": " ⚠ 接近耗尽", "enough": " (充足)"}
+BINDING_ALERTS = {"kernel_bound": "Network card has switched back to kernel driver", "no_driver": "Network card has no driver bound"}

@@ -39,16 +39,17 @@ def fallback_alert_text(features: DataFrame, flags: str = "flags", severity: str
     """Title and multi-line description from the key numbers of a feature row."""
     pct = lambda c: F.concat(_one_digit(F.col(c) * 100), F.lit("%"))
     num = lambda c: F.col(c).cast("string")
+    t = {k: F.lit(v) for k, v in fixed.FALLBACK_LINES.items()}
     desc = F.concat_ws(
         "\n",
-        F.concat(F.lit("触发规则: "), F.array_join(flags, ", ")),
-        F.concat(F.lit("流量: RX "), _one_digit("rx_pps"), F.lit(" pps / TX "), _one_digit("tx_pps"), F.lit(" pps")),
-        F.concat(F.lit("错误: RX错误="), num("rx_errors"), F.lit(" MBUF不足="), num("nombuf"), F.lit(" 丢包="), num("missed")),
-        F.concat(F.lit("内存池空闲: "), pct("mempool_free"), F.lit(" | 堆内存空闲: "), pct("heap_free")),
-        F.concat(F.lit("CPU均值: "), pct("cpu_avg")),
+        F.concat(t["rules"], F.array_join(flags, ", ")),
+        F.concat(t["rx"], _one_digit("rx_pps"), t["tx"], _one_digit("tx_pps"), t["pps"]),
+        F.concat(t["rx_errors"], num("rx_errors"), t["nombuf"], num("nombuf"), t["missed"], num("missed")),
+        F.concat(t["mempool"], pct("mempool_free"), t["heap"], pct("heap_free")),
+        F.concat(t["cpu"], pct("cpu_avg")),
     )
     return features.withColumns({
-        "title": F.concat(F.lit("["), F.upper(severity), F.lit("] DPDK 异常 — "), "client_id"), "description": desc,
+        "title": F.concat(F.lit("["), F.upper(severity), F.lit(f"] {fixed.FALLBACK_TITLE} — "), "client_id"), "description": desc,
     })
 
 

@@ -129,7 +129,7 @@ def crash_pattern(canonical: DataFrame, meta: DataFrame, main: int = 0) -> DataF
     segv = F.col("signal_name").isin("SIGSEGV", "11")
     abrt = F.col("signal_name").isin("SIGABRT", "6")
     near = hex_to_number("fault_addr") < fixed.NEAR_NULL
-    region = F.coalesce("region", F.lit("")).isin("anonymous", "未知", "")
+    region = F.coalesce("region", F.lit("")).isin("anonymous", fixed.UNKNOWN, "")
     pattern = (F.when(F.col("_mem"), "mempool_exhaustion").when(segv & near, "mempool_exhaustion_null_deref")
                .when(F.col("_ring") & abrt, "ring_assert_failure").when(F.col("crash_layer") == "dpdk_pmd", "pmd_driver_crash")
                .when(segv & region, "null_ptr_in_anonymous_region").when(F.col("_panic") & abrt, "eal_panic_abort"))
@@ -144,11 +144,12 @@ def layered_path(canonical: DataFrame) -> DataFrame:
     x = canonical.drop("caller").withColumn("layer", frame_layer("func")).where("layer <> 'noise'")
     x = rank_and_previous(x, CHAIN, "exec_depth", ["layer"]).withColumn("start", F.expr("case when prev is null or prev.layer <> layer then rank end"))
     run = running_max(x, CHAIN, "rank", "start", "run")
-    size = run.groupBy(*CHAIN, "run", "layer").agg(F.count(F.lit(1)).alias("n"), F.max_by("func", "rank").alias("last"))
-    head = run.where("rank - run < 3").groupBy(*CHAIN, "run").agg(F.array_sort(F.collect_list(F.struct("rank", "func"))).alias("h"))
+    g = run.groupBy(*CHAIN, "run", "layer").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("func", "rank").alias("last"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") - F.col("run") < 3, F.struct("rank", "func")))).alias("h"))
     names = F.transform("h", lambda s: s["func"])
     shown = F.when(F.col("n") > 3, F.concat(F.slice(names, 1, 2), F.array(F.lit("…"), F.col("last")))).otherwise(names)
-    return size.join(head, [*CHAIN, "run"]).select(*CHAIN, "run", "layer", F.col("n").alias("frames"), F.array_join(shown, ARROW).alias("path"))
+    return g.select(*CHAIN, "run", "layer", F.col("n").alias("frames"), F.array_join(shown, ARROW).alias("path"))
 
 
 def path_summary(canonical: DataFrame, main: int = 0) -> DataFrame:

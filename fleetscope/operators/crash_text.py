@@ -470,16 +470,17 @@ def device_binding(devices: DataFrame, classes: DataFrame, userspace=fixed.USERS
     state = (F.when(F.coalesce("driver", F.lit("")) == "", "no_driver").when(F.col("driver").isin(*userspace), "dpdk_bound").otherwise("kernel_bound"))
     out = j.select("category", "slot", "driver", state.alias("binding")).distinct()
     net = F.col("category") == "network"
-    return out.withColumn("alert", F.when(net & (F.col("binding") == "kernel_bound"), "Network card has switched back to kernel driver")
-                          .when(net & (F.col("binding") == "no_driver"), "Network card has no driver bound"))
+    text = fixed.BINDING_ALERTS
+    return out.withColumn("alert", F.when(net & (F.col("binding") == "kernel_bound"), text["kernel_bound"])
+                          .when(net & (F.col("binding") == "no_driver"), text["no_driver"]))
 
 
 def hugepage_usage(df: DataFrame, total: str = "total", free: str = "free", size_kb: str = "size_kb") -> DataFrame:
     """Used/total text with a warning below 10 % free, and the total in MB."""
     x = df.withColumns({"_t": col(total).try_cast("bigint"), "_f": col(free).try_cast("bigint")})
-    note = F.when((F.col("_t") != 0) & (F.col("_f") < F.col("_t") * 0.1), " ⚠ 接近耗尽").otherwise(" (充足)")
+    note = F.when((F.col("_t") != 0) & (F.col("_f") < F.col("_t") * 0.1), fixed.HUGEPAGE_NOTES["low"]).otherwise(fixed.HUGEPAGE_NOTES["enough"])
     text = F.concat(F.lit("2M hugepages: "), (F.col("_t") - F.col("_f")).cast("string"), F.lit("/"), F.col("_t").cast("string"), F.lit(" used"), note)
-    return x.withColumns({"usage": F.coalesce(text, F.lit("未知")), "total_mb": F.col("_t") * F.col(size_kb) / 1024.0}).drop("_t", "_f")
+    return x.withColumns({"usage": F.coalesce(text, F.lit(fixed.UNKNOWN)), "total_mb": F.col("_t") * F.col(size_kb) / 1024.0}).drop("_t", "_f")
 
 
 def cpu_layout(cpus: DataFrame, host: str = "host") -> DataFrame:

@@ -87,11 +87,11 @@ def total_time(crashes: DataFrame) -> DataFrame:
 def report_markdown(df: DataFrame) -> DataFrame:
     """One Markdown report per row from joined columns; sections without data are left out, long cells are shortened."""
     cell = lambda c: F.when(F.length(c) > 60, F.concat(F.substring(c, 1, 60), F.lit("…"))).otherwise(F.coalesce(c, F.lit("N/A")))
-    row = lambda name, c: F.concat(F.lit(f"| {name} | "), cell(F.col(c).cast("string")), F.lit(" |"))
-    head = F.concat(F.lit("# DPDK 故障分析报告\n\n> Run ID: `"), F.col("run_id").cast("string"), F.lit("`"))
-    summary = F.concat_ws("\n", F.lit("## 摘要\n\n| 字段 | 值 |\n|------|----|"), row("客户端", "client_id"), row("诊断置信度", "confidence"), row("崩溃时间", "crash_time"))
-    cause = F.when(F.coalesce("root_cause", F.lit("")) != "", F.concat(F.lit("## 根因\n\n"), F.col("root_cause")))
-    signs = F.when(F.size("insight") > 0, F.concat(F.lit("## 指标特征\n\n- "), F.array_join("insight", "\n- ")))
+    row = lambda c, name: F.concat(F.lit(f"| {name} | "), cell(F.col(c).cast("string")), F.lit(" |"))
+    head = F.concat(F.lit(f"{fixed.REPORT_TITLE}\n\n> Run ID: `"), F.col("run_id").cast("string"), F.lit("`"))
+    summary = F.concat_ws("\n", F.lit(fixed.REPORT_SUMMARY), *[row(c, name) for c, name in fixed.REPORT_FIELDS.items()])
+    cause = F.when(F.coalesce("root_cause", F.lit("")) != "", F.concat(F.lit(f"{fixed.REPORT_CAUSE}\n\n"), F.col("root_cause")))
+    signs = F.when(F.size("insight") > 0, F.concat(F.lit(f"{fixed.REPORT_SIGNS}\n\n- "), F.array_join("insight", "\n- ")))
     return df.withColumn("report", F.concat_ws("\n\n", head, summary, cause, signs))
 
 

@@ -422,8 +422,8 @@ def retrieval_query_text(incidents: DataFrame, fields: Sequence[tuple[str, str]]
     """One search text per incident from its fields; absent ones read 未知, empty lists 无. No field at all, no search."""
     def show(name: str) -> Column:
         if dict(incidents.dtypes)[name].startswith("array"):
-            return F.when(F.size(name) > 0, F.array_join(name, ", ")).otherwise("无")
-        return F.coalesce(nonblank(name), F.lit("未知"))
+            return F.when(F.size(name) > 0, F.array_join(name, ", ")).otherwise(fixed.NONE)
+        return F.coalesce(nonblank(name), F.lit(fixed.UNKNOWN))
 
     scalars = [n for n, _ in fields if not dict(incidents.dtypes)[n].startswith("array")]
     any_set = F.coalesce(*[nonblank(n) for n in scalars]).isNotNull()

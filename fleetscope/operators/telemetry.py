@@ -309,36 +309,40 @@ def dash_pool_heap_pct(rec_1s: DataFrame, rec_5s: DataFrame) -> DataFrame:
     return pools.unionByName(heaps)
 
 
-def _long(df: DataFrame, category: str, cols: dict[str, Column]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in cols.items()])
-    return df.select(*INSTANCE, "t", F.lit(category).alias("category"), F.inline(pairs))
+_TICK = ["ipackets", "opackets", "ibytes", "obytes", "ierrors", "rx_nombuf", "q_ipackets"]
+# series of a port: category, name, change per tick
+_TICK_SERIES = [("traffic", "rx_pps", "ipackets - prev.ipackets"), ("traffic", "tx_pps", "opackets - prev.opackets"),
+                ("traffic", "rx_bps", "(ibytes - prev.ibytes) * 8"), ("traffic", "tx_bps", "(obytes - prev.obytes) * 8"),
+                ("errors", "rx_ierrors", "ierrors - prev.ierrors"), ("errors", "rx_nombuf", "rx_nombuf - prev.rx_nombuf")]
+_COUNTER_POINTS = "array(" + ", ".join(
+    f"named_struct('category', '{c}', 'name', '{n}', 'value', cast({x} as double))" for c, n, x in _TICK_SERIES) + ")"
+_QUEUE_POINTS = """filter(transform(zip_with(q_ipackets, prev.q_ipackets, (a, b) -> a - b), (d, i) -> named_struct(
+    'category', 'queue_distribution', 'name', concat('queue_', cast(i as string)), 'value', cast(d as double))), p -> p.value > 0)"""
+
+
+def _port_points(rec_1s: DataFrame, port: str, points: str) -> DataFrame:
+    """Points of one port against its previous tick; the first tick has none."""
+    s = F.try_element_at("ethdev_stats", F.lit(port))
+    one = rec_1s.where(s.isNotNull()).select(*INSTANCE, "t", *[s[n].alias(n) for n in _TICK])
+    d = previous_row(one, INSTANCE, "t", _TICK).where(F.col("prev").isNotNull())
+    return rows_of(d, [*INSTANCE, "t"], F.expr(points), "p").select(*INSTANCE, "t", "p.category", "p.name", "p.value")
 
 
-def dash_counter_deltas(rec_1s: DataFrame, rec_5s: DataFrame, port: str = "0") -> DataFrame:
-    """Per-tick deltas of one port. They are not divided by time; the first tick yields nothing."""
-    names = ["ipackets", "opackets", "ibytes", "obytes", "ierrors", "rx_nombuf"]
-    s = F.try_element_at("ethdev_stats", F.lit(port))
-    one = rec_1s.where(s.isNotNull()).select(*INSTANCE, "t", *[s[n].alias(n) for n in names])
-    d = previous_row(one, INSTANCE, "t", names).where(F.col("prev").isNotNull())
-    diff = {n: F.col(n) - F.col(f"prev.{n}") for n in names}
-    fast = _long(d, "traffic", {"rx_pps": diff["ipackets"], "tx_pps": diff["opackets"],
-                                "rx_bps": diff["ibytes"] * 8, "tx_bps": diff["obytes"] * 8}).unionByName(
-        _long(d, "errors", {"rx_ierrors": diff["ierrors"], "rx_nombuf": diff["rx_nombuf"]}))
+def _missed_points(rec_5s: DataFrame, port: str) -> DataFrame:
     x = F.try_element_at("ethdev_xstats", F.lit(port))
     five = rec_5s.where(x.isNotNull()).select(*INSTANCE, "t", F.try_element_at(x, F.lit("rx_missed_errors")).alias("missed"))
     m = previous_row(five, INSTANCE, "t", ["missed"]).where(F.col("prev").isNotNull())
-    return fast.unionByName(_long(m, "rx_missed", {"rx_missed": F.col("missed") - F.col("prev.missed")}))
+    return m.selectExpr(*INSTANCE, "t", "'rx_missed' as category", "'rx_missed' as name", "cast(missed - prev.missed as double) as value")
+
+
+def dash_counter_deltas(rec_1s: DataFrame, rec_5s: DataFrame, port: str = "0") -> DataFrame:
+    """Per-tick deltas of one port. They are not divided by time; the first tick yields nothing."""
+    return _port_points(rec_1s, port, _COUNTER_POINTS).unionByName(_missed_points(rec_5s, port))
 
 
 def dash_queue_deltas(rec_1s: DataFrame, port: str = "0") -> DataFrame:
     """Packets per queue and tick, only for queues that moved."""
-    s = F.try_element_at("ethdev_stats", F.lit(port))
-    one = rec_1s.where(s.isNotNull()).select(*INSTANCE, "t", s["q_ipackets"].alias("q"))
-    d = previous_row(one, INSTANCE, "t", ["q"]).where(F.col("prev").isNotNull())
-    moved = F.zip_with("q", "prev.q", lambda a, b: a - b)
-    return d.select(*INSTANCE, "t", F.posexplode(moved).alias("i", "d")).where(F.col("d") > 0).select(
-        *INSTANCE, "t", F.lit("queue_distribution").alias("category"),
-        F.concat(F.lit("queue_"), F.col("i").cast("string")).alias("name"), F.col("d").cast("double").alias("value"))
+    return _port_points(rec_1s, port, _QUEUE_POINTS)
 
 
 def dash_lcore_series(rec_5s: DataFrame) -> DataFrame:
@@ -356,14 +360,12 @@ def ring_buffer_last_n(series: DataFrame, n: int = fixed.RING_1S) -> DataFrame:
     return last_n_per_key(series, [*INSTANCE, "category", "name"], "t", n)
 
 
-def dashboard_series(rec_1s: DataFrame, rec_5s: DataFrame, n_1s: int = fixed.RING_1S, n_5s: int = fixed.RING_5S) -> DataFrame:
-    """All chart series, each cut to its ring size."""
-    deltas = dash_counter_deltas(rec_1s, rec_5s)
-    pct = dash_pool_heap_pct(rec_1s, rec_5s)
-    slow = F.col("category").isin("rx_missed", "heap")
-    fast = deltas.where(~slow).unionByName(dash_queue_deltas(rec_1s)).unionByName(pct.where(~slow))
-    late = deltas.where(slow).unionByName(dash_lcore_series(rec_5s)).unionByName(pct.where(slow))
-    return ring_buffer_last_n(fast, n_1s).unionByName(ring_buffer_last_n(late, n_5s))
+def dashboard_series(rec_1s: DataFrame, rec_5s: DataFrame, n_1s: int = fixed.RING_1S, n_5s: int = fixed.RING_5S, port: str = "0") -> DataFrame:
+    """All chart series, each cut to its ring size; counters and queues come from one pass over the neighbours."""
+    pools = dash_pool_heap_pct(rec_1s, rec_5s)
+    fast = _port_points(rec_1s, port, f"concat({_COUNTER_POINTS}, {_QUEUE_POINTS})").unionByName(pools.where("category = 'mempool'"))
+    slow = _missed_points(rec_5s, port).unionByName(dash_lcore_series(rec_5s)).unionByName(pools.where("category = 'heap'"))
+    return ring_buffer_last_n(fast, n_1s).unionByName(ring_buffer_last_n(slow, n_5s))
 
 
 def xstats_normalize(df: DataFrame, raw: str = "xstats_json", out: str = "xstats") -> DataFrame:

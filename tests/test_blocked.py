@@ -45,3 +45,10 @@ def test_rank_and_running_max(spark):
     want = d.select("k", "t", (F.row_number().over(w) - 1).cast("bigint"), F.lag("v").over(w),
                     F.max("v").over(w.rowsBetween(W.unboundedPreceding, 0)))
     same(got.select("k", "t", "rank", "prev.v", "m"), want)
+
+
+def test_last_n_beyond_the_group_limit(spark):
+    d = skewed(spark)
+    w = W.partitionBy("k").orderBy(F.col("t").desc())
+    want = d.withColumn("r", F.row_number().over(w)).where("r <= 1500").drop("r")
+    same(B.last_n_per_key(d, ["k"], "t", 1500, span=700).select("k", "t", "v"), want)
