@@ -181,7 +181,7 @@ def crash_timeline(spark, sf):
 
 
 # registers of every address row: rdi takes plain addresses, small ones and fill patterns
-_REGS = """l_orderkey, l_linenumber, l_partkey, concat('0x', {HEX(addr)HEX}) AS rip, CASE l_linenumber WHEN 1 THEN '0x0' WHEN 2 THEN concat('0x', {HEX(l_suppkey)HEX}) WHEN 3 THEN concat('0xde', lpad({HEX(addr)HEX}, 14, '0'))
+_REGS = """l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, concat('0x', {HEX(addr)HEX}) AS rip, CASE l_linenumber WHEN 1 THEN '0x0' WHEN 2 THEN concat('0x', {HEX(l_suppkey)HEX}) WHEN 3 THEN concat('0xde', lpad({HEX(addr)HEX}, 14, '0'))
   WHEN 4 THEN concat('0x12cdcdcd', CASE WHEN l_quantity > 25 THEN 'cd' ELSE '01' END) WHEN 5 THEN '0xcdcdcdcd' ELSE concat('0x', {HEX(addr)HEX}) END AS rdi, CASE WHEN l_returnflag = 'A' THEN '/opt/bin/app' END AS region"""
 cte("ora_regs", "SELECT " + _REGS.replace("{HEX(", "lower(to_hex(").replace(")HEX}", "))") + " FROM (SELECT *, l_partkey * 4096 + CAST(l_quantity AS BIGINT) * 64 AS addr FROM lineitem) l")
 _P = fixed.POISON_BYTES
