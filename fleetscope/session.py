@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -37,14 +40,20 @@ def ensure_utc(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder for stream checkpoints and working tables.
+    """A fresh folder for stream checkpoints and working tables, below the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the shared folder named by ``spark.checkpoint.dir`` is used; only where that
-    setting is missing (tests, one machine) a local temporary folder is made.
+    Without that setting only a local session may go on, in a temporary folder: on a cluster every executor would write
+    to its own disk and later reads would miss rows, so any other master is refused.
     """
+    name = f"{label}-{uuid.uuid4().hex}"
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
+        return f"{shared.rstrip('/')}/fleetscope/{name}"
+    return f"{_local_root(spark.sparkContext.master)}/{name}"
 
-        return f"{shared.rstrip('/')}/fleetscope/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"fleetscope-{label}-")
+
+@lru_cache(maxsize=1)
+def _local_root(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share: the master is {master}")
+    return tempfile.mkdtemp(prefix="fleetscope-")
