@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import html_extract, language_id, mixing, packing, quality, token_counts, toxicity
+from fleetscope.llm import fingerprint, html_extract, language_id, mixing, near_dup, packing, quality, secrets, token_counts, toxicity
 from fleetscope.llm.common import fold, small_batches, stage, table, word_count
 from fleetscope.session import scratch_dir
 
@@ -24,6 +24,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = "filter(found, y -> y.kind in ('assign', 'access', 'hex'))"
+    return found.selectExpr(
+        "doc_id",
+        *[f"cast(size(filter(found, y -> y.kind = '{k}')) as bigint) as n_{k}" for k in ("assign", "access", "hex")],
+        f"sha2({secrets.as_text(base)}, 256) as base_sha256",
+        f"{secrets.as_text('found')} as spans",
+    )
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -72,7 +92,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_mixing, op3_packing, op7_language_id, op8_quality_rules, op9_toxicity, op10_token_counts)
+    for f in (op1_html_extraction, op2_mixing, op3_packing, op4_minhash_dedup, op5_secret_scans, op6_fingerprints, op7_language_id, op8_quality_rules, op9_toxicity, op10_token_counts)
 }
 
 ORACLES = {
