@@ -4,16 +4,17 @@ Every text becomes the set of its hashed shingles. Equal sets collapse to one cl
 (32-bit multiply hashes): four minima at a time form the keys of 40 bands, and the low two bits of every minimum are
 packed into five words, from which bit counts give the similarity, corrected for chance collisions.
 
-Classes that share a band are candidates. A band of m classes hands on m - 1 pairs, each class with the smallest one;
-pairs whose corrected estimate is far below the threshold are dropped, the rest confirmed on the full sets. Links
-between other members of a band matter only where they join different components, so those pairs alone are compared
-afterwards, in blocks of signatures inside a task, and confirmed likewise. No list of all pairs is ever made, and at
-0.75 a pair misses all 40 bands once in four million.
+Classes that share a band are candidates. A band of m classes hands on m - 1 pairs: each class with the band's hub, the
+member whose signature is close to most others. Bands with the same members count once. Pairs whose corrected estimate
+is far below the threshold are dropped, the rest confirmed on the full sets. Links between other members of a band
+matter only where they join different components, so those pairs alone are compared afterwards, in blocks of signatures
+inside a task, and confirmed likewise. No list of all pairs of a band is ever made, and at 0.75 a pair misses all 40
+bands once in four million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4
 LOW_BITS = 2
 WORDS = BANDS * ROWS * LOW_BITS // 64
-#: Five standard deviations of the estimate below a similarity of 0.75, so that no link is lost to the estimate.
-MARGIN = 0.21
+#: Four standard deviations of the estimate below a similarity of 0.75, so that no link is lost to the estimate.
+MARGIN = 0.165
 BLOCK = 512
 
 _RNG = np.random.default_rng(20240229)
@@ -157,7 +158,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     needs = salted.selectExpr("b", "hb", "g", "1 as side", "a as want", "ha as h").unionByName(
         salted.selectExpr("b", "hb", "g", "0 as side", "b as want", "hb as h").distinct()
     )
-    texts = stage(needs, "dup-needs").join(docs.selectExpr("doc_id as want", "text"), "want").select("b", "hb", "g", "side", "want", "h", "text")
+    # The wanted ids grow with the corpus, so both sides always meet by a shuffle; each text crosses the network once here.
+    texts = stage(needs, "dup-needs").hint("merge").join(docs.selectExpr("doc_id as want", "text"), "want").select("b", "hb", "g", "side", "want", "h", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(n, "b", "hb", "g").sortWithinPartitions("b", "hb", "g", "side")
 
@@ -180,51 +182,95 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long")
 
 
+_CHANCE = 1 / (1 << LOW_BITS)
+_ODD_BITS = np.uint64(0x5555555555555555)
+_SIG = [f"s{i}" for i in range(WORDS)]
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of corrected estimates between two sets of packed signatures (rows of ``WORDS`` words)."""
+    differ = np.zeros((len(a), len(b)), np.int32)
+    for w in range(WORDS):
+        x = a[:, w, None] ^ b[None, :, w]
+        differ += np.bitwise_count((x | (x >> np.uint64(1))) & _ODD_BITS)
+    return (1 - differ / (BANDS * ROWS) - _CHANCE) / (1 - _CHANCE)
+
+
+def _signatures(rows: pd.DataFrame) -> np.ndarray:
+    return rows[_SIG].to_numpy(np.int64).view(np.uint64)
+
+
+def _by_group(batches: Iterator[pd.DataFrame], keys: list[str], one: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+    """Results of ``one`` for each run of equal keys in sorted batches; holds one batch and one group at a time."""
+    rest = None
+    for pdf in batches:
+        rows = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        cols = [rows[k].to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        starts = [0, *cuts.tolist()]
+        found = [x for a, b in zip(starts, starts[1:], strict=False) if (x := one(rows.iloc[a:b])) is not None]
+        rest = rows.iloc[starts[-1] :]
+        if found:
+            yield pd.concat(found, ignore_index=True)
+    if rest is not None and len(rest) and (x := one(rest)) is not None:
+        yield x
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def hubs(members: DataFrame, percent: int) -> DataFrame:
+    """The hub (b, hb) of every band from its members (key, node, h1, size, s0..): the one close to most members.
+
+    A band over ``BLOCK`` members is cut into blocks by a hash; each names the member that is close to most of its block,
+    and the best of these is the hub.
+    """
+    close = percent / 100 - MARGIN / 4
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        s = _signatures(rows)
+        near = (_similar(s, s) >= close).sum(axis=1)
+        best = np.lexsort((rows["h1"].to_numpy(), rows["node"].to_numpy(), -near))[0]
+        return pd.DataFrame({"key": rows["key"].iloc[:1].to_numpy(), "b": [rows["node"].iloc[best]], "hb": [rows["h1"].iloc[best]], "near": [int(near[best])]})
+
+    cut = members.selectExpr("*", f"pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as long)) as blk")
+    found = _dealt(cut, "key", "blk").mapInPandas(lambda batches: _by_group(batches, ["key", "blk"], one), "key long, b long, hb long, near long")
+    return found.groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("near"), "b", "hb")).alias("c")).select("key", "c.b", "c.hb")
+
+
 def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (key, node, h1, n, sig, comp, size) of a band in different components that may be similar.
+    """Pairs of members (key, node, h1, n, comp, size, s0..) of a band in different components that may be similar.
 
     Bands over ``BLOCK`` members are cut into blocks by a hash; every pair of blocks is one group of at most two blocks'
     rows, whose signatures are compared as a matrix. Only pairs near or above the threshold leave the task.
     """
     floor = percent / 100 - MARGIN
-    chance = 1 / (1 << LOW_BITS)
     cut = members.selectExpr("*", f"cast(ceil(size / {BLOCK}) as int) as k").selectExpr("*", "cast(pmod(xxhash64(node), k) as int) as blk")
     grid = cut.selectExpr(
-        "key", "node", "h1", "n", "sig", "comp", "blk", "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
-    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "sig", "comp")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grid.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    odd = np.uint64(0x5555555555555555)
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        left = rows[rows["blk"] == rows["i"]]
-        right = rows[rows["blk"] == rows["j"]]
-        sa, sb = (np.array(x["sig"].tolist(), np.int64).view(np.uint64) for x in (left, right))
-        differ = np.zeros((len(left), len(right)), np.int32)
-        for w in range(WORDS):
-            x = sa[:, w, None] ^ sb[None, :, w]
-            differ += np.bitwise_count((x | (x >> np.uint64(1))) & odd)
-        near = (1 - differ / (BANDS * ROWS) - chance) / (1 - chance) >= floor
+        "key", "node", "h1", "n", "comp", "blk", *_SIG, "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
+    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "comp", *_SIG)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame | None:
+        comp = rows["comp"].to_numpy()
+        if (comp == comp[0]).all():
+            return None
+        i, j, blk = rows["i"].iloc[0], rows["j"].iloc[0], rows["blk"].to_numpy()
+        left, right = rows[blk == i], rows[blk == j]
+        near = _similar(_signatures(left), _signatures(right)) >= floor
         na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
         near &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
         near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        near &= left["node"].to_numpy()[:, None] > right["node"].to_numpy()[None, :] if rows["i"].iloc[0] == rows["j"].iloc[0] else True
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"a": left["node"].to_numpy()[i], "ha": left["h1"].to_numpy()[i], "b": right["node"].to_numpy()[j], "hb": right["h1"].to_numpy()[j]})
+        if i == j:
+            near &= left["node"].to_numpy()[:, None] > right["node"].to_numpy()[None, :]
+        x, y = np.nonzero(near)
+        if not len(x):
+            return None
+        return pd.DataFrame({"a": left["node"].to_numpy()[x], "ha": left["h1"].to_numpy()[x], "b": right["node"].to_numpy()[y], "hb": right["h1"].to_numpy()[y]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            rows = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = rows[["key", "i", "j"]].iloc[-1]
-            whole = ~((rows["key"] == last["key"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"]))
-            for _, group in rows[whole].groupby(["key", "i", "j"], sort=False):
-                yield pairs(group)
-            rest = rows[~whole]
-        if rest is not None and len(rest):
-            yield pairs(rest)
-
-    return dealt.mapInPandas(run, "a long, ha long, b long, hb long")
+    dealt = _dealt(grid, "key", "i", "j")
+    return dealt.mapInPandas(lambda batches: _by_group(batches, ["key", "i", "j"], one), "a long, ha long, b long, hb long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -242,9 +288,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stage(first.selectExpr("h1", "h2", "f.doc_id as node", "f.row as row", "copies"), "dup-classes")
     reps = stage(known.join(classes.select("row"), "row").selectExpr("doc_id as node", "h1", "n", "sig", "bands"), "dup-reps")
     rows = reps.select(F.explode("bands").alias("key"), "node", "h1")
-    centre = rows.groupBy("key").agg(F.min(F.struct("node", "h1")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(rows.join(centre, "key").selectExpr("key", "node", "h1", "c.node as b", "c.h1 as hb", "size"), "dup-bands")
-    pairs = shared.where("node <> b or h1 <> hb").selectExpr("node as a", "h1 as ha", "b", "hb").distinct()
+    band = rows.groupBy("key").agg(F.min(F.struct("node", "h1")).alias("c"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", "h1")).alias("x"))
+    bands = stage(band.where("size > 1").groupBy("size", "c", "x").agg(F.min("key").alias("key")), "dup-bands")
+    shared = stage(rows.join(bands, "key").select("key", "node", "h1", "size", "c"), "dup-shared")
+    marks = reps.selectExpr("node", "h1", "n", *[f"sig[{i}] as s{i}" for i in range(WORDS)])
+    hub = stage(hubs(shared.where("size > 2").join(marks, ["node", "h1"]), percent), "dup-hubs")
+    starred = shared.join(hub, "key", "left").selectExpr("node as a", "h1 as ha", "coalesce(b, c.node) as b", "coalesce(hb, c.h1) as hb")
+    pairs = starred.where("a <> b or ha <> hb").distinct()
     side = lambda x: reps.selectExpr(f"node as {x}", f"h1 as h{x}", f"n as n{x}", f"sig as s{x}")
     sized = stage(pairs, "dup-pairs").join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = stage(sized.where(estimate("sa", "sb") >= percent / 100 - MARGIN).select("a", "ha", "b", "hb"), "dup-likely")
@@ -252,12 +302,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     roots = stage(connected(links), "dup-roots")
 
     # Other members of a band: only pairs that would join different components.
-    placed = shared.where("size > 2 and (node <> b or h1 <> hb)").join(roots, "node", "left").selectExpr("key", "node", "h1", "size", "coalesce(root, node) as comp")
-    placed = stage(placed, "dup-placed")
-    torn = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    members = placed.join(stage(torn, "dup-torn"), "key").join(reps.select("node", "h1", "n", "sig"), ["node", "h1"])
-    more = compare_blocks(members.select("key", "node", "h1", "n", "sig", "comp", "size"), percent).distinct()
-    more = stage(more.join(likely, ["a", "ha", "b", "hb"], "left_anti"), "dup-more")
+    placed = stage(shared.where("size > 2").join(roots, "node", "left").selectExpr("key", "node", "h1", "size", "coalesce(root, node) as comp"), "dup-placed")
+    torn = stage(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "dup-torn")
+    members = placed.join(torn, "key").join(marks, ["node", "h1"])
+    ordered = lambda df: df.selectExpr(*[f"{f}(struct(a, ha), struct(b, hb)) as {x}" for f, x in (("greatest", "x"), ("least", "y"))]).selectExpr(
+        "x.a as a", "x.ha as ha", "y.a as b", "y.ha as hb"
+    )
+    more = ordered(compare_blocks(members, percent)).distinct()
+    more = stage(more.join(ordered(likely), ["a", "ha", "b", "hb"], "left_anti"), "dup-more")
     if not more.isEmpty():
         links = links.unionByName(confirm(more, docs, percent))
         roots = stage(connected(stage(links, "dup-links")), "dup-roots")
