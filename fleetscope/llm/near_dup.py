@@ -305,9 +305,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = stage(shared.where("size > 2").join(roots, "node", "left").selectExpr("key", "node", "h1", "size", "coalesce(root, node) as comp"), "dup-placed")
     torn = stage(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "dup-torn")
     members = placed.join(torn, "key").join(marks, ["node", "h1"])
-    ordered = lambda df: df.selectExpr(*[f"{f}(struct(a, ha), struct(b, hb)) as {x}" for f, x in (("greatest", "x"), ("least", "y"))]).selectExpr(
-        "x.a as a", "x.ha as ha", "y.a as b", "y.ha as hb"
-    )
+    ends = "struct(a as i, ha as h), struct(b as i, hb as h)"
+    ordered = lambda df: df.selectExpr(f"greatest({ends}) as x", f"least({ends}) as y").selectExpr("x.i as a", "x.h as ha", "y.i as b", "y.h as hb")
     more = ordered(compare_blocks(members, percent)).distinct()
     more = stage(more.join(ordered(likely), ["a", "ha", "b", "hb"], "left_anti"), "dup-more")
     if not more.isEmpty():
