@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DAY = 86_400
-GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
 
 def _block(order: str, block: Column | None, span: int) -> Column:
@@ -62,14 +61,10 @@ def last_n_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int, tie:
                    span: int = DAY) -> DataFrame:
     """Newest ``n`` rows per key.
 
-    Up to 1000 rows the optimizer cuts every key to n rows per task before the shuffle, so one ranked filter is enough.
-    Beyond that each block of time keeps its own newest n first, and the blocks are then cut to n together.
+    Each block of time keeps its own newest n first, and the blocks are then cut to n together.
     """
     keys = list(keys)
     desc = [F.col(order).desc()] + ([F.col(tie).desc()] if tie else [])
-    if n <= GROUP_LIMIT:
-        ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*desc)))
-        return ranked.where(F.col("_rn") <= n).drop("_rn")
     b = df.withColumn("_blk", _block(order, None, span))
     b = b.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_blk").orderBy(*desc))).where(F.col("_rn") <= n)
     # of the surviving blocks only the newest ones that together hold n rows can matter

@@ -80,7 +80,6 @@ ALERT_RULES = [
 ]
 RULE_METRICS = ("rx_pps", "tx_pps", "rx_errors", "tx_errors", "nombuf", "missed", "queue_imbalance",
                 "mempool_free", "heap_free", "heap_frag", "cpu_avg", "risk_score")
-SEVERITY_RANK = {"critical": 3, "warning": 2, "info": 1}
 SEVERITY_COOLDOWN = 60
 
 # ---- crash ----------------------------------------------------------------------------------------------
@@ -121,8 +120,6 @@ EAL_NAMES = ("rte_panic", "rte_exit", "__rte_panic", "mp_handle", "eal_intr_hand
 LIBC_PREFIXES = ("__libc_", "__glibc_", "pthread_", "__pthread", "clone3")
 NOISE_NAMES = ("??", "unknown", "_start", "__libc_start_main", "")
 GRAPH_NOISE_PREFIXES = ("__libc_", "__recvmsg", "clone3", "start_thread")
-LAYER_TO_TYPE = {"noise": "libc", "libc": "libc", "dpdk_pmd": "dpdk", "dpdk_eal": "dpdk", "dpdk_lib": "dpdk",
-                 "user_app": "user"}
 MEMPOOL_FUNCS = ("rte_mempool_get", "rte_pktmbuf_alloc", "rte_mempool_generic_get", "rte_mempool_get_bulk",
                  "rte_pktmbuf_alloc_bulk")
 RING_FUNCS = ("rte_ring_enqueue", "rte_ring_dequeue", "rte_ring_enqueue_bulk", "rte_ring_dequeue_bulk")
@@ -138,9 +135,6 @@ NOTE_NEAR_NULL = "近空地址"
 NOTE_RETURN = "返回地址"
 USERSPACE_DRIVERS = ("vfio-pci", "uio_pci_generic", "igb_uio")
 INTERNAL_THREAD_FUNCS = ("mp_handle", "eal_intr_handle_events", "rte_ctrl_thread_create")
-APP_LOG_HEAD = 500
-APP_LOG_TAIL = 200
-LOCAL_VALUE_LIMIT = 120
 LOCAL_SKIP = ("frame", "Stack", "Locals", "Arguments")
 
 # debugger message rules: order, key, severity, substrings that must all occur, pattern on lower-case text
@@ -206,13 +200,11 @@ CASE_LABELS = (("signal_name", "信号名称"), ("crash_type", "崩溃类型"),
 
 # ---- alerts ---------------------------------------------------------------------------------------------
 SUBJECT_TEMPLATE = "【{{severity}}】{{title}}"
-LEVEL_BY_SEVERITY = {"critical": "P1", "warning": "P2", "info": "P3"}
 ALERT_FIELDS = ("alert_id", "client_id", "severity", "title", "description", "triggered_at")
 CALLBACK_TYPE = "callback_event"
 CRASH_TYPE = "crash_event"
 CRASH_TEMPLATE = "crash_fixed_template"
 CRASH_RULE_ID = 1
-FEW_SHOT_LIMIT = 3
 
 # ---- texts of alerts and reports ----------------------------------------------------------------------------
 FALLBACK_TITLE = "DPDK 异常"

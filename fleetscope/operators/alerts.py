@@ -20,12 +20,12 @@ def parse_semantic_output(df: DataFrame, raw: str = "raw") -> DataFrame:
     })
 
 
-def parse_alert_text(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """TITLE line and DESCRIPTION rest; without them the first 80 characters and the whole text."""
+def parse_alert_text(df: DataFrame, raw: str = "raw", title_chars: int | None = None) -> DataFrame:
+    """TITLE line and DESCRIPTION rest; without them the whole text; ``title_chars`` cuts the title that stands in."""
     title = F.trim(F.regexp_extract(raw, r"(?i)TITLE:\s*(.+)", 1))
     desc = F.regexp_replace(F.regexp_extract(raw, r"(?is)DESCRIPTION:\s*(.+)", 1), r"^\s+|\s+$", "")
     return df.withColumns({
-        "title": F.when(title != "", title).otherwise(F.substring(raw, 1, 80)),
+        "title": F.when(title != "", title).otherwise(F.substring(raw, 1, title_chars) if title_chars else F.col(raw)),
         "description": F.when(desc != "", desc).otherwise(F.col(raw)),
     })
 
@@ -185,11 +185,12 @@ def mail_log_search(log: DataFrame, start: str | None = None, end: str | None =
     return log.orderBy(F.col("sent_at").desc(), F.col("id").desc())
 
 
-def prompt_context_rows(df: DataFrame, sections: dict[str, str], shots: str | None = None) -> DataFrame:
+def prompt_context_rows(df: DataFrame, sections: dict[str, str], shots: str | None = None, most_shots: int | None = None) -> DataFrame:
     """One prompt text per row from labelled columns, with content hash, token estimate and example count."""
     parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"## {label}\n"), F.col(c).cast("string"))) for label, c in sections.items()]
     x = df.withColumn("prompt", F.trim(F.concat_ws("\n\n", *parts)))
-    n = F.least(F.coalesce(F.col(shots), F.lit(0)), F.lit(fixed.FEW_SHOT_LIMIT)) if shots else F.lit(0)
+    n = F.coalesce(F.col(shots), F.lit(0)) if shots else F.lit(0)
+    n = n if most_shots is None else F.least(n, F.lit(most_shots))
     return x.withColumns({
         "content_hash": F.substring(F.sha2("prompt", 256), 1, 16),
         "token_estimate": F.floor(F.char_length("prompt") / 4).cast("bigint"), "few_shot_count": n.cast("bigint"),

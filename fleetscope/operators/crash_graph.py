@@ -41,12 +41,9 @@ def call_graph(canonical: DataFrame) -> DataFrame:
     return e.join(n, ["dump_id", "caller"])
 
 
-def call_hotspots(canonical: DataFrame, at_least: int = 3, show: int = 4) -> DataFrame:
-    """Callers with many distinct callees and the first few callee names in order."""
-    g = call_graph(canonical).where(F.col("callees") >= at_least)
-    w = W.partitionBy("dump_id", "caller").orderBy("callee")
-    top = g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= show)
-    return top.groupBy("dump_id", "caller", "callees").agg(F.array_sort(F.collect_list("callee")).alias("names"))
+def call_hotspots(canonical: DataFrame, at_least: int = 3) -> DataFrame:
+    """Callers with many distinct callees, one row per callee, so no list grows with the fan-out."""
+    return call_graph(canonical).where(F.col("callees") >= at_least).select("dump_id", "caller", "callees", "callee")
 
 
 def reciprocal_edges(canonical: DataFrame) -> DataFrame:
@@ -64,10 +61,17 @@ def _top_list(df: DataFrame, keys: list[str], order: Column, n: int, value: Colu
 
 
 def crash_signature(canonical: DataFrame, depth: int = 20) -> DataFrame:
-    """Crash-to-root names without run-time start-up frames, first ``depth``, joined with ``<``."""
+    """Number and digest of all names without run-time start-up frames, and the innermost ``depth`` names joined with ``<``.
+
+    The digest adds a hash of every name at its distance from the crash, so stacks that differ anywhere differ in it and no
+    list of all names is collected.
+    """
     useful = canonical.where(~F.col("func").rlike("|".join(fixed.SIGNATURE_SKIPS)))
     top = _top_list(useful, CHAIN, F.col("exec_depth").desc(), depth, F.col("func"), "l")
-    return top.select(*CHAIN, F.array_join("l", " < ").alias("signature"))
+    placed = rank_and_previous(useful.drop("caller").withColumn("_up", -F.col("exec_depth")), CHAIN, "_up", ["func"])
+    part = F.expr("cast(conv(substr(md5(concat(rank + 1, ':', func)), 1, 12), 16, 10) as bigint)")
+    whole = placed.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("frames"), F.sum(part).alias("digest"))
+    return top.join(whole, CHAIN).select(*CHAIN, "frames", "digest", F.array_join("l", " < ").alias("signature"))
 
 
 def crash_function(canonical: DataFrame, main: int = 0) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
+from fleetscope.functions import gdb_lines as G
 from fleetscope.functions.scalars import col, hex_to_number, regex_or_null, rows_of
+from fleetscope.functions.small import small_side
 
 
 
@@ -71,28 +73,25 @@ def with_sections(df: DataFrame, text: str = "gdb_text") -> DataFrame:
 
 
 def signal_info(df: DataFrame, text: str = "gdb_text") -> DataFrame:
-    pat = r"Program (?:received|terminated with) signal (\w+|SIG\w+|\d+)[,.]?\s*(.*)?"
-    raw = F.regexp_extract(text, pat, 1)
-    name = F.when(raw == "", F.lit(None)).when(
-        raw.rlike(r"^\d+$"), F.coalesce(signal_name(raw), F.concat(F.lit("SIG_"), raw))).otherwise(raw)
-    return df.withColumns({"signal_name": name, "signal_desc": F.when(raw != "", F.trim(F.regexp_extract(text, pat, 2)))})
-
-
-_CRASH_FRAME = r"(?m)#0\s+(?:0x[0-9a-f]+\s+in\s+)?(.+?)(?:\s+at\s+(.+):(\d+))?$"
+    """Signal and description of the line on which the debugger says how the program ended."""
+    said = F.filter(_lines(text), lambda x: x.contains("Program received signal ") | x.contains("Program terminated with signal "))
+    tail = G.after(F.try_element_at(said, F.lit(1)), " signal ")
+    raw = F.get(F.split(tail, "[^A-Za-z0-9_]", 2), F.lit(0))
+    name = F.when(raw.rlike(G.NUMBER), F.coalesce(signal_name(raw), F.concat(F.lit("SIG_"), raw))).when(raw != "", raw)
+    desc = F.trim(F.regexp_replace(F.substring(tail, F.length(raw) + 1, F.length(tail)), r"^[,.]?\s*", ""))
+    return df.withColumns({"signal_name": name, "signal_desc": F.when(raw != "", desc)})
 
 
 def crash_frame(df: DataFrame, section: str = "s_bt_full") -> DataFrame:
     """Function, file and line of frame 0; all NULL when the function is unknown."""
-    func = F.trim(F.regexp_extract(section, _CRASH_FRAME, 1))
+    first = F.try_element_at(F.filter(_lines(section), lambda x: G.is_frame(x) & (G.frame_number(x) == 0)), F.lit(1))
+    x = df.withColumn("_b", G.without_address(G.frame_body(first)))
+    func, where = F.trim(G.before_place(F.col("_b"))), G.place(F.col("_b"))
     known = ~func.isin("??", "")
-    return df.withColumns({
-        "crash_func": F.when(known, func), "crash_file": F.when(known, regex_or_null(section, _CRASH_FRAME, 2)),
-        "crash_line": F.when(known, regex_or_null(section, _CRASH_FRAME, 3)),
-        "has_debuginfo": F.when(known, F.regexp_extract(section, _CRASH_FRAME, 2) != ""),
-    })
-
-
-_FRAME_LINE = r"^\s*#(\d+)\s+(.*)$"
+    return x.withColumns({
+        "crash_func": F.when(known, func), "crash_file": F.when(known, G.place_file(where)),
+        "crash_line": F.when(known, G.place_line(where)), "has_debuginfo": F.when(known, where.isNotNull()),
+    }).drop("_b")
 
 
 def with_frames(df: DataFrame, section, out: str = "frames", limit: int | None = None) -> DataFrame:
@@ -100,15 +99,15 @@ def with_frames(df: DataFrame, section, out: str = "frames", limit: int | None =
 
     Lines are parsed into a column of their own first, so that looking for earlier numbers does not parse again.
     """
-    rows = F.transform(F.filter(_lines(section), lambda x: x.rlike(_FRAME_LINE)), lambda x: F.struct(
-        F.regexp_extract(x, _FRAME_LINE, 1).try_cast("bigint").alias("no"), F.trim(F.regexp_extract(x, _FRAME_LINE, 2)).alias("text")))
+    rows = F.transform(F.filter(_lines(section), G.is_frame), lambda x: F.struct(
+        G.frame_number(x).alias("no"), G.frame_body(x).alias("text")))
     x = df.withColumn("_rows", rows).withColumn("_nos", F.col("_rows.no"))
     kept = F.filter("_rows", lambda r, i: F.array_position("_nos", r["no"]) == i + 1)
     return x.withColumn(out, F.slice(kept, 1, limit) if limit else kept).drop("_rows", "_nos")
 
 
-def backtrace_frames(df: DataFrame, section: str = "s_bt_full", limit: int = 10, keep=("dump_id",)) -> DataFrame:
-    """One row per frame line of the crashed thread, at most ``limit`` per dump as the debugger reader does."""
+def backtrace_frames(df: DataFrame, section: str = "s_bt_full", limit: int | None = None, keep=("dump_id",)) -> DataFrame:
+    """One row per frame line of the crashed thread; ``limit`` keeps the first ones of each dump."""
     x = with_frames(df.select(*keep, section), section, "f", limit)
     return rows_of(x, keep, "f", pos="pos").select(*keep, "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
 
@@ -130,18 +129,16 @@ def thread_role(crashed: Column, top) -> Column:
     return out.when(is_idle(top), "lcore_worker").otherwise("unknown")
 
 
-_THREAD = r"^\s*(\*?)\s*(\d+)\s+Thread\s+(0x[0-9a-f]+)\s+\(LWP\s+(\d+)\)\s+(.+?)$"
-
-
 def with_threads(df: DataFrame, section: str = "s_info_threads") -> DataFrame:
     """Add ``threads``: array of crashed flag, id, lwp, top frame, role and idle flag."""
     def one(x: Column) -> Column:
-        crashed = F.regexp_extract(x, _THREAD, 1) == "*"
-        top = F.trim(F.regexp_extract(x, _THREAD, 5))
-        return F.struct(crashed.alias("crashed"), F.regexp_extract(x, _THREAD, 2).alias("id"), F.regexp_extract(x, _THREAD, 4).alias("lwp"),
+        crashed = F.ltrim(x).startswith("*")
+        w = G.thread_words(x)
+        top = F.trim(w[5])
+        return F.struct(crashed.alias("crashed"), w[0].alias("id"), F.regexp_replace(w[4], r"\)", "").alias("lwp"),
                         top.alias("bt_top"), thread_role(crashed, top).alias("role"), is_idle(top).alias("idle"))
 
-    return df.withColumn("threads", F.transform(F.filter(_lines(section), lambda x: x.rlike(_THREAD)), one))
+    return df.withColumn("threads", F.transform(F.filter(_lines(section), G.is_thread), one))
 
 
 def thread_table(df: DataFrame, keep=("dump_id",)) -> DataFrame:
@@ -169,10 +166,9 @@ def external_abnormal_threads(df: DataFrame, keep=("dump_id",)) -> DataFrame:
 
 def thread_backtraces(df: DataFrame, section: str = "s_thread_bt", keep=("dump_id",)) -> DataFrame:
     """Frames per thread block; threads in a waiting call are left out."""
-    head = r"(?m)^\s*Thread\s+(\d+)\s+\(Thread\s+0x[0-9a-f]+\s+\(LWP\s+(\d+)\)\):?\s*$"
-    blocks = F.split(section, r"(?m)^(?=\s*Thread\s+\d+\s+\(Thread\s+0x)")
+    blocks = F.filter(F.split(section, r"(?m)^(?=[ \t]*Thread [0-9]+ )"), lambda b: (G.word(b) == "Thread") & (G.word(b, 2) == "(Thread"))
     x = rows_of(df, keep, blocks, "b")
-    x = with_frames(x.select(*keep, F.regexp_extract("b", head, 1).alias("tid"), "b").where("tid <> ''"), "b", "f")
+    x = with_frames(x.select(*keep, G.word(F.col("b"), 1).alias("tid"), "b"), "b", "f")
     awake = F.when(~F.exists("f", lambda r: is_idle(r["text"])), F.col("f"))
     return rows_of(x, [*keep, "tid"], awake, pos="pos").select(
         *keep, "tid", "pos", F.col("x.no").alias("frame_no"), F.col("x.text").alias("frame"))
@@ -180,9 +176,8 @@ def thread_backtraces(df: DataFrame, section: str = "s_thread_bt", keep=("dump_i
 
 def with_registers(df: DataFrame, section: str = "s_registers") -> DataFrame:
     """The six key registers as columns; the last value wins."""
-    pat = r"(\w+)\s+(0x[0-9a-f]+)"
-    pairs = F.arrays_zip(F.regexp_extract_all(section, F.lit(pat), 1), F.regexp_extract_all(section, F.lit(pat), 2))
-    x = df.withColumn("_p", F.transform(pairs, lambda z: F.struct(z["0"].alias("k"), z["1"].alias("v"))))
+    values = F.filter(_lines(section), lambda x: F.coalesce(G.word(x, 1).startswith("0x"), F.lit(False)))
+    x = df.withColumn("_p", F.transform(values, lambda x: F.struct(G.word(x).alias("k"), G.word(x, 1).alias("v"))))
 
     def last(n: str) -> Column:
         return F.try_element_at(F.filter("_p", lambda z: z["k"] == n), F.lit(-1))["v"]
@@ -191,18 +186,19 @@ def with_registers(df: DataFrame, section: str = "s_registers") -> DataFrame:
 
 
 def fault_address(df: DataFrame, section: str = "s_siginfo") -> DataFrame:
-    raw = F.regexp_extract(section, r"\$\d+\s*=\s*(0x[0-9a-f]+|\(void\s*\*\)\s*0x[0-9a-f]+|0)", 1)
-    hexa = F.regexp_extract(raw, r"0x[0-9a-f]+", 0)
-    return df.withColumn("fault_addr", F.when(hexa != "", hexa).when(raw == "0", "0x0"))
+    """The value printed for the address, ``$N = [(type)] 0xADDR`` or plain 0."""
+    said = F.filter(_lines(section), lambda x: F.ltrim(x).startswith("$") & x.contains("="))
+    value = F.element_at(F.split(G.strip(G.after(F.try_element_at(said, F.lit(1)), "=")), G.BLANKS), -1)
+    return df.withColumn("fault_addr", F.when(value.startswith("0x"), value).when(value == "0", "0x0"))
 
 
-def locals_table(df: DataFrame, section: str = "s_locals", keep=("dump_id",), limit: int = fixed.LOCAL_VALUE_LIMIT) -> DataFrame:
-    """name = value rows of the crash frame without headers; long values are shortened for display, ``leak`` is dropped."""
-    pat = r"^(\w+)\s*=\s*(.+)$"
-    x = rows_of(df, keep, F.filter(_lines(section), lambda x: x.rlike(pat)), "l", "pos")
-    x = x.select(*keep, "pos", F.regexp_extract("l", pat, 1).alias("name"), F.trim(F.regexp_extract("l", pat, 2)).alias("v"))
+def locals_table(df: DataFrame, section: str = "s_locals", keep=("dump_id",), limit: int | None = None) -> DataFrame:
+    """name = value rows of the crash frame without headers and ``leak``; ``limit`` shortens long values for display."""
+    x = rows_of(df, keep, F.transform(_lines(section), lambda x: F.split(x, "=", 2)), "l", "pos")
+    x = x.where("size(l) = 2").select(*keep, "pos", F.rtrim(F.col("l")[0]).alias("name"), F.trim(F.col("l")[1]).alias("v"))
+    x = x.where(F.col("name").rlike("^[A-Za-z0-9_]+$") & (F.col("v") != ""))
     x = x.where(~F.col("name").isin(*fixed.LOCAL_SKIP, "leak"))
-    short = F.when(F.length("v") <= limit, F.col("v")).otherwise(F.concat(F.substring("v", 1, limit), F.lit("…")))
+    short = F.col("v") if limit is None else F.when(F.length("v") <= limit, F.col("v")).otherwise(F.concat(F.substring("v", 1, limit), F.lit("…")))
     return x.select(*keep, "pos", "name", short.alias("value"))
 
 
@@ -214,14 +210,11 @@ def region_type(name) -> Column:
             .when(n.contains("librte_") | n.endswith(".so") | n.contains(".so."), "shared_lib").otherwise("executable"))
 
 
-_MAPPING = r"(0x[0-9a-f]+)\s+(0x[0-9a-f]+)\s+0x[0-9a-f]+\s+0x[0-9a-f]+\s*(.*?)$"
-
-
 def crash_region(df: DataFrame, section: str = "s_mappings", address: str = "rip") -> DataFrame:
     """First mapping line of the same text whose [start, end) holds the address."""
-    maps = F.transform(F.filter(_lines(section), lambda x: x.rlike(_MAPPING)), lambda x: F.struct(
-        hex_to_number(F.regexp_extract(x, _MAPPING, 1)).alias("a"), hex_to_number(F.regexp_extract(x, _MAPPING, 2)).alias("b"),
-        F.trim(F.regexp_extract(x, _MAPPING, 3)).alias("name")))
+    maps = F.transform(F.filter(_lines(section), G.is_mapping), lambda x: F.struct(
+        hex_to_number(G.mapping_words(x)[0]).alias("a"), hex_to_number(G.mapping_words(x)[1]).alias("b"),
+        F.coalesce(F.get(G.mapping_words(x), F.lit(4)), F.lit("")).alias("name")))
     x = df.withColumns({"_m": maps, "_a": hex_to_number(address)})
     hit = F.try_element_at(F.filter("_m", lambda m: (F.col("_a") >= m["a"]) & (F.col("_a") < m["b"])), F.lit(1))
     x = x.withColumn("_h", hit)
@@ -293,7 +286,7 @@ def parsed(df: DataFrame) -> DataFrame:
 def parse_warnings(df: DataFrame) -> DataFrame:
     """Data-quality texts of a parsed dump, plus the flag of a truncated backtrace without source."""
     regs = F.coalesce(*[F.col(r) for r in fixed.KEY_REGISTERS])
-    x = with_frames(df, "s_bt_full", "_f", 10).withColumn("_n", F.size("_f")).drop("_f")
+    x = with_frames(df, "s_bt_full", "_f").withColumn("_n", F.size("_f")).drop("_f")
     texts = [
         F.when(F.col("signal_name").isNull(), "signal section missing or unparseable"),
         F.when(regs.isNull(), "registers section missing"), F.when(F.col("_n") == 0, "backtrace is empty"),
@@ -306,21 +299,12 @@ def parse_warnings(df: DataFrame) -> DataFrame:
                           "truncated": F.col("_n").between(1, 2) & ~F.coalesce("has_debuginfo", F.lit(False))}).drop("_n")
 
 
-_FRAME = r"(?s)^#(\d+)\s+(0x[0-9a-fA-F]+)?\s*(?:in\s+)?([^\s(]+)(?:\s*\(.*?\))?(?:\s+at\s+(\S+:\d+))?"
-
-
-def normalize_func(c) -> Column:
-    """Function name without address, template arguments and parameter list."""
-    x = F.regexp_replace(F.trim(col(c)), r"^0x[0-9a-fA-F]+\s+(?:in\s+)?", "")
-    x = F.trim(F.split(F.regexp_replace(x, r"<[^<>]*>", ""), r"\(")[0])
-    return F.when(x == "", "unknown").otherwise(x)
-
-
 def frame_parse(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Frame text (with its ``#n``) to number, function, address and source; frames without a usable name are dropped."""
-    t = F.trim(col(frame))
-    x = df.withColumns({"idx": F.regexp_extract(t, _FRAME, 1).try_cast("bigint"), "func": normalize_func(F.regexp_extract(t, _FRAME, 3)),
-                        "address": regex_or_null(t, _FRAME, 2), "source": regex_or_null(t, _FRAME, 4)})
+    x = df.withColumns({"_line": col(frame), "_body": G.frame_body(col(frame))})
+    name = G.word(F.regexp_replace(G.without_address(F.col("_body")), r"\(", " "))
+    x = x.withColumns({"idx": F.when(G.is_frame(F.col("_line")), G.frame_number(F.col("_line"))), "func": G.bare_name(name),
+                       "address": G.frame_address(F.col("_body")), "source": G.place(F.col("_body"))}).drop("_line", "_body")
     return x.where(F.col("idx").isNotNull() & ~F.col("func").isin(*fixed.INVALID_FUNCS))
 
 
@@ -396,33 +380,33 @@ def symbol_quality(df: DataFrame, stderr: str = "stderr", code: str = "returncod
 
 # ---- start-up log and devices ------------------------------------------------------------------------------------
 
-def app_log_fields(df: DataFrame, text: str = "app_log", head: int = fixed.APP_LOG_HEAD) -> DataFrame:
-    """First match of each start-up field, linkage flag, probed devices and driver error in the start-up part of the log."""
-    x = df.withColumn("_t", F.array_join(F.slice(_lines(text), 1, head), "\n"))
+def app_log_fields(df: DataFrame, text: str = "app_log", head: int | None = None) -> DataFrame:
+    """First match of each start-up field, linkage flag, probed devices and driver error in the log, or its first ``head`` lines."""
+    x = df.withColumn("_t", F.array_join(F.slice(_lines(text), 1, head) if head else _lines(text), "\n"))
     cols = {n: F.trim(regex_or_null("_t", p, 1)) for n, p in fixed.APP_LOG_FIELDS.items()}
-    probe = r"EAL:\s*Probe PCI driver:\s*(\S+).*?device:\s*([0-9a-fA-F:.]+)"
-    src, msg = (F.regexp_extract("_t", r"(?m)^([A-Za-z_][A-Za-z0-9_]*)\(\):\s*(Failed to init PCI device.*)$", i) for i in (1, 2))
-    loose = F.trim(F.regexp_extract("_t", r"(?m)^(.*Failed to init PCI device.*)$", 1))
+    failed = F.filter(_lines("_t"), lambda s: s.contains("Failed to init PCI device"))
+    named = F.try_element_at(F.filter(failed, lambda s: G.word(s).endswith("():")), F.lit(1))
+    src, msg = (F.coalesce(c, F.lit("")) for c in (F.regexp_replace(G.word(named), r"\(\):$", ""), G.word(named, 1, 2)))
+    loose = F.coalesce(F.trim(F.try_element_at(failed, F.lit(1))), F.lit(""))
+    probed = F.filter(_lines("_t"), lambda s: s.contains("Probe PCI driver:") & s.contains("device:"))
     pick = lambda c: F.when(c != "", c)
     return x.withColumns({
         **cols, "shared_linkage": F.col("_t").rlike(r"EAL:\s*Detected shared linkage of DPDK"),
-        "probe_drivers": F.regexp_extract_all("_t", F.lit(probe), 1), "probe_devices": F.regexp_extract_all("_t", F.lit(probe), 2),
+        "probe_drivers": F.transform(probed, lambda s: G.word(G.after(s, "driver:"))),
+        "probe_devices": F.transform(probed, lambda s: G.word(G.after(s, "device:"))),
         "driver_error_source": pick(src), "driver_error_message": pick(F.trim(msg)),
         "driver_init_error": F.when(src != "", F.concat(src, F.lit("(): "), F.trim(msg))).otherwise(pick(loose)),
     }).drop("_t")
 
 
-def log_tail_fatal(df: DataFrame, text: str = "app_log", tail: int = fixed.APP_LOG_TAIL) -> DataFrame:
-    """Fatal line among the last lines of the log."""
+def log_tail_fatal(df: DataFrame, text: str = "app_log", tail: int | None = None) -> DataFrame:
+    """First fatal line of the log, or of its last ``tail`` lines."""
     lines = _lines(text)
-    last = F.slice(lines, F.greatest(F.size(lines) - tail + 1, F.lit(1)), F.lit(tail))
+    last = F.slice(lines, F.greatest(F.size(lines) - tail + 1, F.lit(1)), F.lit(tail)) if tail else lines
     hit = F.filter(last, lambda x: x.rlike(r"^Segmentation fault(?:\s*\(core dumped\))?\s*$"))
     return df.withColumns({"tail_lines": F.size(last), "fatal_signal": F.trim(F.try_element_at(hit, F.lit(1)))})
 
 
-_NIC = r"^([0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{2}\.[0-9a-f])\s+'([^']+)'(.*)$"
-
-
 def with_nics(df: DataFrame, text: str = "nic_text", out: str = "nics") -> DataFrame:
     """Add the device lines with the section they stand under, as array<struct>."""
     def section(x: Column) -> Column:
@@ -436,10 +420,11 @@ def with_nics(df: DataFrame, text: str = "nic_text", out: str = "nics") -> DataF
 
     def one(s: Column, i: Column) -> Column:
         current = F.try_element_at(F.filter(F.slice("_heads", F.lit(1), i + 1), lambda h: h.isNotNull()), F.lit(-1))
-        rest = F.regexp_extract(s, _NIC, 3)
-        device = F.get("_heads", i).isNull() & current.isNotNull() & s.rlike(_NIC)
+        parts = F.split(s, "'", 3)
+        pci, rest = F.trim(parts[0]), F.get(parts, F.lit(2))
+        device = F.get("_heads", i).isNull() & current.isNotNull() & (F.size(parts) == 3) & (F.size(F.split(pci, "[:.]")) == 4)
         return F.when(device, F.struct(
-            current.alias("section"), F.regexp_extract(s, _NIC, 1).alias("pci"), F.regexp_extract(s, _NIC, 2).alias("desc"),
+            current.alias("section"), pci.alias("pci"), parts[1].alias("desc"),
             kv(rest, "if").alias("iface"), kv(rest, "drv").alias("drv"), kv(rest, "unused").alias("unused"),
             rest.contains("*Active*").alias("active")))
 
@@ -466,7 +451,7 @@ def device_binding(devices: DataFrame, classes: DataFrame, userspace=fixed.USERS
     """
     d = devices.withColumn("class2", F.substring("class_code", 1, 2))
     c = classes.withColumnsRenamed({"vendor": "c_vendor", "device": "c_device"})
-    j = d.join(c, "class2").where("(c_vendor is null or c_vendor = vendor) and (c_device is null or c_device = device)")
+    j = d.join(small_side(c), "class2").where("(c_vendor is null or c_vendor = vendor) and (c_device is null or c_device = device)")
     state = (F.when(F.coalesce("driver", F.lit("")) == "", "no_driver").when(F.col("driver").isin(*userspace), "dpdk_bound").otherwise("kernel_bound"))
     out = j.select("category", "slot", "driver", state.alias("binding")).distinct()
     net = F.col("category") == "network"

@@ -222,9 +222,10 @@ def baseline_asof(features: DataFrame, baseline: DataFrame, ttl: int = fixed.BAS
     return asof_latest(features, ref, INSTANCE, "win", "ref_win", ttl, [f"ref_{c}" for c in metrics])
 
 
-def log_summary(rec_1s: DataFrame, rec_5s: DataFrame, requests: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
-    """Feature rows for requested (client_id, pid, seconds); bad spans and unknown instances get a message."""
-    ok = F.col("seconds").between(1, 200)
+def log_summary(rec_1s: DataFrame, rec_5s: DataFrame, requests: DataFrame, width: int = fixed.FEATURE_WINDOW, most: int | None = None) -> DataFrame:
+    """Feature rows for requested (client_id, pid, seconds); bad spans (below 1, above ``most``) and unknown instances get a message."""
+    ok = F.col("seconds") >= 1
+    ok = ok if most is None else ok & (F.col("seconds") <= most)
     asked = requests.where(ok).select(*INSTANCE, "seconds").distinct()
     one = rec_1s.join(asked.select(*INSTANCE), INSTANCE, "left_semi")
     five = rec_5s.join(asked.select(*INSTANCE), INSTANCE, "left_semi")
@@ -235,5 +236,5 @@ def log_summary(rec_1s: DataFrame, rec_5s: DataFrame, requests: DataFrame, width
         .where(F.col("win").isNull() | (F.col("win") > F.col("newest") - F.col("seconds")))
     )
     found = picked.withColumn("message", F.when(F.col("win").isNull(), "unknown client or process"))
-    bad = requests.where(~ok).select(*INSTANCE, "seconds").distinct().withColumn("message", F.lit("seconds must be within 1..200"))
+    bad = requests.where(~ok).select(*INSTANCE, "seconds").distinct().withColumn("message", F.lit(f"seconds must be within 1..{most or ''}"))
     return found.unionByName(bad, allowMissingColumns=True)

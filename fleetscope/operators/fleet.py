@@ -85,8 +85,8 @@ def total_time(crashes: DataFrame) -> DataFrame:
 
 
 def report_markdown(df: DataFrame) -> DataFrame:
-    """One Markdown report per row from joined columns; sections without data are left out, long cells are shortened."""
-    cell = lambda c: F.when(F.length(c) > 60, F.concat(F.substring(c, 1, 60), F.lit("…"))).otherwise(F.coalesce(c, F.lit("N/A")))
+    """One Markdown report per row from joined columns; sections without data are left out."""
+    cell = lambda c: F.coalesce(c, F.lit("N/A"))
     row = lambda c, name: F.concat(F.lit(f"| {name} | "), cell(F.col(c).cast("string")), F.lit(" |"))
     head = F.concat(F.lit(f"{fixed.REPORT_TITLE}\n\n> Run ID: `"), F.col("run_id").cast("string"), F.lit("`"))
     summary = F.concat_ws("\n", F.lit(fixed.REPORT_SUMMARY), *[row(c, name) for c, name in fixed.REPORT_FIELDS.items()])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions.groups import map_sorted_groups
+from fleetscope.functions.small import small_side
 from fleetscope.operators.telemetry import WINDOW
 
 RULE_SCHEMA = ("rule_id string, name string, severity string, metric string, condition string, threshold double, "
@@ -50,10 +51,10 @@ CONDITION_SQL = """case condition
 def rule_eval(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Enabled rules that hold, one row per window and rule.
 
-    The rule table is an ordinary join side; the planner broadcasts it while it stays under the broadcast threshold.
+    A rule table within the row bound of ``small_side`` goes to the features; nothing is shuffled by the few metrics.
     """
     return (
-        unpivot_features(features, with_ref=True).join(rules.where("enabled"), "metric").where(CONDITION_SQL)
+        unpivot_features(features, with_ref=True).join(small_side(rules.where("enabled")), "metric").where(CONDITION_SQL)
         .select(*WINDOW, "rule_id", "severity", "metric", "value", "ref", "threshold", "cooldown_sec", "escalate", "rule_no")
     )
 
@@ -182,14 +183,14 @@ def merge_flags(rule_flags: DataFrame, semantic_flags: DataFrame, keys: Sequence
 def max_severity(flags: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Highest severity of the rules behind the flags; flags without a rule count as info."""
     rank = "case severity when 'critical' then 3 when 'warning' then 2 else 1 end"
-    j = flags.join(rules.select(F.col("rule_id").alias("flag"), "severity"), "flag", "left")
+    j = flags.join(small_side(rules.select(F.col("rule_id").alias("flag"), "severity")), "flag", "left")
     top = j.groupBy(*keys).agg(F.max(F.expr(rank)).alias("r"))
     return top.select(*keys, F.expr("case r when 3 then 'critical' when 2 then 'warning' else 'info' end").alias("severity"))
 
 
 def needs_escalation(flags: DataFrame, rules: DataFrame, keys: Sequence[str], semantic: str | None = None) -> DataFrame:
     """True when the rule of any flag escalates or the semantic stage asked for it."""
-    j = flags.join(rules.select(F.col("rule_id").alias("flag"), F.col("escalate").alias("_e")), "flag", "left")
+    j = flags.join(small_side(rules.select(F.col("rule_id").alias("flag"), F.col("escalate").alias("_e"))), "flag", "left")
     asked = F.coalesce(F.col("_e"), F.lit(False))
     if semantic:
         asked = asked | F.coalesce(F.col(semantic), F.lit(False))

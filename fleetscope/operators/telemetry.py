@@ -230,7 +230,15 @@ def window_statistic(rec_1s: DataFrame, rec_5s: DataFrame, width: int = fixed.FE
 # ---- rate series ----------------------------------------------------------------------------------------
 
 def pps_series(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
-    """Receive rate of the busiest port for every pair of neighbouring snapshots inside a window."""
+    """The valid pairs of ``pps_pairs``."""
+    return pps_pairs(records, width).where("valid").drop("valid")
+
+
+def pps_pairs(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFrame:
+    """Receive rate of the busiest port for every pair of neighbouring snapshots inside a window.
+
+    ``valid`` tells pairs whose gap and rate are believable; the others stay in the result, for whoever counts them.
+    """
     entries = F.map_entries("ethdev_stats")
     top = F.array_max(F.transform(entries, lambda e, i: F.struct(
         e["value"]["ipackets"].alias("ip"), (-i).alias("o"), e["key"].alias("port"))))
@@ -243,10 +251,8 @@ def pps_series(records: DataFrame, width: int = fixed.FEATURE_WINDOW) -> DataFra
     before = F.try_element_at("pm", F.col("port"))
     dt = (F.col("t") - F.col("pt")).cast("double")
     x = x.withColumns({"dt": dt, "pps": F.try_divide(F.greatest(F.col("ip") - before, F.lit(0)).cast("double"), dt)})
-    return x.where(
-        before.isNotNull() & (F.col("dt") > fixed.MIN_PAIR_GAP) & (F.col("dt") <= fixed.MAX_PAIR_GAP)
-        & F.col("pps").between(0, fixed.MAX_PPS)
-    ).select(*WINDOW, "t", "port", "dt", "pps")
+    valid = (F.col("dt") > fixed.MIN_PAIR_GAP) & (F.col("dt") <= fixed.MAX_PAIR_GAP) & F.col("pps").between(0, fixed.MAX_PPS)
+    return x.where(before.isNotNull()).select(*WINDOW, "t", "port", "dt", "pps", F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
 def ema_smooth(series: DataFrame, alpha: float = fixed.EMA_ALPHA) -> DataFrame:

@@ -250,7 +250,7 @@ _view("fx_alerts", "fx_e", """event_id AS alert_id, client_id, ts AS triggered_a
 _view("fx_status", "fx_e", """user_id AS pid, event_id AS seq, t,
   CASE event_type WHEN 'error' THEN 'crashed' WHEN 'signup' THEN 'stop' ELSE 'running' END AS status""")
 
-_view("fx_heartbeats", "fx_e", "user_id AS client_id, t, ts, event_id", "event_type = 'view'")
+_view("fx_heartbeats", "fx_e", "user_id AS client_id, t, ts, event_id")
 
 _view("fx_instances", "customer", """concat('c', CAST(CAST(floor(c_custkey / 30.0) AS BIGINT) AS {STR})) AS client_id,
   c_custkey AS pid, c_name AS exe_name,
@@ -261,7 +261,7 @@ _view("fx_instances", "customer", """concat('c', CAST(CAST(floor(c_custkey / 30.
 _view("fx_core_files", "fx_e", """event_id, user_id, concat('core.app', CAST(k AS {STR}), '.', CAST(user_id AS {STR}), '.',
   CAST(user_id + 1 AS {STR}), '.', CASE k % 8 WHEN 0 THEN '4' WHEN 1 THEN '6' WHEN 2 THEN '7' WHEN 3 THEN '8' WHEN 4 THEN '11'
   WHEN 5 THEN '13' WHEN 6 THEN '15' ELSE '9' END, '.', CAST(t AS {STR}), '.!opt!bin!app', CAST(k AS {STR})) AS filename,
-  CAST(v AS DOUBLE) / 100 AS process_time, CAST(k AS DOUBLE) / 10 AS analyse_time, t""", "event_type = 'error'")
+  CAST(v AS DOUBLE) / 100 AS process_time, CAST(k AS DOUBLE) / 10 AS analyse_time, t""")
 
 _FUNCS = ("main", "__libc_start_main", "rte_pktmbuf_alloc", "rte_mempool_get", "rte_ring_enqueue", "mlx5_rx_burst",
           "rte_eal_init", "eal_thread_loop", "pthread_cond_wait", "process_packet", "rte_panic", "epoll_wait",
@@ -311,12 +311,12 @@ _view("fx_gdb", "fx_e", """event_id AS dump_id, concat('Program terminated with
   '=== THREAD_BT_BEGIN ===', chr(10), 'Thread 2 (Thread 0x7f02 (LWP 101)):', chr(10), '#0  0x1 in ', CASE k % 2 WHEN 0 THEN 'epoll_wait' ELSE 'poll_queue' END, ' ()', chr(10), '#1  0x2 in start ()', chr(10), '#1  0x2 in start ()', chr(10),
   'Thread 1 (Thread 0x7f01 (LWP 100)):', chr(10), '#0  0x3 in rte_pktmbuf_alloc ()', chr(10), '#1  0x4 in process_packet ()', chr(10), '=== THREAD_BT_END ===') AS gdb_text,
   CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'warning: No symbol table is loaded' WHEN 2 THEN 'file is truncated core' WHEN 3 THEN 'CRC mismatch: checksum does not match' ELSE 'Python Exception <x>: gdb.Value; register rip unavailable' END AS stderr,
-  CAST(k % 2 AS INT) AS returncode, k, v""", "event_type = 'error'")
+  CAST(k % 2 AS INT) AS returncode, k, v""")
 
 _view("fx_stack", "fx_e", """event_id AS dump_id, concat('TID 1:', chr(10), '#0  0x', {HEX(4198400 + v)HEX}, ' rte_mempool_get - /usr/lib/librte_mempool.so', chr(10),
   '    mempool.c:', CAST(k AS {STR}), chr(10), '#1  0x', {HEX(4198400 + v)HEX}, ' rte_mempool_get - /usr/lib/librte_mempool.so', chr(10),
   '#2  0x', {HEX(4398400 + v)HEX}, ' - /opt/bin/app', chr(10), 'TID 2:', chr(10), '#0  0x', {HEX(5398400 + v)HEX}, ' epoll_wait - /lib/libc.so.6', chr(10),
-  'TID 3:', chr(10), '#0  0x', {HEX(5398400 + v)HEX}, ' handle_flow') AS stack_text""", "event_type = 'error'")
+  'TID 3:', chr(10), '#0  0x', {HEX(5398400 + v)HEX}, ' handle_flow') AS stack_text""")
 
 _view("fx_log", "fx_e", """event_id AS log_id, concat('EAL: Detected CPU lcores: ', CAST(k AS {STR}), chr(10), 'EAL: Detected NUMA nodes: 2', chr(10),
   'EAL: Selected IOVA mode ''PA''', chr(10), CASE WHEN k % 4 = 0 THEN concat('EAL: Detected shared linkage of DPDK', chr(10)) ELSE '' END,
@@ -328,8 +328,7 @@ _view("fx_log", "fx_e", """event_id AS log_id, concat('EAL: Detected CPU lcores:
   CASE WHEN k % 3 = 0 THEN 'Segmentation fault (core dumped)' ELSE 'bye' END) AS app_log,
   concat('Network devices using kernel driver', chr(10), '===================================', chr(10),
   '0000:0', CAST(k % 10 AS {STR}), ':00.0 ''Some NIC'' if=eth0 drv=', CASE WHEN k % 3 = 0 THEN 'vfio-pci' ELSE 'ice' END, ' unused=vfio-pci *Active*', chr(10), chr(10),
-  'No ''Baseband'' devices detected', chr(10), 'Crypto devices using DPDK-compatible driver', chr(10), '0000:0', CAST(k % 10 AS {STR}), ':01.0 ''QAT'' drv=vfio-pci unused=') AS nic_text, k, v""",
-      "event_type = 'error'")
+  'No ''Baseband'' devices detected', chr(10), 'Crypto devices using DPDK-compatible driver', chr(10), '0000:0', CAST(k % 10 AS {STR}), ':01.0 ''QAT'' drv=vfio-pci unused=') AS nic_text, k, v""")
 
 _view("fx_storage_events", "documents", """doc_id, concat('{"EventName":"s3:ObjectCreated:', CASE WHEN lang = 'es' THEN 'Copy' ELSE 'Put' END, '","Records":[{"s3":{"bucket":{"name":"kb"},"object":{"key":"knowledge%2F2024-01-01%2Fabcd1234_doc',
   CAST(doc_id AS {STR}), '.txt","size":', CAST(n_chars * 1000 AS {STR}), ',"contentType":"text/plain","eTag":"', md5(text), '"}}}]}') AS body""")

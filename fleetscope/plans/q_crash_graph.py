@@ -55,8 +55,7 @@ def call_graph(spark, sf):
     return G.call_graph(canon(spark, sf))
 
 
-@query("call_hotspots", """SELECT dump_id, caller, callees, string_agg(callee, '|' ORDER BY callee) AS names FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dump_id, caller ORDER BY callee) AS r FROM ora_graph WHERE callees >= 3) g
-  WHERE r <= 4 GROUP BY dump_id, caller, callees""")
+@query("call_hotspots", "SELECT dump_id, caller, callees, callee FROM ora_graph WHERE callees >= 3")
 def call_hotspots(spark, sf):
     return tidy(G.call_hotspots(canon(spark, sf)))
 
@@ -66,8 +65,9 @@ def reciprocal_edges(spark, sf):
     return G.reciprocal_edges(canon(spark, sf))
 
 
-@query("crash_signature", f"""SELECT dump_id, tid, string_agg(func, ' < ' ORDER BY exec_depth DESC) AS signature FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dump_id, tid ORDER BY exec_depth DESC) AS r FROM ora_canon
-  WHERE NOT regexp_matches(func, '{'|'.join(fixed.SIGNATURE_SKIPS)}')) x WHERE r <= 20 GROUP BY dump_id, tid""")
+@query("crash_signature", f"""SELECT dump_id, tid, COUNT(*) AS frames, CAST(SUM(CAST('0x' || substr(md5(concat(CAST(r AS VARCHAR), ':', func)), 1, 12) AS BIGINT)) AS BIGINT) AS digest,
+  string_agg(func, ' < ' ORDER BY exec_depth DESC) FILTER (WHERE r <= 20) AS signature FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dump_id, tid ORDER BY exec_depth DESC) AS r FROM ora_canon
+  WHERE NOT regexp_matches(func, '{'|'.join(fixed.SIGNATURE_SKIPS)}')) x GROUP BY dump_id, tid""")
 def crash_signature(spark, sf):
     return G.crash_signature(canon(spark, sf))
 

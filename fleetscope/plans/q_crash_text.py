@@ -67,7 +67,7 @@ cte("ora_bt", """SELECT dump_id, frame_no, frame, CAST(ROW_NUMBER() OVER (PARTIT
   SELECT *, ROW_NUMBER() OVER (PARTITION BY dump_id, frame_no ORDER BY ln) AS rn FROM ora_btl) x WHERE rn = 1""")
 
 
-@query("backtrace_frames", "SELECT * FROM ora_bt WHERE pos < 10")
+@query("backtrace_frames", "SELECT * FROM ora_bt")
 def backtrace_frames(spark, sf):
     return tidy(C.backtrace_frames(C.with_sections(gdb(spark, sf))))
 
@@ -135,7 +135,7 @@ def fault_address(spark, sf):
     return C.fault_address(C.with_sections(gdb(spark, sf))).select("dump_id", "fault_addr")
 
 
-@query("locals_table", """SELECT dump_id, CAST(ROW_NUMBER() OVER (PARTITION BY dump_id ORDER BY ln) - 1 AS BIGINT) AS pos0, name, CASE WHEN length(v) <= 120 THEN v ELSE concat(substr(v, 1, 120), '…') END AS value FROM (
+@query("locals_table", """SELECT dump_id, CAST(ROW_NUMBER() OVER (PARTITION BY dump_id ORDER BY ln) - 1 AS BIGINT) AS pos0, name, v AS value FROM (
   SELECT dump_id, ln, regexp_extract(line, '^(\\w+)\\s*=\\s*(.+)$', 1) AS name, trim(regexp_extract(line, '^(\\w+)\\s*=\\s*(.+)$', 2)) AS v FROM (
     SELECT dump_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln FROM (SELECT dump_id, string_split(s_locals, chr(10)) AS ls FROM ora_sec) a) b WHERE regexp_matches(line, '^(\\w+)\\s*=\\s*(.+)$')) c
   WHERE name NOT IN ('frame', 'Stack', 'Locals', 'Arguments', 'leak')""".replace("CAST(ROW_NUMBER() OVER (PARTITION BY dump_id ORDER BY ln) - 1 AS BIGINT) AS pos0, ", ""))
@@ -199,7 +199,7 @@ def parse_warnings(spark, sf):
 
 _FP = "(?s)^#(\\d+)\\s+(0x[0-9a-fA-F]+)?\\s*(?:in\\s+)?([^\\s(]+)(?:\\s*\\(.*?\\))?(?:\\s+at\\s+(\\S+:\\d+))?"
 cte("ora_fp", f"""SELECT dump_id, frame_no AS idx, regexp_replace(regexp_extract(f, '{_FP}', 3), '<[^<>]*>', '', 'g') AS func, nullif(regexp_extract(f, '{_FP}', 2), '') AS address,
-  nullif(regexp_extract(f, '{_FP}', 4), '') AS source FROM (SELECT dump_id, frame_no, concat('#', CAST(frame_no AS VARCHAR), ' ', frame) AS f FROM ora_bt WHERE pos < 10) x""")
+  nullif(regexp_extract(f, '{_FP}', 4), '') AS source FROM (SELECT dump_id, frame_no, concat('#', CAST(frame_no AS VARCHAR), ' ', frame) AS f FROM ora_bt) x""")
 
 
 @query("frame_parse", "SELECT * FROM ora_fp WHERE func NOT IN ('??', 'unknown', '', '_start', '__libc_start_main')")
@@ -230,10 +230,11 @@ def stack_tool_frames(spark, sf):
     return tidy(C.stack_tool_frames(I.view(spark, sf, "fx_stack")))
 
 
-_NOTES = """event_id AS dump_id, CAST(CASE k % 4 WHEN 0 THEN 11 WHEN 1 THEN 6 WHEN 2 THEN 31 END AS {INT}) AS signal, concat('0x', {HEX(v)HEX}) AS rip, CASE WHEN k % 2 = 0 THEN '0x0' ELSE '0x9' END AS rdi,
+_NOTES = """event_id + CASE WHEN k % 7 = 3 THEN 1000000000 ELSE 0 END AS dump_id, CAST(CASE k % 4 WHEN 0 THEN 11 WHEN 1 THEN 6 WHEN 2 THEN 31 END AS {INT}) AS signal, concat('0x', {HEX(v)HEX}) AS rip, CASE WHEN k % 2 = 0 THEN '0x0' ELSE '0x9' END AS rdi,
   CASE WHEN k % 5 = 0 THEN NULL ELSE concat('0x', {HEX(k * 100)HEX}) END AS fault_addr"""
-cte("ora_notes", "SELECT " + _NOTES.replace("{INT}", "INTEGER").replace("{HEX(", "lower(to_hex(").replace(")HEX}", "))") + " FROM fx_e WHERE event_type IN ('error', 'signup') AND value > 10")
-cte("ora_cfs", f"SELECT event_id AS dump_id, {sig('split_part(filename, ' + chr(39) + '.' + chr(39) + ', 5)')} AS f_signal FROM fx_core_files WHERE process_time < 100")
+cte("ora_notes", "SELECT " + _NOTES.replace("{INT}", "INTEGER").replace("{HEX(", "lower(to_hex(").replace(")HEX}", "))") + " FROM fx_e")
+_CORE_ID = "event_id + CASE WHEN process_time < 20 THEN 2000000000 ELSE 0 END"
+cte("ora_cfs", f"SELECT {_CORE_ID} AS dump_id, {sig('split_part(filename, ' + chr(39) + '.' + chr(39) + ', 5)')} AS f_signal FROM fx_core_files")
 cte("ora_merge", f"""SELECT coalesce(d.dump_id, n.dump_id, f.dump_id) AS dump_id, coalesce(f_signal, CASE n.signal WHEN 11 THEN 'SIGSEGV' WHEN 6 THEN 'SIGABRT' WHEN 31 THEN 'SIG_31' END, d.signal_name) AS signal_name,
   coalesce(n.rip, d.rip) AS m_rip, coalesce(n.rdi, d.rdi) AS m_rdi, coalesce(n.fault_addr, d.fault_addr) AS m_fault, n.dump_id IS NOT NULL AS has_notes, n.rip AS rip, n.rdi AS rdi, n.fault_addr AS fault_addr, d.ct
   FROM (SELECT *, {CRASH_TYPE_SQL} AS ct FROM ora_reg) d FULL JOIN ora_notes n ON d.dump_id = n.dump_id FULL JOIN ora_cfs f ON coalesce(d.dump_id, n.dump_id) = f.dump_id""")
@@ -242,8 +243,8 @@ cte("ora_merge", f"""SELECT coalesce(d.dump_id, n.dump_id, f.dump_id) AS dump_id
 @query("merge_crash_sources", f"""SELECT dump_id, signal_name, m_rip AS rip, m_rdi AS rdi, m_fault AS fault_addr, CASE WHEN has_notes THEN {CRASH_TYPE_SQL} ELSE coalesce(ct, 'unknown') END AS crash_type FROM ora_merge""")
 def merge_crash_sources(spark, sf):
     text = _NOTES.replace("{INT}", "INT").replace("{HEX(", "lower(hex(").replace(")HEX}", "))")
-    notes = I.events(spark, sf).where("event_type in ('error', 'signup') and value > 10").selectExpr(*I._exprs(text))
-    files = C.core_filename(I.view(spark, sf, "fx_core_files").where("process_time < 100")).withColumnRenamed("event_id", "dump_id")
+    notes = I.events(spark, sf).selectExpr(*I._exprs(text))
+    files = C.core_filename(I.view(spark, sf, "fx_core_files").selectExpr("*", f"{_CORE_ID} as dump_id"))
     return C.merge_crash_sources(C.parsed(gdb(spark, sf)), notes, files)
 
 
@@ -333,8 +334,8 @@ def cpu_layout(spark, sf):
     return C.cpu_layout(c).withColumn("cpus", F.array_join(F.col("cpus").cast("array<string>"), ","))
 
 
-cte("ora_bundle", """SELECT user_id AS bundle, filename, FALSE AS x FROM fx_core_files UNION ALL SELECT user_id, concat('/var/log/app', CAST(k AS VARCHAR), '.LOG'), FALSE FROM fx_e WHERE event_type = 'click' AND k > 75
-  UNION ALL SELECT user_id, concat('/opt/bin/app', CAST(k AS VARCHAR)), k < 90 FROM fx_e WHERE event_type = 'view' AND k > 85""")
+cte("ora_bundle", """SELECT user_id AS bundle, filename, FALSE AS x FROM fx_core_files UNION ALL SELECT user_id, concat('/var/log/app', CAST(k AS VARCHAR), '.LOG'), FALSE FROM fx_e WHERE event_type = 'click'
+  UNION ALL SELECT user_id, concat('/opt/bin/app', CAST(k AS VARCHAR)), k < 90 FROM fx_e WHERE event_type = 'view'""")
 
 
 @query("bundle_manifest", """SELECT bundle, cores, logs, exes, others, core_path, log_path, exe_path, CASE WHEN cores <> 1 THEN 'need exactly one core file' WHEN logs > 1 THEN 'more than one log file' WHEN exes > 1 THEN 'more than one program' WHEN others > 0 THEN 'unknown file' END AS error FROM (
@@ -344,6 +345,6 @@ cte("ora_bundle", """SELECT user_id AS bundle, filename, FALSE AS x FROM fx_core
 def bundle_manifest(spark, sf):
     e = I.events(spark, sf)
     cores = I.view(spark, sf, "fx_core_files").selectExpr("user_id as bundle", "filename", "false as is_executable")
-    logs = e.where("event_type = 'click' and k > 75").selectExpr("user_id as bundle", "concat('/var/log/app', cast(k as string), '.LOG') as filename", "false as is_executable")
-    exes = e.where("event_type = 'view' and k > 85").selectExpr("user_id as bundle", "concat('/opt/bin/app', cast(k as string)) as filename", "k < 90 as is_executable")
+    logs = e.where("event_type = 'click'").selectExpr("user_id as bundle", "concat('/var/log/app', cast(k as string), '.LOG') as filename", "false as is_executable")
+    exes = e.where("event_type = 'view'").selectExpr("user_id as bundle", "concat('/opt/bin/app', cast(k as string)) as filename", "k < 90 as is_executable")
     return tidy(C.bundle_manifest(cores.unionByName(logs).unionByName(exes)))

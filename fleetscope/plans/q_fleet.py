@@ -132,8 +132,8 @@ def load_documents(spark, sf):
 
 
 @query("html_to_text", """SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '[\\r\\n]+'), lambda s: regexp_replace(s, '^[\\s ]+|[\\s ]+$', '', 'g')), lambda s: s <> ''), concat(chr(10), chr(10))) AS text FROM (
-  SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM pages) p""")
+  SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g'),
+    '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM pages) p""")
 def html_to_text(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", DOC.html_to_text("html").alias("text"))
 
@@ -234,7 +234,7 @@ def total_time(spark, sf):
 
 
 @query("report_markdown", """SELECT client_id, pid, win, concat('# DPDK 故障分析报告', chr(10), chr(10), '> Run ID: `', CAST(win AS VARCHAR), '`', chr(10), chr(10), '## 摘要', chr(10), chr(10), '| 字段 | 值 |', chr(10), '|------|----|', chr(10),
-  '| 客户端 | ', client_id, ' |', chr(10), '| 诊断置信度 | ', risk_level, ' |', chr(10), '| 崩溃时间 | ', CASE WHEN length(ct) > 60 THEN concat(substr(ct, 1, 60), '…') ELSE ct END, ' |', chr(10), chr(10),
+  '| 客户端 | ', client_id, ' |', chr(10), '| 诊断置信度 | ', risk_level, ' |', chr(10), '| 崩溃时间 | ', ct, ' |', chr(10), chr(10),
   CASE WHEN risk <> '' THEN concat('## 根因', chr(10), chr(10), risk, chr(10), chr(10)) ELSE '' END, '## 指标特征', chr(10), chr(10), '- ', replace(insight, '|', concat(chr(10), '- '))) AS report
   FROM (SELECT *, repeat(CAST(win AS VARCHAR), CAST(samples AS INTEGER)) AS ct FROM ora_feat) f""")
 def report_markdown(spark, sf):
@@ -244,12 +244,12 @@ def report_markdown(spark, sf):
 
 
 @query("diagnosis_inputs", f"""SELECT r.client_id, r.pid, r.crash_t, i.exe_name, coalesce(l.n, 0) AS log_rows, CASE WHEN c.client_id IS NULL THEN 'client not found' WHEN i.pid IS NULL THEN 'instance not found' WHEN k.pid IS NULL THEN 'crash record not found' ELSE '' END AS error
-  FROM (SELECT DISTINCT client_id, pid, t AS crash_t FROM fx_e WHERE event_type IN ('error', 'signup')) r LEFT JOIN (SELECT DISTINCT client_id FROM fx_instances) c ON c.client_id = r.client_id
+  FROM (SELECT DISTINCT client_id, pid, t AS crash_t FROM fx_e) r LEFT JOIN (SELECT DISTINCT client_id FROM fx_instances) c ON c.client_id = r.client_id
   LEFT JOIN fx_instances i ON i.client_id = r.client_id AND i.pid = r.pid LEFT JOIN (SELECT DISTINCT pid, t FROM fx_e WHERE event_type = 'error') k ON k.pid = r.pid AND k.t = r.crash_t
   LEFT JOIN (SELECT client_id, pid, COUNT(*) AS n FROM ora_rec WHERE t BETWEEN {AS_OF - 20} AND {AS_OF} GROUP BY client_id, pid) l ON l.client_id = r.client_id AND l.pid = r.pid""")
 def diagnosis_inputs(spark, sf):
     e = I.events(spark, sf)
-    req = e.where("event_type in ('error', 'signup')").selectExpr("client_id", "pid", "t as crash_t").distinct()
+    req = e.selectExpr("client_id", "pid", "t as crash_t").distinct()
     inst = I.view(spark, sf, "fx_instances")
     crashes = e.where("event_type = 'error'").selectExpr("pid", "t as crash_t").distinct()
     logs = S.scan_both_cadences(rec(spark, sf), AS_OF, 20).groupBy("client_id", "pid").agg(F.count(F.lit(1)).alias("log_rows"))

@@ -171,7 +171,7 @@ _ALERT_RAW = """CASE k % 3 WHEN 0 THEN concat('Title: ', event_type, ' alarm', c
 cte("ora_alertraw", f"SELECT event_id, {_ALERT_RAW.replace('{S}', 'VARCHAR')} AS raw FROM fx_e")
 
 
-@query("parse_alert_text", """SELECT event_id, coalesce(nullif(trim(regexp_extract(raw, '(?i)TITLE:\\s*(.+)', 1)), ''), substr(raw, 1, 80)) AS title,
+@query("parse_alert_text", """SELECT event_id, coalesce(nullif(trim(regexp_extract(raw, '(?i)TITLE:\\s*(.+)', 1)), ''), raw) AS title,
   coalesce(nullif(regexp_replace(regexp_extract(raw, '(?is)DESCRIPTION:\\s*(.+)', 1), '^\\s+|\\s+$', '', 'g'), ''), raw) AS description FROM ora_alertraw""")
 def parse_alert_text(spark, sf):
     e = I.events(spark, sf).select("event_id", F.expr(_ALERT_RAW.replace("{S}", "STRING")).alias("raw"))
@@ -238,10 +238,10 @@ def route_alerts(spark, sf):
 
 
 @query("crash_notice_targets", """SELECT a.alert_id, a.client_id, c.n > 0 AS ok, CASE WHEN c.n > 0 THEN 'crash notification sent' ELSE 'no recipients configured' END AS message, c.n AS recipients
-  FROM fx_alerts a, (SELECT COUNT(*) AS n FROM ora_mails WHERE rule_id = 1 AND email <> '') c WHERE a.severity = 'critical'""")
+  FROM fx_alerts a, (SELECT COUNT(*) AS n FROM ora_mails WHERE rule_id = 1 AND email <> '') c""")
 def crash_notice_targets(spark, sf):
     rules, mails, _ = mail_tables(spark, sf)
-    crashes = I.view(spark, sf, "fx_alerts").where("severity = 'critical'").select("alert_id", "client_id")
+    crashes = I.view(spark, sf, "fx_alerts").select("alert_id", "client_id")
     return A.crash_notice_targets(crashes, rules, mails)
 
 
@@ -286,7 +286,7 @@ def mail_log_search(spark, sf):
     return A.mail_log_search(log, "2024-01-05 00:00:00", "2024-01-20 12:00:00", "failed").drop("status")
 
 
-@query("prompt_context_rows", """SELECT client_id, pid, win, prompt, substr(sha256(prompt), 1, 16) AS content_hash, CAST(floor(length(prompt) / 4.0) AS BIGINT) AS token_estimate, least(n_pts, 3) AS few_shot_count FROM (
+@query("prompt_context_rows", """SELECT client_id, pid, win, prompt, substr(sha256(prompt), 1, 16) AS content_hash, CAST(floor(length(prompt) / 4.0) AS BIGINT) AS token_estimate, n_pts AS few_shot_count FROM (
   SELECT client_id, pid, win, CAST(points AS BIGINT) AS n_pts, concat('## insight', chr(10), insight, chr(10), chr(10), '## risk', chr(10), risk_level, chr(10), chr(10), '## baseline missed', chr(10), CAST(ref_missed AS VARCHAR)) AS prompt FROM ora_asof WHERE ref_missed IS NOT NULL
   UNION ALL SELECT client_id, pid, win, CAST(points AS BIGINT), concat('## insight', chr(10), insight, chr(10), chr(10), '## risk', chr(10), risk_level) FROM ora_asof WHERE ref_missed IS NULL) p""")
 def prompt_context_rows(spark, sf):

@@ -110,27 +110,28 @@ def st_counter_delta(spark, sf):
   GROUP BY client_id, sess) c WHERE dead_at <= (SELECT MAX(ts) FROM fx_heartbeats) - INTERVAL 30 HOUR""")
 def st_liveness(spark, sf):
     out = scratch_dir(spark, "st8")
-    h = events_stream(spark, sf).where("event_type = 'view'").selectExpr("user_id as client_id", "ts", "event_id")
+    h = events_stream(spark, sf).selectExpr("user_id as client_id", "ts", "event_id")
     run(J.liveness(h, out, "30 hours", "30 hours"))
     return J.read_output(spark, out).selectExpr("client_id", "cast(first_seen as timestamp_ntz) as first_seen", "cast(dead_at as timestamp_ntz) as dead_at", "beats")
 
 
 @query("st_registry_sync", """SELECT client_id, pid, CASE WHEN status = 'running' THEN 'register' ELSE 'unregister' END AS action FROM fx_instances WHERE (status = 'running') <> registered""")
 def st_registry_sync(spark, sf):
-    out = scratch_dir(spark, "st9")
-    s = J.file_stream(spark, sf, I.table(spark, sf, "customer").schema, "customer.parquet")
-    source, cols, _ = I._VIEWS["fx_instances"]
-    running = s.selectExpr(*I._exprs(cols.replace("{STR}", "STRING"))).where("status = 'running'")
-    run(J.registry_sync(running, I.view(spark, sf, "fx_instances").where("registered"), out))
-    return J.read_output(spark, out).drop("epoch")
+    """Two snapshots, each in several files and batches: first every process runs, then those with status running."""
+    out, src = scratch_dir(spark, "st9"), scratch_dir(spark, "st9in")
+    inst = I.view(spark, sf, "fx_instances")
+    first, second = inst.selectExpr("1L as sync", "client_id", "pid"), inst.where("status = 'running'").selectExpr("2L as sync", "client_id", "pid")
+    first.unionByName(second).repartition(6).write.parquet(src)
+    run(J.registry_sync(J.file_stream(spark, src, "sync long, client_id string, pid long", files_per_batch=2), out))
+    return J.read_registry_actions(spark, out, inst.where("registered"))
 
 
 @query("st_crash_dedup", "SELECT filename, COUNT(*) AS n FROM (SELECT DISTINCT filename FROM fx_core_files) f GROUP BY filename")
 def st_crash_dedup(spark, sf):
     """Every core file notice comes three times."""
     out = scratch_dir(spark, "st10")
-    _, cols, where = I._VIEWS["fx_core_files"]
-    e = events_stream(spark, sf).where(where).selectExpr("ts", *I._exprs(cols.replace("{STR}", "STRING")))
+    _, cols, _ = I._VIEWS["fx_core_files"]
+    e = events_stream(spark, sf).selectExpr("ts", *I._exprs(cols.replace("{STR}", "STRING")))
     thrice = e.select("ts", "filename", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("copy")).drop("copy")
     run(J.crash_dedup(thrice, out))
     return J.read_output(spark, out).groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
@@ -144,6 +145,4 @@ def st_alert_sink(spark, sf):
     out = scratch_dir(spark, "st11")
     hits = events_stream(spark, sf).selectExpr("event_id", "client_id", "event_type as rule_id", "event_type = 'error' and k < 30 as escalate")
     run(J.alert_sink(hits, out))
-    a, b = J.read_output(spark, out, "escalations"), J.read_output(spark, out, "alerts")
-    return a.select(F.lit("escalations").alias("sink"), "event_id", "client_id", "rule_id").unionByName(
-        b.select(F.lit("alerts").alias("sink"), "event_id", "client_id", "rule_id"))
+    return J.read_output(spark, out).select("sink", "event_id", "client_id", "rule_id")

@@ -169,12 +169,13 @@ def window_statistic(spark, sf):
                          "avg_usage", "max_usage", "hottest_lcore"))
 
 
-cte("ora_pairs", f"""SELECT client_id, pid, win, t, port, CAST(t - pt AS DOUBLE) AS dt,
+cte("ora_allpairs", f"""SELECT client_id, pid, win, t, port, CAST(t - pt AS DOUBLE) AS dt,
   CAST(greatest(ip - pip, 0) AS DOUBLE) / CAST(t - pt AS DOUBLE) AS pps FROM (
   SELECT client_id, pid, {W10} AS win, t, CASE WHEN p0_ip >= p1_ip THEN '0' ELSE '1' END AS port, greatest(p0_ip, p1_ip) AS ip,
   CASE WHEN p0_ip >= p1_ip THEN LAG(p0_ip) OVER w ELSE LAG(p1_ip) OVER w END AS pip, LAG(t) OVER w AS pt
   FROM fx_1s WINDOW w AS (PARTITION BY client_id, pid, {W10} ORDER BY t)) p
-  WHERE pt IS NOT NULL AND t - pt <= 3 AND CAST(greatest(ip - pip, 0) AS DOUBLE) / CAST(t - pt AS DOUBLE) <= 1e7""")
+  WHERE pt IS NOT NULL""")
+cte("ora_pairs", "SELECT * FROM ora_allpairs WHERE dt <= 3 AND pps <= 1e7")
 cte("ora_ema", """SELECT client_id, pid, win, ts, [list_reduce(list_slice(ps, 1, i), lambda a, b: CAST(0.3 AS DOUBLE) * b + CAST(0.7 AS DOUBLE) * a)
   for i in range(1, len(ps) + 1)] AS ema FROM (SELECT client_id, pid, win, list(t ORDER BY t) AS ts, list(pps ORDER BY t) AS ps
   FROM ora_pairs GROUP BY client_id, pid, win) g""")
@@ -186,9 +187,9 @@ cte("ora_series", """SELECT client_id, pid, win, n AS points, list_max(ema) AS p
     WHEN list_avg(ema[mid + 1:n]) / list_avg(ema[1:mid]) < 0.8 THEN 'decreasing_fast' ELSE 'stable' END AS short_trend FROM ora_half""")
 
 
-@query("pps_series", "SELECT client_id, pid, win, t, port, dt, round(pps, 6) AS pps FROM ora_pairs")
+@query("pps_series", "SELECT client_id, pid, win, t, port, dt, round(pps, 6) AS pps, dt <= 3 AND pps <= 1e7 AS valid FROM ora_allpairs")
 def pps_series(spark, sf):
-    return tidy(T.pps_series(I.records_1s(spark, sf)))
+    return tidy(T.pps_pairs(I.records_1s(spark, sf)))
 
 
 @query("ema_smooth", """SELECT client_id, pid, win, unnest(ts) AS t, unnest(ema) AS ema FROM ora_ema""")
@@ -462,9 +463,9 @@ def baseline_asof(spark, sf):
 
 
 @query("log_summary_tool", """SELECT a.client_id, a.pid, a.seconds, f.win, f.risk_score, f.risk_level, f.insight, CASE WHEN f.win IS NULL THEN 'unknown client or process' END AS message
-  FROM (SELECT client_id, pid, pid % 250 AS seconds FROM fx_instances WHERE pid % 250 BETWEEN 1 AND 200) a LEFT JOIN (SELECT *, MAX(win) OVER (PARTITION BY client_id, pid) AS newest FROM ora_feat) f
+  FROM (SELECT client_id, pid, pid % 250 AS seconds FROM fx_instances WHERE pid % 250 >= 1) a LEFT JOIN (SELECT *, MAX(win) OVER (PARTITION BY client_id, pid) AS newest FROM ora_feat) f
   ON f.client_id = a.client_id AND f.pid = a.pid AND f.win > f.newest - a.seconds
-  UNION ALL SELECT client_id, pid, pid % 250, NULL, NULL, NULL, NULL, 'seconds must be within 1..200' FROM fx_instances WHERE pid % 250 NOT BETWEEN 1 AND 200""")
+  UNION ALL SELECT client_id, pid, pid % 250, NULL, NULL, NULL, NULL, 'seconds must be within 1..' FROM fx_instances WHERE pid % 250 < 1""")
 def log_summary_tool(spark, sf):
     """Requests: every instance with a span taken from its number; some are out of range, some unknown."""
     inst = I.view(spark, sf, "fx_instances")

@@ -2,59 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions.scalars import col
 
-# extension -> column function from file bytes to text; callers may add their own
-PARSERS: dict[str, Callable[[Column], Column]] = {}
+Reader = Callable[[Column], Column]
 
 
-def register_parser(*extensions: str):
-    def deco(fn: Callable[[Column], Column]):
-        for e in extensions:
-            PARSERS[e.lower()] = fn
-        return fn
-
-    return deco
-
-
-@register_parser("txt", "md", "log", "csv")
 def plain_text(content: Column) -> Column:
-    """UTF-8 text; bytes that are no UTF-8 are left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 text; bytes that are no UTF-8 are left out, a replacement character that is in the text stays."""
+    bad, genuine = F.lit("\ufffd"), F.lit("\U0010ffff\U0010fffe")  # the pair of non-characters cannot be in a text
+    marked = F.replace(content.cast("string"), bad, genuine)
+    return F.replace(F.replace(F.make_valid_utf8(marked), bad, F.lit("")), genuine, bad)
 
 
-@register_parser("html", "htm")
 def html_text(content: Column) -> Column:
     return html_to_text(plain_text(content))
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: File types read by default: extension to column function from bytes to text.
+READERS: dict[str, Reader] = {"txt": plain_text, "md": plain_text, "log": plain_text, "csv": plain_text, "html": html_text, "htm": html_text}
+
+# An element whose content is no text ends at its own end tag only; a tag may hold ``>`` inside quotes.
+_HIDDEN = r"(?is)<(script|style|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>"
+_TAG = r"(?s)</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+
+
+@lru_cache(maxsize=1)
+def _named() -> tuple[list[str], list[str]]:
+    names = sorted(k[:-1] for k in html5 if k.endswith(";"))
+    return names, [html5[f"{n};"] for n in names]
+
+
+def decode_entities(c: Column) -> Column:
+    """Character references, by name or number, as characters; anything else after an ampersand stays."""
+    names, values = _named()
+    table = F.map_from_arrays(F.lit(names), F.lit(values))
+    pieces = F.split(c, "&")
+
+    def one(p: Column) -> Column:
+        name = F.substring_index(p, ";", 1)
+        number = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).when(
+            name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7).cast("int"))
+        legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(legal, number)), 8, "0")), "UTF-32")
+        known = F.when(number.isNotNull(), char).when(name.rlike("^[A-Za-z][A-Za-z0-9]*$"), F.try_element_at(table, name))
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        return F.when(p.contains(";") & known.isNotNull(), F.concat(known, rest)).otherwise(F.concat(F.lit("&"), p))
+
+    more = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    return F.when(c.contains("&"), F.concat(pieces[0], F.array_join(more, ""))).otherwise(c)
 
 
 def html_to_text(html) -> Column:
-    """Drop scripts, styles and comments, cut at tags, decode common entities, keep non-blank lines apart by blank lines."""
-    x = F.regexp_replace(col(html), r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "\n")
-    for e, c in ENTITIES:
-        x = F.replace(x, F.lit(e), F.lit(c))
-    lines = F.transform(F.split(x, r"[\r\n]+"), lambda s: F.regexp_replace(s, "^[\\s ]+|[\\s ]+$", ""))
+    """Drop scripts, styles and comments, cut at tags, decode character references, keep non-blank lines apart by blank lines."""
+    x = decode_entities(F.regexp_replace(F.regexp_replace(col(html), _HIDDEN, ""), _TAG, "\n"))
+    lines = F.transform(F.split(x, r"[\r\n]+"), lambda s: F.regexp_replace(s, "^[\\s\u00a0]+|[\\s\u00a0]+$", ""))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n\n")
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Rows of the binary file source to text by extension; other types give an error row."""
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    x = files.withColumn("filetype", ext)
-    text = None
-    for e, fn in PARSERS.items():
-        test = F.col("filetype") == e
-        text = F.when(test, fn(F.col("content"))) if text is None else text.when(test, fn(F.col("content")))
-    known = F.col("filetype").isin(*PARSERS)
+def parse_files(files: DataFrame, readers: Mapping[str, Reader] = READERS) -> DataFrame:
+    """Rows of the binary file source to text by extension; types that ``readers`` lacks give an error row."""
+    x = files.withColumn("filetype", F.lower(F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), -1)))
+    text = F.lit(None).cast("string")
+    for e, read in readers.items():
+        text = F.when(F.col("filetype") == e, read(F.col("content"))).otherwise(text)
+    known = F.col("filetype").isin(*readers)
     return x.select(F.col("path").alias("source_key"), "filetype", text.alias("text"),
                     F.when(~known, F.concat(F.lit("no parser for ."), "filetype")).alias("error"))
 

@@ -195,15 +195,28 @@ def read_ring(spark: SparkSession, out: str, n: int = fixed.RING_1S) -> DataFram
     return last_n_per_key(read_output(spark, out).drop("epoch"), [*T.INSTANCE, "category", "name"], "t", n)
 
 
-def registry_sync(running: DataFrame, registered: DataFrame, out: str) -> StreamingQuery:
-    """Register and unregister actions of every sync, against the registry table."""
-    return _start(running, out, lambda b, e: _write_epoch(registry_diff(b, registered), out, e))
+def registry_sync(running: DataFrame, out: str) -> StreamingQuery:
+    """Log of the running processes: sync (time of the snapshot), client_id, pid. A snapshot may span many batches."""
+    last = lambda b: b.groupBy(*T.INSTANCE).agg(F.max("sync").alias("sync"))
+    return _start(running, out, lambda b, e: _write_epoch(last(b), out, e))
+
+
+def read_registry_actions(spark: SparkSession, out: str, registered: DataFrame, sync: int | None = None) -> DataFrame:
+    """Register and unregister actions of one complete snapshot, by default the newest, against the registry table.
+
+    The log holds the newest sync that saw each process, whatever batch or file it came in, so a process counts as
+    running if that is the snapshot asked for (or a later one).
+    """
+    seen = read_output(spark, out).groupBy(*T.INSTANCE).agg(F.max("sync").alias("sync"))
+    at = seen.agg(F.max("sync").alias("_at")) if sync is None else spark.range(1).select(F.lit(sync).alias("_at"))
+    alive = seen.join(F.broadcast(at), F.col("sync") >= F.col("_at")).select(*T.INSTANCE)  # one row
+    return registry_diff(alive, registered)
 
 
 def alert_sink(results: DataFrame, out: str) -> StreamingQuery:
-    """Two sinks per batch: escalations and alerts."""
+    """One write per batch, partitioned by sink: escalations and alerts."""
     def each(b: DataFrame, e: int) -> None:
-        _write_epoch(b.where("escalate"), out, e, "escalations")
-        _write_epoch(b.where("not escalate"), out, e, "alerts")
+        named = b.withColumn("sink", F.when(F.col("escalate"), "escalations").otherwise("alerts"))
+        named.write.mode("overwrite").partitionBy("sink").parquet(f"{out}/data/epoch={e}")
 
     return _start(results, out, each)

@@ -101,8 +101,9 @@ def test_symbol_quality_levels(spark):
 def test_log_head_and_tail(spark):
     text = "\n".join(["x"] * 600 + ["EAL: Detected CPU lcores: 4"] + ["Segmentation fault"] + ["y"] * 199)
     df = spark.createDataFrame([(1, text)], "log_id int, app_log string")
-    assert C.app_log_fields(df).first().detected_lcores is None
-    r = C.log_tail_fatal(df).first()
+    assert C.app_log_fields(df, head=500).first().detected_lcores is None
+    assert C.app_log_fields(df).first().detected_lcores == "4"
+    r = C.log_tail_fatal(df, tail=200).first()
     assert (r.tail_lines, r.fatal_signal) == (200, "Segmentation fault")
     assert C.log_tail_fatal(df, tail=199).first().fatal_signal is None
     assert C.log_tail_fatal(df.withColumn("app_log", F.lit("a"))).first().tail_lines == 1
