@@ -9,7 +9,7 @@ from fleetscope.llm import mixing, near_dup, packing, secrets, toxicity
 from fleetscope.llm.common import fold, small_batches, stage, table
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, max_rows: int = 12_000) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, max_rows: int = 4_000) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of the training folds."""
     small_batches(spark)
     labels = table(spark, sf_dir, "labels")

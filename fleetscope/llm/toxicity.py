@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,8 @@ def train(
     if not 0 < positives < n:
         return ToxicityModel(w, bias, orders, bits)
     ratio = (log_count_ratios(rows, bits, smooth) / scale).astype(np.float32)
-    fit = rows.where("part % 5 <> 0").repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic"))
+    # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
+    fit = rows.where("part % 5 <> 0").repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
     for r in range(rounds):
         def epoch(batches: Iterator[pd.DataFrame], w=w, bias=bias, step=rate / (1 + 0.3 * r)) -> Iterator[pd.DataFrame]:
             own, b, seen = w.copy(), bias, 0
@@ -114,6 +116,7 @@ def train(
             break
         w = sum(np.frombuffer(f["w"], np.float32) * np.float32(f["n"] / total) for f in found)
         bias = float(sum(f["b"] * f["n"] / total for f in found))
+    fit.unpersist()
     model = ToxicityModel(w * ratio, bias, orders, bits)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +150,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> Column:
     return F.pandas_udf(score, "double")("text")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     Labels of fold 0 (see ``common.fold``) are never used. Repeated rows get equal scores; an empty table gives none.
