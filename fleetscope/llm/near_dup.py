@@ -7,9 +7,9 @@ packed into five words, from which bit counts give the similarity, corrected for
 Classes that share a band are candidates. A band of m classes hands on m - 1 pairs: each class with the band's hub, the
 member whose signature is close to most others. Bands with the same members count once. Pairs whose corrected estimate
 is far below the threshold are dropped, the rest confirmed on the full sets. Links between other members of a band
-matter only where they join different components, so those pairs alone are compared afterwards, in blocks of signatures
-inside a task, and confirmed likewise. No list of all pairs of a band is ever made, and at 0.75 a pair misses all 40
-bands once in four million.
+matter only where they join different components, so those pairs alone are compared afterwards, in blocks of finer
+signatures (two bits of the minimum of each of 1,024 slices of the hash range) inside a task, and confirmed likewise. No
+list of all pairs of a band is ever made, and at 0.75 a pair misses all 40 bands once in four million.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ LOW_BITS = 2
 WORDS = BANDS * ROWS * LOW_BITS // 64
 #: Four standard deviations of the estimate below a similarity of 0.75, so that no link is lost to the estimate.
 MARGIN = 0.165
+#: Slices of the finer signature, and four standard deviations of its estimate.
+SLICES, FINE_MARGIN = 1024, 0.07
 BLOCK = 512
 
 _RNG = np.random.default_rng(20240229)
@@ -87,7 +89,7 @@ def sketch(text: str | None) -> tuple:
     """Size of the set, its two fingerprints, the packed low bits and the band keys."""
     s = shingle_set(text)
     if not len(s):
-        return 0, 0, 0, [0] * WORDS, []
+        return 0, 0, 0, [0] * WORDS, [], fine(s)
     m = minima(s)
     low = (m & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(WORDS, -1)
     shift = np.arange(low.shape[1], dtype=np.uint64) * np.uint64(LOW_BITS)
@@ -96,19 +98,28 @@ def sketch(text: str | None) -> tuple:
     for column in m.reshape(BANDS, ROWS).T.astype(np.uint64):
         key = _mix(key ^ column)
     one, two = s.sum(dtype=np.uint64), _mix(s ^ _M1).sum(dtype=np.uint64)
-    return len(s), int(one.view(np.int64)), int(two.view(np.int64)), packed.view(np.int64), key.view(np.int64)
+    return len(s), int(one.view(np.int64)), int(two.view(np.int64)), packed.view(np.int64), key.view(np.int64), fine(s)
 
 
-SKETCH = "n long, h1 long, h2 long, sig array<long>, bands array<long>"
+def fine(s: np.ndarray) -> bytes:
+    """Two bit planes over the slices of the hash range: 0 for an empty slice, else 1 to 3 by the low bits of its minimum."""
+    at = (s >> np.uint64(64 - 10)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(s) else np.zeros(0, np.int64)  # the set is sorted
+    code = np.zeros(SLICES, np.uint8)
+    code[at[first]] = (s[first] % np.uint64(3)).astype(np.uint8) + 1
+    return np.packbits(np.stack([code & 1, code >> 1])).tobytes()
+
+
+SKETCH = "n long, h1 long, h2 long, sig array<long>, bands array<long>, fine binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n, h1, h2, sig, bands) of every row, in one pass over the texts; ``row`` is unique once written."""
+    """(doc_id, row, n, h1, h2, sig, bands, fine) of every row, in one pass over the texts; ``row`` is unique once written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 40
         for pdf in batches:
-            out = pd.DataFrame([sketch(t) for t in pdf["text"]], columns=["n", "h1", "h2", "sig", "bands"])
+            out = pd.DataFrame([sketch(t) for t in pdf["text"]], columns=["n", "h1", "h2", "sig", "bands", "fine"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
             out.insert(1, "row", np.arange(row, row + len(out)))
             row += len(out)
@@ -196,6 +207,20 @@ def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / (BANDS * ROWS) - _CHANCE) / (1 - _CHANCE)
 
 
+def _similar_fine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of estimates from finer signatures (rows of two planes of words), corrected for one chance in three."""
+    half = a.shape[1] // 2
+    either, both, same = (np.zeros((len(a), len(b)), np.int32) for _ in range(3))
+    for w in range(half):
+        a0, a1, b0, b1 = a[:, w, None], a[:, half + w, None], b[None, :, w], b[None, :, half + w]
+        has_a, has_b = a0 | a1, b0 | b1
+        pair = has_a & has_b
+        either += np.bitwise_count(has_a | has_b)
+        both += np.bitwise_count(pair)
+        same += np.bitwise_count(pair & ~((a0 ^ b0) | (a1 ^ b1)))
+    return (3 * same - both) / 2 / np.maximum(either, 1)
+
+
 def _signatures(rows: pd.DataFrame) -> np.ndarray:
     return rows[_SIG].to_numpy(np.int64).view(np.uint64)
 
@@ -241,16 +266,16 @@ def hubs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (key, node, h1, n, comp, size, s0..) of a band in different components that may be similar.
+    """Pairs of members (key, node, h1, n, comp, size, fine) of a band in different components that may be similar.
 
     Bands over ``BLOCK`` members are cut into blocks by a hash; every pair of blocks is one group of at most two blocks'
     rows, whose signatures are compared as a matrix. Only pairs near or above the threshold leave the task.
     """
-    floor = percent / 100 - MARGIN
+    floor = percent / 100 - FINE_MARGIN
     cut = members.selectExpr("*", f"cast(ceil(size / {BLOCK}) as int) as k").selectExpr("*", "cast(pmod(xxhash64(node), k) as int) as blk")
     grid = cut.selectExpr(
-        "key", "node", "h1", "n", "comp", "blk", *_SIG, "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
-    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "comp", *_SIG)
+        "key", "node", "h1", "n", "comp", "blk", "fine", "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
+    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "comp", "fine")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame | None:
         comp = rows["comp"].to_numpy()
@@ -258,7 +283,8 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
             return None
         i, j, blk = rows["i"].iloc[0], rows["j"].iloc[0], rows["blk"].to_numpy()
         left, right = rows[blk == i], rows[blk == j]
-        near = _similar(_signatures(left), _signatures(right)) >= floor
+        words = lambda x: np.frombuffer(b"".join(x["fine"]), np.uint64).reshape(len(x), -1)
+        near = _similar_fine(words(left), words(right)) >= floor
         na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
         near &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
         near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
@@ -286,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = base.where("n > 0 and doc_id is not null")
     first = known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.count(F.lit(1)).alias("copies"))
     classes = stage(first.selectExpr("h1", "h2", "f.doc_id as node", "f.row as row", "copies"), "dup-classes")
-    reps = stage(known.join(classes.select("row"), "row").selectExpr("doc_id as node", "h1", "n", "sig", "bands"), "dup-reps")
+    reps = stage(known.join(classes.select("row"), "row").selectExpr("doc_id as node", "h1", "n", "sig", "bands", "fine"), "dup-reps")
     rows = reps.select(F.explode("bands").alias("key"), "node", "h1")
     band = rows.groupBy("key").agg(F.min(F.struct("node", "h1")).alias("c"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", "h1")).alias("x"))
     bands = stage(band.where("size > 1").groupBy("size", "c", "x").agg(F.min("key").alias("key")), "dup-bands")
@@ -304,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Other members of a band: only pairs that would join different components.
     placed = stage(shared.where("size > 2").join(roots, "node", "left").selectExpr("key", "node", "h1", "size", "coalesce(root, node) as comp"), "dup-placed")
     torn = stage(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "dup-torn")
-    members = placed.join(torn, "key").join(marks, ["node", "h1"])
+    members = placed.join(torn, "key").join(reps.select("node", "h1", "n", "fine"), ["node", "h1"])
     ends = "struct(a as i, ha as h), struct(b as i, hb as h)"
     ordered = lambda df: df.selectExpr(f"greatest({ends}) as x", f"least({ends}) as y").selectExpr("x.i as a", "x.h as ha", "y.i as b", "y.h as hb")
     more = ordered(compare_blocks(members, percent)).distinct()

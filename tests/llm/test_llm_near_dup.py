@@ -86,9 +86,8 @@ def test_hot_groups_are_cut(spark, family, monkeypatch):
 
 def test_blocks_find_cross_component_pairs(spark, family):
     sets = [(i, shingle_set(t)) for i, t in family]
-    rows = [(7, i, i, len(s), *near_dup.sketch(t)[3].tolist(), i, len(sets)) for (i, s), (_, t) in zip(sets, family)]
-    marks = ", ".join(f"s{w} long" for w in range(near_dup.WORDS))
-    members = spark.createDataFrame(rows, f"key long, node long, h1 long, n long, {marks}, comp long, size long")
+    rows = [(7, i, i, len(s), near_dup.fine(s), i, len(sets)) for i, s in sets]
+    members = spark.createDataFrame(rows, "key long, node long, h1 long, n long, fine binary, comp long, size long")
     got = {tuple(sorted((r["a"], r["b"]))) for r in compare_blocks(members, 75).collect()}
     for k, (i, s) in enumerate(sets):
         for j, t in sets[:k]:
@@ -103,6 +102,15 @@ def test_minima_estimate_similarity():
     assert abs((minima(a) == minima(b)).mean() - true) < 0.12
 
 
+@pytest.mark.parametrize("n", [30, 300, 3000, 30_000])
+def test_finer_estimates(n):
+    words = lambda s: np.frombuffer(near_dup.fine(s), np.uint64).reshape(1, -1)
+    for trial in range(20):
+        a, b = (shingle_set(" ".join(f"v{trial}w{i}" for i in range(k, n + k))) for k in (0, n // 7))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(float(near_dup._similar_fine(words(a), words(b))[0, 0]) - true) < near_dup.FINE_MARGIN
+
+
 def test_connected(spark):
     edges = [(1, 2), (3, 2), (9, 3), (20, 21), (22, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     roots = {r["node"]: r["root"] for r in connected(stage(spark.createDataFrame(edges, "a long, b long"), "t")).collect()}
