@@ -1,20 +1,21 @@
 """Chunking, vector search, keyword search, rank fusion and recall.
 
-Exhaustive scoring is done cell by cell: documents are cut into cells by key hash, queries into blocks, and each
-(cell, block) is scored by one small task that hands on only its k best per query. Nothing is broadcast, no pair of
-query and document crosses the network, and the cell size bounds the memory of a task whatever the data looks like.
+Exhaustive scoring is done cell by cell: documents are cut into cells by key hash and each goes to its cell once; the
+queries pass every cell as a stream and bring back their k best. Nothing is broadcast, no scored pair crosses the network
+but the k best, and the sizes of cell and block bound the memory of a task whatever the data looks like.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fleetscope.functions import fixed
 from fleetscope.functions.scalars import col, nonblank, rows_of
@@ -141,14 +142,65 @@ def _best_per_query(parts: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _cell_cogroup(queries: DataFrame, items: DataFrame, item_key: str, q_rows: int, i_rows: int, n_q: int, n_i: int):
-    """Spread queries over all item cells and items over all query blocks, as two grouped frames on (cell, block)."""
-    cells, blocks = _blocks(n_i, i_rows), _blocks(n_q, q_rows)
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    i = items.withColumn("_c", F.pmod(F.xxhash64(item_key), F.lit(cells)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return q.groupBy("_c", "_b"), i.groupBy("_c", "_b")
+def _cell_stream(queries: DataFrame, items: DataFrame, item_key: str, cells: int, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+                 q_rows: int) -> DataFrame:
+    """``score(block of queries, items of a cell)`` for every cell, as (query_id, id, score).
+
+    An item lies in one cell, by a hash of its key, and is sent there once. A task reads the items of a cell, then the
+    queries as a stream, in blocks of at most ``q_rows`` whole queries; so it holds one cell and one block, however many
+    queries there are.
+    """
+    sides = (("i_", items), ("q_", queries))
+
+    def packed(side: int, cell: Column) -> DataFrame:
+        """The columns of both sides; those of the other side hold zeros or NULL, so that whole numbers stay whole."""
+        cols = []
+        for n, (prefix, df) in enumerate(sides):
+            for f in df.schema.fields:
+                blank = F.lit(0 if isinstance(f.dataType, NumericType) else None).cast(f.dataType)
+                cols.append((F.col(f.name) if n == side else blank).alias(prefix + f.name))
+        return sides[side][1].select(cell.alias("_c"), F.lit(side).alias("_side"), *cols)
+
+    i = packed(0, F.pmod(F.xxhash64(item_key), F.lit(cells)).cast("int"))
+    q = packed(1, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    dealt = i.unionByName(q).repartition(cells, "_c").sortWithinPartitions("_c", "_side", "q_query_id")
+
+    names = [(p, df.columns) for p, df in sides]
+
+    def frame(rows: pd.DataFrame, side: int) -> pd.DataFrame:
+        prefix, own = names[side]
+        return rows[[prefix + n for n in own]].set_axis(own, axis=1)
+
+    def blocks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids = rows["query_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        for lo in range(0, len(starts), q_rows):
+            yield rows.iloc[starts[lo]:starts[lo + q_rows] if lo + q_rows < len(starts) else len(rows)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, rest = None, [], None
+        for pdf in batches:
+            for c, part in pdf.groupby("_c", sort=True):
+                if c != cell:
+                    if rest is not None and held:
+                        yield from (score(b, pd.concat(held)) for b in blocks(rest))
+                    cell, held, rest = c, [], None
+                if len(new := part[part["_side"] == 0]):
+                    held.append(frame(new, 0))
+                asked = part[part["_side"] == 1]
+                if not len(asked) or not held:
+                    continue
+                held = [pd.concat(held)]
+                rows = frame(asked, 1)
+                rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+                done = rows["query_id"] != rows["query_id"].iloc[-1]  # the last query may go on in the next batch
+                rest = rows[~done]
+                if done.any():
+                    yield from (score(b, held[0]) for b in blocks(rows[done]))
+        if rest is not None and held:
+            yield from (score(b, pd.concat(held)) for b in blocks(rest))
+
+    return dealt.mapInPandas(run, "query_id bigint, id bigint, score double")
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -169,31 +221,29 @@ def _top_rows(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) ->
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
-    """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec)."""
+    """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec).
+
+    Every item crosses the network once; a query goes to every cell and brings back its k best of it.
+    """
     q = queries.select(F.col("query_id").cast("bigint"), F.col("vec").alias("qvec"))
     i = items.select(F.col("id").cast("bigint"), "vec")
-    gq, gi = _cell_cogroup(q, i, "id", block_rows, cell_rows, q.count(), i.count())
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
         s = np.round(_unit(left["qvec"]) @ _unit(right["vec"]).T, 9)
         return _top_rows(s, left["query_id"].to_numpy(), right["id"].to_numpy(), k)
 
-    return _best_per_query(gq.cogroup(gi).applyInPandas(score, "query_id bigint, id bigint, score double"), k)
+    return _best_per_query(_cell_stream(q, i, "id", _blocks(i.count(), cell_rows), score, block_rows), k)
 
 
-def ivf_assign(items: DataFrame, lists: int = 100, seed: int = 7, sample_rows: int = 200_000) -> tuple[DataFrame, np.ndarray]:
-    """Inverted lists: k-means centroids on unit vectors (trained on a sample, as an index build does) and each item's list."""
+def ivf_assign(items: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """Inverted lists: ``lists`` k-means centroids on the unit vectors of all items, and each item's list."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = items.count()
     unit = items.select("id", "vec", F.expr("sqrt(aggregate(vec, 0.0D, (a, x) -> a + cast(x as double) * x))").alias("_n"))
     unit = unit.selectExpr("id", "vec", "transform(vec, x -> cast(x as double) / greatest(_n, 1e-12D)) as _u")
     f = unit.withColumn("features", array_to_vector("_u"))
-    train = f if n <= sample_rows else f.sample(False, sample_rows / n, seed)
-    model = KMeans(k=min(lists, max(2, n // 8)), seed=seed, maxIter=10).fit(train.select("features"))
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(f.select("features"))
     out = model.transform(f).select("id", "vec", F.col("prediction").alias("list_id"))
     return out, np.vstack(model.clusterCenters())
 
@@ -270,12 +320,9 @@ def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: di
     norm = F.col("tf") + k1 * (1 - b + b * F.col("field_len") / F.col("avg_len"))
     w = w.select("doc_id", "field", "term", (F.element_at(boost, F.col("field")) * idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
     n_docs = postings.select("doc_id").distinct().count()
-    gq, gi = _cell_cogroup(qt, w, "doc_id", block_rows, cell_docs, queries.count(), n_docs)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        if left.empty or right.empty:
-            return none
+        left, right = left.reset_index(drop=True), right.reset_index(drop=True)
         qids, qpos = np.unique(left["query_id"].to_numpy(), return_inverse=True)
         ids, dpos = np.unique(right["doc_id"].to_numpy(), return_inverse=True)
         by_term = {t: (qpos[ix], left["qtf"].to_numpy()[ix]) for t, ix in left.groupby("term").indices.items()}
@@ -292,7 +339,7 @@ def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: di
         out = _top_rows(np.round(best, 6), qids, ids, k)
         return out[out["score"] > 0]
 
-    return _best_per_query(gq.cogroup(gi).applyInPandas(score, "query_id bigint, id bigint, score double"), k)
+    return _best_per_query(_cell_stream(qt, w, "doc_id", _blocks(n_docs, cell_docs), score, block_rows), k)
 
 
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:

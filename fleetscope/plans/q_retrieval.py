@@ -99,7 +99,7 @@ def vector_topk(spark, sf):
 
 @query("vector_topk_ivf")
 def vector_topk_ivf(spark, sf):
-    items, centroids = K.ivf_assign(vectors(spark, sf))
+    items, centroids = K.ivf_assign(vectors(spark, sf), lists=50)
     return tidy(K.vector_topk_ivf(vectors(spark, sf, "query_id"), items, centroids, 5, probes=20))
 
 
