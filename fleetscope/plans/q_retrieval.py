@@ -55,12 +55,32 @@ def chunk_with_offsets(spark, sf):
     return K.chunk_documents(docs(spark, sf))
 
 
-@query("chunk_batch_isolated")
+@query("chunk_batch_isolated", """SELECT CAST(doc_id AS VARCHAR) AS source_key, TRUE AS has_chunks, NULL AS error FROM documents
+  UNION ALL SELECT CAST(-1 - doc_id AS VARCHAR), FALSE, 'document has no text' FROM documents""")
 def chunk_batch_isolated(spark, sf):
-    """Documents of one language arrive without text; each of them gives its error row, all others their chunks."""
-    d = docs(spark, sf).withColumn("text", F.expr("case when filetype <> 'csv' then text end"))
-    c = K.chunk_documents(d)
-    return c.groupBy("source_key").agg(F.count("text").alias("chunks"), F.max("error").alias("error"))
+    """Every document comes a second time without its text; each of those gives its error row, the others their chunks."""
+    d = docs(spark, sf)
+    broken = d.withColumns({"source_key": -1 - F.col("source_key"), "text": F.lit(None).cast("string")})
+    c = K.chunk_documents(d.unionByName(broken))
+    return c.groupBy("source_key").agg((F.count("text") > 0).alias("has_chunks"), F.max("error").alias("error"))
+
+
+@query("chunk_properties", """SELECT CAST(doc_id AS VARCHAR) AS source_key, TRUE AS exact, TRUE AS ordered, TRUE AS covered, TRUE AS numbered FROM documents""")
+def chunk_properties(spark, sf):
+    """What holds for the chunks of every document: each is the text at its place, they stand in order and are numbered
+    without a gap, and only white space lies before, between and behind them."""
+    d = docs(spark, sf).selectExpr("cast(source_key as string) as source_key", "text as whole")
+    c = K.chunk_documents(docs(spark, sf)).join(d, "source_key")
+    x = c.withColumns({n: F.expr(e) for n, e in {
+        "before": "coalesce(lag(char_start) over (partition by source_key order by chunk_index), -1)",
+        "upto": "coalesce(max(char_end) over (partition by source_key order by chunk_index rows between unbounded preceding and 1 preceding), 0)",
+        "is_last": "lead(char_start) over (partition by source_key order by chunk_index) is null",
+        "place": "row_number() over (partition by source_key order by chunk_index) - 1"}.items()})
+    blank = r"rlike '^\\s*$'"
+    return x.groupBy("source_key").agg(*[F.expr(f"bool_and({e}) as {n}") for n, e in {
+        "exact": "text = substring(whole, char_start + 1, char_end - char_start)", "ordered": "char_start > before",
+        "covered": f"(upto >= char_start or substring(whole, upto + 1, char_start - upto) {blank}) and (not is_last or substring(whole, char_end + 1) {blank})",
+        "numbered": "chunk_index = place"}.items()])
 
 
 @query("embedding_inputs", """SELECT doc_id, chunk_index, text, CAST(floor(pos / 10.0) AS BIGINT) AS batch_no, pos % 10 AS slot FROM (
@@ -100,7 +120,15 @@ def vector_topk(spark, sf):
 @query("vector_topk_ivf")
 def vector_topk_ivf(spark, sf):
     items, centroids = K.ivf_assign(vectors(spark, sf), lists=50)
-    return tidy(K.vector_topk_ivf(vectors(spark, sf, "query_id"), items, centroids, 5, probes=20))
+    return tidy(K.vector_topk_ivf(vectors(spark, sf, "query_id"), items, centroids, 5, probes=30))
+
+
+@query("vector_ivf_recall", "SELECT CAST(COUNT(*) AS BIGINT) AS wanted, TRUE AS enough FROM ora_v5")
+def vector_ivf_recall(spark, sf):
+    """Share of the exact results that the inverted lists find: at least 0.9."""
+    exact = K.vector_topk(vectors(spark, sf, "query_id"), vectors(spark, sf), 5).select("query_id", "id")
+    found = exact.join(vector_topk_ivf(spark, sf).select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return found.agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("enough"))
 
 
 @query("knowledge_search", """SELECT t.query_id, t.id, round(t.score, 4) AS score, t.rank, d.source AS source_key, d.lang AS filetype FROM ora_v5 t LEFT JOIN documents d ON d.doc_id = t.id""")
