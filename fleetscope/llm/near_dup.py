@@ -266,16 +266,18 @@ def hubs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (key, node, h1, n, comp, size, fine) of a band in different components that may be similar.
+    """Pairs of members (key, node, h1, n, comp, size, fine, bands) of a band in different components that may be similar.
 
     Bands over ``BLOCK`` members are cut into blocks by a hash; every pair of blocks is one group of at most two blocks'
-    rows, whose signatures are compared as a matrix. Only pairs near or above the threshold leave the task.
+    rows, whose signatures are compared as a matrix. Only pairs near or above the threshold leave the task, and each leaves
+    it once: in the band with the smallest key that both members have. (Of bands with equal members the smallest key stands
+    for all, so that band is never missing.)
     """
     floor = percent / 100 - FINE_MARGIN
     cut = members.selectExpr("*", f"cast(ceil(size / {BLOCK}) as int) as k").selectExpr("*", "cast(pmod(xxhash64(node), k) as int) as blk")
     grid = cut.selectExpr(
-        "key", "node", "h1", "n", "comp", "blk", "fine", "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
-    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "comp", "fine")
+        "key", "node", "h1", "n", "comp", "blk", "fine", "bands", "explode(transform(sequence(0, k - 1), x -> struct(least(x, blk) as i, greatest(x, blk) as j))) as p"
+    ).selectExpr("key", "p.i", "p.j", "blk", "node", "h1", "n", "comp", "fine", "bands")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame | None:
         comp = rows["comp"].to_numpy()
@@ -291,6 +293,13 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
         if i == j:
             near &= left["node"].to_numpy()[:, None] > right["node"].to_numpy()[None, :]
         x, y = np.nonzero(near)
+        if len(x):
+            ba, bb = np.stack(left["bands"].to_list()), np.stack(right["bands"].to_list())
+            here = np.zeros(len(x), bool)
+            for at in range(0, len(x), 20_000):
+                a, b = ba[x[at : at + 20_000]], bb[y[at : at + 20_000]]
+                here[at : at + 20_000] = np.where(a == b, a, np.iinfo(np.int64).max).min(axis=1) == rows["key"].iloc[0]
+            x, y = x[here], y[here]
         if not len(x):
             return None
         return pd.DataFrame({"a": left["node"].to_numpy()[x], "ha": left["h1"].to_numpy()[x], "b": right["node"].to_numpy()[y], "hb": right["h1"].to_numpy()[y]})
@@ -330,7 +339,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Other members of a band: only pairs that would join different components.
     placed = stage(shared.where("size > 2").join(roots, "node", "left").selectExpr("key", "node", "h1", "size", "coalesce(root, node) as comp"), "dup-placed")
     torn = stage(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "dup-torn")
-    members = placed.join(torn, "key").join(reps.select("node", "h1", "n", "fine"), ["node", "h1"])
+    members = placed.join(torn, "key").join(reps.select("node", "h1", "n", "fine", "bands"), ["node", "h1"])
     ends = "struct(a as i, ha as h), struct(b as i, hb as h)"
     ordered = lambda df: df.selectExpr(f"greatest({ends}) as x", f"least({ends}) as y").selectExpr("x.i as a", "x.h as ha", "y.i as b", "y.h as hb")
     more = ordered(compare_blocks(members, percent)).distinct()

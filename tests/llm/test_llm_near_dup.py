@@ -86,8 +86,8 @@ def test_hot_groups_are_cut(spark, family, monkeypatch):
 
 def test_blocks_find_cross_component_pairs(spark, family):
     sets = [(i, shingle_set(t)) for i, t in family]
-    rows = [(7, i, i, len(s), near_dup.fine(s), i, len(sets)) for i, s in sets]
-    members = spark.createDataFrame(rows, "key long, node long, h1 long, n long, fine binary, comp long, size long")
+    rows = [(7, i, i, len(s), near_dup.fine(s), [7, i + 100], i, len(sets)) for i, s in sets]
+    members = spark.createDataFrame(rows, "key long, node long, h1 long, n long, fine binary, bands array<long>, comp long, size long")
     got = {tuple(sorted((r["a"], r["b"]))) for r in compare_blocks(members, 75).collect()}
     for k, (i, s) in enumerate(sets):
         for j, t in sets[:k]:
