@@ -37,6 +37,7 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPACES = re.compile(r"\s+")
+_CUT_OFF = re.compile(r"</?[A-Za-z][^<>]*")
 
 
 class _Lines(HTMLParser):
@@ -160,6 +161,8 @@ def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
         return ""
     page = _Lines()
     page.feed(html)
+    if _CUT_OFF.fullmatch(page.rawdata):  # the page ends inside a tag
+        page.rawdata = ""
     page.close()
     lines = [(_SPACES.sub(" ", "".join(parts)).strip(), n, inside) for parts, n, inside in page.lines]
     if page.marked:
