@@ -304,7 +304,7 @@ def posting_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: dict[str, float] = fixed.FIELD_BOOSTS,
-                 k1: float = 1.2, b: float = 0.75, cell_docs: int = 1_000, block_rows: int = 256) -> DataFrame:
+                 k1: float = 1.2, b: float = 0.75, cell_docs: int = 1_000, block_rows: int = 256, fuzzy: bool = False) -> DataFrame:
     """Any-word search over several fields: BM25 per field times its boost, the best field counts. queries: query_id, text.
 
     Only postings of words that occur in a query are kept. They meet the queries cell by cell; a frequent word is then a
@@ -312,6 +312,9 @@ def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: di
     """
     qt = rows_of(queries, [F.col("query_id").cast("bigint")], tokens("text"), "term").groupBy("query_id", "term").agg(
         F.count(F.lit(1)).cast("double").alias("qtf"))
+    if fuzzy:  # a word of the index counts by its best likeness to a word of the query
+        near = fuzzy_terms(qt.select("term"), postings.select("term"))
+        qt = qt.join(near, "term").groupBy("query_id", F.col("match").alias("term")).agg(F.max(F.col("qtf") * F.col("weight")).alias("qtf"))
     df, avg = posting_stats(postings)
     boost = F.create_map(*[x for f, v in boosts.items() for x in (F.lit(f), F.lit(float(v)))])
     used = postings.join(qt.select("term").distinct(), "term", "left_semi")

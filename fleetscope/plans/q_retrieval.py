@@ -188,6 +188,23 @@ def keyword_fuzzy(spark, sf):
     return tidy(K.fuzzy_terms(q, index(spark, sf)))
 
 
+_MISSPELT = "replace(text, 'an', 'ann')"
+cte("ora_mterm", f"SELECT query_id, term, COUNT(*) AS qtf FROM (SELECT query_id, unnest({tok(_MISSPELT)}) AS term FROM ora_qtext) q GROUP BY query_id, term")
+cte("ora_mq", f"SELECT DISTINCT term, length(term) AS len, translate(term, {_TR}) AS a, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS d FROM ora_mterm")
+cte("ora_mnear", """SELECT term, match, 1 - CAST(edits AS DOUBLE) / len AS weight FROM (
+  SELECT q.term, q.len, q.d, v.term AS match, levenshtein(q.a, v.a) AS edits FROM ora_mq q JOIN ora_fv v ON v.len BETWEEN q.len - q.d AND q.len + q.d) x WHERE edits <= d""")
+cte("ora_mbest", "SELECT t.query_id, n.match AS term, MAX(t.qtf * n.weight) AS qtf FROM ora_mterm t JOIN ora_mnear n ON t.term = n.term GROUP BY t.query_id, n.match")
+cte("ora_mbm25", f"""SELECT query_id, id, round(MAX(s), 6) AS score FROM (SELECT q.query_id, p.doc_id AS id, p.field, SUM(qtf * CAST({_BOOST} AS DOUBLE) * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * field_len / avg_len))) AS s
+  FROM ora_mbest q JOIN ora_post p ON q.term = p.term JOIN ora_df d ON d.field = p.field AND d.term = p.term JOIN ora_avg a ON a.field = p.field GROUP BY q.query_id, p.doc_id, p.field) f GROUP BY query_id, id""")
+
+
+@query("keyword_fuzzy_topk", "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ora_mbm25) k WHERE rank <= 5")
+def keyword_fuzzy_topk(spark, sf):
+    """Search with misspelt words."""
+    q = query_texts(spark, sf).withColumn("text", F.expr(_MISSPELT))
+    return tidy(K.keyword_topk(q, index(spark, sf), 5, fuzzy=True))
+
+
 cte("ora_knorm", "SELECT query_id, id, score / MAX(score) OVER (PARTITION BY query_id) AS score, rank FROM ora_k10")
 
 
