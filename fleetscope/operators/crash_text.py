@@ -234,11 +234,8 @@ def address_region(addresses: DataFrame, maps: DataFrame, addr: str = "addr") ->
     m = maps.where("end_addr > start_addr").selectExpr("map_id", "start_addr", "end_addr", "name", f"{lvl} as lvl")
     m = m.selectExpr("*", """explode(array_distinct(array(cast(floor(start_addr / pow(2, lvl)) as bigint),
         cast(floor((end_addr - 1) / pow(2, lvl)) as bigint)))) as slot""")
-    levels = sorted(r[0] for r in m.select("lvl").distinct().collect())  # at most 64 values
-    if not levels:
-        return addresses.selectExpr("*", "cast(null as string) as region", "cast(null as string) as region_type")
-    probe = addresses.select(F.col(addr).alias("_a")).where("_a is not null").distinct().selectExpr(
-        "_a", f"explode(array({', '.join(map(str, levels))})) as lvl")
+    levels = m.agg(F.collect_set("lvl").alias("lvls"))  # one row of at most 64 values
+    probe = addresses.select(F.col(addr).alias("_a")).where("_a is not null").distinct().join(F.broadcast(levels), F.lit(True)).select("_a", F.explode("lvls").alias("lvl"))
     probe = probe.selectExpr("_a", "lvl", "cast(floor(_a / pow(2, lvl)) as bigint) as slot")
     hit = probe.join(m, ["lvl", "slot"]).where("_a >= start_addr and _a < end_addr").groupBy("_a").agg(
         F.min_by("name", "map_id").alias("_n"))
