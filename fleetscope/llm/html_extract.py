@@ -32,7 +32,8 @@ MARKS = frozenset(
     "ad ads advert advertisement adverts adsense sponsored sponsor promo promotion sidebar nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead footer comment comments disqus reply replies respond cookie cookies consent gdpr notice banner popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
-    "pagination pager toolbar hidden".split()
+    "pagination pager toolbar hidden side sidenav subnav topnav topbar aside advertising adbox adslot adbanner commentlist alert "
+    "notification notifications disclaimer copyright searchbox".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -136,7 +137,7 @@ class _Lines(HTMLParser):
             self.lines.append(self.open)
         self.open[0].append(data)
         if not self.links:
-            self.open[1] += len(data)
+            self.open[1] += len(data.strip())
 
 
 def keep_lines(weights: list[int], window: int, surge: int) -> list[bool]:
@@ -150,8 +151,8 @@ def keep_lines(weights: list[int], window: int, surge: int) -> list[bool]:
         while j < n and sums[j] > 0:
             j += 1
         if j > i and max(sums[i:j]) >= level:
-            for k in range(i, j):
-                keep[k] = True
+            solid = [k for k in range(i, j) if weights[k]]  # lines without weight belong to the text only between others
+            keep[solid[0] : solid[-1] + 1] = [True] * (solid[-1] + 1 - solid[0])
         i = max(j, i + 1)
     return keep
 

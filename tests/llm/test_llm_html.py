@@ -43,8 +43,13 @@ def test_article_keeps_short_blocks_and_links():
     assert main_text(page) == "Title\nHi.\na link line\na\nb\nEnd"
 
 
+def test_link_lines_around_unmarked_text():
+    page = "<div><a href=a>Home</a> <a href=b>News</a></div><div>Some words of a text that is long enough to be one.</div><div><a href=c>inside</a></div><div>More of it.</div><div><a href=d>Next page</a></div>"
+    assert main_text(page) == "Some words of a text that is long enough to be one.\ninside\nMore of it."
+
+
 def test_surge_and_dive():
-    assert keep_lines([5, 0, 0, 0, 90, 40, 0, 60, 0, 0, 0, 4], 3, 80) == [False] * 3 + [True] * 6 + [False] * 3
+    assert keep_lines([5, 0, 0, 0, 90, 40, 0, 60, 0, 0, 0, 4], 3, 80) == [False] * 4 + [True] * 4 + [False] * 4
     assert keep_lines([], 3, 80) == []
 
 
