@@ -87,7 +87,7 @@ def train(
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, orders, bits) for t in pdf["text"]]})
 
     made = texts.selectExpr("text", "cast(toxic as int) as toxic").repartition(parts).mapInPandas(extract, "toxic int, x array<int>")
-    rows = stage(made.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(5 * parts)).cast("int")), "tox-train")
+    rows = stage(made.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int")).withColumn("held", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(5)) == 0), "tox-train")
     n, positives = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (positives + 0.5) / (n + 1)
     w, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
@@ -95,7 +95,7 @@ def train(
         return ToxicityModel(w, bias, orders, bits)
     ratio = (log_count_ratios(rows, bits, smooth) / scale).astype(np.float32)
     # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
-    fit = rows.where("part % 5 <> 0").repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
+    fit = rows.where("not held").repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
     for r in range(rounds):
         def epoch(batches: Iterator[pd.DataFrame], w=w, bias=bias, step=rate / (1 + 0.3 * r)) -> Iterator[pd.DataFrame]:
             own, b, seen = w.copy(), bias, 0
@@ -107,14 +107,14 @@ def train(
                     b += 0.1 * step * g
                     seen += 1
             if seen:
-                yield pd.DataFrame({"n": [seen], "b": [b], "w": [own.tobytes()]})
+                yield pd.DataFrame({"n": [seen], "b": [b], "w": [(own - w).astype(np.float16).tobytes()]})
 
-        # One row per part, 4 * 2**bits bytes each.
+        # The change of the weights by each part: one row of 2 * 2**bits bytes, small enough to come with the task's status.
         found = sorted(fit.mapInPandas(epoch, "n long, b double, w binary").collect(), key=lambda f: (f["n"], f["b"]))
         total = sum(f["n"] for f in found)
         if not total:
             break
-        w = sum(np.frombuffer(f["w"], np.float32) * np.float32(f["n"] / total) for f in found)
+        w = w + sum(np.frombuffer(f["w"], np.float16).astype(np.float32) * np.float32(f["n"] / total) for f in found)
         bias = float(sum(f["b"] * f["n"] / total for f in found))
     fit.unpersist()
     model = ToxicityModel(w * ratio, bias, orders, bits)
@@ -123,7 +123,7 @@ def train(
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "z": [float(model.weights[x].sum()) for x in pdf["x"]]})
 
-    held = rows.where("part % 5 = 0").mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
+    held = rows.where("held").mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
     if 0 < held["toxic"].sum() < len(held):
         model.bias = -best_cut(held["toxic"].to_numpy(), held["z"].to_numpy())
     return model
