@@ -2,7 +2,7 @@
 
 Per document a few ratios are measured over the whole text. For every (language, source) a mergeable KLL quantile
 sketch of each ratio is kept; small groups fall back to the merged sketch of the language, then to that of all
-documents. The thresholds are fences set from the sketch's quartiles, joined back to the documents, and decide.
+documents. The thresholds are fences set from the sketch's quantiles, joined back to the documents, and decide.
 """
 
 from __future__ import annotations
@@ -27,6 +27,12 @@ RATIOS = {
     "mean_word": "word_chars / greatest(n_words, 1)",
 }
 
+#: Where the middle half of a group does not vary, the fence is this quantile: junk of symbols may be up to a seventh of
+#: a group, repeats are judged by the last hundredth.
+TAILS = {"symbol_ratio": 0.85, "dup_line_ratio": 0.99, "repeat_ratio": 0.99, "mean_word": 0.99}
+#: Size of a KLL sketch: a group of up to so many documents is kept whole, larger ones err by about 0.005 in rank.
+SKETCH_K = 800
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of three that occurs at least twice."""
@@ -84,7 +90,7 @@ def quantile_sketches(measured: DataFrame, keys: list[str], salts: int = 16) ->
     """
     ratios = measured.selectExpr(*keys, "_salt", *[f"cast({e} as double) as {n}" for n, e in RATIOS.items()])
     part = ratios.groupBy(*keys, "_salt").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(n).alias(n) for n in RATIOS]
+        F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in RATIOS]
     )
     return merge_sketches(part, keys)
 
@@ -96,21 +102,18 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "_n", *merged)
 
 
-def fences(sketches: DataFrame, keys: list[str], spread: float, floors: dict[str, float]) -> DataFrame:
-    """Upper fence of each ratio: third quartile plus ``spread`` times the middle range, at least the floor above the median."""
+def fences(sketches: DataFrame, keys: list[str], spread: float, slack: dict[str, float]) -> DataFrame:
+    """Upper fence of each ratio plus a small slack.
+
+    The fence is the third quartile plus ``spread`` times the middle range, or the quantile of ``TAILS`` if that range is 0.
+    """
     q = lambda n, p: f"kll_sketch_get_quantile_double({n}, {p}D)"
-    return sketches.selectExpr(
-        *keys,
-        "_n",
-        *[
-            f"greatest({q(n, 0.75)} + {spread}D * ({q(n, 0.75)} - {q(n, 0.25)}), {q(n, 0.5)} + {floors[n]}D) as {n}_max"
-            for n in RATIOS
-        ],
-    )
+    fence = lambda n: f"if({q(n, 0.75)} > {q(n, 0.25)}, {q(n, 0.75)} + {spread}D * ({q(n, 0.75)} - {q(n, 0.25)}), {q(n, TAILS[n])})"
+    return sketches.selectExpr(*keys, "_n", *[f"{fence(n)} + {slack[n]}D as {n}_max" for n in RATIOS])
 
 
 def adaptive_filter(
-    docs: DataFrame, min_group: int = 200, spread: float = 3.0, floors: dict[str, float] | None = None, salts: int = 16
+    docs: DataFrame, min_group: int = 200, spread: float = 3.0, slack: dict[str, float] | None = None, salts: int = 16
 ) -> DataFrame:
     """Measures, thresholds and verdict of every document.
 
@@ -119,7 +122,7 @@ def adaptive_filter(
     fails the base rule. Groups under ``min_group`` documents use the language's thresholds, languages under it those
     of all documents, so the rule is the same at every size. Repeated rows give repeated rows; an empty table gives none.
     """
-    floors = floors or {"symbol_ratio": 0.05, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "mean_word": 4.0}
+    slack = slack or {"symbol_ratio": 0.02, "dup_line_ratio": 0.05, "repeat_ratio": 0.05, "mean_word": 0.5}
     base = docs.select("doc_id", "text", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
     measured = stage(
         quality_metrics(base, ["doc_id", "_lang", "_source"]).withColumn(
@@ -132,7 +135,7 @@ def adaptive_filter(
     langs = merge_sketches(groups, ["_lang"])
     everything = merge_sketches(langs.withColumn("_all", F.lit(1)), ["_all"])
     names = [f"{n}_max" for n in RATIOS]
-    of = lambda df, keys, tag: fences(df, keys, spread, floors).select(
+    of = lambda df, keys, tag: fences(df, keys, spread, slack).select(
         *[F.col(k).alias(f"{tag}{k}") for k in keys], F.col("_n").alias(f"{tag}_n"), *[F.col(n).alias(f"{tag}{n}") for n in names]
     )
     rules = (

@@ -124,6 +124,26 @@ def test_sketches_merge(spark):
     assert abs(f["symbol_ratio_max"] - 9000) < 600 and f["dup_line_ratio_max"] == 0.5
 
 
+def test_quality_thresholds_follow_the_source(spark):
+    """Lists repeat up to 30% of their lines, prose none; tables carry symbols in a fifth of the texts, prose none."""
+
+    def text(i, repeats, symbols):
+        lines = [f"line{i}x{k} " + " ".join(f"w{i}x{k}x{j}" for j in range(8)) for k in range(10)]
+        lines[10 - repeats :] = [lines[0]] * repeats
+        return "\n".join(lines) + " #" * symbols
+
+    rows = [(i, text(i, i % 4 if i % 30 < 4 else 0, 0), "en", "lists") for i in range(300)]
+    rows += [(300 + i, text(300 + i, 0, 60 if i % 5 == 0 else 0), "en", "tables") for i in range(300)]
+    rows += [(600 + i, text(600 + i, 0, 0), "en", "prose") for i in range(297)]
+    rows += [(900, text(900, 3, 0), "en", "prose"), (901, text(901, 0, 60), "en", "prose")]
+    out = {r["doc_id"]: r for r in adaptive_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    lists, tables, prose = out[3], out[300], out[600]
+    assert lists["dup_line_ratio_max"] > prose["dup_line_ratio_max"] + 0.2 and lists["repeat_ratio_max"] > prose["repeat_ratio_max"] + 0.2
+    assert tables["symbol_ratio_max"] > prose["symbol_ratio_max"] + 0.05
+    assert lists["kept"] and tables["kept"] and prose["kept"]
+    assert not out[900]["kept"] and not out[901]["kept"]
+
+
 def test_quality_edges(odd):
     rows = adaptive_filter(odd).collect()
     assert len(rows) == 6 and sum(r["n_words"] for r in rows) == 3 + 2 + 2 + 200_000
