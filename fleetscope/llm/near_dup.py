@@ -1,14 +1,15 @@
 """Near-duplicate groups by b-bit MinHash over word shingles.
 
 Every text becomes the set of its hashed shingles. Equal sets collapse to one class. Of each class 160 minima are taken
-(32-bit multiply hashes): four minima at a time form the keys of 40 bands, and the low two bits of every minimum are
-packed into five words, from which bit counts give the similarity, corrected for chance collisions.
+(32-bit multiply hashes): four minima at a time form the keys of 40 bands, and two bits of every minimum, mixed with a
+seed of its own, are packed into five words, from which bit counts give the similarity, corrected for chance collisions.
 
 Classes that share a band are candidates. A band of m classes hands on m - 1 pairs: each class with the band's hub, the
 member whose signature is close to most others. Bands with the same members count once. Pairs whose corrected estimate
-is far below the threshold are dropped, the rest confirmed on the full sets. Links between other members of a band
+is far below the threshold are dropped unless a set is small, the rest confirmed on the full sets. Links between other members of a band
 matter only where they join different components, so those pairs alone are compared afterwards, in blocks of finer
-signatures (two bits of the minimum of each of 1,024 slices of the hash range) inside a task, and confirmed likewise. No
+signatures (two bits of the minimum of each of 1,024 slices of the hash range) inside a task, and confirmed likewise; of
+small sets only those are dropped whose signatures rule out the threshold. No
 list of all pairs of a band is ever made, and at 0.75 a pair misses all 40 bands once in four million.
 """
 
@@ -34,12 +35,15 @@ MARGIN = 0.165
 #: Slices of the finer signature, and four standard deviations of its estimate.
 SLICES, FINE_MARGIN = 1024, 0.07
 BLOCK = 512
+#: Pairs with a set of fewer shingles are not dropped by an estimate: it is too coarse for them.
+SMALL = 64
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _XOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _PLACE = _RNG.integers(0, 1 << 63, SHINGLE, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RNG.integers(0, 1 << 63, (BANDS, 1), np.int64).astype(np.uint64)
+_SEED = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.int64).astype(np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -91,7 +95,8 @@ def sketch(text: str | None) -> tuple:
     if not len(s):
         return 0, 0, 0, [0] * WORDS, [], fine(s)
     m = minima(s)
-    low = (m & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint64).reshape(WORDS, -1)
+    # Low bits of a product depend on low bits alone, so two shingles would agree in all minima or in none.
+    low = (_mix(m.astype(np.uint64) ^ _SEED) & np.uint64((1 << LOW_BITS) - 1)).reshape(WORDS, -1)
     shift = np.arange(low.shape[1], dtype=np.uint64) * np.uint64(LOW_BITS)
     packed = (low << shift).sum(axis=1, dtype=np.uint64)
     key = _BAND.copy().reshape(-1)
@@ -207,8 +212,8 @@ def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / (BANDS * ROWS) - _CHANCE) / (1 - _CHANCE)
 
 
-def _similar_fine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matrix of estimates from finer signatures (rows of two planes of words), corrected for one chance in three."""
+def _slices(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices of the slices that finer signatures (rows of two planes of words) hold in either, in both, and alike."""
     half = a.shape[1] // 2
     either, both, same = (np.zeros((len(a), len(b)), np.int32) for _ in range(3))
     for w in range(half):
@@ -218,9 +223,30 @@ def _similar_fine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         either += np.bitwise_count(has_a | has_b)
         both += np.bitwise_count(pair)
         same += np.bitwise_count(pair & ~((a0 ^ b0) | (a1 ^ b1)))
+    return either, both, same
+
+
+def _similar_fine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix of estimates from finer signatures, corrected for one chance in three."""
+    either, both, same = _slices(a, b)
     return (3 * same - both) / 2 / np.maximum(either, 1)
 
 
+def _possible_fine(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix of the pairs that finer signatures do not rule out, given the sizes of the sets; never misses a link.
+
+    Of two unlike minima of a slice the smaller is in one set only, so a common shingle of that slice is not the minimum
+    of one of the sets. So at most the slices alike and the shingles that are no minima are common.
+    """
+    most = _slices(a, b)[2].astype(np.int64)
+    for s, n, shape in ((a, na, (-1, 1)), (b, nb, (1, -1))):
+        half = s.shape[1] // 2
+        most = most + (n - np.bitwise_count(s[:, :half] | s[:, half:]).sum(axis=1, dtype=np.int64)).reshape(shape)
+    na, nb = na[:, None], nb[None, :]
+    most = np.minimum(most, np.minimum(na, nb))
+    return 100 * most >= percent * (na + nb - most)
+
+
 def _signatures(rows: pd.DataFrame) -> np.ndarray:
     return rows[_SIG].to_numpy(np.int64).view(np.uint64)
 
@@ -287,7 +313,10 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
         left, right = rows[blk == i], rows[blk == j]
         words = lambda x: np.frombuffer(b"".join(x["fine"]), np.uint64).reshape(len(x), -1)
         near = _similar_fine(words(left), words(right)) >= floor
-        na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+        if (tiny := np.minimum(na[:, None], nb[None, :]) < SMALL).any():
+            near = np.where(tiny, _possible_fine(words(left), na, words(right), nb, percent), near)
+        na, nb = na[:, None], nb[None, :]
         near &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
         near &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
         if i == j:
@@ -332,7 +361,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = starred.where("a <> b or ha <> hb").distinct()
     side = lambda x: reps.selectExpr(f"node as {x}", f"h1 as h{x}", f"n as n{x}", f"sig as s{x}")
     sized = stage(pairs, "dup-pairs").join(side("a"), ["a", "ha"]).join(side("b"), ["b", "hb"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = stage(sized.where(estimate("sa", "sb") >= percent / 100 - MARGIN).select("a", "ha", "b", "hb"), "dup-likely")
+    likely = stage(sized.where((F.least("na", "nb") < SMALL) | (estimate("sa", "sb") >= percent / 100 - MARGIN)).select("a", "ha", "b", "hb"), "dup-likely")
     links = stage(confirm(likely, docs, percent), "dup-links")
     roots = stage(connected(links), "dup-roots")
 

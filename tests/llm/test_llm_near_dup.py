@@ -111,6 +111,32 @@ def test_finer_estimates(n):
         assert abs(float(near_dup._similar_fine(words(a), words(b))[0, 0]) - true) < near_dup.FINE_MARGIN
 
 
+def test_short_texts_at_the_threshold(spark):
+    """Pairs of exactly 0.75 with 3 to 20 shingles: a text and the same with a third more words; 6 of 7 and 7 shingles."""
+    rows = []
+    for i in range(4000):
+        n = (3, 3, 6, 9, 12, 15)[i % 6]
+        words = [f"p{i}w{k}" for k in range(n + n // 3 + 4)]
+        rows += [(2 * i, " ".join(words[: n + 4])), (2 * i + 1, " ".join(words))]
+    for i in range(4000, 6000):
+        words = [f"p{i}w{k}" for k in range(12)]
+        rows += [(2 * i, " ".join(words[:11])), (2 * i + 1, " ".join(words[1:]))]
+    check(spark, rows)
+
+
+def test_finer_signatures_keep_every_small_link():
+    rng = np.random.default_rng(5)
+    words = lambda s: np.frombuffer(near_dup.fine(s), np.uint64).reshape(1, -1)
+    for trial in range(3000):
+        n = int(rng.integers(3, 64))
+        common = -(-3 * n // 4)
+        at = np.uint64(trial % 60 + 1)  # the same few slices again and again
+        a, b = (np.unique(np.r_[s, x]) for s in [rng.integers(0, 1 << 63, common, np.int64).astype(np.uint64) >> at] for x in (np.zeros(0, np.uint64), rng.integers(0, 1 << 63, n - common, np.int64).astype(np.uint64) >> at))
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 75 * (len(a) + len(b) - both)
+        assert near_dup._possible_fine(words(a), np.array([len(a)]), words(b), np.array([len(b)]), 75)[0, 0] or not linked
+
+
 def test_connected(spark):
     edges = [(1, 2), (3, 2), (9, 3), (20, 21), (22, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     roots = {r["node"]: r["root"] for r in connected(stage(spark.createDataFrame(edges, "a long, b long"), "t")).collect()}
