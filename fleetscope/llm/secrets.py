@@ -33,13 +33,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: The body of a private key: up to its END line, or without one its lines of base64 (the last may be short), which may be
+#: quoted, escaped or indented. Possessive, so that long bodies need no stack.
+_GAP = r"""[\x20\x09-\x0D"'\\>|#*,;]*+"""
+_ENDED = r"(?:[^-]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_CUT_OFF = (
+    rf"(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n]*+)*+"
+    rf"(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/]++={{1,2}}|[\r\n]{_GAP}[A-Za-z0-9+/]++(?=[\x20\x09]*+(?![^\r\n])))?)?"
+)
 #: Rules that the method adds.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("vcs_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----(?:{_ENDED}|{_CUT_OFF})"),
+    Rule("vcs_token", r"gh[opsur]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[^\x20\x09-\x0D/@:]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]*+:[^\x20\x09-\x0D/@:]{3,}+@"),
 )
 RULES = BASE + MORE
 #: Alternatives of a query are multiplied out up to this many; beyond it the part counts as unknown text.

@@ -63,6 +63,30 @@ def test_redaction(spark):
         assert r["clean"] == out + text[at:] and not brute(r["clean"])
 
 
+def test_whole_secrets_go(spark):
+    line = lambda i: "".join("ABCDefgh0123+/xyZ"[(i * 7 + k * (i % 5 + 1)) % 17] for k in range(64))
+    body = [line(i) for i in range(400)] + ["Zz9q+w=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n" + "\n".join(body) + "\n-----END PGP PRIVATE KEY BLOCK-----"
+    cases = [
+        ("\n".join([head, *body, end]), body), (head + "\n" + crypt + "\n".join([*body, end]), body), (pgp, body), ("\\n".join([head, *body, end]), body),
+        ("\n".join([head, *body]), body), ("\r\n".join([head, *body[:9], "Zz9q"]), [*body[:9], "Zz9q"]), (head + "\n" + crypt + "\n".join(body), body),
+        (" ".join([head, *body]), body), ("\\n".join([head, *body]), body[:-1]), (head + "\n" + "\n".join(f"  > {x}" for x in body), body),
+        ("redis://:hunter2pw@host", ["hunter2pw"]), ("https://bot:" + "t0K" * 30 + "@host", ["t0K"]), ("https://" + "u" * 80 + ":pa55word@host", ["pa55word"]),
+        ("github_pat_" + "1A_b" * 20, ["1A_b"]),
+    ]
+    df = spark.createDataFrame([(i, f"before it\n{t}\nand after it all goes on") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in scan(df).withColumn("clean", redact("text", "found")).collect():
+        parts = cases[r["doc_id"]][1]
+        assert not any(p in r["clean"] for p in parts), r["clean"][:300]
+        assert r["clean"].startswith("before it\n") and r["clean"].endswith("\nand after it all goes on")
+        assert [tuple(x) for x in r["found"]] == brute(r["text"])
+    plain = "-----BEGIN PRIVATE KEY----- is how such a file begins, says the manual"
+    clean = scan(spark.createDataFrame([(1, plain)], "doc_id long, text string")).select(redact("text", "found")).first()[0]
+    assert clean == "[SECRET] is how such a file begins, says the manual"
+
+
 def test_edges(spark):
     text = CASES[2]
     rows = [(None, text, 1), (1, None, 1), (2, "", 1), (3, text, None), (3, text, 1), (3, "clean", 1), (4, "z " * 200_000 + text, 1)]
