@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import stage
 
 EQUAL, LIKE = 8, 128
-PIECE = r"(?<=[dnrst.,;:!?])[\x20\x09-\x0D]+|\n"
+PIECE = r"(?<=[dnrst.,;:!?])[\x20\x09\x0B-\x0D]+|\n"  # no piece depends on the line before
 _BOTH = (1 << 32) + 1  # the lowest bit of either half
 
 

@@ -35,6 +35,14 @@ def test_algebra(spark):
     assert (r["unordered"], r["inserted"], r["deleted"], r["same"], r["one"], r["width"]) == (True, True, True, False, 1.0, 576)
 
 
+def test_algebra_of_indented_lines(spark):
+    a, b = "def run(x):\n    return x. \n\tend", "  - first point.\n \n   it goes on"
+    df = spark.createDataFrame([(a, b, f"{a}\n{b}", f"{b}\n{a}", "foo.\n bar", " bar\nfoo.")], "a string, b string, ab string, ba string, c string, d string")
+    fp = df.select(*[F.expr(lanes(c)).alias(c) for c in df.columns])
+    r = fp.selectExpr("ab = ba as unordered", f"{combine('a', 'b')} = ab as inserted", f"{combine('ab', 'b', -1)} = a as deleted", "c = d as turned").first()
+    assert all(r)
+
+
 def test_wraps(spark):
     r = spark.createDataFrame([("Word\n" * 70_000,)], "t string").select(F.expr(lanes("t")).alias("f")).first()["f"]
     assert all(0 <= v < 1 << 32 for v in r[:8]) and all(-(1 << 15) <= v < 1 << 15 for v in r[8:])
