@@ -21,6 +21,8 @@ from fleetscope.llm.common import fold, stage
 ORDER = 3
 _SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 WORD_BITS = 62  # languages per mask word
+#: The filter grows from 2**LEAST_BITS slots until the fullest language sets at most half of them, within MOST_BYTES.
+LEAST_BITS, MOST_BYTES = 20, 128 << 20
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -79,12 +81,21 @@ class LanguageModel:
         return self.languages[best], float(hits[best] / total) if total > 0 else 0.0
 
 
-def learn(texts: DataFrame, bits: int = 20, hashes: int = 3, share: float = 0.5, least: int = 3) -> LanguageModel:
+def filter_bits(most_grams: int, words: int, hashes: int) -> int:
+    """Bits of the slot number for a language of ``most_grams`` n-grams and masks of so many words."""
+    bits = LEAST_BITS
+    while 1 - np.exp(-hashes * most_grams / (1 << bits)) > 0.5 and 8 * words * (1 << bits + 1) <= MOST_BYTES:
+        bits += 1
+    return bits
+
+
+def learn(texts: DataFrame, bits: int | None = None, hashes: int = 3, share: float = 0.5, least: int = 3) -> LanguageModel:
     """Model from all rows of ``texts`` (text, lang). Rows without text, letters or language teach nothing.
 
     An n-gram belongs to a language if it is seen ``least`` times there and its rate is at least ``share`` of its
     highest rate in any language. Counts are taken over whole texts and summed per task before the shuffle. The filter
-    has 2**bits slots whatever the corpus; only the slots and the list of languages reach the driver.
+    has 2**bits slots, by default as many as ``filter_bits`` gives for the language of most n-grams (at the bound of 128 MB
+    its slice fills beyond a half, and no n-gram is left out); only the slots and the languages reach the driver.
     """
     spark = texts.sparkSession
 
@@ -109,9 +120,11 @@ def learn(texts: DataFrame, bits: int = 20, hashes: int = 3, share: float = 0.5,
 
     known = texts.where("text is not null and lang is not null").select("text", "lang")
     counted = stage(known.mapInPandas(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "lang-grams")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r["lang"] for r in totals.collect())
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count_if(F.col("n") >= least).alias("often"))
+    sizes = {r["lang"]: r["often"] for r in totals.collect()}
+    languages = sorted(sizes)
     words = max(1, -(-len(languages) // WORD_BITS))
+    bits = bits or filter_bits(max(sizes.values(), default=0), words, hashes)
     table = np.zeros((1 << bits, words), np.int64)
     if not languages:
         return LanguageModel([], table, np.zeros(0), bits, hashes)

@@ -50,6 +50,17 @@ def test_language_filter_has_no_false_negatives(spark):
     assert wide.table.shape[1] == 2 and wide.predict(chr(0x4E00 + 69) + chr(0x5E00 + 69) + chr(0x4E00 + 69))[0] == "l069"
 
 
+def test_language_of_many_grams_leaves_short_texts_of_others(spark):
+    rng = np.random.default_rng(7)
+    cjk = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 60_000))) for _ in range(20)]
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    rows = [(t, "cjk") for t in cjk for _ in range(3)] + [(" ".join(words), "latin")] * 3
+    model = learn(spark.createDataFrame(rows, "text string, lang string").repartition(8))
+    assert model.false_rate.max() < 0.15
+    assert all(model.predict(w)[0] == "latin" for w in words) and all(model.predict(t[:6])[0] == "cjk" for t in cjk)
+    assert len(model.table) == 1 << 23
+
+
 def test_grams():
     want = [" ab", "ab ", "b c", " cé", "cé "]
     assert [(g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF) for g in grams("Ab1-cÉ").tolist()] == [tuple(map(ord, w)) for w in want]
