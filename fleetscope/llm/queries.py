@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import fingerprint, html_extract, language_id, mixing, near_dup, packing, quality, secrets, token_counts, toxicity
-from fleetscope.llm.common import fold, small_batches, stage, table, word_count
+from fleetscope.llm import (
+    fingerprint, html_extract, language_id, mixing, near_dup, packing, periodic_runs, quality, secrets, spelling, token_counts, toxicity, warc,
+)
+from fleetscope.llm.common import WORD, fold, small_batches, stage, table, word_count
 from fleetscope.session import scratch_dir
 
 
@@ -90,11 +92,58 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(spark, state)
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with every tenth text, by crc32 of its id, made periodic from some word on; a null id counts as ''."""
+    g = "(crc32(cast(coalesce(cast(doc_id as string), '') as binary)) div 10)"
+    # ``transform(array(x), ...)`` binds x, so the words are looked for once.
+    at = f"transform(array(struct(w, cast(pmod({g}, size(w)) as int) as a)), x -> struct(x.w, x.a, 1 + cast((size(x.w) - x.a) div (3 + {g} % 8) as int) as p))"
+    turned = "concat(slice(x.w, 1, x.a), transform(sequence(0, size(x.w) - x.a - 1), j -> x.w[x.a + j % x.p]))"
+    made = f"flatten(transform(array(regexp_extract_all(text, r'{WORD}', 0)), w -> if(size(w) = 0, array(''), transform({at}, x -> array_join({turned}, ' ')))))[0]"
+    return docs.selectExpr("doc_id", f"if(crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 = 0 and text is not null, {made}, text) as text")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", F.expr("array_min(transform(runs, r -> struct(-r.length as less, r.start as start, r.period as period)))"))
+    lines = "array_join(transform(array_sort(transform(runs, r -> struct(r.start, r.period, r.length))), r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return best.selectExpr(
+        "doc_id", "cast(size(runs) as bigint) as n_runs", "best.start as start", "-best.less as length", "best.period as period",
+        "(1000 * -best.less) div best.period as exponent_milli", f"sha2({lines}, 256) as runs_sha256", "sha2(collapsed, 256) as collapsed_sha256",
+    )
+
+
+def with_misspellings(words: DataFrame) -> DataFrame:
+    """(doc_id, word) with a code point deleted where 97 divides the crc32 of ``doc_id:word``; a null id counts as ''."""
+    h = "crc32(cast(concat(coalesce(cast(doc_id as string), ''), ':', word) as binary))"
+    cut = "concat(substring(word, 1, cast(h % char_length(word) as int)), substring(word, cast(h % char_length(word) as int) + 2))"
+    return words.selectExpr("doc_id", "word", f"{h} as h").selectExpr("doc_id", f"if(h % 97 = 0, {cut}, word) as word")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.words_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_variants(spelling.count_words(with_misspellings(words)))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = scratch_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_mixing, op3_packing, op4_minhash_dedup, op5_secret_scans, op6_fingerprints, op7_language_id, op8_quality_rules, op9_toxicity, op10_token_counts)
+    for f in (
+        op1_html_extraction, op2_mixing, op3_packing, op4_minhash_dedup, op5_secret_scans, op6_fingerprints, op7_language_id, op8_quality_rules, op9_toxicity,
+        op10_token_counts, op11_periodic_runs, op12_spelling_variants, op13_warc,
+    )
 }
 
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Five hexadecimal digits are four letters of base32.
+_LETTERS = ", ".join(f"substr('{_B32}', 1 + ((cast('0x' || substr(s, {5 * i + 1}, 5) as int) >> {15 - 5 * j}) & 31), 1)" for i in range(8) for j in range(4))
+
 ORACLES = {
     "op10_token_counts": rf"""
         with once as (
@@ -107,4 +156,11 @@ ORACLES = {
         select source, lang, 'words-1' as tokenizer, count(*) as n_docs, cast(sum(revised) as bigint) as n_tokens from kept group by source, lang
         union all
         select source, lang, 'fine-1', count(*), cast(sum(fine) as bigint) from kept group by source, lang""",
+    "op13_warc": f"""
+        with p as (select page_id, url, coalesce(html, '') as payload, sha1(coalesce(html, '')) as s from pages),
+        last as (select *, max(page_id) over (partition by payload) as top from p)
+        select page_id, cast(strlen(payload) as bigint) as payload_bytes, concat({_LETTERS}) as payload_digest,
+               case when page_id = top then 'response' else 'revisit' end as record_type,
+               case when page_id = top then null else top end as refers_to, url
+        from last""",
 }
