@@ -53,8 +53,8 @@ def tumbling_end(t, width: int) -> Column:
 def hex_to_number(h) -> Column:
     """0x… text to an exact unsigned 64-bit number (decimal(20,0)); NULL when it is not hex."""
     h = col(h)
-    digits = F.regexp_extract(F.lower(h), r"^(?:0x)?([0-9a-f]{1,16})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)"))
+    digits = F.regexp_extract(F.lower(h), r"^(?:0x)?([0-9a-f]{1,16})$", 1)  # '' becomes NULL
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
 
 
 def nonblank(c) -> Column:
@@ -68,6 +68,14 @@ def regex_or_null(c, pattern: str, group: int = 1) -> Column:
     return F.when(x != "", x)
 
 
+def once(value, fn) -> Column:
+    """``fn(value)`` with the value evaluated a single time, however often ``fn`` uses it.
+
+    A lambda binds it; plain column references would be replaced by copies of the whole expression.
+    """
+    return F.get(F.transform(F.array(col(value)), fn), F.lit(0))
+
+
 def compact(items: Sequence[Column]) -> Column:
     """Array of the non-null items in the given order."""
     return F.array_compact(F.array(*items))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions.blocked import rank_and_previous, running_max
-from fleetscope.functions.scalars import col, hex_to_number, rows_of
+from fleetscope.functions.scalars import col, hex_to_number, once, rows_of
 
 CHAIN = ["dump_id", "tid"]
 ARROW = " → "
@@ -212,15 +212,16 @@ def crash_timeline(canonical: DataFrame, main: int = 0) -> DataFrame:
 
 def poison_note(value) -> Column:
     """Fill pattern of a 64-bit value: its high byte, or the same byte in the low 32 bits (lowest digit pair free)."""
-    h = F.lpad(F.regexp_replace(F.lower(col(value)), "^0x", ""), 16, "0")
-    high, low = F.substring(h, 1, 2), F.substring(h, 15, 2)
-    out = None
-    for b, text in fixed.POISON_BYTES.items():
-        test = high == b
-        out = F.when(test, text) if out is None else out.when(test, text)
-    for b, text in fixed.POISON_BYTES.items():
-        out = out.when((low == b) & (F.substring(h, 9, 6) == b * 3), text)
-    return out
+    def note(h: Column) -> Column:
+        high, low = F.substring(h, 1, 2), F.substring(h, 15, 2)
+        out = None
+        for b, text in fixed.POISON_BYTES.items():
+            out = F.when(high == b, text) if out is None else out.when(high == b, text)
+        for b, text in fixed.POISON_BYTES.items():
+            out = out.when((low == b) & (F.substring(h, 9, 6) == b * 3), text)
+        return out
+
+    return once(F.lpad(F.regexp_replace(F.lower(col(value)), "^0x", ""), 16, "0"), note)
 
 
 def register_notes(df: DataFrame, keep=("dump_id",), module: str = "region") -> DataFrame:

@@ -10,15 +10,10 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import fixed
 from fleetscope.functions import gdb_lines as G
-from fleetscope.functions.scalars import col, hex_to_number, regex_or_null, rows_of
+from fleetscope.functions.scalars import col, hex_to_number, once, regex_or_null, rows_of
 from fleetscope.functions.small import small_side
 
 
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def _lines(c) -> Column:
     return F.split(col(c), "\r?\n")
 
@@ -63,47 +58,72 @@ def bundle_manifest(files: DataFrame, bundle: str = "bundle", name: str = "filen
 
 # ---- debugger sections --------------------------------------------------------------------------------------
 
+def section_list(text) -> Column:
+    """(name, body) of every BEGIN/END block, in order; the text is split once, at its BEGIN marks.
+
+    A block ends at its own END mark; one that has none before the next block has a NULL body.
+    """
+    def block(p: Column, name: Column) -> Column:
+        end = F.instr(p, F.concat(F.lit("=== "), name, F.lit("_END ===")))
+        start = F.length(name) + len("_BEGIN ===")
+        body = once(end, lambda e: F.when(e > 0, G.strip(F.substring(p, start + 1, e - start - 1))))
+        return F.struct(name.alias("name"), body.alias("body"))
+
+    pieces = F.split(col(text), "=== (?=[A-Z0-9_]+_BEGIN ===)")
+    return F.transform(G.rest(pieces), lambda p: once(F.substring_index(p, "_BEGIN ===", 1), lambda n: block(p, n)))
+
+
 def with_sections(df: DataFrame, text: str = "gdb_text") -> DataFrame:
-    """The named BEGIN/END blocks as columns ``s_<name>``, empty where a block is missing."""
-    def block(n: str) -> Column:
-        n = n.upper()
-        return _strip(F.regexp_extract(text, rf"(?s)=== {n}_BEGIN ===\s*(.*?)\s*=== {n}_END ===", 1))
+    """The named BEGIN/END blocks as columns ``s_<name>``, empty where a block is missing; of several the first counts."""
+    def body(n: str) -> Column:
+        own = F.filter("_blocks", lambda b: (b["name"] == n.upper()) & b["body"].isNotNull())
+        return F.coalesce(F.try_element_at(own, F.lit(1))["body"], F.lit(""))
 
-    return df.withColumns({f"s_{n}": block(n) for n in fixed.SECTIONS})
+    return df.withColumn("_blocks", section_list(text)).withColumns({f"s_{n}": body(n) for n in fixed.SECTIONS}).drop("_blocks")
 
 
 def signal_info(df: DataFrame, text: str = "gdb_text") -> DataFrame:
     """Signal and description of the line on which the debugger says how the program ended."""
     said = F.filter(_lines(text), lambda x: x.contains("Program received signal ") | x.contains("Program terminated with signal "))
     tail = G.after(F.try_element_at(said, F.lit(1)), " signal ")
-    raw = F.get(F.split(tail, "[^A-Za-z0-9_]", 2), F.lit(0))
-    name = F.when(raw.rlike(G.NUMBER), F.coalesce(signal_name(raw), F.concat(F.lit("SIG_"), raw))).when(raw != "", raw)
-    desc = F.trim(F.regexp_replace(F.substring(tail, F.length(raw) + 1, F.length(tail)), r"^[,.]?\s*", ""))
-    return df.withColumns({"signal_name": name, "signal_desc": F.when(raw != "", desc)})
+
+    def one(t: Column, raw: Column) -> Column:
+        name = F.when(raw.rlike(G.NUMBER), F.coalesce(signal_name(raw), F.concat(F.lit("SIG_"), raw))).when(raw != "", raw)
+        desc = F.trim(F.regexp_replace(F.substring(t, F.length(raw) + 1, F.length(t)), r"^[,.]?\s*", ""))
+        return F.struct(name.alias("name"), F.when(raw != "", desc).alias("desc"))
+
+    both = once(tail, lambda t: once(F.get(F.split(t, "[^A-Za-z0-9_]", 2), F.lit(0)), lambda raw: one(t, raw)))
+    return df.withColumn("_said", both).withColumns({"signal_name": F.col("_said.name"), "signal_desc": F.col("_said.desc")}).drop("_said")
+
+
+def frame_rows(section) -> Column:
+    """array<struct<no, text>> of the frame lines of a text."""
+    parts = F.filter(F.transform(_lines(section), G.frame_parts), G.is_frame)
+    return F.transform(parts, lambda p: F.struct(G.frame_number(p).alias("no"), G.frame_body(p).alias("text")))
 
 
 def crash_frame(df: DataFrame, section: str = "s_bt_full") -> DataFrame:
     """Function, file and line of frame 0; all NULL when the function is unknown."""
-    first = F.try_element_at(F.filter(_lines(section), lambda x: G.is_frame(x) & (G.frame_number(x) == 0)), F.lit(1))
-    x = df.withColumn("_b", G.without_address(G.frame_body(first)))
-    func, where = F.trim(G.before_place(F.col("_b"))), G.place(F.col("_b"))
+    first = F.try_element_at(F.filter(frame_rows(section), lambda r: r["no"] == 0), F.lit(1))["text"]
+
+    def one(text: Column, where: Column) -> Column:
+        func = F.trim(G.before_place(text, where))
+        return F.struct(func.alias("func"), where.alias("place"))
+
+    x = df.withColumn("_at", once(G.body_parts(first)["text"], lambda t: once(G.place(t), lambda w: one(t, w))))
+    func, where = F.col("_at.func"), F.col("_at.place")
     known = ~func.isin("??", "")
     return x.withColumns({
         "crash_func": F.when(known, func), "crash_file": F.when(known, G.place_file(where)),
         "crash_line": F.when(known, G.place_line(where)), "has_debuginfo": F.when(known, where.isNotNull()),
-    }).drop("_b")
+    }).drop("_at")
 
 
 def with_frames(df: DataFrame, section, out: str = "frames", limit: int | None = None) -> DataFrame:
-    """Add the frame lines of a text, first per frame number, as array<struct<no, text>>.
-
-    Lines are parsed into a column of their own first, so that looking for earlier numbers does not parse again.
-    """
-    rows = F.transform(F.filter(_lines(section), G.is_frame), lambda x: F.struct(
-        G.frame_number(x).alias("no"), G.frame_body(x).alias("text")))
-    x = df.withColumn("_rows", rows).withColumn("_nos", F.col("_rows.no"))
-    kept = F.filter("_rows", lambda r, i: F.array_position("_nos", r["no"]) == i + 1)
-    return x.withColumn(out, F.slice(kept, 1, limit) if limit else kept).drop("_rows", "_nos")
+    """Add the frame lines of a text, first per frame number, as array<struct<no, text>>."""
+    first = lambda rows: once(F.transform(rows, lambda r: r["no"]), lambda nos: F.filter(rows, lambda r, i: F.array_position(nos, r["no"]) == i + 1))
+    kept = once(frame_rows(section), first)
+    return df.withColumn(out, F.slice(kept, 1, limit) if limit else kept)
 
 
 def backtrace_frames(df: DataFrame, section: str = "s_bt_full", limit: int | None = None, keep=("dump_id",)) -> DataFrame:
@@ -121,24 +141,24 @@ def is_idle(c) -> Column:
     return norm_text(c).rlike("|".join(fixed.IDLE_TOKENS))
 
 
-def thread_role(crashed: Column, top) -> Column:
-    n = norm_text(top)
+def thread_role(crashed: Column, norm: Column) -> Column:
+    """Role of a thread by the normalized name of its top frame."""
     out = F.when(crashed, "crashed")
     for role, tokens in fixed.THREAD_ROLES:
-        out = out.when(n.rlike("|".join(tokens)), role)
-    return out.when(is_idle(top), "lcore_worker").otherwise("unknown")
+        out = out.when(norm.rlike("|".join(tokens)), role)
+    return out.when(norm.rlike("|".join(fixed.IDLE_TOKENS)), "lcore_worker").otherwise("unknown")
 
 
 def with_threads(df: DataFrame, section: str = "s_info_threads") -> DataFrame:
     """Add ``threads``: array of crashed flag, id, lwp, top frame, role and idle flag."""
-    def one(x: Column) -> Column:
-        crashed = F.ltrim(x).startswith("*")
-        w = G.thread_words(x)
-        top = F.trim(w[5])
-        return F.struct(crashed.alias("crashed"), w[0].alias("id"), F.regexp_replace(w[4], r"\)", "").alias("lwp"),
-                        top.alias("bt_top"), thread_role(crashed, top).alias("role"), is_idle(top).alias("idle"))
+    def one(t: Column, top: Column, norm: Column) -> Column:
+        w = t["w"]
+        return F.struct(t["crashed"].alias("crashed"), w[0].alias("id"), F.regexp_replace(w[4], r"\)", "").alias("lwp"),
+                        top.alias("bt_top"), thread_role(t["crashed"], norm).alias("role"), norm.rlike("|".join(fixed.IDLE_TOKENS)).alias("idle"))
 
-    return df.withColumn("threads", F.transform(F.filter(_lines(section), G.is_thread), one))
+    split = F.transform(_lines(section), lambda x: F.struct(F.ltrim(x).startswith("*").alias("crashed"), G.thread_words(x).alias("w")))
+    threads = F.transform(F.filter(split, lambda t: G.is_thread(t["w"])), lambda t: once(F.trim(t["w"][5]), lambda top: once(norm_text(top), lambda n: one(t, top, n))))
+    return df.withColumn("threads", threads)
 
 
 def thread_table(df: DataFrame, keep=("dump_id",)) -> DataFrame:
@@ -176,8 +196,9 @@ def thread_backtraces(df: DataFrame, section: str = "s_thread_bt", keep=("dump_i
 
 def with_registers(df: DataFrame, section: str = "s_registers") -> DataFrame:
     """The six key registers as columns; the last value wins."""
-    values = F.filter(_lines(section), lambda x: F.coalesce(G.word(x, 1).startswith("0x"), F.lit(False)))
-    x = df.withColumn("_p", F.transform(values, lambda x: F.struct(G.word(x).alias("k"), G.word(x, 1).alias("v"))))
+    words = F.transform(_lines(section), lambda x: F.split(G.strip(x), G.BLANKS, 3))
+    values = F.filter(words, lambda w: F.coalesce(F.get(w, F.lit(1)).startswith("0x"), F.lit(False)))
+    x = df.withColumn("_p", F.transform(values, lambda w: F.struct(w[0].alias("k"), w[1].alias("v"))))
 
     def last(n: str) -> Column:
         return F.try_element_at(F.filter("_p", lambda z: z["k"] == n), F.lit(-1))["v"]
@@ -189,7 +210,7 @@ def fault_address(df: DataFrame, section: str = "s_siginfo") -> DataFrame:
     """The value printed for the address, ``$N = [(type)] 0xADDR`` or plain 0."""
     said = F.filter(_lines(section), lambda x: F.ltrim(x).startswith("$") & x.contains("="))
     value = F.element_at(F.split(G.strip(G.after(F.try_element_at(said, F.lit(1)), "=")), G.BLANKS), -1)
-    return df.withColumn("fault_addr", F.when(value.startswith("0x"), value).when(value == "0", "0x0"))
+    return df.withColumn("fault_addr", once(value, lambda v: F.when(v.startswith("0x"), v).when(v == "0", "0x0")))
 
 
 def locals_table(df: DataFrame, section: str = "s_locals", keep=("dump_id",), limit: int | None = None) -> DataFrame:
@@ -212,9 +233,8 @@ def region_type(name) -> Column:
 
 def crash_region(df: DataFrame, section: str = "s_mappings", address: str = "rip") -> DataFrame:
     """First mapping line of the same text whose [start, end) holds the address."""
-    maps = F.transform(F.filter(_lines(section), G.is_mapping), lambda x: F.struct(
-        hex_to_number(G.mapping_words(x)[0]).alias("a"), hex_to_number(G.mapping_words(x)[1]).alias("b"),
-        F.coalesce(F.get(G.mapping_words(x), F.lit(4)), F.lit("")).alias("name")))
+    maps = F.transform(F.filter(F.transform(_lines(section), G.mapping_words), G.is_mapping), lambda w: F.struct(
+        hex_to_number(w[0]).alias("a"), hex_to_number(w[1]).alias("b"), F.coalesce(F.get(w, F.lit(4)), F.lit("")).alias("name")))
     x = df.withColumns({"_m": maps, "_a": hex_to_number(address)})
     hit = F.try_element_at(F.filter("_m", lambda m: (F.col("_a") >= m["a"]) & (F.col("_a") < m["b"])), F.lit(1))
     x = x.withColumn("_h", hit)
@@ -247,8 +267,7 @@ def address_region(addresses: DataFrame, maps: DataFrame, addr: str = "addr") ->
 
 def stack_words(section) -> Column:
     """Hex words of a memory dump without the first, which is the address itself."""
-    words = F.regexp_extract_all(col(section), F.lit(r"0x[0-9a-f]+"), 0)
-    return F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return G.rest(F.regexp_extract_all(col(section), F.lit(r"0x[0-9a-f]+"), 0))
 
 
 def lib_status(df: DataFrame, section: str = "s_shared") -> DataFrame:
@@ -264,9 +283,10 @@ def subsystems(text) -> Column:
 
 def crash_type(signal="signal_name", fault="fault_addr", rdi="rdi", rip="rip") -> Column:
     """Crash class: segmentation faults by faulting address, then registers; other signals by table, else their name."""
-    s, a = col(signal), hex_to_number(fault)
-    segv = (F.when(a == 0, "null_ptr_deref").when(a < fixed.NEAR_NULL, "near_null_deref").when(col(rdi) == "0x0", "null_pointer_deref")
-            .when(col(rip) == "0x0", "null_function_call").otherwise("invalid_memory_access"))
+    s = col(signal)
+    near = once(hex_to_number(fault), lambda a: F.when(a == 0, "null_ptr_deref").when(a < fixed.NEAR_NULL, "near_null_deref"))
+    other = F.when(col(rdi) == "0x0", "null_pointer_deref").when(col(rip) == "0x0", "null_function_call").otherwise("invalid_memory_access")
+    segv = F.coalesce(near, other)
     out = F.when(F.coalesce(s, F.lit("")) == "", "unknown").when(s == "SIGSEGV", segv)
     for k, v in fixed.CRASH_BY_SIGNAL.items():
         out = out.when(s == k, v)
@@ -297,12 +317,14 @@ def parse_warnings(df: DataFrame) -> DataFrame:
 
 
 def frame_parse(df: DataFrame, frame: str = "frame") -> DataFrame:
-    """Frame text (with its ``#n``) to number, function, address and source; frames without a usable name are dropped."""
-    x = df.withColumns({"_line": col(frame), "_body": G.frame_body(col(frame))})
-    name = G.word(F.regexp_replace(G.without_address(F.col("_body")), r"\(", " "))
-    x = x.withColumns({"idx": F.when(G.is_frame(F.col("_line")), G.frame_number(F.col("_line"))), "func": G.bare_name(name),
-                       "address": G.frame_address(F.col("_body")), "source": G.place(F.col("_body"))}).drop("_line", "_body")
-    return x.where(F.col("idx").isNotNull() & ~F.col("func").isin(*fixed.INVALID_FUNCS))
+    """Frame text (with its ``#n``) to number, function, address and source; frames without a usable name are dropped.
+
+    The parsed row goes through a generator of one element, below which no filter is pushed, so each line is read once.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("idx", "func", "address", "source")]
+    x = df.select(*own, F.explode_outer(F.array(G.parsed_frame(col(frame)))).alias("_f"))
+    ok = F.col("_f.idx").isNotNull() & ~F.col("_f.func").isin(*fixed.INVALID_FUNCS)
+    return x.where(ok).select(*own, "_f.idx", "_f.func", "_f.address", "_f.source")
 
 
 # ---- stack tool ------------------------------------------------------------------------------------------------
@@ -355,7 +377,7 @@ def merge_crash_sources(debugger: DataFrame, notes: DataFrame, files: DataFrame)
 
 def symbol_quality(df: DataFrame, stderr: str = "stderr", code: str = "returncode", rules=fixed.SYMBOL_RULES) -> DataFrame:
     """Rules on the debugger's messages: invalid if a fatal one holds, degraded for any other or a bad exit code."""
-    x = df.withColumn("_e", _strip(F.lower(F.coalesce(stderr, F.lit("")))))
+    x = df.withColumn("_e", G.strip(F.lower(F.coalesce(stderr, F.lit("")))))
     hits = []
     for _, key, sev, parts, pattern in rules:
         test = F.lit(True)

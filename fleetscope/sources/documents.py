@@ -9,7 +9,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.functions.scalars import col
+from fleetscope.functions.scalars import col, once
 
 Reader = Callable[[Column], Column]
 
@@ -33,30 +33,49 @@ _HIDDEN = r"(?is)<(script|style|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</
 _TAG = r"(?s)</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 
 
+#: References that most pages use; they are looked for before the table of all names.
+_COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp")
+
+
 @lru_cache(maxsize=1)
-def _named() -> tuple[list[str], list[str]]:
-    names = sorted(k[:-1] for k in html5 if k.endswith(";"))
-    return names, [html5[f"{n};"] for n in names]
+def _named() -> dict[str, dict[str, str]]:
+    """Characters by name, the names grouped by their first letter."""
+    groups: dict[str, dict[str, str]] = {}
+    for k in sorted(html5):
+        if k.endswith(";"):
+            groups.setdefault(k[:1], {})[k[:-1]] = html5[k]
+    return groups
+
+
+def _by_name(name: Column) -> Column:
+    """The character of a name, NULL for an unknown one; a search looks at the groups, then at one group."""
+    out = None
+    for n in _COMMON:
+        out = F.when(name == n, html5[f"{n};"]) if out is None else out.when(name == n, html5[f"{n};"])
+    names = F.array(*[F.lit(list(g)) for g in _named().values()])
+    values = F.array(*[F.lit(list(g.values())) for g in _named().values()])
+    group = F.array_position(F.lit(list(_named())), F.substring(name, 1, 1))
+    at = lambda a, i: F.get(a, (i - 1).cast("int"))
+    found = once(group, lambda g: once(F.array_position(at(names, g), name), lambda i: at(at(values, g), i)))
+    return out.when(name.rlike("^[A-Za-z][A-Za-z0-9]+$"), found)
 
 
 def decode_entities(c: Column) -> Column:
     """Character references, by name or number, as characters; anything else after an ampersand stays."""
-    names, values = _named()
-    table = F.map_from_arrays(F.lit(names), F.lit(values))
-    pieces = F.split(c, "&")
-
-    def one(p: Column) -> Column:
-        name = F.substring_index(p, ";", 1)
+    def char(name: Column) -> Column:
         number = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).cast("int")).when(
             name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7).cast("int"))
-        legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(legal, number)), 8, "0")), "UTF-32")
-        known = F.when(number.isNotNull(), char).when(name.rlike("^[A-Za-z][A-Za-z0-9]*$"), F.try_element_at(table, name))
-        rest = F.substring(p, F.length(name) + 2, F.length(p))
-        return F.when(p.contains(";") & known.isNotNull(), F.concat(known, rest)).otherwise(F.concat(F.lit("&"), p))
-
-    more = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one)
-    return F.when(c.contains("&"), F.concat(pieces[0], F.array_join(more, ""))).otherwise(c)
+        legal = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), n)
+        by_number = once(number, lambda n: F.decode(F.unhex(F.lpad(F.hex(legal(n)), 8, "0")), "UTF-32"))
+        return F.when(name.startswith("#"), by_number).otherwise(_by_name(name))
+
+    def one(p: Column) -> Column:
+        whole = F.concat(F.lit("&"), p)
+        read = once(F.substring_index(p, ";", 1), lambda name: once(char(name), lambda k: F.when(k.isNotNull(), F.concat(k, F.substring(p, F.length(name) + 2, F.length(p)))).otherwise(whole)))
+        return F.when(p.contains(";"), read).otherwise(whole)
+
+    more = lambda x: F.transform(F.slice(x, 2, 1 << 30), one)
+    return once(c, lambda t: F.when(t.contains("&"), once(F.split(t, "&"), lambda x: F.concat(x[0], F.array_join(more(x), "")))).otherwise(t))
 
 
 def html_to_text(html) -> Column:

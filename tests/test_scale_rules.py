@@ -9,7 +9,7 @@ from fleetscope.functions.small import small_side
 from fleetscope.operators import crash_text as C
 from fleetscope.operators import rules as R
 from fleetscope.plans import inputs as I
-from fleetscope.plans import q_rules
+from fleetscope.plans import QUERIES, q_rules
 from fleetscope.plans.q_telemetry import features_with_baseline
 from fleetscope.streaming import jobs as J
 from fleetscope.operators.fleet import registry_diff
@@ -61,3 +61,9 @@ def test_registry_sync_over_batches(spark, sf, tmp_path, files):
     key = lambda df: sorted(map(tuple, df.select("client_id", "pid", "action").collect()))
     assert key(J.read_registry_actions(spark, out, known)) == key(registry_diff(now, known))
     assert key(J.read_registry_actions(spark, out, known, sync=1)) == key(registry_diff(inst, known))
+
+
+@pytest.mark.parametrize("name", ["frame_parse", "stack_annotate", "crash_snapshot", "crash_type", "crash_frame", "parse_warnings"])
+def test_text_is_parsed_once(spark, sf, name):
+    text = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < len(re.findall(r"\b(?:split|regexp_replace|regexp_extract|regexp_extract_all|RLIKE)\(", text)) < 60
