@@ -133,6 +133,13 @@ def range_bounds(keys: DataFrame, shards: int) -> list[tuple[int, str]]:
     return [found[i * len(found) // shards] for i in range(1, shards)] if len(found) >= shards else found
 
 
+def slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that Spark's hash deals to it, so that every range gets a task of its own."""
+    dealt = spark.range(50 * n).selectExpr("cast(id as int) as v").selectExpr("v", f"pmod(hash(v), {n}) as p").groupBy("p").agg(F.min("v").alias("v"))
+    found = {r["p"]: r["v"] for r in dealt.collect()}
+    return [found.get(i, i) for i in range(n)]
+
+
 def shard_column(bounds: list[tuple[int, str]], k: str, digest: str) -> Column:
     """Number of bounds not above (k, digest); only these two columns go through Python."""
     ids = np.array([b[0] for b in bounds], np.int64)
@@ -162,7 +169,7 @@ def marked(pages: DataFrame, least: int, salts: int = 16) -> DataFrame:
 
 
 def write_archive(
-    pages: DataFrame, path: str, least: int = 0, shard_bytes: int = 256 << 20, roll_bytes: int = 64 << 20, shards: int | None = None, level: int = 6,
+    pages: DataFrame, path: str, least: int = 0, shard_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, shards: int | None = None, level: int = 6,
 ) -> DataFrame:
     """Write a record for every row of ``pages`` (page_id, url, html) below ``path`` and return the manifest.
 
@@ -170,7 +177,8 @@ def write_archive(
     agree in id and payload are told apart by url, then by a running number; of rows with the largest id the largest url
     (null first) is the response. Texts are written whole. An empty table gives an empty manifest. Other columns are
     ignored. ``path`` must hold no archive. The files depend on the rows and the parameters; without ``shards`` there is a
-    range for each ``shard_bytes`` of payload, 20,000 at most, and one for each shuffle partition at least.
+    range for each ``shard_bytes`` of payload, 20,000 at most, and one for each shuffle partition at least. A range that is
+    larger, as at the most it is, is several files of about ``roll_bytes``.
     """
     spark = pages.sparkSession
     files, base = open_fs(path)
@@ -182,7 +190,9 @@ def write_archive(
         total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         shards = min(20_000, max(-(-total // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     order = ["shard", "k", "digest", "url"]
-    dealt = rows.withColumn("shard", shard_column(range_bounds(keys, shards), "k", "digest")).repartition("shard").sortWithinPartitions(*order)
+    place = F.element_at(F.lit(slots(spark, shards)), F.col("shard") + 1)
+    ranged = rows.withColumn("shard", shard_column(range_bounds(keys, shards), "k", "digest")).withColumn("slot", place)
+    dealt = ranged.repartition(shards, "slot").sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, out, shard, last, number, seq, done = uuid.uuid4().hex, None, None, None, 0, 0, []
