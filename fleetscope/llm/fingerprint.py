@@ -3,7 +3,7 @@
 A text is a multiset of paragraphs (lines). Each paragraph hashes to a wide vector, and the fingerprint is the sum of
 the vectors modulo powers of two, so it does not depend on the order of paragraphs, and a paragraph is inserted or
 deleted by adding or subtracting its vector. The vector has two parts: eight lanes modulo 2**32 hashed from the whole
-paragraph, which settle equality, and 128 lanes modulo 2**16, the sum of +1/-1 vectors hashed from its pieces (runs of
+paragraph, which settle equality, and 128 lanes modulo 2**32, the sum of +1/-1 vectors hashed from its pieces (runs of
 words cut after certain letters, so that an edit moves few of them). The cosine of the second part of two fingerprints
 estimates the share of pieces the texts have in common.
 """
@@ -34,7 +34,7 @@ def lanes(text: str) -> str:
     pieces = f"filter(split({text}, {_lit(PIECE)}, -1), p -> p <> '')"
     words = ", ".join(f"'p{w}', transform(y, p -> xxhash64({100 + w}, p))" for w in range(LIKE // 64))
     # Each sum holds two counts of set bits; twice the count less the number of pieces is the sum of +1 and -1.
-    wrap = lambda c: f"(({c}) + 32768L & 65535L) - 32768L"
+    wrap = lambda c: f"(({c}) + 2147483648L & 4294967295L) - 2147483648L"
     split = f"flatten(transform(z.ones, c -> array({wrap('2 * (c & 4294967295L) - z.n')}, {wrap('2 * shiftrightunsigned(c, 32) - z.n')})))"
     return (
         f"transform(transform(transform(array({pieces}), y -> named_struct('h', {hashed}, 'n', size(y), {words})), "
@@ -46,19 +46,19 @@ def lanes(text: str) -> str:
 def combine(a: str, b: str, sign: int = 1) -> str:
     """SQL for the fingerprint of both multisets together (or of ``a`` without ``b``): lanes added modulo their powers."""
     return (
-        f"transform(zip_with({a}, {b}, (x, y) -> x + {sign} * y), (v, i) -> if(i < {EQUAL}, v & 4294967295L, (v + 32768L & 65535L) - 32768L))"
+        f"transform(zip_with({a}, {b}, (x, y) -> x + {sign} * y), (v, i) -> if(i < {EQUAL}, v & 4294967295L, (v + 2147483648L & 4294967295L) - 2147483648L))"
     )
 
 
 def as_hex(fp: str) -> str:
-    return f"array_join(transform({fp}, (v, i) -> if(i < {EQUAL}, lpad(hex(v), 8, '0'), lpad(hex(v & 65535L), 4, '0'))), '')"
+    return f"array_join(transform({fp}, v -> lpad(hex(v & 4294967295L), 8, '0')), '')"
 
 
 def likeness(a: str, b: str) -> str:
     """SQL for the cosine of the likeness lanes within 0 and 1; equal fingerprints give 1, one without pieces 0."""
     part = lambda x: f"slice({x}, {EQUAL + 1}, {LIKE})"
-    dot = lambda x, y: f"aggregate(zip_with({part(x)}, {part(y)}, (x, y) -> x * y), 0L, (s, v) -> s + v)"
-    norm = f"sqrt(cast({dot(a, a)} as double)) * sqrt(cast({dot(b, b)} as double))"
+    dot = lambda x, y: f"aggregate(zip_with({part(x)}, {part(y)}, (x, y) -> cast(x as double) * y), 0D, (s, v) -> s + v)"
+    norm = f"sqrt({dot(a, a)}) * sqrt({dot(b, b)})"
     return f"if({a} = {b}, 1D, transform(array({norm}), n -> if(n > 0, least(1D, greatest(0D, {dot(a, b)} / n)), 0D))[0])"
 
 
@@ -67,19 +67,41 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("fp", F.expr(lanes(f"coalesce(`{text}`, '')")))
 
 
-def with_next(docs: DataFrame, most_blocks: int = 400_000) -> DataFrame:
+def id_bounds(docs: DataFrame, per_block: int, most_blocks: int, oversample: int = 8) -> list[int]:
+    """Ids that cut the documents into blocks of about ``per_block``, taken from a hashed sample of the distinct ids.
+
+    At most about ``2 * oversample * most_blocks`` ids reach the driver.
+    """
+    n = docs.count()
+    blocks = min(most_blocks, n // per_block)
+    if blocks < 2:
+        return []
+    every = max(1, n // (blocks * oversample))
+    picked = docs.where(f"doc_id is not null and pmod(xxhash64(doc_id), {every}) = 0").select("doc_id").distinct()
+    found = sorted(r[0] for r in picked.limit(2 * oversample * blocks + 1000).collect())
+    return sorted({found[i * len(found) // blocks] for i in range(1, blocks)}) if found else []
+
+
+def block_of(bounds: list[int]) -> str:
+    """SQL for the number of bounds not above doc_id, by bisection; null ids come behind all others."""
+    if not bounds:
+        return "if(doc_id is null, 1L, 0L)"
+    n = len(bounds)
+    steps = ", ".join(str(1 << i) for i in range(n.bit_length() - 1, -1, -1))
+    table = f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)"
+    found = f"aggregate(array({steps}), 0, (at, s) -> if(at + s <= {n} and get({table}, at + s - 1) <= doc_id, at + s, at))"
+    return f"if(doc_id is null, {n + 1}L, cast({found} as bigint))"
+
+
+def with_next(docs: DataFrame, per_block: int = 1024, most_blocks: int = 100_000) -> DataFrame:
     """``docs`` (doc_id, text, fp) plus ``next_text`` and ``next_fp`` of the following id; the last is followed by the first.
 
-    Null ids come last; rows that share an id follow each other by text. Ids are cut into ranges of about 1,024
-    documents (more where that would give over ``most_blocks`` of them). A range is ordered in one task; its last row
-    takes the first row of the next range, of which there is one per range. Texts are shuffled once.
+    Null ids come last; rows that share an id follow each other by text, and lie in one block. Ids are cut where the data
+    are, into blocks of about ``per_block`` documents (more where that would give over ``most_blocks`` of them), however
+    far apart ids lie. A block is ordered in one task; its last row takes the first row of the next block, of which there
+    is one per block. Texts are shuffled once.
     """
-    # One row: smallest and largest id and their number set the width of a range.
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high = low or 0, high or 0
-    per_block = max(1024, -(-n // most_blocks))
-    width = max(1, (high - low + 1) * per_block // max(n, 1))
-    block = F.expr(f"cast(coalesce((doc_id - {low}L) div {width}L, {(high - low) // width + 1}L) as bigint)")
+    block = F.expr(block_of(id_bounds(docs, per_block, most_blocks)))
     cut = docs.select("doc_id", "text", block.alias("block"))
     heads = stage(cut.groupBy("block").agg(F.min("doc_id").alias("head")), "fp-heads")  # at most about most_blocks rows
     follow = heads.selectExpr(

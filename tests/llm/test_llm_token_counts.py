@@ -1,7 +1,10 @@
 """Rollups against a recount, replays, lost commits, compaction."""
 
+import re
+
 import pytest
 
+from fleetscope.llm.queries import FINE, op10_token_counts
 from fleetscope.llm.token_counts import commit_batch, compact, totals
 
 SCHEMA = "op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, n_tokens int"
@@ -43,3 +46,15 @@ def test_unknown_op_is_refused(spark, tmp_path):
     with pytest.raises(Exception, match="unknown op"):
         commit_batch(spark, f"file://{tmp_path}/c", "1", changes(spark, ("upsert", "x", "en", "t", None, 5)))
     assert state_of(spark, f"file://{tmp_path}/c") == {}
+
+
+def test_query_counts_every_row(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("source", "lang", "text")
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in op10_token_counts(spark, sf).collect()}
+    want = {}
+    for r in docs.collect():
+        t = (r["text"] or "")
+        for name, n in (("words-1", sum(bool(set(w) - set("#*$%&|<>")) for w in re.split(r"[\x20\x09-\x0D]+", t) if w)), ("fine-1", len(re.findall(FINE, t)))):
+            d, k = want.get((r["source"], r["lang"], name), (0, 0))
+            want[(r["source"], r["lang"], name)] = (d + 1, k + n)
+    assert got == want and sum(d for d, _ in got.values()) == 2 * docs.count()
