@@ -3,8 +3,9 @@
 A text's features are the hashed character n-grams it has, present or not. From labelled texts each feature gets its
 log-count ratio r (how much likelier it is in toxic texts); a logistic regression is trained on the features times r.
 Training runs in rounds: every partition of the training features does one pass of gradient steps from the shared
-weights, and the results are averaged. A fifth of the training rows sets the point where the score is one half, by the
-best F1 there. Scoring reads each text once, where it lies.
+weights, and the results are averaged. The point where the score is one half is set by cross-fitting: each fifth of the
+training rows gets margins from the same training on the other four, and all these margins together give the cut of the
+best F1. Scoring reads each text once, where it lies.
 """
 
 from __future__ import annotations
@@ -51,21 +52,6 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + float(self.weights[x].sum()), -30, 30))))
 
 
-def log_count_ratios(rows: DataFrame, bits: int, smooth: float) -> np.ndarray:
-    """log of the share of each feature in toxic texts over that in the others; at most 2**bits rows are collected."""
-    counts = (
-        rows.select("toxic", F.explode("x").alias("i"))
-        .groupBy("i")
-        .agg(F.sum("toxic").alias("p"), F.sum(F.lit(1) - F.col("toxic")).alias("q"))
-        .toPandas()
-    )
-    p, q = np.full(1 << bits, smooth), np.full(1 << bits, smooth)
-    p[counts["i"]] += counts["p"]
-    q[counts["i"]] += counts["q"]
-    n1, n0 = (rows.agg(F.sum("toxic"), F.count(F.lit(1)) - F.sum("toxic")).first())
-    return np.log(p / ((n1 or 0) + 2 * smooth)) - np.log(q / ((n0 or 0) + 2 * smooth))
-
-
 def best_cut(toxic: np.ndarray, z: np.ndarray) -> float:
     """The point between two neighbouring values that gives the best F1 for calling larger ones toxic."""
     order = np.argsort(-z, kind="stable")
@@ -74,59 +60,103 @@ def best_cut(toxic: np.ndarray, z: np.ndarray) -> float:
     return float(z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2
 
 
+def step_size(rate: float, r: int) -> float:
+    return rate / (1 + 0.3 * r)
+
+
+def one_pass(rows, ratio: np.ndarray, w: np.ndarray, bias: float, step: float) -> tuple[np.ndarray, float, int]:
+    """Change of the weights, bias and number of rows (toxic, x) after a gradient step for each row."""
+    own, b, seen = w.copy(), bias, 0
+    for y, x in rows:
+        v = ratio[x]
+        g = y - 1 / (1 + np.exp(-np.clip(b + float(own[x] @ v), -30, 30)))
+        own[x] += np.float32(step * g) * v
+        b += 0.1 * step * g
+        seen += 1
+    return own - w, b, seen
+
+
+def averaged(w: np.ndarray, found: list[tuple[np.ndarray, float, int]]) -> tuple[np.ndarray, float]:
+    total = sum(n for _, _, n in found)
+    return w + sum(d * np.float32(n / total) for d, _, n in found), float(sum(b * n / total for _, b, n in found))
+
+
+def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int, smooth: float, scale: float) -> np.ndarray:
+    """Scaled log-count ratios from the numbers of toxic and other texts with each feature."""
+    return ((np.log((p + smooth) / (n1 + 2 * smooth)) - np.log((q + smooth) / (n0 + 2 * smooth))) / scale).astype(np.float32)
+
+
+def cross_margins(rows: list[tuple[int, np.ndarray, int, int]], fold: int, bits: int, scale: float, smooth: float, rounds: int, rate: float) -> tuple[list[int], list[float]]:
+    """Labels and margins of the rows (toxic, x, part, fold) of one fold, from the training on the other folds."""
+    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
+    parts: dict[int, list] = {}
+    for y, x, part, f in rows:
+        if f != fold:
+            (p if y else q)[x] += 1
+            parts.setdefault(part, []).append((y, x))
+    n1 = sum(y for own in parts.values() for y, _ in own)
+    n = sum(map(len, parts.values()))
+    ratio = ratios(p, q, n1, n - n1, smooth, scale)
+    prior = (n1 + 0.5) / (n + 1)
+    w, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
+    for r in range(rounds if 0 < n1 < n else 0):
+        w, bias = averaged(w, [one_pass(own, ratio, w, bias, step_size(rate, r)) for _, own in sorted(parts.items())])
+    weights = w * ratio
+    held = [(y, float(weights[x].sum())) for y, x, _, f in rows if f == fold]
+    return [y for y, _ in held], [z for _, z in held]
+
+
 def train(
     texts: DataFrame, orders: tuple[int, ...] = (4, 5, 6), bits: int = 18, scale: float = 16.0,
-    smooth: float = 1.0, rounds: int = 10, rate: float = 2.0, parts: int = 6,
+    smooth: float = 1.0, rounds: int = 10, rate: float = 2.0, parts: int = 6, folds: int = 5,
 ) -> ToxicityModel:
     """Fit on ``texts`` (text, toxic 0 or 1), the caller's bounded sample of labelled rows.
 
-    Null texts count as empty. Without rows of both labels the model scores every text by the share of label 1.
+    Null texts count as empty. Without rows of both labels the model scores every text by the share of label 1. A task of the
+    cross-fitting holds the features of the whole sample, 4 bytes for each.
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, orders, bits) for t in pdf["text"]]})
 
     made = texts.selectExpr("text", "cast(toxic as int) as toxic").repartition(parts).mapInPandas(extract, "toxic int, x array<int>")
-    rows = stage(made.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int")).withColumn("held", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(5)) == 0), "tox-train")
+    rows = stage(made.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int")).withColumn("fold", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(folds)).cast("int")), "tox-train")
     n, positives = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (positives + 0.5) / (n + 1)
     w, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
     if not 0 < positives < n:
         return ToxicityModel(w, bias, orders, bits)
-    ratio = (log_count_ratios(rows, bits, smooth) / scale).astype(np.float32)
+    counts = rows.select("toxic", F.explode("x").alias("i")).groupBy("i").agg(F.sum("toxic").alias("p"), F.sum(F.lit(1) - F.col("toxic")).alias("q")).toPandas()  # at most 2**bits rows
+    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
+    p[counts["i"]], q[counts["i"]] = counts["p"], counts["q"]
+    ratio = ratios(p, q, positives, n - positives, smooth, scale)
     # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
-    fit = rows.where("not held").repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
+    fit = rows.repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
     for r in range(rounds):
-        def epoch(batches: Iterator[pd.DataFrame], w=w, bias=bias, step=rate / (1 + 0.3 * r)) -> Iterator[pd.DataFrame]:
-            own, b, seen = w.copy(), bias, 0
-            for pdf in batches:
-                for y, x in zip(pdf["toxic"], pdf["x"], strict=True):
-                    v = ratio[x]
-                    g = y - 1 / (1 + np.exp(-np.clip(b + float(own[x] @ v), -30, 30)))
-                    own[x] += np.float32(step * g) * v
-                    b += 0.1 * step * g
-                    seen += 1
+        def epoch(batches: Iterator[pd.DataFrame], w=w, bias=bias, step=step_size(rate, r)) -> Iterator[pd.DataFrame]:
+            change, b, seen = one_pass(((y, x) for pdf in batches for y, x in zip(pdf["toxic"], pdf["x"], strict=True)), ratio, w, bias, step)
             if seen:
-                yield pd.DataFrame({"n": [seen], "b": [b], "w": [(own - w).astype(np.float16).tobytes()]})
+                yield pd.DataFrame({"n": [seen], "b": [b], "w": [change.astype(np.float16).tobytes()]})
 
         # The change of the weights by each part: one row of 2 * 2**bits bytes, small enough to come with the task's status.
         found = sorted(fit.mapInPandas(epoch, "n long, b double, w binary").collect(), key=lambda f: (f["n"], f["b"]))
-        total = sum(f["n"] for f in found)
-        if not total:
-            break
-        w = w + sum(np.frombuffer(f["w"], np.float16).astype(np.float32) * np.float32(f["n"] / total) for f in found)
-        bias = float(sum(f["b"] * f["n"] / total for f in found))
+        w, bias = averaged(w, [(np.frombuffer(f["w"], np.float16).astype(np.float32), f["b"], f["n"]) for f in found])
     fit.unpersist()
-    model = ToxicityModel(w * ratio, bias, orders, bits)
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {}
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "z": [float(model.weights[x].sum()) for x in pdf["x"]]})
-
-    held = rows.where("held").mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
-    if 0 < held["toxic"].sum() < len(held):
-        model.bias = -best_cut(held["toxic"].to_numpy(), held["z"].to_numpy())
-    return model
+            for held, y, x, part, f in zip(pdf["held"], pdf["toxic"], pdf["x"], pdf["part"], pdf["fold"], strict=True):
+                own.setdefault(held, []).append((y, np.asarray(x, np.int32), part, f))
+        for held, whole in own.items():
+            y, z = cross_margins(whole, held, bits, scale, smooth, rounds, rate)
+            yield pd.DataFrame({"toxic": y, "z": z})
+
+    # One task for each fold, which reads the whole bounded sample.
+    dealt = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).repartition(folds * 4, "held").sortWithinPartitions("held", F.xxhash64("x", "toxic"))
+    cross = dealt.mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
+    cut = best_cut(cross["toxic"].to_numpy(), cross["z"].to_numpy())
+    return ToxicityModel(w * ratio, -cut, orders, bits)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, usable: Column) -> DataFrame:
