@@ -2,9 +2,12 @@
 
 A page is stripped to lines, one per block of the page. Every line has a weight, the length of its text outside links.
 The weights of a sliding window of lines are summed; where the sum surges over a level the text begins, where it
-dives to zero it ends, and the lines between are kept. Boilerplate elements (menus, footers, adverts, forms, comments,
-...) leave a line without weight. Where a page marks its article, lines outside weigh nothing and lines inside weigh
-at least the surge level, so that short paragraphs, lists and link lines of the article are kept.
+dives to zero it ends, and the lines between are kept. Menus, footers, scripts and the like leave a line without weight.
+
+What a page says of its parts only changes weights. An element whose class, id or role names boilerplate, or a form,
+weighs nothing unless it wraps the page, holding half of its text or more. The one article or main
+element of a page adds a bonus to its lines, so that short paragraphs, lists and link lines of it are kept, and is parted
+from its surroundings, unless far more text lies outside; several articles are a list and add none.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset(
-    "script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog head menu".split()
+    "script style noscript template nav footer aside button select textarea iframe svg canvas object dialog head menu".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -35,26 +38,34 @@ MARKS = frozenset(
     "pagination pager toolbar hidden side sidenav subnav topnav topbar aside advertising adbox adslot adbanner commentlist alert "
     "notification notifications disclaimer copyright searchbox".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPACES = re.compile(r"\s+")
 _CUT_OFF = re.compile(r"</?[A-Za-z][^<>]*")
 
 
 class _Lines(HTMLParser):
-    """Collects [text parts, characters outside links, inside the article] for each block of the page."""
+    """Collects [text parts, characters outside links, article, parts] for each block of the page.
+
+    ``article`` is the number of the outermost article or main element around the line (0: none), ``parts`` the numbers of
+    the elements around it that a name or a form makes suspect.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # name, and whether it hides its content
-        self.hidden = self.article = self.links = 0
+        self.stack: list[tuple[str, bool, bool]] = []  # name, whether it hides its content, whether it is suspect
+        self.hidden = self.article = self.articles = self.links = self.suspects = 0
+        self.parts: tuple[int, ...] = ()
         self.lines: list[list] = []
         self.open: list | None = None
-        self.marked = False
 
     def _break(self) -> None:
         self.open = None
 
+    def _line(self) -> list:
+        self.lines.append([[], 0, self.articles if self.article else 0, self.parts])
+        return self.lines[-1]
+
     def _hides(self, tag: str, attrs: dict) -> bool:
         if tag in SKIP or tag == "header" and not self.article:
             return True
@@ -62,7 +73,12 @@ class _Lines(HTMLParser):
             return False
         if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
-        if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
+        return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+    def _suspect(self, tag: str, attrs: dict) -> bool:
+        if tag in ("html", "body", "main"):
+            return False
+        if tag == "form" or (attrs.get("role") or "").lower() == "form":
             return True
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         if not names.strip():
@@ -80,16 +96,22 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         hides = self._hides(tag, attrs)
-        self.stack.append((tag, hides))
+        suspect = not hides and not self.hidden and self._suspect(tag, attrs)
+        self.stack.append((tag, hides, suspect))
         if hides:
             if not self.hidden:
-                self.lines.append([[], 0, self.article > 0])
+                self._line()
             self.hidden += 1
+        if suspect:
+            self.suspects += 1
+            self.parts = (*self.parts, self.suspects)
+            self._break()
+            self._line()
         if tag == "a":
             self.links += 1
         if tag in ("article", "main") and not self.hidden:
+            self.articles += not self.article
             self.article += 1
-            self.marked = True
 
     def _close_paragraph(self, tag: str) -> None:
         same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(tag, ())
@@ -103,12 +125,15 @@ class _Lines(HTMLParser):
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            tag, hides = self.stack.pop()
+            tag, hides, suspect = self.stack.pop()
             if tag in ("article", "main") and not self.hidden:
                 self.article -= 1
             if hides:
                 self.hidden -= 1
                 self._break()
+            if suspect:
+                self.parts = self.parts[:-1]
+                self._break()
             if tag == "a":
                 self.links -= 1
             if tag in BLOCK:
@@ -133,18 +158,17 @@ class _Lines(HTMLParser):
         if self.open is None:
             if data.isspace():
                 return
-            self.open = [[], 0, self.article > 0]
-            self.lines.append(self.open)
+            self.open = self._line()
         self.open[0].append(data)
         if not self.links:
             self.open[1] += len(data.strip())
 
 
-def keep_lines(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Lines of the runs in which the window sums stay above zero and reach the surge level somewhere."""
+def keep_lines(weights: list[int], window: int, surge: int, cap: int | None = None) -> list[bool]:
+    """Lines of the runs in which the window sums stay above zero and reach the surge level (at most ``cap``) somewhere."""
     half, n = window // 2, len(weights)
     sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
-    level = min(surge, max(sums, default=0) / 2)
+    level = min(surge if cap is None else cap, max(sums, default=0) / 2)
     keep, i = [False] * n, 0
     while i < n:
         j = i
@@ -157,6 +181,49 @@ def keep_lines(weights: list[int], window: int, surge: int) -> list[bool]:
     return keep
 
 
+def visible(lines: list[list], surge: int) -> list[tuple[str, int, int]]:
+    """(text, weight, article) of the lines; a suspect part becomes one line without weight, unless it wraps the page.
+
+    It does if it holds half of the text and a surge of it, or all of the text.
+    """
+    read = [(_SPACES.sub(" ", "".join(parts)).strip(), n, article, around) for parts, n, article, around in lines]
+    total = sum(n for _, n, _, _ in read)
+    held: dict[int, int] = {}
+    for _, n, _, around in read:
+        for part in around:
+            held[part] = held.get(part, 0) + n
+    out, last = [], 0
+    for text, n, article, around in read:
+        hidden = next((part for part in around if 2 * held[part] < total or held[part] < min(surge, total) or not total), 0)
+        if not hidden:
+            out.append((text, n if text else 0, article))
+        elif hidden != last:
+            out.append(("", 0, article))
+        last = hidden
+    return out
+
+
+def with_bonus(lines: list[tuple[str, int, int]], window: int, surge: int) -> list[tuple[str, int, int]]:
+    """Lines with the weights of the page's one article raised and lines without weight set at its borders.
+
+    No bonus is given where the page has several articles, or where the text outside is a text of its own (two surges or
+    more) and more than three times that inside.
+    """
+    found = {article for text, _, article in lines if article and text}
+    if len(found) != 1:
+        return lines
+    one = found.pop()
+    inside, outside = (sum(n for _, n, a in lines if (a == one) == side) for side in (True, False))
+    if outside >= 2 * surge and outside > 3 * inside:
+        return lines
+    out: list[tuple[str, int, int]] = []
+    for k, (text, n, article) in enumerate(lines):
+        if k and (article == one) != (lines[k - 1][2] == one):
+            out += [("", 0, 0)] * window
+        out.append((text, n + 2 * surge if article == one and text else n, article))
+    return out
+
+
 def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
     if not html:
         return ""
@@ -165,15 +232,10 @@ def main_text(html: str | None, window: int = 3, surge: int = 80) -> str:
     if _CUT_OFF.fullmatch(page.rawdata):  # the page ends inside a tag
         page.rawdata = ""
     page.close()
-    lines = [(_SPACES.sub(" ", "".join(parts)).strip(), n, inside) for parts, n, inside in page.lines]
-    if page.marked:
-        weights = [max(n, surge) if inside and text else 0 for text, n, inside in lines]
-        texts = [text if inside else "" for text, _, inside in lines]
-    else:
-        weights = [n if text else 0 for text, n, _ in lines]
-        texts = [text for text, _, _ in lines]
-    keep = keep_lines(weights, window, surge)
-    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k and t)
+    plain = visible(page.lines, surge)
+    lines = with_bonus(plain, window, surge)
+    keep = keep_lines([n for _, n, _ in lines], window, surge, 2 * surge if lines is not plain else None)
+    return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k and t)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", window: int = 3, surge: int = 80) -> DataFrame:

@@ -59,3 +59,40 @@ def test_edges(spark):
     assert {(1, "", 0), (2, "", 0), (3, "one", 3)} <= out and extract_main_text(df).count() == 5
     assert max(n for _, _, n in out) == 1_199_999
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+TEXT = "The river rose for three days before anyone in the valley thought of moving the cattle, and by then it was late."
+MORE = "When the bridge went, the two halves of the town wrote each other letters and tied them to arrows for a week."
+WANT = f"{TEXT}\n{MORE}"
+
+
+def test_names_of_a_wrapper_do_not_hide_the_text():
+    text = f"<p>{TEXT}</p><p>{MORE}</p>"
+    side = '<div class="sidebar"><p>Most read this week: nine ways to peel an orange.</p></div>'
+    for page in (
+        f'<body><div class="has-sidebar layout">{text}{side}</div></body>',
+        f'<body><div class="widget-area">{text}</div>{side}</body>',
+        f'<body><form action="/x">{text}<input name="q"><select><option>One</option></select></form>{side}</body>',
+        f'<body><div class="layout-nav-top"><nav><a href="/">Home</a></nav><div id="elementor-widget-container">{text}</div></div>{side}</body>',
+    ):
+        assert main_text(page) == WANT
+        assert main_text(page.replace("<div", "<section").replace("</div", "</section")) == WANT
+
+
+def test_cards_of_other_articles_are_not_the_text():
+    card = '<article class="card"><h3><a href="/{0}">Another story, number {0}</a></h3></article>'
+    page = f"<body><div><p>{TEXT}</p><p>{MORE}</p></div><div>{card.format(1)}{card.format(2)}{card.format(3)}</div></body>"
+    assert main_text(page) == WANT
+    assert main_text(f"<body><div><p>{TEXT}</p><p>{MORE}</p><p>{TEXT}</p></div><div>{card.format(1)}</div></body>") == f"{WANT}\n{TEXT}"
+
+
+def test_distribution_decides_without_the_mark(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        unmarked = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])
+        assert main_text(r["html"]) == article(r["html"])
+        assert main_text(unmarked) == article(r["html"]), r["page_id"]
+
+
+def test_long_comments_below_an_article():
+    comments = "".join(f"<div class='comment'><p>{MORE} {k}</p></div>" for k in range(3))
+    assert main_text(f"<article><p>{TEXT}</p><p>{MORE}</p><p>{TEXT}</p></article><section id='comments'>{comments}</section>") == f"{WANT}\n{TEXT}"
