@@ -27,15 +27,15 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def unpivot_features(features: DataFrame, with_ref: bool = False) -> DataFrame:
-    """Wide feature row to (metric, value[, ref]); values that are not numbers are dropped."""
+def unpivot_features(features: DataFrame, with_ref: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Wide feature row to (metric, value[, ref]); values that are not numbers are dropped. ``keep`` names further columns to carry."""
     src = {m: _METRIC_SOURCE.get(m, m) for m in fixed.RULE_METRICS}
     have = set(features.columns)
     items = []
     for m, c in src.items():
         ref = f"cast(ref_{m} as double)" if with_ref and f"ref_{m}" in have else "cast(null as double)"
         items.append(f"named_struct('metric', '{m}', 'value', try_cast({c} as double), 'ref', {ref})")
-    out = features.selectExpr(*WINDOW, f"inline(array({', '.join(items)}))").where("value is not null")
+    out = features.selectExpr(*WINDOW, *keep, f"inline(array({', '.join(items)}))").where("value is not null")
     return out if with_ref else out.drop("ref")
 
 
@@ -48,14 +48,14 @@ CONDITION_SQL = """case condition
     else false end"""
 
 
-def rule_eval(features: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_eval(features: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Enabled rules that hold, one row per window and rule.
 
     A rule table within the row bound of ``small_side`` goes to the features; nothing is shuffled by the few metrics.
     """
     return (
-        unpivot_features(features, with_ref=True).join(small_side(rules.where("enabled")), "metric").where(CONDITION_SQL)
-        .select(*WINDOW, "rule_id", "severity", "metric", "value", "ref", "threshold", "cooldown_sec", "escalate", "rule_no")
+        unpivot_features(features, True, keep).join(small_side(rules.where("enabled")), "metric").where(CONDITION_SQL)
+        .select(*WINDOW, *keep, "rule_id", "severity", "metric", "value", "ref", "threshold", "cooldown_sec", "escalate", "rule_no")
     )
 
 

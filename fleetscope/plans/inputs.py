@@ -200,7 +200,10 @@ cte("fx_5s", "SELECT client_id, pid, t5 AS t, event_id AS seq, " + ", ".join(X_C
 
 def records_5s(spark: SparkSession, sf: str) -> DataFrame:
     """The nested record: ethdev_xstats, lcore_usage (parallel arrays), heap_stats."""
-    f = flat_5s(spark, sf)
+    return nest_5s(flat_5s(spark, sf))
+
+
+def nest_5s(f: DataFrame) -> DataFrame:
     xs = {"rx_good_packets": "x_good", "rx_missed_errors": "x_missed", "rx_errors": "x_rxerr", "tx_errors": "x_txerr",
           "rx_mbuf_allocation_errors": "x_mbuf", "rx_q0_multicast_packets": "x_multi",
           "rx_q0_broadcast_packets": "x_bcast", "rx_q0_undersize_packets": "x_under"}
