@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def stored_path(spark: SparkSession, sf: str, name: str) -> str:
+    """Folder of a derived table that was built before in this application."""
+    return _STORED[(spark.sparkContext.applicationId, sf, name)]
+
+
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Derived record tables are written once per application and then scanned like the collector's own tables.
 

@@ -23,6 +23,7 @@ from fleetscope.operators.features import asof_latest
 from fleetscope.operators.fleet import registry_diff
 from fleetscope.session import ROCKSDB
 from fleetscope.sources.records import flush_latest_wins
+from fleetscope.streaming.poll import with_clock
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -71,11 +72,11 @@ def crash_dedup(files: DataFrame, out: str, delay: str = "1 hour") -> StreamingQ
 
 # ---- windows ------------------------------------------------------------------------------------------------
 
-def _port_stream(records: DataFrame, width: str, delay: str) -> DataFrame:
+def _port_stream(records: DataFrame, width: str, delay: str, clock: DataFrame | None = None) -> DataFrame:
     """First and last counters per (window, port); plain scalars, so state per window is one small row."""
     counters = list(fixed.PORT_COUNTERS)
     rows = T._port_rows(records.drop("win"), 1).drop("win")
-    rows = event_time(rows.withColumn("ts", F.timestamp_seconds(F.col("t"))), delay=delay)
+    rows = with_clock(rows.withColumn("ts", F.timestamp_seconds(F.col("t"))), clock, delay)
     agg = ["min(t) as t0", "max(t) as t1", "sum(case when coalesce(pos, 0) = 0 then 1 else 0 end) as n"]
     agg += [f"min_by({c}, t) as first_{c}" for c in counters] + [f"max_by({c}, t) as last_{c}" for c in counters]
     agg += [f"max_by({c}, t) as {c}" for c in T._PORT_LAST]
@@ -89,14 +90,14 @@ def _finish(batch: DataFrame) -> DataFrame:
                         f"{T.rate_sql('d_ipackets', 'window_seconds')} as rx_pps", "imbalance_ratio")
 
 
-def fast_features(records: DataFrame, out: str, width: str = "10 seconds", delay: str = "10 seconds") -> StreamingQuery:
+def fast_features(records: DataFrame, out: str, width: str = "10 seconds", delay: str = "10 seconds", clock: DataFrame | None = None) -> StreamingQuery:
     """Tumbling windows of the fast poll. All ports of a window close in the same batch, so deltas are finished there."""
-    return _start(_port_stream(records, width, delay), out, lambda b, e: _write_epoch(_finish(b), out, e))
+    return _start(_port_stream(records, width, delay, clock), out, lambda b, e: _write_epoch(_finish(b), out, e))
 
 
-def slow_features(records: DataFrame, out: str, every: int, width: str = "10 seconds", delay: str = "10 seconds") -> StreamingQuery:
+def slow_features(records: DataFrame, out: str, every: int, width: str = "10 seconds", delay: str = "10 seconds", clock: DataFrame | None = None) -> StreamingQuery:
     """The slow poll looks at the last short window of every ``every`` seconds: tumbling windows, most of them skipped."""
-    g = _port_stream(records, width, delay).where(F.col("win") % every == 0)
+    g = _port_stream(records, width, delay, clock).where(F.col("win") % every == 0)
     return _start(g, out, lambda b, e: _write_epoch(_finish(b), out, e))
 
 
@@ -110,9 +111,9 @@ def baseline_join(features: DataFrame, baseline: DataFrame, out: str, ttl: int,
     return _start(features, out, each)
 
 
-def liveness(heartbeats: DataFrame, out: str, timeout: str = "30 seconds", delay: str = "30 seconds", key: str = "client_id") -> StreamingQuery:
+def liveness(heartbeats: DataFrame, out: str, timeout: str = "30 seconds", delay: str = "30 seconds", key: str = "client_id", clock: DataFrame | None = None) -> StreamingQuery:
     """Heartbeat sessions; a session ends one timeout after its last heartbeat, which is when the client counts as dead."""
-    h = event_time(heartbeats, delay=delay)
+    h = with_clock(heartbeats, clock, delay, key)
     s = h.groupBy(F.session_window("ts", timeout), key).agg(F.count(F.lit(1)).alias("beats"))
     return to_folder(s.select(key, F.col("session_window.start").alias("first_seen"), F.col("session_window.end").alias("dead_at"), "beats"), out)
 
@@ -142,7 +143,7 @@ class Cooldown(StatefulProcessor):
 
 
 def cooldown(hits: DataFrame, out: str) -> StreamingQuery:
-    """Fires of (client, rule) hits: same greedy rule as the batch operator, state of one number per key."""
+    """Fires of (client, rule) hits that come in order, or in any order within a batch; see ``poll.rule_cooldown`` for late ones."""
     hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     fires = hits.groupBy("client_id", "rule_id").transformWithStateInPandas(
         statefulProcessor=Cooldown(), outputStructType="client_id string, rule_id string, t bigint, event_id bigint",

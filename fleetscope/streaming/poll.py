@@ -219,7 +219,10 @@ def severity_cooldown(hits: DataFrame, clock: DataFrame | None = None, delay: st
 
 
 def poll(rec_1s: DataFrame, rec_5s: DataFrame, rules: DataFrame, clock: DataFrame | None = None, width: int = fixed.FEATURE_WINDOW, delay: str = "10 seconds", every: int | None = None) -> DataFrame:
-    """Rules that fire, from raw records to the alert, in one query; ``every`` makes it the slow poll."""
+    """Rules that fire, from raw records to the alert, in one query; ``every`` makes it the slow poll.
+
+    Of several processes of a client that meet a rule in one window, the smallest pid stands for them.
+    """
     features = poll_features(rec_1s, rec_5s, clock, width, delay, every)
     hits = rule_eval(features, rules, ["closed"]).selectExpr("*", "cast(cooldown_sec as bigint) as cooldown")
-    return cooled(hits, ("client_id", "rule_id"), "win", "cooldown", "rule_no").drop("cooldown", "closed")
+    return cooled(hits, ("client_id", "rule_id"), "win", "cooldown", "pid").drop("cooldown", "closed")
