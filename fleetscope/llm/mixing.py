@@ -107,10 +107,14 @@ def mix_sources(
 
     A null text has size 0; null sources form one source, ranked last; a null id is an id of its own. Rows that share
     an id share a key and are taken or left together. Sources without words have target 0 and no copies beyond
-    complete epochs. An empty table gives an empty result. Columns named like the results are replaced.
+    complete epochs. An empty table gives an empty result. Columns named like the results are replaced; all others pass
+    through, whatever their names.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    base = keyed(docs.select(*own), size if size is not None else word_count(F.col("text")), quality if quality is not None else text_quality(F.col("text")), bins, seed)
+    size = size if size is not None else word_count(F.col("text"))
+    quality = quality if quality is not None else text_quality(F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")  # no name can clash inside it
+    base = keyed(docs.select(row, "doc_id", "source", size.alias("_words"), quality.alias("_quality")), F.col("_words"), F.col("_quality"), bins, seed)
     slim = stage(base.select("_id", "_src", "_size", "_r", "_bin"), "mix-keys")
     plan = stage(mixing_plan(slim, weights, share, cap, bins), "mix-plan")
     spread = plan.select(F.explode(F.expr(f"sequence(0, {salts - 1})")).alias("_ps"), *[F.col(c).alias(f"_p{c}") for c in plan.columns])
@@ -119,7 +123,7 @@ def mix_sources(
         base.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(_id), {salts}) as int)"))
         .join(spread, F.expr("_src <=> _p_src and _salt = _ps"))
         .select(
-            *[F.col(f"`{c}`") for c in own], F.col("_size").alias("size"), F.col("_psource_size").alias("source_size"), F.col("_ptarget").alias("target"),
+            *[F.col("_row")[c].alias(c) for c in own], F.col("_size").alias("size"), F.col("_psource_size").alias("source_size"), F.col("_ptarget").alias("target"),
             (F.col("_p_epochs") + F.when(picked & (F.col("_ptarget") > F.col("_p_epochs") * F.col("_psource_size")), 1).otherwise(0)).cast("long").alias("copies"),
         )
     )
@@ -127,4 +131,5 @@ def mix_sources(
 
 def take_mixed(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of the mix: each document as often as it is taken."""
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in columns], F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
+    row = mixed.where("copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    return row.select(*[F.col("row")[c].alias(c) for c in columns])

@@ -142,6 +142,25 @@ def estimate(a: str, b: str) -> Column:
     return F.expr(f"(1D - ({pairs}) / {BANDS * ROWS}D - {chance}D) / (1D - {chance}D)")
 
 
+#: A node with more edges than this meets them by a broadcast; with very many edges the bound grows, so that at most about
+#: 500,000 nodes are ever sent round.
+HEAVY = 1_000
+
+
+def with_least(edges: DataFrame, least: Column, n_edges: int) -> DataFrame:
+    """(u, v, m): every edge (u, v) with ``least``, an aggregate over the edges of u.
+
+    The centre of a large star has a great part of all edges. Such nodes, few because they need many edges each, go to
+    the edges where they lie; all others meet theirs by a shuffle on u.
+    """
+    low = stage(edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
+    heavy, light = (low.where(f"{side} n > {max(HEAVY, n_edges // 500_000)}").drop("n") for side in ("", "not"))
+    if heavy.isEmpty():
+        return edges.join(light, "u")
+    few = F.broadcast(heavy)
+    return edges.join(few, "u").unionByName(edges.join(few.select("u"), "u", "left_anti").join(light, "u"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), root the smallest reachable node, by alternating stars.
 
@@ -155,11 +174,9 @@ def connected(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both, F.least(F.min("v"), F.first("u")), 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("explode(array(struct(u as u, m as v), struct(v as u, m as v))) as e").select("e.*")
+        small = with_least(large, F.min("v"), state[0]).selectExpr("explode(array(struct(u as u, m as v), struct(v as u, m as v))) as e").select("e.*")
         e = stage(small.where("u <> v").distinct(), "cc")
 
 

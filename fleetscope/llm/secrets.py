@@ -103,7 +103,7 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, doc_id): which documents contain which of the trigrams, as numbers into ``grams``."""
     terms = "array(" + ",".join(f"struct({i} as i, {_quote(g)} as g)" for i, g in enumerate(grams)) + ")"
     hits = f"explode(transform(array(lower(text)), t -> transform(filter({terms}, x -> contains(t, x.g)), x -> x.i))[0]) as gram"
-    return docs.where("text is not null").selectExpr("doc_id", hits)
+    return docs.where("text is not null and doc_id is not null").selectExpr("doc_id", hits)
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
@@ -144,21 +144,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null and empty texts have none; nulls elsewhere, repeated rows and repeated or null ids pass through, every text
     being scanned for itself. Spans of different rules may overlap, those of one rule do not. An empty table gives an
-    empty result. A column named ``found`` is replaced. Texts stay where they lie as long as the candidates' ids, which
-    are staged first, are small enough for the planner to send them round; else both sides meet by id.
+    empty result. A column named ``found`` is replaced, all others pass through, whatever their names. Texts stay where they lie as
+    long as the candidates' ids, which are staged first, are small enough for the planner to send them round; else both
+    sides meet by id. Rows without an id have no postings: all rules scan them.
     """
     own = [c for c in docs.columns if c != "found"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in own])
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")  # no name can clash inside it
+    docs = docs.select(row, "doc_id", "text")
     hits = candidates(docs, rules)
     indexed = [trigram_query(r.regex) is not None for r in rules]
     if hits is None:
         ready = docs.withColumn("_rules", F.lit(0).cast("long"))
     else:
-        ready = docs.join(hits.select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules")), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    parts = [_spans(r, i, f"(coalesce(_rules, 0L) & {1 << i}L) <> 0" if indexed[i] else "true") for i, r in enumerate(rules)]
+        ready = docs.join(hits.withColumnRenamed("rules", "_rules"), "doc_id", "left")
+    parts = [_spans(r, i, f"(coalesce(_rules, if(doc_id is null, -1L, 0L)) & {1 << i}L) <> 0" if indexed[i] else "true") for i, r in enumerate(rules)]
     kinds = "array(" + ",".join(_quote(r.kind) for r in rules) + ")"
     found = f"transform(array_sort(concat({', '.join(parts)})), y -> named_struct('start', y.start, 'kind', {kinds}[y.rank], 'end', y.end))"
-    return ready.withColumn("found", F.coalesce(F.expr(found), F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)"))).drop("_rules")
+    spans = F.coalesce(F.expr(found), F.expr("cast(array() as array<struct<start:int,kind:string,end:int>>)"))
+    return ready.select(*[F.col("_row")[c].alias(c) for c in own], spans.alias("found"))
 
 
 def as_text(spans: str) -> str:

@@ -153,3 +153,11 @@ def test_edges(spark):
         key=str,
     )
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_connected_with_heavy_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HEAVY", 20)
+    edges = [(k, 5_000) for k in range(300)] + [(k, 6_000) for k in range(400, 700)] + [(5_000, 9_000), (8_000, 8_001)] + [(k, k + 1) for k in range(10_000, 10_030)]
+    roots = {r["node"]: r["root"] for r in connected(stage(spark.createDataFrame(edges, "a long, b long"), "t")).collect()}
+    want = {**{k: 0 for k in [*range(1, 300), 5_000, 9_000]}, **{k: 400 for k in [*range(401, 700), 6_000]}, 8_001: 8_000, **{k: 10_000 for k in range(10_001, 10_031)}}
+    assert roots == want

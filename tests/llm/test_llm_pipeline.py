@@ -58,3 +58,27 @@ def test_mix_and_packing(steps):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id password=hunter2hunter2", "en", "a", 29), (3, "one two three", "en", None, 13), (3, "one two three", "en", None, 13), (4, "ab cd " * 60_000, "en", "b", 360_000)]
+EXTRA = ["_id", "_src", "_size", "_r", "_bin", "_salt", "_rules", "_row", "row", "copy", "rules", "block", "fp", "node", "h1", "gram"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_and_clashing_names(spark, name):
+    sf = "/root/testdata/sf0.001"
+    step = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    docs = spark.createDataFrame([(*r, *[f"keep {c}" for c in EXTRA]) for r in ODD], schema)
+    out = step(spark, docs, sf)
+    rows = out.collect()
+    assert step(spark, docs.limit(0), sf).count() == 0
+    if name == "packing":
+        assert len(rows) == len(ODD) and sum(r["n_tokens"] for r in rows) == 3 + 3 + 3 + 120_000
+        return
+    assert out.columns == docs.columns and all(r[c] == f"keep {c}" for r in rows for c in EXTRA)
+    kept = {(r["doc_id"], r["text"] and r["text"][:9]) for r in rows}
+    if name == "minhash_dedup":
+        assert len(rows) == len(ODD)
+    if name == "secret_scan":
+        assert len(rows) == len(ODD) and (None, "no id [SE") in kept
