@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from fleetscope.functions import fixed
 from fleetscope.functions.scalars import in_list
 from fleetscope.operators import crash_graph as G
+from fleetscope.operators import crash_rules as X
 from fleetscope.operators import crash_text as C
 from fleetscope.plans import inputs as I
 from fleetscope.plans.common import tidy
 from fleetscope.plans.q_crash_text import CRASH_TYPE_SQL, gdb, gdb_frames, idle
-from fleetscope.plans.registry import cte, query
+from fleetscope.plans.registry import ORACLES, cte, query
 
 _ok = f"func NOT IN ({in_list(fixed.INVALID_FUNCS)})"
 cte("ora_canon0", f"""SELECT *, ROW_NUMBER() OVER w - 1 AS exec_depth, LAG(func) OVER w AS caller FROM fx_frames WHERE {_ok} WINDOW w AS (PARTITION BY dump_id, tid ORDER BY gdb_idx DESC)""")
@@ -198,6 +199,21 @@ def register_notes(spark, sf):
     return tidy(G.register_notes(x, keep=("l_orderkey", "l_linenumber", "l_partkey")))
 
 
+@query("frame_layer_table", f"SELECT dump_id, tid, gdb_idx, func, {layer('func')} AS layer FROM fx_frames")
+def frame_layer_table(spark, sf):
+    """The layers by a rule table."""
+    return X.with_layers(I.frames(spark, sf).drop("k"), X.default_layers(spark)).select("dump_id", "tid", "gdb_idx", "func", "layer")
+
+
+@query("crash_pattern_table")
+def crash_pattern_table(spark, sf):
+    """The patterns by rule tables."""
+    return X.crash_patterns(canon(spark, sf), dump_meta(spark, sf), X.default_layers(spark), X.default_patterns(spark))
+
+
+ORACLES["crash_pattern_table"] = ORACLES["crash_pattern"]
+
+
 @query("stack_annotate", """SELECT w.dump_id, w.base, w."offset", w.value, f.func || ' 返回地址' AS note FROM (SELECT dump_id, 'rsp' AS base, concat('+0x', lpad(lower(to_hex((i - 1) * 8)), 4, '0')) AS "offset", value FROM (
   SELECT dump_id, unnest(ws) AS value, generate_subscripts(ws, 1) AS i FROM (SELECT dump_id, regexp_extract_all(s_rsp, '0x[0-9a-f]+')[2:] AS ws FROM ora_sec) a) b) w
   LEFT JOIN (SELECT dump_id, address, arg_max(func, idx) AS func FROM ora_fp WHERE func NOT IN ('??') AND address IS NOT NULL GROUP BY dump_id, address) f ON w.dump_id = f.dump_id AND w.value = f.address""")
