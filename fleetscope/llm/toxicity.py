@@ -10,7 +10,6 @@ best F1. Scoring reads each text once, where it lies.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,34 +86,14 @@ def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int, smooth: float, scale:
     return ((np.log((p + smooth) / (n1 + 2 * smooth)) - np.log((q + smooth) / (n0 + 2 * smooth))) / scale).astype(np.float32)
 
 
-def cross_margins(rows: list[tuple[int, np.ndarray, int, int]], fold: int, bits: int, scale: float, smooth: float, rounds: int, rate: float) -> tuple[list[int], list[float]]:
-    """Labels and margins of the rows (toxic, x, part, fold) of one fold, from the training on the other folds."""
-    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
-    parts: dict[int, list] = {}
-    for y, x, part, f in rows:
-        if f != fold:
-            (p if y else q)[x] += 1
-            parts.setdefault(part, []).append((y, x))
-    n1 = sum(y for own in parts.values() for y, _ in own)
-    n = sum(map(len, parts.values()))
-    ratio = ratios(p, q, n1, n - n1, smooth, scale)
-    prior = (n1 + 0.5) / (n + 1)
-    w, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
-    for r in range(rounds if 0 < n1 < n else 0):
-        w, bias = averaged(w, [one_pass(own, ratio, w, bias, step_size(rate, r)) for _, own in sorted(parts.items())])
-    weights = w * ratio
-    held = [(y, float(weights[x].sum())) for y, x, _, f in rows if f == fold]
-    return [y for y, _ in held], [z for _, z in held]
-
-
 def train(
     texts: DataFrame, orders: tuple[int, ...] = (4, 5, 6), bits: int = 18, scale: float = 16.0,
     smooth: float = 1.0, rounds: int = 10, rate: float = 2.0, parts: int = 6, folds: int = 4,
 ) -> ToxicityModel:
     """Fit on ``texts`` (text, toxic 0 or 1), the caller's bounded sample of labelled rows.
 
-    Null texts count as empty. Without rows of both labels the model scores every text by the share of label 1. A task of the
-    cross-fitting holds the features of the whole sample, 4 bytes for each.
+    Null texts count as empty. Without rows of both labels the model scores every text by the share of label 1. The model of all
+    rows and those of the cross-fitting, each without one fold, are trained side by side in the same rounds.
     """
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,45 +103,49 @@ def train(
     rows = stage(made.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int")).withColumn("fold", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(folds)).cast("int")), "tox-train")
     n, positives = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (positives + 0.5) / (n + 1)
-    w, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
     if not 0 < positives < n:
-        return ToxicityModel(w, bias, orders, bits)
-    counts = rows.select("toxic", F.explode("x").alias("i")).groupBy("i").agg(F.sum("toxic").alias("p"), F.sum(F.lit(1) - F.col("toxic")).alias("q")).toPandas()  # at most 2**bits rows
-    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
-    p[counts["i"]], q[counts["i"]] = counts["p"], counts["q"]
-    ratio = ratios(p, q, positives, n - positives, smooth, scale)
+        return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior))), orders, bits)
+    held = [f"sum(if(fold = {k}, {y}, 0)) as {c}{k}" for k in range(folds) for c, y in (("p", "toxic"), ("q", "1 - toxic"))]
+    sums = ["sum(toxic) as p", "sum(1 - toxic) as q", *held]
+    counts = rows.select("toxic", "fold", F.explode("x").alias("i")).groupBy("i").agg(*[F.expr(x) for x in sums]).toPandas()  # at most 2**bits rows
+    total = rows.agg(*[F.expr(x) for x in sums]).first()
+
+    def starting(k: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ratios, weights and bias of the model without fold ``k``."""
+        each = {}
+        for c in "pq":
+            each[c] = np.zeros(1 << bits)
+            each[c][counts["i"]] = counts[c] - (0 if k is None else counts[f"{c}{k}"])
+        n1, n0 = (total[c] - (0 if k is None else total[f"{c}{k}"]) for c in "pq")
+        prior = (n1 + 0.5) / (n1 + n0 + 1)
+        return ratios(each["p"], each["q"], n1, n0, smooth, scale), np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
+
+    ratio, w, bias = (list(x) for x in zip(*(starting(k) for k in [None, *range(folds)]), strict=True))
+    known = texts.sparkSession.sparkContext.broadcast(ratio)
     # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
     fit = rows.repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
     for r in range(rounds):
-        def epoch(batches: Iterator[pd.DataFrame], w=w, bias=bias, step=step_size(rate, r)) -> Iterator[pd.DataFrame]:
-            change, b, seen = one_pass(((y, x) for pdf in batches for y, x in zip(pdf["toxic"], pdf["x"], strict=True)), ratio, w, bias, step)
-            if seen:
-                yield pd.DataFrame({"n": [seen], "b": [b], "w": [change.astype(np.float16).tobytes()]})
-
-        # The change of the weights by each part: one row of 2 * 2**bits bytes, small enough to come with the task's status.
-        found = sorted(fit.mapInPandas(epoch, "n long, b double, w binary").collect(), key=lambda f: (f["n"], f["b"]))
-        w, bias = averaged(w, [(np.frombuffer(f["w"], np.float16).astype(np.float32), f["b"], f["n"]) for f in found])
-    fit.unpersist()
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def epoch(batches: Iterator[pd.DataFrame], w=tuple(w), bias=tuple(bias), step=step_size(rate, r)) -> Iterator[pd.DataFrame]:
+            own = [x for pdf in batches for x in zip(pdf["toxic"], pdf["x"], pdf["fold"], strict=True)]
+            for m in range(folds + 1):
+                change, b, seen = one_pass(((y, x) for y, x, f in own if f != m - 1), known.value[m], w[m], bias[m], step)
+                if seen:
+                    yield pd.DataFrame({"m": [m], "n": [seen], "b": [b], "w": [change.astype(np.float16).tobytes()]})
+
+        # The change of each model's weights by each part: one row of 2 * 2**bits bytes, small enough to come with the task's status.
+        found = sorted(fit.mapInPandas(epoch, "m int, n long, b double, w binary").collect(), key=lambda f: (f["m"], f["n"], f["b"]))
+        for m in {f["m"] for f in found}:
+            w[m], bias[m] = averaged(w[m], [(np.frombuffer(f["w"], np.float16).astype(np.float32), f["b"], f["n"]) for f in found if f["m"] == m])
+    weights = [a * b for a, b in zip(w, ratio, strict=True)]
+
+    def margins(batches: Iterator[pd.DataFrame], own=tuple(weights[1:])) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(x=[zlib.compress(np.diff(x, prepend=0).astype("<u4").tobytes(), 1) for x in pdf["x"]])
+            yield pd.DataFrame({"toxic": pdf["toxic"], "z": [float(own[f][x].sum()) for x, f in zip(pdf["x"], pdf["fold"], strict=True)]})
 
-    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = {}
-        for pdf in batches:
-            for held, y, x, part, f in zip(pdf["held"], pdf["toxic"], pdf["x"], pdf["part"], pdf["fold"], strict=True):
-                own.setdefault(held, []).append((y, np.cumsum(np.frombuffer(zlib.decompress(x), "<u4"), dtype=np.int32), part, f))
-        for held, whole in own.items():
-            y, z = cross_margins(whole, held, bits, scale, smooth, rounds, rate)
-            yield pd.DataFrame({"toxic": y, "z": z})
-
-    # One task for each fold, which reads the whole bounded sample; gaps between features take about a byte each.
-    packed = rows.select("toxic", "part", "fold", "x", F.xxhash64("x", "toxic").alias("o")).mapInPandas(pack, "toxic int, part int, fold int, x binary, o long")
-    dealt = packed.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).repartition(folds * 4, "held").sortWithinPartitions("held", "o")
-    cross = dealt.mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
+    cross = fit.mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
+    fit.unpersist()
     cut = best_cut(cross["toxic"].to_numpy(), cross["z"].to_numpy())
-    return ToxicityModel(w * ratio, -cut, orders, bits)
+    return ToxicityModel(weights[0], -cut, orders, bits)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, usable: Column) -> DataFrame:
