@@ -120,15 +120,17 @@ def ingest_new_only(spark, sf):
     return S.ingest_new_only(d.select("doc_id", "etag"), d.where("lang = 'en'"))
 
 
-@query("load_documents", """SELECT 'txt' AS filetype, CAST(SUM(length(text) + 1) AS BIGINT) AS chars, NULL AS error FROM documents UNION ALL SELECT 'orc', NULL, 'no parser for .orc'""")
+@query("load_documents", """SELECT 'txt' AS filetype, md5(line) AS line, COUNT(*) AS n, NULL AS error FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l WHERE line <> '' GROUP BY line
+  UNION ALL SELECT DISTINCT 'orc', NULL, 0, 'no parser for .orc' FROM documents""")
 def load_documents(spark, sf):
-    """Documents written as files of two types, one of which has no parser, and read back."""
+    """Documents written as files of two types, one of which has no parser, and read back: every line of their contents."""
     path = scratch_dir(spark, "docs")
     d = I.table(spark, sf, "documents")
     d.select("text").write.option("maxRecordsPerFile", 50).text(path + "/txt")
     d.select("doc_id").write.orc(path + "/orc")
     out = DOC.load_documents(spark, path, "part-*")
-    return out.groupBy("filetype", "error").agg(F.sum(F.length("text")).alias("chars"))
+    lines = out.select("filetype", "error", F.explode_outer(F.split("text", "\n")).alias("line")).where("error is not null or line <> ''")
+    return lines.groupBy("filetype", "error", F.md5("line").alias("line")).agg(F.count("line").alias("n"))
 
 
 @query("html_to_text", """SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(x, '[\\r\\n]+'), lambda s: regexp_replace(s, '^[\\s ]+|[\\s ]+$', '', 'g')), lambda s: s <> ''), concat(chr(10), chr(10))) AS text FROM (
@@ -138,13 +140,18 @@ def html_to_text(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", DOC.html_to_text("html").alias("text"))
 
 
-@query("load_cases", """SELECT CAST(CASE WHEN signal_name = 'es' THEN 36 ELSE length(CAST(case_id AS VARCHAR)) END AS BIGINT) AS id_len, signal_name, crash_function FROM fx_cases""")
+@query("load_cases", """SELECT CASE WHEN signal_name = 'es' THEN 'new' ELSE CAST(case_id AS VARCHAR) END AS case_id, signal_name, crash_type, crash_function, md5(description) AS description, root_cause,
+  concat(source, '|', lang) AS anomaly_flags, CAST(n_chars AS VARCHAR) AS repair_steps FROM fx_cases c JOIN documents d ON c.case_id = d.doc_id""")
 def load_cases(spark, sf):
+    """Cases written as JSON and read back, all fields; those without an id get one of their own."""
     path = scratch_dir(spark, "cases") + "/json"
-    c = I.view(spark, sf, "fx_cases").withColumn("case_id", F.expr("case when signal_name <> 'es' then cast(case_id as string) end"))
+    d = I.table(spark, sf, "documents").selectExpr("doc_id as case_id", "array(source, lang) as anomaly_flags", "array(cast(n_chars as string)) as repair_steps")
+    c = I.view(spark, sf, "fx_cases").join(d, "case_id").withColumn("case_id", F.expr("case when signal_name <> 'es' then cast(case_id as string) end"))
     c.write.json(path)
     out = DOC.load_cases(spark, path, multiline=False)
-    return out.select(F.length("case_id").cast("bigint").alias("id_len"), "signal_name", "crash_function")
+    own = F.when(F.col("signal_name") != "es", F.col("case_id")).when(F.length("case_id") == 36, "new").alias("case_id")
+    return out.select(own, "signal_name", "crash_type", "crash_function", F.md5("description").alias("description"), "root_cause",
+                      F.array_join("anomaly_flags", "|").alias("anomaly_flags"), F.array_join("repair_steps", "|").alias("repair_steps"))
 
 
 @query("crash_file_scan", f"""SELECT f.event_id, f.filename, CASE WHEN i.pid IS NULL THEN 'unknown process' WHEN i.exe_path <> replace(split_part(f.filename, '.', 7), '!', '/') THEN 'path mismatch' ELSE 'process' END AS decision,

@@ -12,6 +12,7 @@ from fleetscope.plans import inputs as I
 from fleetscope.plans.common import tidy
 from fleetscope.plans.q_telemetry import _REF_D, _REF_I, features_with_baseline, features
 from fleetscope.plans.registry import cte, query
+from fleetscope.session import scratch_dir
 
 _SRC = {"rx_pps": "rx_pps", "tx_pps": "tx_pps", "rx_errors": "d_ie", "tx_errors": "d_oe", "nombuf": "d_nb", "missed": "rx_missed",
         "queue_imbalance": "imbalance_ratio", "mempool_free": "mempool_free", "heap_free": "heap_free_ratio", "heap_frag": "heap_frag",
@@ -277,7 +278,11 @@ _LOG_ROWS = ["triggered_at as sent_at", "concat(' ', client_id, ' ') as sender",
 @query("mail_log_append", """SELECT triggered_at AS sent_at, client_id AS sender, 'ops@x.example' AS receivers, title AS subject, CASE severity WHEN 'critical' THEN 'P1' ELSE 'P3' END AS alert_level,
   status, '' AS error_message FROM fx_alerts""")
 def mail_log_append(spark, sf):
-    return A.mail_log_rows(I.view(spark, sf, "fx_alerts").selectExpr(*_LOG_ROWS))
+    """Failed mails, then the others, appended to one log and read back."""
+    path, rows = scratch_dir(spark, "mail-log"), I.view(spark, sf, "fx_alerts")
+    for part in ("status = 'failed'", "status <> 'failed'"):
+        A.mail_log_append(rows.where(part).selectExpr(*_LOG_ROWS), path)
+    return spark.read.parquet(path)
 
 
 @query("mail_log_search", """SELECT alert_id AS id, triggered_at AS sent_at, client_id, title FROM fx_alerts WHERE status = 'failed' AND triggered_at >= TIMESTAMP '2024-01-05 00:00:00' AND triggered_at <= TIMESTAMP '2024-01-20 12:00:00'""")
