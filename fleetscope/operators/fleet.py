@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope.functions import fixed
 from fleetscope.functions.blocked import previous_row
 from fleetscope.functions.scalars import col
-from fleetscope.sources.records import page_with_total
+from fleetscope.sources.pages import PageDirectory, page_directory, read_page
 
 
 def client_alive(clients: DataFrame, heartbeats: DataFrame, now: int, timeout: int = fixed.LIVENESS_TIMEOUT) -> DataFrame:
@@ -70,9 +70,12 @@ def format_time(c) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), s)
 
 
-def report_page(reports: DataFrame, crashes: DataFrame, on: str, page: int, page_size: int) -> DataFrame:
-    """One page of crash reports, newest first, with their crash record. The page is cut before the join."""
-    p = page_with_total(reports, [F.col("created").desc(), F.col("id").desc()], page, page_size)
+def report_page(reports: DataFrame, crashes: DataFrame, on: str, page: int, page_size: int, directory: PageDirectory | None = None) -> DataFrame:
+    """One page of crash reports, newest first, with their crash record. The page is cut before the join.
+
+    ``directory`` of ``created`` saves counting the ranges again for every page.
+    """
+    p = read_page(reports, directory or page_directory(reports, "created"), [F.col("id").desc()], page, page_size, descending=True)
     return p.join(crashes, on).withColumn("create_time", format_time("created"))
 
 

@@ -15,6 +15,7 @@ from fleetscope.plans.registry import cte, query
 from fleetscope.session import scratch_dir
 from fleetscope.sources import documents as DOC
 from fleetscope.sources import records as S
+from fleetscope.sources.pages import page_directory, read_page
 
 AS_OF = 474_000  # a clock inside the month of events, in record seconds
 
@@ -80,7 +81,7 @@ def table_filter(spark, sf):
   WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40""")
 def page_with_total(spark, sf):
     o = I.table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    return S.page_with_total(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, 20).select(
+    return read_page(o, page_directory(o, "o_totalprice"), ["o_orderkey"], 3, 20, descending=True).select(
         "o_orderkey", "o_totalprice", "total", F.col("page").cast("bigint").alias("page"), F.col("page_size").cast("bigint").alias("page_size"))
 
 

@@ -45,13 +45,11 @@ def streams(spark, records):
     return nested
 
 
-@pytest.mark.parametrize("every", [None, 60])
-def test_poll_equals_its_batch_twin(spark, sf, records, tmp_path, every):
+def test_poll_equals_its_batch_twin(spark, sf, records, tmp_path):
     rules, out = R.default_rules(spark), str(tmp_path / "out")
-    start = lambda clock: J.to_folder(P.poll(*streams(spark, records), rules, clock, every=every), out)
+    start = lambda clock: J.to_folder(P.poll(*streams(spark, records), rules, clock), out)
     q = P.run_and_close(spark, start, str(tmp_path / "clock"), records[3] + 10_000)
     feats = FE.log_features(I.records_1s(spark, sf), I.records_5s(spark, sf))
-    feats = feats.where(f"win % {every} = 0") if every else feats
     hits = R.rule_eval(feats, rules)
     fires = R.rule_cooldown(hits.selectExpr("client_id", "rule_id", "win as t", "rule_no as event_id", "cooldown_sec as cooldown"))
     got = J.read_output(spark, out)
