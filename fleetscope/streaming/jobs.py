@@ -23,6 +23,7 @@ from fleetscope.operators.features import asof_latest
 from fleetscope.operators.fleet import registry_diff
 from fleetscope.session import ROCKSDB
 from fleetscope.sources.records import flush_latest_wins
+from fleetscope.streaming.log import compact, read_log
 from fleetscope.streaming.poll import with_clock
 
 
@@ -62,7 +63,12 @@ def ingest_latest(raw: DataFrame, out: str) -> StreamingQuery:
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    return flush_latest_wins(read_output(spark, out).drop("epoch"))
+    return flush_latest_wins(read_log(spark, out))
+
+
+def compact_latest(spark: SparkSession, out: str) -> bool:
+    """Fold the settled epochs of ``ingest_latest`` into one generation of winners."""
+    return compact(spark, out, flush_latest_wins)
 
 
 def crash_dedup(files: DataFrame, out: str, delay: str = "1 hour") -> StreamingQuery:
@@ -193,7 +199,12 @@ def ring_buffer(series: DataFrame, out: str, n: int = fixed.RING_1S) -> Streamin
 
 
 def read_ring(spark: SparkSession, out: str, n: int = fixed.RING_1S) -> DataFrame:
-    return last_n_per_key(read_output(spark, out).drop("epoch"), [*T.INSTANCE, "category", "name"], "t", n)
+    return last_n_per_key(read_log(spark, out), [*T.INSTANCE, "category", "name"], "t", n)
+
+
+def compact_ring(spark: SparkSession, out: str, n: int = fixed.RING_1S) -> bool:
+    """Fold the settled epochs of ``ring_buffer`` into the newest n points of each series."""
+    return compact(spark, out, lambda rows: last_n_per_key(rows, [*T.INSTANCE, "category", "name"], "t", n))
 
 
 def registry_sync(running: DataFrame, out: str) -> StreamingQuery:
