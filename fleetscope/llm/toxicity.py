@@ -3,8 +3,8 @@
 A text's features are the hashed character n-grams it has, present or not. From labelled texts each feature gets its
 log-count ratio r (how much likelier it is in toxic texts); a logistic regression is trained on the features times r.
 Training runs in rounds: every partition of the training features does one pass of gradient steps from the shared
-weights, and the results are averaged. The point where the score is one half is set by cross-fitting: each quarter of the
-training rows gets margins from the same training on the other three, and all these margins together give the cut of the
+weights, and the results are averaged. The point where the score is one half is set by cross-fitting: each half of the
+training rows gets margins from the same training on the other half, and all these margins together give the cut of the
 best F1. Scoring reads each text once, where it lies.
 """
 
@@ -88,7 +88,7 @@ def ratios(p: np.ndarray, q: np.ndarray, n1: int, n0: int, smooth: float, scale:
 
 def train(
     texts: DataFrame, orders: tuple[int, ...] = (4, 5, 6), bits: int = 18, scale: float = 16.0,
-    smooth: float = 1.0, rounds: int = 10, rate: float = 2.0, parts: int = 6, folds: int = 4,
+    smooth: float = 1.0, rounds: int = 10, rate: float = 2.0, parts: int = 6, folds: int = 2,
 ) -> ToxicityModel:
     """Fit on ``texts`` (text, toxic 0 or 1), the caller's bounded sample of labelled rows.
 
@@ -121,6 +121,7 @@ def train(
         return ratios(each["p"], each["q"], n1, n0, smooth, scale), np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
 
     ratio, w, bias = (list(x) for x in zip(*(starting(k) for k in [None, *range(folds)]), strict=True))
+    del counts
     known = texts.sparkSession.sparkContext.broadcast(ratio)
     # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
     fit = rows.repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
@@ -144,6 +145,7 @@ def train(
 
     cross = fit.mapInPandas(margins, "toxic int, z double").orderBy("z", "toxic").toPandas()
     fit.unpersist()
+    known.destroy()
     cut = best_cut(cross["toxic"].to_numpy(), cross["z"].to_numpy())
     return ToxicityModel(weights[0], -cut, orders, bits)
 
