@@ -105,23 +105,32 @@ def train(
     prior = (positives + 0.5) / (n + 1)
     if not 0 < positives < n:
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior))), orders, bits)
-    held = [f"sum(if(fold = {k}, {y}, 0)) as {c}{k}" for k in range(folds) for c, y in (("p", "toxic"), ("q", "1 - toxic"))]
-    sums = ["sum(toxic) as p", "sum(1 - toxic) as q", *held]
-    counts = rows.select("toxic", "fold", F.explode("x").alias("i")).groupBy("i").agg(*[F.expr(x) for x in sums]).toPandas()  # at most 2**bits rows
-    total = rows.agg(*[F.expr(x) for x in sums]).first()
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for pdf in batches:
+            for y, x, f in zip(pdf["toxic"], pdf["x"], pdf["fold"], strict=True):
+                k, with_feature = seen.get((y, f), (0, np.zeros(1 << bits, np.int32)))
+                with_feature[x] += 1
+                seen[y, f] = (k + 1, with_feature)
+        for (y, f), (k, with_feature) in seen.items():
+            yield pd.DataFrame({"toxic": [y], "fold": [f], "n": [k], "c": [with_feature.tobytes()]})
+
+    # Rows with each feature by label and fold: vectors of 4 * 2**bits bytes per task, packed where they are counted.
+    size = np.zeros((2, folds), np.int64)
+    count = np.zeros((2, folds, 1 << bits), np.int32)
+    for found in rows.mapInPandas(tally, "toxic int, fold int, n long, c binary").toLocalIterator():
+        size[found["toxic"], found["fold"]] += found["n"]
+        count[found["toxic"], found["fold"]] += np.frombuffer(found["c"], np.int32)
 
     def starting(k: int | None) -> tuple[np.ndarray, np.ndarray, float]:
         """Ratios, weights and bias of the model without fold ``k``."""
-        each = {}
-        for c in "pq":
-            each[c] = np.zeros(1 << bits)
-            each[c][counts["i"]] = counts[c] - (0 if k is None else counts[f"{c}{k}"])
-        n1, n0 = (total[c] - (0 if k is None else total[f"{c}{k}"]) for c in "pq")
+        used = [f for f in range(folds) if f != k]
+        (q, p), (n0, n1) = count[:, used].sum(axis=1), (int(v) for v in size[:, used].sum(axis=1))
         prior = (n1 + 0.5) / (n1 + n0 + 1)
-        return ratios(each["p"], each["q"], n1, n0, smooth, scale), np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
+        return ratios(p, q, n1, n0, smooth, scale), np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
 
     ratio, w, bias = (list(x) for x in zip(*(starting(k) for k in [None, *range(folds)]), strict=True))
-    del counts
+    del count
     known = texts.sparkSession.sparkContext.broadcast(ratio)
     # Every round reads the same rows in the same order; kept by the executors, and dealt anew where one is lost.
     fit = rows.repartition(parts, "part").sortWithinPartitions(F.xxhash64("x", "toxic")).persist(StorageLevel.DISK_ONLY)
