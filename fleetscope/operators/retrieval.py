@@ -1,8 +1,8 @@
 """Chunking, vector search, keyword search, rank fusion and recall.
 
-Exhaustive scoring is done cell by cell: documents are cut into cells by key hash and each goes to its cell once; the
-queries pass every cell as a stream and bring back their k best. Nothing is broadcast, no scored pair crosses the network
-but the k best, and the sizes of cell and block bound the memory of a task whatever the data looks like.
+Exhaustive scoring is done cell by cell: documents are cut into cells by key hash; the queries pass the cells as a stream
+and bring back their k best. No scored pair crosses the network but the k best, and the sizes of cell and block bound the
+memory of a task whatever the data looks like.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.types import NumericType
 
 from fleetscope.functions import fixed
 from fleetscope.functions.scalars import col, nonblank, rows_of
+from fleetscope.functions.small import MOST_ROWS
+from fleetscope.session import scratch_dir
 
 # ---- chunking --------------------------------------------------------------------------------------------
 
@@ -142,63 +144,44 @@ def _best_per_query(parts: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _cell_stream(queries: DataFrame, items: DataFrame, item_key: str, cells: int, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                 q_rows: int) -> DataFrame:
-    """``score(block of queries, items of a cell)`` for every cell, as (query_id, id, score).
+def _cell_stream(queries: DataFrame, items: DataFrame, cells: int, prepare: Callable[[pd.DataFrame], tuple],
+                 score: Callable[[pd.DataFrame, tuple], pd.DataFrame], q_rows: int) -> DataFrame:
+    """``score(block of queries, prepare(items of a cell))`` for every cell, as (query_id, id, score).
 
-    An item lies in one cell, by a hash of its key, and is sent there once. A task reads the items of a cell, then the
-    queries as a stream, in blocks of at most ``q_rows`` whole queries; so it holds one cell and one block, however many
-    queries there are.
+    Both sides have the same columns, ``id`` among them, and say in ``_c``, from 0 to ``cells`` - 1, where their rows go; a
+    cell is a partition. A task prepares its items once, then reads the queries as a stream, in blocks of at most ``q_rows``
+    whole queries; so it holds one cell and one block, however many queries there are.
     """
-    sides = (("i_", items), ("q_", queries))
-
-    def packed(side: int, cell: Column) -> DataFrame:
-        """The columns of both sides; those of the other side hold zeros or NULL, so that whole numbers stay whole."""
-        cols = []
-        for n, (prefix, df) in enumerate(sides):
-            for f in df.schema.fields:
-                blank = F.lit(0 if isinstance(f.dataType, NumericType) else None).cast(f.dataType)
-                cols.append((F.col(f.name) if n == side else blank).alias(prefix + f.name))
-        return sides[side][1].select(cell.alias("_c"), F.lit(side).alias("_side"), *cols)
-
-    i = packed(0, F.pmod(F.xxhash64(item_key), F.lit(cells)).cast("int"))
-    q = packed(1, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    dealt = i.unionByName(q).repartition(cells, "_c").sortWithinPartitions("_c", "_side", "q_query_id")
-
-    names = [(p, df.columns) for p, df in sides]
-
-    def frame(rows: pd.DataFrame, side: int) -> pd.DataFrame:
-        prefix, own = names[side]
-        return rows[[prefix + n for n in own]].set_axis(own, axis=1)
+    # sorted by one number alone, which needs no comparison of rows: NULL for items, which come first
+    turn = lambda df, c: df.withColumn("_turn", c)
+    both = turn(items, F.lit(None).cast("bigint")).unionByName(turn(queries, F.coalesce("id", F.lit(-1 << 63))))
+    own = [c for c in items.columns if c != "_c"]
+    dealt = both.repartitionById(cells, F.col("_c").cast("int")).sortWithinPartitions("_turn").select(F.col("_turn").isNotNull().alias("_asks"), *own)
 
     def blocks(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids = rows["query_id"].to_numpy()
+        ids = rows["id"].to_numpy()
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         for lo in range(0, len(starts), q_rows):
             yield rows.iloc[starts[lo]:starts[lo + q_rows] if lo + q_rows < len(starts) else len(rows)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held, rest = None, [], None
+        held, ready, rest = [], None, None
         for pdf in batches:
-            for c, part in pdf.groupby("_c", sort=True):
-                if c != cell:
-                    if rest is not None and held:
-                        yield from (score(b, pd.concat(held)) for b in blocks(rest))
-                    cell, held, rest = c, [], None
-                if len(new := part[part["_side"] == 0]):
-                    held.append(frame(new, 0))
-                asked = part[part["_side"] == 1]
-                if not len(asked) or not held:
-                    continue
-                held = [pd.concat(held)]
-                rows = frame(asked, 1)
-                rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-                done = rows["query_id"] != rows["query_id"].iloc[-1]  # the last query may go on in the next batch
-                rest = rows[~done]
-                if done.any():
-                    yield from (score(b, held[0]) for b in blocks(rows[done]))
-        if rest is not None and held:
-            yield from (score(b, pd.concat(held)) for b in blocks(rest))
+            asks = pdf["_asks"].to_numpy(dtype=bool)
+            if not asks.all():
+                held.append(pdf.loc[~asks, own])
+            if not asks.any() or not (held or ready):
+                continue
+            if ready is None:
+                ready, held = prepare(pd.concat(held, ignore_index=True)), []
+            rows = pdf.loc[asks, own]
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            done = rows["id"] != rows["id"].iloc[-1]  # the last query may go on in the next batch
+            rest = rows[~done]
+            if done.any():
+                yield from (score(b, ready) for b in blocks(rows[done]))
+        if rest is not None:
+            yield from (score(b, ready) for b in blocks(rest))
 
     return dealt.mapInPandas(run, "query_id bigint, id bigint, score double")
 
@@ -209,30 +192,99 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)
 
 
+def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, ties to the smaller column; NaN comes last."""
+    if s.shape[1] <= k:
+        return np.repeat(np.arange(len(s)), s.shape[1]), np.tile(np.arange(s.shape[1]), len(s))
+    s = np.where(np.isnan(s), -np.inf, s)
+    last = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+    over, even = s > last, s == last
+    return np.nonzero(over | (even & (np.cumsum(even, axis=1) <= k - over.sum(axis=1, keepdims=True))))
+
+
 def _top_rows(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """k best columns of each row, by score then smaller id."""
-    order = np.argsort(ids, kind="stable")
-    s, ids = scores[:, order], ids[order]
-    take = min(k, s.shape[1])
-    best = np.argsort(-s, axis=1, kind="stable")[:, :take]
-    out = pd.DataFrame({"query_id": np.repeat(qids, take), "id": ids[best].ravel(),
-                        "score": np.take_along_axis(s, best, axis=1).ravel()})
-    return out
+    """k best columns of each row, by score then smaller id; ``ids`` ascend."""
+    r, c = _best_columns(scores, k)
+    return pd.DataFrame({"query_id": qids[r], "id": ids[c], "score": scores[r, c]})
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
-    """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec).
+#: Items scored at a time, and the groups of them whose best scores bound the k-th best from below.
+CHUNK, GROUPS = 2_048, 128
+#: Rows of a chunk with more candidates than this, as in large groups of equal vectors, are searched in full.
+MOST_CANDIDATES = 64
+
+
+def _vector_cell(rows: pd.DataFrame) -> tuple:
+    """Items of a cell by ascending id: ids, unit vectors, and their columns in single precision for the first look."""
+    rows = rows.sort_values("id", kind="stable")
+    m = _unit(rows["vec"])
+    return rows["id"].to_numpy(), m, np.ascontiguousarray(m.T.astype(np.float32))
+
 
-    Every item crosses the network once; a query goes to every cell and brings back its k best of it.
+def _vector_best(queries: pd.DataFrame, cell: tuple, k: int) -> pd.DataFrame:
+    """Exact k best items of a cell for a block of queries, by cosine to nine digits, ties to the smaller id.
+
+    Single precision finds the candidates: what lies below the k-th best known by more than its error cannot be among the
+    k best. Only the candidates are scored in double precision.
     """
-    q = queries.select(F.col("query_id").cast("bigint"), F.col("vec").alias("qvec"))
-    i = items.select(F.col("id").cast("bigint"), "vec")
+    ids, m, coarse = cell
+    q, qids = _unit(queries["vec"]), queries["id"].to_numpy()
+    if k > GROUPS or len(ids) < 2 * GROUPS or not (np.isfinite(q).all() and np.isfinite(coarse).all()):
+        return _top_rows(np.round(q @ m.T, 9), qids, ids, k)
+    q32 = q.astype(np.float32)
+    slack = np.float32(2 * (q.shape[1] + 4) * 2.0 ** -24 + 1e-8)
+    bound = np.full((len(q), 1), -np.inf, dtype=np.float32)
+    found = []  # row, column, first score, exact score or NaN
+    for lo in range(0, len(ids), CHUNK):
+        s = q32 @ coarse[:, lo:lo + CHUNK]
+        w = s.shape[1]
+        if w >= 2 * GROUPS:
+            tops = s[:, :w // GROUPS * GROUPS].reshape(len(q), -1, GROUPS).max(axis=1)
+            bound = np.maximum(bound, np.partition(tops, GROUPS - k, axis=1)[:, [GROUPS - k]])
+        hit = s >= bound - slack
+        n = np.count_nonzero(hit, axis=1)
+        if len(full := np.flatnonzero(n > max(MOST_CANDIDATES, 4 * k))):
+            hit[full] = False
+            exact = np.round(q[full] @ m[lo:lo + CHUNK].T, 9)
+            r, c = _best_columns(exact, k)
+            found.append((full[r], lo + c, s[full[r], c], exact[r, c]))
+        at = np.flatnonzero(hit)
+        r, c = at // w, at % w
+        found.append((r, lo + c, s[r, c], np.full(len(r), np.nan)))
+    r, c, first, exact = (np.concatenate(x) for x in zip(*found))
+    keep = first >= (bound - slack)[r, 0]
+    r, c, exact = r[keep], c[keep], exact[keep]
+    todo = np.flatnonzero(np.isnan(exact))
+    for lo in range(0, len(todo), 50_000):
+        x = todo[lo:lo + 50_000]
+        exact[x] = np.round(np.einsum("ij,ij->i", q[r[x]], m[c[x]]), 9)
+    order = np.lexsort((c, -exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    best = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)])) < k
+    return pd.DataFrame({"query_id": qids[r[best]], "id": ids[c[best]], "score": exact[best]})
+
+
+#: Pairs of a query and an item that a task of the exact search compares, while the tasks are few and in large searches.
+TASK_PAIRS, MOST_TASK_PAIRS, FEW_TASKS = 250_000_000, 4_000_000_000, 64
+
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(_unit(left["qvec"]) @ _unit(right["vec"]).T, 9)
-        return _top_rows(s, left["query_id"].to_numpy(), right["id"].to_numpy(), k)
+def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
+    """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec).
 
-    return _best_per_query(_cell_stream(q, i, "id", _blocks(i.count(), cell_rows), score, block_rows), k)
+    Items are cut into cells and queries into shards by a hash of their ids, and every shard passes every cell, a pair to a
+    task; so a row crosses the network once per cell or shard. A query brings back its k best of every cell.
+    """
+    n_items, n_queries = items.count(), queries.count()
+    cells = _blocks(n_items, cell_rows)
+    tasks = max(min(_blocks(n_items * n_queries, TASK_PAIRS), FEW_TASKS), _blocks(n_items * n_queries, MOST_TASK_PAIRS))
+    shards = _blocks(tasks, cells)
+    part = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", part("query_id", shards).alias("_s"), every(cells).alias("_i"))
+    i = items.select(F.col("id").cast("bigint"), "vec", part("id", cells).alias("_i"), every(shards).alias("_s"))
+    q, i = (x.withColumn("_c", F.col("_i") * shards + F.col("_s")).drop("_i", "_s") for x in (q, i))
+    return _best_per_query(_cell_stream(q, i, cells * shards, _vector_cell, lambda b, cell: _vector_best(b, cell, k), block_rows), k)
 
 
 def ivf_assign(items: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
@@ -262,23 +314,14 @@ def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarr
         s = _unit(v) @ c.T
         return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype("int32")))
 
-    sizes = assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cells", F.ceil(F.col("_n") / cell_rows).cast("int"))
-    i = assigned.join(sizes, "list_id").withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
-    i = i.select(F.col("id").cast("bigint"), "vec", "list_id", "_c")
-    q = rows_of(queries, [F.col("query_id").cast("bigint"), F.col("vec").alias("qvec")], nearest("vec"), "list_id")
-    q = q.join(sizes, "list_id").select("query_id", "qvec", "list_id", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_c"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        parts, m, ids = [], _unit(right["vec"]), right["id"].to_numpy()
-        for lo in range(0, len(left), 512):
-            part = left.iloc[lo:lo + 512]
-            parts.append(_top_rows(np.round(_unit(part["qvec"]) @ m.T, 9), part["query_id"].to_numpy(), ids, k))
-        return pd.concat(parts)
-
-    got = q.groupBy("list_id", "_c").cogroup(i.groupBy("list_id", "_c")).applyInPandas(score, "query_id bigint, id bigint, score double")
-    return _best_per_query(got, k)
+    rows = assigned.where("list_id is not null").groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("n")).collect()  # a row per list
+    ends = np.cumsum([0, *[r.n for r in rows]])
+    spread = assigned.sparkSession.createDataFrame([(r.list_id, r.n, int(a)) for r, a in zip(rows, ends)], "list_id int, _cells int, _first int")
+    spread = F.broadcast(spread)
+    i = assigned.join(spread, "list_id").select(F.col("id").cast("bigint"), "vec", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_cells"))).alias("_c"))
+    q = rows_of(queries, [F.col("query_id").cast("bigint").alias("id"), "vec"], nearest("vec"), "list_id")
+    q = q.join(spread, "list_id").select("id", "vec", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_cells") - 1)).alias("_c"))
+    return _best_per_query(_cell_stream(q, i, max(1, int(ends[-1])), _vector_cell, lambda b, cell: _vector_best(b, cell, k), 512), k)
 
 
 # ---- keyword search ----------------------------------------------------------------------------------------
@@ -296,53 +339,84 @@ def build_postings(docs: DataFrame, fields: Sequence[str], doc_id: str = "doc_id
     return x.groupBy("doc_id", "field", "field_len", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "field", "term", "tf", "field_len")
 
 
-def posting_stats(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequency per (field, term); document count and mean length per field."""
-    df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+def posting_stats(postings: DataFrame, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Document frequency per (field, term), of the postings ``used`` if given; document count and mean length per field."""
+    df = (postings if used is None else used).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     per_doc = postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("len"))
     return df, per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
+#: Pairs of a word of a query and a posting that a task adds up at a time.
+MOST_PAIRS = 2_000_000
+
+
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, with a true size for the planner."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyword_topk(queries: DataFrame, postings: DataFrame, k: int = 5, boosts: dict[str, float] = fixed.FIELD_BOOSTS,
                  k1: float = 1.2, b: float = 0.75, cell_docs: int = 1_000, block_rows: int = 256, fuzzy: bool = False) -> DataFrame:
     """Any-word search over several fields: BM25 per field times its boost, the best field counts. queries: query_id, text.
 
-    Only postings of words that occur in a query are kept. They meet the queries cell by cell; a frequent word is then a
-    column operation inside a cell and never a list of pairs in a shuffle.
+    Postings meet the queries cell by cell; a frequent word is then a run of sums inside a cell and never a list of pairs in
+    a shuffle. A word of a query goes to the cells that hold the word, so rare words, of which a fuzzy search has many, do
+    not travel to every cell.
     """
     qt = rows_of(queries, [F.col("query_id").cast("bigint")], tokens("text"), "term").groupBy("query_id", "term").agg(
         F.count(F.lit(1)).cast("double").alias("qtf"))
     if fuzzy:  # a word of the index counts by its best likeness to a word of the query
         near = fuzzy_terms(qt.select("term"), postings.select("term"))
         qt = qt.join(near, "term").groupBy("query_id", F.col("match").alias("term")).agg(F.max(F.col("qtf") * F.col("weight")).alias("qtf"))
-    df, avg = posting_stats(postings)
+        qt = _staged(qt, "near_terms")
+    terms = qt.select("term").distinct()
+    used = postings
+    if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:  # else nearly every posting is asked for, and a filter by the words would send them all round
+        used = postings.join(F.broadcast(terms), "term", "left_semi")
+    df, avg = posting_stats(postings, used)
     boost = F.create_map(*[x for f, v in boosts.items() for x in (F.lit(f), F.lit(float(v)))])
-    used = postings.join(qt.select("term").distinct(), "term", "left_semi")
-    w = used.join(df, ["field", "term"]).join(avg, "field")
+    avg, cells = F.broadcast(avg), _blocks(postings.select("doc_id").distinct().count(), cell_docs)  # a row per field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("field_len") / F.col("avg_len"))
-    w = w.select("doc_id", "field", "term", (F.element_at(boost, F.col("field")) * idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    n_docs = postings.select("doc_id").distinct().count()
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.reset_index(drop=True), right.reset_index(drop=True)
-        qids, qpos = np.unique(left["query_id"].to_numpy(), return_inverse=True)
-        ids, dpos = np.unique(right["doc_id"].to_numpy(), return_inverse=True)
-        by_term = {t: (qpos[ix], left["qtf"].to_numpy()[ix]) for t, ix in left.groupby("term").indices.items()}
-        best = np.zeros((len(qids), len(ids)))
-        weight = right["w"].to_numpy()
-        for _, rows in right.groupby("field").indices.items():
-            acc = np.zeros_like(best)
-            for t, ix in right.iloc[rows].groupby("term").indices.items():
-                if t in by_term:
-                    qi, qw = by_term[t]
-                    at = rows[ix]
-                    acc[np.ix_(qi, dpos[at])] += np.outer(qw, weight[at])
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("_c")
+    word = F.concat("field", F.lit("\n"), "term").alias("word")
+    w = used.join(avg, "field").select(F.col("doc_id").alias("id"), word, (F.col("tf") * (k1 + 1) / norm).alias("w"), cell)
+    # a word of a query goes only to the cells that hold it
+    asked = qt.join(df, "term").join(avg, "field").select(
+        "query_id", word, (F.col("qtf") * F.element_at(boost, F.col("field")) * idf).alias("w"))
+    q = asked.join(used.select(word, cell).distinct(), "word").select(F.col("query_id").alias("id"), "word", "w", "_c")
+
+    def cell_of(rows: pd.DataFrame) -> tuple:
+        """Postings by ascending number of their word, with the place where each number begins; words by field."""
+        ids, doc = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        number, words = pd.factorize(rows["word"])
+        order = np.argsort(number, kind="stable")
+        starts = np.searchsorted(number[order], np.arange(len(words) + 1))
+        field, fields = pd.factorize(np.array([x[:x.index("\n")] for x in words], dtype=object))
+        return ids, doc[order], rows["w"].to_numpy()[order], pd.Index(words), field, len(fields), starts
+
+    def score(left: pd.DataFrame, held: tuple) -> pd.DataFrame:
+        ids, doc, weight, words, field, n_fields, starts = held
+        qids, qpos = np.unique(left["id"].to_numpy(), return_inverse=True)
+        number, qw = words.get_indexer(left["word"]), left["w"].to_numpy()
+        best = np.zeros(len(qids) * len(ids))
+        for f in range(n_fields):
+            rows = np.flatnonzero((number >= 0) & (field[number] == f))
+            key = number[rows]
+            n = starts[key + 1] - starts[key]
+            acc, ends = np.zeros_like(best), np.cumsum(n)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, MOST_PAIRS):  # pairs of a word of a query and a posting
+                pair = np.arange(lo, min(lo + MOST_PAIRS, int(ends[-1])))
+                row = np.searchsorted(ends, pair, side="right")
+                post = starts[key[row]] + pair - (ends[row] - n[row])
+                acc += np.bincount(qpos[rows[row]] * len(ids) + doc[post], weights=qw[rows[row]] * weight[post], minlength=len(best))
             np.maximum(best, acc, out=best)
-        out = _top_rows(np.round(best, 6), qids, ids, k)
+        out = _top_rows(np.round(best.reshape(len(qids), -1), 6), qids, ids, k)
         return out[out["score"] > 0]
 
-    return _best_per_query(_cell_stream(qt, w, "doc_id", _blocks(n_docs, cell_docs), score, block_rows), k)
+    return _best_per_query(_cell_stream(q, w, cells, cell_of, score, block_rows), k)
 
 
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
