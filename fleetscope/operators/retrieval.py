@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql.types import NumericType
 
 from fleetscope.functions import fixed
 from fleetscope.functions.scalars import col, nonblank, rows_of
-from fleetscope.functions.small import MOST_ROWS
+from fleetscope.functions.small import MOST_ROWS, small_side
 from fleetscope.session import scratch_dir
 
 # ---- chunking --------------------------------------------------------------------------------------------
@@ -326,17 +327,62 @@ def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarr
 
 # ---- keyword search ----------------------------------------------------------------------------------------
 
+_CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
+
+
 def tokens(text) -> Column:
     """Lower-case words; Chinese, Japanese and Korean text is cut per character."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]|[[\p{L}\p{N}_]&&[^\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]]+"), 0)
+    words = lambda pattern: F.regexp_extract_all(F.lower(col(text)), F.lit(pattern), 0)
+    # texts without such characters, which no letter becomes in lower case, need only the plain pattern, at half the time
+    return F.when(col(text).rlike(f"[{_CJK}]"), words(rf"[{_CJK}]|[[\p{{L}}\p{{N}}_]&&[^{_CJK}]]+")).otherwise(words(r"[\p{L}\p{N}_]+"))
+
+
+#: Words that a task counts at a time.
+COUNT_WORDS = 200_000
+
+
+def _count_words(docs: DataFrame, fields: Sequence[str], doc_id: str) -> DataFrame:
+    """Postings of every row by itself: its words are counted where it is read, without a shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("term", pa.string()), ("tf", pa.int64()), ("field_len", pa.int32())])
+
+    def counted(ids: pa.Array, words: pa.ListArray, field: str) -> pa.RecordBatch:
+        n = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        key = np.repeat(np.arange(len(words)), n) * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+        key, tf = np.unique(key, return_counts=True)
+        row, term = np.divmod(key, max(1, len(coded.dictionary)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.repeat(field, len(row)), coded.dictionary.take(pa.array(term)),
+                                           pa.array(tf), pa.array(n[row], pa.int32())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for field, words in zip(fields, batch.columns[1:]):
+                upto = words.offsets.to_numpy()
+                lo = 0
+                while lo < len(words):  # as many rows as have COUNT_WORDS words, one at least
+                    hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + COUNT_WORDS, side="right")) - 1)
+                    yield counted(ids.slice(lo, hi - lo), words.slice(lo, hi - lo), field)
+                    lo = hi
+
+    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"),
+                      *[tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"t{n}") for n, f in enumerate(fields)])
+    return src.mapInArrow(run, "doc_id bigint, field string, term string, tf bigint, field_len int")
 
 
 def build_postings(docs: DataFrame, fields: Sequence[str], doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, field, term, tf, field_len) of all fields. Words of a document are counted before the shuffle."""
-    items = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields])
-    x = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.inline(items))
-    x = rows_of(x.withColumn("field_len", F.size("t")), ["doc_id", "field", "field_len"], "t", "term")
-    return x.groupBy("doc_id", "field", "field_len", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "field", "term", "tf", "field_len")
+    """(doc_id, field, term, tf, field_len) of all fields. Words are counted row by row; only rows whose id comes again,
+    if there are any, are put together by a shuffle."""
+    fields = list(fields)
+    ids = docs.select(F.col(doc_id).cast("bigint").alias("_id"))
+    again = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    if again.isEmpty():
+        return _count_words(docs, fields, doc_id)
+    again = small_side(again)
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id"))
+    once, more = (_count_words(docs.join(again, same, how), fields, doc_id) for how in ("left_anti", "left_semi"))
+    more = more.groupBy("doc_id", "field", "field_len", "term").agg(F.sum("tf").alias("tf"))
+    return once.unionByName(more)
 
 
 def posting_stats(postings: DataFrame, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
