@@ -76,36 +76,52 @@ def _profile(filetype: str):
 
 
 CHUNK_SCHEMA = "source_key string, chunk_index int, text string, char_start int, char_end int, filetype string, error string"
+_CHUNK_ARROW = pa.schema([("source_key", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string()), ("char_start", pa.int32()),
+                          ("char_end", pa.int32()), ("filetype", pa.string()), ("error", pa.string())])
+#: Documents read at a time from an Arrow batch, and characters of chunks after which rows are handed on.
+READ_DOCS, SEND_CHARS = 32, 1 << 20
 
 
 def chunk_documents(docs: DataFrame, key: str = "source_key", text: str = "text", filetype: str = "filetype") -> DataFrame:
     """One row per chunk with its index and place in the text. A document that fails gives one row with an error.
 
-    Works document by document inside Arrow batches: no shuffle, and one bad document never stops the others.
+    Works document by document inside Arrow batches: no shuffle, and one bad document never stops the others. Chunks are
+    handed on after about a megabyte, so a task holds the batch it reads and little more, however many documents follow.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, t, ft in zip(pdf["k"], pdf["t"], pdf["f"]):
-                try:
-                    if t is None:
-                        raise ValueError("document has no text")
-                    size, overlap, seps = _profile(ft)
-                    n = 0
-                    for a, b in split_spans(t, size, overlap, seps):
-                        raw = t[a:b]
-                        body = raw.strip()
-                        if body:
-                            at = a + len(raw) - len(raw.lstrip())
-                            rows.append((k, n, body, at, at + len(body), ft, None))
-                            n += 1
-                except Exception as e:  # noqa: BLE001
-                    rows.append((k, None, None, None, None, ft, str(e)))
-            out = pd.DataFrame(rows, columns=["source_key", "chunk_index", "text", "char_start", "char_end", "filetype", "error"])
-            yield out.astype({"chunk_index": "Int32", "char_start": "Int32", "char_end": "Int32"})
+    def chunks(k, t, ft) -> Iterator[tuple]:
+        try:
+            if t is None:
+                raise ValueError("document has no text")
+            size, overlap, seps = _profile(ft)
+            n = 0
+            for a, b in split_spans(t, size, overlap, seps):
+                raw = t[a:b]
+                body = raw.strip()
+                if body:
+                    at = a + len(raw) - len(raw.lstrip())
+                    yield k, n, body, at, at + len(body), ft, None
+                    n += 1
+        except Exception as e:  # noqa: BLE001
+            yield k, None, None, None, None, ft, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        ready = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK_ARROW)], schema=_CHUNK_ARROW)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, READ_DOCS):
+                part = batch.slice(lo, READ_DOCS)
+                for doc in zip(*[c.to_pylist() for c in part.columns]):
+                    for row in chunks(*doc):
+                        rows.append(row)
+                        chars += len(row[2] or "") + 64
+                        if chars >= SEND_CHARS:
+                            yield ready()
+                            rows, chars = [], 0
+        if rows:
+            yield ready()
 
     src = docs.select(col(key).cast("string").alias("k"), col(text).alias("t"), col(filetype).alias("f"))
-    return src.mapInPandas(run, CHUNK_SCHEMA)
+    return src.mapInArrow(run, CHUNK_SCHEMA)
 
 
 def embedding_inputs(docs: DataFrame, key: str, chunks: str, batch: int = fixed.EMBED_BATCH) -> DataFrame:
