@@ -204,7 +204,10 @@ def _cell_stream(queries: DataFrame, items: DataFrame, cells: int, prepare: Call
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.vstack(rows.to_numpy()).astype(np.float64)
+    vectors = rows.to_list()
+    if len({len(v) for v in vectors}) > 1:
+        raise ValueError("vectors of different length")
+    m = np.concatenate(vectors).astype(np.float64).reshape(len(vectors), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 
@@ -232,61 +235,118 @@ MOST_CANDIDATES = 64
 
 
 def _vector_cell(rows: pd.DataFrame) -> tuple:
-    """Items of a cell by ascending id: ids, unit vectors, and their columns in single precision for the first look."""
-    rows = rows.sort_values("id", kind="stable")
+    """Items of a cell by list and ascending id: ids, unit vectors, their columns in single precision for the first look,
+    whether these are finite, and (list, begin, end) of every list. Items without lists are one list."""
+    lists = np.concatenate(rows["lists"].to_list()) if "lists" in rows else np.zeros(len(rows), dtype=np.int32)
+    order = np.argsort(rows["id"].to_numpy(), kind="stable")
+    order = order[np.argsort(lists[order], kind="stable")]
+    rows, lists = rows.iloc[order], lists[order]
     m = _unit(rows["vec"])
-    return rows["id"].to_numpy(), m, np.ascontiguousarray(m.T.astype(np.float32))
+    coarse = np.ascontiguousarray(m.T.astype(np.float32))
+    starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    spans = [(int(lists[lo]), int(lo), int(hi)) for lo, hi in zip(starts, [*starts[1:], len(lists)])]
+    return rows["id"].to_numpy(), m, coarse, bool(np.isfinite(coarse).all()), spans
+
+
+def _asked(queries: pd.DataFrame, spans: list[tuple]) -> Iterator[tuple]:
+    """(rows of the queries that ask for a list, begin, end) of the lists of a cell; all rows if queries name no lists."""
+    if "lists" not in queries:
+        yield from ((np.arange(len(queries)), lo, hi) for _, lo, hi in spans)
+        return
+    wanted = queries["lists"].to_list()
+    row, which = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]), np.concatenate(wanted)
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    for name, lo, hi in spans:
+        a, b = np.searchsorted(which, [name, name + 1])
+        if a < b:
+            yield row[a:b], lo, hi
 
 
 def _vector_best(queries: pd.DataFrame, cell: tuple, k: int) -> pd.DataFrame:
     """Exact k best items of a cell for a block of queries, by cosine to nine digits, ties to the smaller id.
 
     Single precision finds the candidates: what lies below the k-th best known by more than its error cannot be among the
-    k best. Only the candidates are scored in double precision.
+    k best. The k best of the groups' best scores so far give that bound, from list to list; a score below it is looked at
+    once, as a member of its group. Only the candidates are scored in double precision.
     """
-    ids, m, coarse = cell
+    ids, m, coarse, finite, spans = cell
     q, qids = _unit(queries["vec"]), queries["id"].to_numpy()
-    if k > GROUPS or len(ids) < 2 * GROUPS or not (np.isfinite(q).all() and np.isfinite(coarse).all()):
-        return _top_rows(np.round(q @ m.T, 9), qids, ids, k)
+    plain = k > GROUPS or not (finite and np.isfinite(q).all())  # every row is searched in full
     q32 = q.astype(np.float32)
     slack = np.float32(2 * (q.shape[1] + 4) * 2.0 ** -24 + 1e-8)
-    bound = np.full((len(q), 1), -np.inf, dtype=np.float32)
-    found = []  # row, column, first score, exact score or NaN
-    for lo in range(0, len(ids), CHUNK):
-        s = q32 @ coarse[:, lo:lo + CHUNK]
-        w = s.shape[1]
-        if w >= 2 * GROUPS:
-            tops = s[:, :w // GROUPS * GROUPS].reshape(len(q), -1, GROUPS).max(axis=1)
-            bound = np.maximum(bound, np.partition(tops, GROUPS - k, axis=1)[:, [GROUPS - k]])
-        hit = s >= bound - slack
-        n = np.count_nonzero(hit, axis=1)
-        if len(full := np.flatnonzero(n > max(MOST_CANDIDATES, 4 * k))):
-            hit[full] = False
-            exact = np.round(q[full] @ m[lo:lo + CHUNK].T, 9)
-            r, c = _best_columns(exact, k)
-            found.append((full[r], lo + c, s[full[r], c], exact[r, c]))
-        at = np.flatnonzero(hit)
-        r, c = at // w, at % w
-        found.append((r, lo + c, s[r, c], np.full(len(r), np.nan)))
+    best = np.full((len(q), k), -np.inf, dtype=np.float32)  # the smallest of a row stands first
+    room = np.empty(len(q) * CHUNK, dtype=np.float32)
+    found = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.float32), np.zeros(0))]  # row, column, first score, exact score or NaN
+
+    def searched(rows: np.ndarray, lo: int, hi: int, first: np.ndarray) -> None:
+        exact = np.round(q[rows] @ m[lo:hi].T, 9)
+        r, c = _best_columns(exact, k)
+        found.append((rows[r], lo + c, first[r, c], exact[r, c]))
+
+    for rows, begin, end in _asked(queries, spans):
+        ask = q32 if len(rows) == len(q) else q32[rows]
+        for lo in range(begin, end, CHUNK):
+            hi = min(lo + CHUNK, end)
+            w = hi - lo
+            if plain:
+                searched(rows, lo, hi, np.full((len(rows), w), np.inf, dtype=np.float32))
+                continue
+            s = np.matmul(ask, coarse[:, lo:hi], out=room[:len(rows) * w].reshape(len(rows), w))
+            even = w // GROUPS * GROUPS  # behind them each column is a group
+            grouped = s[:, :even].reshape(len(rows), -1, GROUPS)
+            tops = s if even == 0 else grouped.max(axis=1) if even == w else np.hstack([grouped.max(axis=1), s[:, even:]])
+            more = np.flatnonzero(tops.max(axis=1) > best[rows, 0])
+            if len(more):
+                known = np.hstack([best[rows[more]], tops[more]])
+                best[rows[more]] = np.partition(known, known.shape[1] - k, axis=1)[:, -k:]
+            least = best[rows, 0] - slack
+            r, g = np.nonzero(tops >= least[:, None])
+            c = np.where(g < GROUPS, g, g + even - GROUPS) if even else g
+            if even:
+                inside = g < GROUPS
+                x, j = np.nonzero(grouped[r[inside], :, g[inside]] >= least[r[inside], None])
+                r, c = np.r_[r[inside][x], r[~inside]], np.r_[j * GROUPS + g[inside][x], c[~inside]]
+            full = np.bincount(r, minlength=len(rows)) > max(MOST_CANDIDATES, 4 * k)
+            if full.any():
+                searched(rows[full], lo, hi, s[full])
+                r, c = r[~full[r]], c[~full[r]]
+            found.append((rows[r], lo + c, s[r, c], np.full(len(r), np.nan)))
     r, c, first, exact = (np.concatenate(x) for x in zip(*found))
-    keep = first >= (bound - slack)[r, 0]
+    keep = first >= best[r, 0] - slack
     r, c, exact = r[keep], c[keep], exact[keep]
     todo = np.flatnonzero(np.isnan(exact))
     for lo in range(0, len(todo), 50_000):
         x = todo[lo:lo + 50_000]
         exact[x] = np.round(np.einsum("ij,ij->i", q[r[x]], m[c[x]]), 9)
-    order = np.lexsort((c, -exact, r))
+    order = np.lexsort((ids[c], -exact, r))
     r, c, exact = r[order], c[order], exact[order]
-    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    best = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)])) < k
-    return pd.DataFrame({"query_id": qids[r[best]], "id": ids[c[best]], "score": exact[best]})
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][:len(r)])
+    kept = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)])) < k
+    return pd.DataFrame({"query_id": qids[r[kept]], "id": ids[c[kept]], "score": exact[kept]})
 
 
-#: Pairs of a query and an item that a task of the exact search compares, while the tasks are few and in large searches.
+#: Pairs of a query and an item that a task of a vector search compares, while the tasks are few and in large searches.
 TASK_PAIRS, MOST_TASK_PAIRS, FEW_TASKS = 250_000_000, 4_000_000_000, 64
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
+def _shards(pairs: int, cells: int) -> int:
+    """Parts into which the queries of every cell are cut."""
+    return _blocks(max(min(_blocks(pairs, TASK_PAIRS), FEW_TASKS), _blocks(pairs, MOST_TASK_PAIRS)), cells)
+
+
+def _part(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(n)).cast("int")
+
+
+def _dealt(queries: DataFrame, items: DataFrame, cells: int, shards: int, k: int, block_rows: int) -> DataFrame:
+    """k best items per query; ``_i`` says the cell of a row. Every shard of queries passes its cells, a pair of both to a task."""
+    q = queries.withColumn("_c", F.col("_i") * shards + _part("id", shards)).drop("_i")
+    i = items.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_c", F.col("_i") * shards + F.col("_s")).drop("_i", "_s")
+    return _best_per_query(_cell_stream(q, i, cells * shards, _vector_cell, lambda b, cell: _vector_best(b, cell, k), block_rows), k)
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int = 50_000, block_rows: int = 512) -> DataFrame:
     """Exact k nearest items per query by cosine; score = 1 - distance. Inputs: (query_id, vec), (id, vec).
 
     Items are cut into cells and queries into shards by a hash of their ids, and every shard passes every cell, a pair to a
@@ -294,14 +354,9 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int
     """
     n_items, n_queries = items.count(), queries.count()
     cells = _blocks(n_items, cell_rows)
-    tasks = max(min(_blocks(n_items * n_queries, TASK_PAIRS), FEW_TASKS), _blocks(n_items * n_queries, MOST_TASK_PAIRS))
-    shards = _blocks(tasks, cells)
-    part = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", part("query_id", shards).alias("_s"), every(cells).alias("_i"))
-    i = items.select(F.col("id").cast("bigint"), "vec", part("id", cells).alias("_i"), every(shards).alias("_s"))
-    q, i = (x.withColumn("_c", F.col("_i") * shards + F.col("_s")).drop("_i", "_s") for x in (q, i))
-    return _best_per_query(_cell_stream(q, i, cells * shards, _vector_cell, lambda b, cell: _vector_best(b, cell, k), block_rows), k)
+    q = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_i"))
+    i = items.select(F.col("id").cast("bigint"), "vec", _part("id", cells).alias("_i"))
+    return _dealt(q, i, cells, _shards(n_items * n_queries, cells), k, block_rows)
 
 
 def ivf_assign(items: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
