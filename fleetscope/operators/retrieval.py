@@ -362,38 +362,62 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 5, cell_rows: int
 def ivf_assign(items: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """Inverted lists: ``lists`` k-means centroids on the unit vectors of all items, and each item's list."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    unit = items.select("id", "vec", F.expr("sqrt(aggregate(vec, 0.0D, (a, x) -> a + cast(x as double) * x))").alias("_n"))
-    unit = unit.selectExpr("id", "vec", "transform(vec, x -> cast(x as double) / greatest(_n, 1e-12D)) as _u")
-    f = unit.withColumn("features", array_to_vector("_u"))
+    f = items.select("id", "vec", array_to_vector("vec").alias("_v"))
+    f = Normalizer(inputCol="_v", outputCol="features").transform(f)  # one pass over a vector; a lambda would take its norm again for each number
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(f.select("features"))
     out = model.transform(f).select("id", "vec", F.col("prediction").alias("list_id"))
     return out, np.vstack(model.clusterCenters())
 
 
+def _list_cells(sizes: dict[int, int], cell_rows: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """(first cell, cells) of every list, and the number of cells. Small lists share a cell, a large one has several."""
+    places, cells, free = {}, 0, 0
+    for name, n in sorted(sizes.items()):
+        if n > cell_rows:
+            places[name] = (cells, _blocks(n, cell_rows))
+            cells, free = cells + places[name][1], 0
+            continue
+        if n > free:
+            cells, free = cells + 1, cell_rows
+        places[name], free = (cells - 1, 1), free - n
+    return places, max(1, cells)
+
+
 def vector_topk_ivf(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int = 5, probes: int = 10,
-                    cell_rows: int = 20_000) -> DataFrame:
+                    cell_rows: int = 50_000) -> DataFrame:
     """Approximate search: each query looks only into its nearest lists.
 
-    A list is one or more cells of bounded size, so a list that holds a third of all items is spread over many tasks.
+    A cell holds as many lists as fit, and a list that holds a third of all items is spread over many cells. A query goes
+    once to a cell, with the names of its lists, and what it finds in one list bounds what the next has to offer.
     """
     c = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     probes = min(probes, len(c))
-
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
+    rows = assigned.where("list_id is not null").groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per list
+    places, cells = _list_cells({r.list_id: r.n for r in rows}, cell_rows)
+    holds = np.zeros((len(c), cells), dtype=bool)
+    for name, (first, n) in places.items():
+        holds[name, first:first + n] = True
+
+    @F.pandas_udf("struct<lists: array<int>, cells: array<int>>")
+    def nearest(v: pd.Series) -> pd.DataFrame:
         s = _unit(v) @ c.T
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype("int32")))
-
-    rows = assigned.where("list_id is not null").groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("n")).collect()  # a row per list
-    ends = np.cumsum([0, *[r.n for r in rows]])
-    spread = assigned.sparkSession.createDataFrame([(r.list_id, r.n, int(a)) for r, a in zip(rows, ends)], "list_id int, _cells int, _first int")
-    spread = F.broadcast(spread)
-    i = assigned.join(spread, "list_id").select(F.col("id").cast("bigint"), "vec", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_cells"))).alias("_c"))
-    q = rows_of(queries, [F.col("query_id").cast("bigint").alias("id"), "vec"], nearest("vec"), "list_id")
-    q = q.join(spread, "list_id").select("id", "vec", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_cells") - 1)).alias("_c"))
-    return _best_per_query(_cell_stream(q, i, max(1, int(ends[-1])), _vector_cell, lambda b, cell: _vector_best(b, cell, k), 512), k)
+        near = np.argsort(-s, axis=1, kind="stable")[:, :probes].astype("int32")
+        asked = np.zeros((len(near), cells), dtype=bool)
+        for p in range(probes):
+            asked |= holds[near[:, p]]
+        row, cell = np.nonzero(asked)
+        return pd.DataFrame({"lists": list(near), "cells": np.split(cell.astype("int32"), np.searchsorted(row, np.arange(1, len(near))))})
+
+    spread = assigned.sparkSession.createDataFrame([(name, *place) for name, place in places.items()], "list_id int, _first int, _cells int")
+    i = assigned.join(F.broadcast(spread), "list_id").select(
+        F.col("id").cast("bigint"), "vec", F.array("list_id").alias("lists"), (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int")).alias("_i"))
+    q = queries.select(F.col("query_id").cast("bigint").alias("id"), "vec", nearest("vec").alias("_n"))
+    q = q.select("id", "vec", "_n.lists", F.explode("_n.cells").alias("_i"))
+    pairs = sum(r.n for r in rows) * queries.count() * probes // max(1, len(c))
+    return _dealt(q, i, cells, _shards(pairs, cells), k, 512)
 
 
 # ---- keyword search ----------------------------------------------------------------------------------------
